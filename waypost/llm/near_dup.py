@@ -6,12 +6,16 @@
 2. Documents with equal sets form a class, with the smallest doc_id as its
    representative; copies are never compared again.
 3. Representatives that share a band key form a bucket. A bucket isn't
-   expanded into pairs: its members are compared with one centre, confirmed on
-   full sets, and linked ones merge into components. Then only pairs across
-   components of a bucket are left; new centres are tried while those would be
-   many, and all the rest is compared in the end. So every pair that shares a
-   bucket is either confirmed, refuted, or already connected.
-4. Components of the links come from star contraction (``graph``).
+   expanded into pairs: its members are compared with its smallest one,
+   confirmed on full sets, and linked ones merge into components.
+4. Only pairs across components of a bucket are left then. Components that
+   meet in buckets gather in families around the largest of them; a family's
+   members outside that one are compared with all of the family: pair by pair
+   where they are few, else in blocks of bounded size, each block against each,
+   of which a task returns only the links. Pairs across families are compared
+   outright. So every pair that shares a bucket is confirmed, refuted, or
+   already connected, however large the group.
+5. Components of the links come from star contraction (``graph``).
 
 Bands of 4 out of 128 positions: a pair at similarity 0.8 shares no bucket
 with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -134,11 +138,74 @@ def _near(percent: int):
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
 
-def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 6) -> DataFrame:
+def _block_links(percent: int):
+    """Links between the outsiders and the members of a block, one for each outsider and component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, part = group["rep"].to_numpy(), group["component"].to_numpy()
+        outside = group["outside"].to_numpy(zero_copy_only=False).astype(bool)
+        items = group["items"].combine_chunks()
+        first, value = items.offsets.to_numpy().astype(np.int64), items.values.to_numpy()
+        size = np.diff(first)
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        of_y = np.repeat(np.arange(len(y)), size[y])
+        in_y = np.concatenate([value[first[i] : first[i + 1]] for i in y]) if len(y) else value[:0]
+        order = np.argsort(in_y, kind="stable")
+        in_y, of_y = in_y[order], of_y[order]
+        a, b = [], []
+        for i in x:
+            own = value[first[i] : first[i + 1]]
+            low, high = np.searchsorted(in_y, own), np.searchsorted(in_y, own, "right")
+            many = high - low
+            at = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+            common = np.bincount(of_y[at], minlength=len(y))
+            near = np.flatnonzero((common * 100 >= (size[i] + size[y] - common) * percent) & (part[y] != part[i]))
+            _, one = np.unique(part[y][near], return_index=True)
+            a += [int(part[i])] * len(one)
+            b += part[y][near][one].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _across(open_: DataFrame, sets: DataFrame, percent: int, few: int, block: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket; ``open_`` has key, rep, n, component, main."""
+    hubs = open_.groupBy("component").agg(F.max(F.struct("main_size", "main")).alias("h")).select("component", F.col("h.main").alias("family"))
+    placed = stored(open_.select("key", "rep", "n", "component").join(hubs, "component"), "families")
+    kin = placed.select("rep", "n", "component", "family").distinct().withColumn("outside", F.col("component") != F.col("family"))
+    sizes = kin.groupBy("family").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")).filter("outsiders > 0")
+    kin = stored(kin.join(sizes, "family"), "kin")
+
+    # pair by pair: few outsiders, and members of different families
+    of = lambda df, *more: df.select(*more, F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"))
+    distinct_parts = (F.col("component") != F.col("part")) & _near(percent)
+    pair = lambda df: df.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.when(F.col("rep") < F.col("r"), F.col("component")).otherwise(F.col("part")).alias("pa"), F.when(F.col("rep") < F.col("r"), F.col("part")).otherwise(F.col("component")).alias("pb"))
+    little = kin.filter(F.col("outsiders") <= few)
+    inside = pair(little.filter("outside").join(of(little, "family"), "family").filter(distinct_parts))
+    foreign = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.max_by("family", F.xxhash64("family")).alias("any")).filter("low < high")
+    foreign = placed.join(foreign, "key")
+    between = pair(foreign.filter("family <> any").join(of(foreign, "key", F.col("family").alias("kind")), "key").filter(distinct_parts & (F.col("family") != F.col("kind"))))
+    pairs = inside.unionByName(between).distinct()
+    close = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+
+    # block by block: each block of outsiders with each block of the family
+    large = kin.filter(F.col("outsiders") > few)
+    n_in, n_out = F.ceil(F.col("all") / block), F.ceil(F.col("outsiders") / block)
+    place = lambda n: F.pmod(F.xxhash64("rep"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ["family", "rep", "component"]
+    rows = large.filter("outside").select(*columns, F.lit(True).alias("outside"), place(n_out).alias("x"), every(n_in).alias("y"))
+    rows = rows.unionByName(large.select(*columns, F.lit(False).alias("outside"), every(n_out).alias("x"), place(n_in).alias("y")))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("family", "x", "y", "rep", "component", "outside", "items")
+    in_blocks = rows.groupBy("family", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    return close.unionByName(in_blocks)
+
+
+def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, few: int = 16, block: int = 256) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    ``rounds`` bounds only the number of extra centres tried before the rest of
-    a bucket is compared outright; it never leaves a pair out.
+    Families with more than ``few`` outsiders are compared in blocks of about
+    ``block`` documents; neither number changes the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(texts.mapInArrow(_profile(shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "profiles")
@@ -151,33 +218,17 @@ def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"), "sets")
 
-    pairs = stored(members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    tested, links = pairs, stored(_confirmed(pairs, sets, percent), "links")
-    for turn in range(rounds + 1):
-        label = components(links)
-        placed = members.select("key", "rep", "n").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        by_part = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
-        mixed = by_part.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-        mixed = mixed.select("key", F.col("top.component").alias("main"), F.col("all"), (F.col("all") - F.col("top.k")).alias("others"))
-        open_ = stored(placed.join(mixed, "key"), "open")
-        sizes = open_.agg(F.count("*"), F.sum(F.when(F.col("component") != F.col("main"), F.col("all")))).first()
-        if not sizes[0]:
-            break
-        last = turn == rounds or (sizes[1] or 0) <= 8 * sizes[0]
-        if last:
-            side = open_.filter("component <> main")
-        else:
-            lead = open_.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
-            side = open_.join(lead, ["key", "rep"], "left_semi")
-        other = side.select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"))
-        fresh = open_.join(other, "key").filter((F.col("component") != F.col("part")) & _near(percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
-        fresh = stored(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_confirmed(fresh, sets, percent), "links")
-        links, tested = links.unionByName(found), tested.unionByName(fresh)
-        if last:
-            break
-    label = components(links).select(F.col("node").alias("rep"), "component")
-    named = stored(classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "named")
+    pairs = members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
+    placed = members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    volume = placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume"))
+    placed = stored(placed.join(volume, "component"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("volume", "component")).alias("top")).filter("low < high")
+    open_ = placed.join(mixed.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "key")
+    merged = components(_across(open_, sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+
+    named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = stored(named.join(merged, "component", "left").select("n_shingles", "d1", "d2", F.coalesce("root", "component").alias("component")), "named")
     placed = profile.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
