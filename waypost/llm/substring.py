@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     window of ``k`` words covers whose words also start in a document with a
     smaller doc_id; ``text`` is the other words, joined by one space.
     """
-    n = 4 * parts(docs.sparkSession)
+    n = 2 * parts(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = texts.filter("doc_id is not null").mapInArrow(_windows(k, n), "bucket int, back boolean, data binary")
     back = sent.groupBy("bucket").applyInArrow(_count(n), "grp int, data binary")
