@@ -7,16 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.llm import decontaminate, near_dup, quality, substring, toxicity
+from waypost.llm import decontaminate, html_text, mixing, near_dup, quality, substring, token_files, tool_calls, toxicity, warc
 from waypost.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The default vocabulary: where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.tokens_of(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), ratio=1.5, cap=2)
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Argument types and required arguments of the tools that op5's calls are checked against.
+TOOLS = {"search": {"query": "string", "limit": "integer"}, "calculate": {"expression": "string"}, "fetch": {"url": "string"}}
+REQUIRED = {"search": ["query"], "calculate": ["expression"], "fetch": ["url"]}
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = tool_calls.tool_schemas(spark, TOOLS, REQUIRED)
+    return tool_calls.events(table(spark, sf_dir, "conversations"), schemas)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summaries(warc.write_archive(table(spark, sf_dir, "pages")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -36,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-_ALL = (op3_minhash, op7_decontaminate, op8_substring, op9_quality, op10_toxicity)
+_ALL = (op1_token_files, op2_main_text, op3_minhash, op4_mixing, op5_tool_calls, op6_warc, op7_decontaminate, op8_substring, op9_quality, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:

@@ -117,15 +117,20 @@ def _taken(t: str, b: int) -> str:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them.
 
-    A document from which the mix takes k whole passes and a part comes k times
-    whole and once cut to the words of that part, counted from its start; the
-    copies are rows with the same doc_id. Documents of which nothing is taken
-    are left out.
+    A document that the mix takes once and a half comes once whole and once cut
+    to the first half of its words, as rows with the same doc_id; n_chars, where
+    there is such a column, follows the cut. Documents of which nothing is taken
+    are left out. Rows that share a doc_id share what is taken by their sizes.
     """
-    took = mix(docs, **options).filter("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken_"), F.sum("size").alias("size_"))
+    took = mix(docs, **options).groupBy("doc_id").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("rate_")).filter("rate_ > 0")
     joined = docs.join(took.withColumnRenamed("doc_id", "id_"), docs["doc_id"].eqNullSafe(F.col("id_")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken_") / F.col("size_"))))
-    copies = joined.select(*docs.columns, "taken_", "size_", times.alias("copy_"))
-    rest = (F.col("taken_") - (F.col("copy_") - 1) * F.col("size_")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    return copies.withColumn("text", F.when(rest >= F.col("size_"), F.col("text")).otherwise(cut)).select(*docs.columns)
+    words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    sized = joined.select(*docs.columns, words.alias("size_"), F.round(F.col("rate_") * words).cast("long").alias("take_")).filter("take_ > 0")
+    copies = sized.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("take_") / F.col("size_")))))
+    rest = F.col("take_") - (F.col("copy_") - 1) * F.col("size_")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.least(rest, F.col("size_")).cast("int")), " ")
+    copies = copies.withColumn("text", F.when(rest >= F.col("size_"), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        whole = F.col("n_chars").cast(docs.schema["n_chars"].dataType)
+        copies = copies.withColumn("n_chars", F.when(rest >= F.col("size_"), whole).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return copies.select(*docs.columns)
