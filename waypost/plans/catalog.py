@@ -21,9 +21,15 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from waypost.plans import place_queries  # noqa: F401  registers on import
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
