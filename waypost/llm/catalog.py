@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.llm import decontaminate, html_text, mixing, near_dup, quality, substring, token_files, tool_calls, toxicity, warc
+from waypost.llm import decontaminate, html_text, mixing, near_dup, oracles, quality, substring, token_files, tool_calls, toxicity, warc
 from waypost.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
