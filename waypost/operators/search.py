@@ -33,18 +33,20 @@ def first_json(text: Column, strict_order: bool = False) -> Column:
     """Q4: the JSON object or array in noisy or fenced text, as text; null where none parses.
 
     An array is looked for where the first bracket comes before the first
-    brace. ``strict_order`` always takes the object first, which loses arrays
-    of several objects.
+    brace. ``strict_order`` always takes the object and fails where that doesn't
+    parse, which loses arrays of several objects.
     """
     fenced = F.startswith(stripped(text), F.lit("```"))
     inner = F.when(fenced, F.regexp_replace(F.regexp_replace(stripped(text), r"^[^\n]*\n", ""), r"\n[^\n]*$", "")).otherwise(text)
     whole = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
     listed = F.regexp_extract(inner, r"(?s)\[.*\]", 0)
-    parse = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    # a parser stops after the first value; within brackets what follows it shows
+    parse = lambda c: F.when(F.try_parse_json(c).isNotNull() & (F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1), c)
     brace, bracket = F.instr(inner, "{"), F.instr(inner, "[")
     list_first = (bracket > 0) & ((brace == 0) | (bracket < brace))
     either = F.coalesce(parse(whole), parse(listed))
-    found = either if strict_order else F.when(list_first, F.coalesce(parse(listed), parse(whole))).otherwise(either)
+    object_first = F.when(whole != "", parse(whole)).otherwise(parse(listed))
+    found = object_first if strict_order else F.when(list_first, F.coalesce(parse(listed), parse(whole))).otherwise(either)
     return F.when(text.isNotNull() & ~F.startswith(text, F.lit("⚠️")), found)
 
 
