@@ -51,7 +51,7 @@ CHAT = [
     (1, 3, "tool", '{"tool_call_id": "zz", "content": "3"}'),
     (2, 0, "tool", '{"tool_call_id": "q", "content": "early"}'),
     (2, 1, "assistant", '{"tool_calls": [{"id": "q", "name": "add", "arguments": {"x": 1, "y": 2.5}}, {"id": "q", "name": "nope", "arguments": "bad"}]}'),
-    (3, 0, "user", "{not json"),
+    (3, 0, "user", '{"content": "a"} and more'),
     (None, None, None, None),
     (3, 0, "user", "{not json"),
 ]

@@ -53,6 +53,11 @@ def _text(value: Column) -> Column:
     return F.when(value.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
 
 
+def _one_value(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it, which the parser alone would pass over."""
+    return F.try_parse_json(text).isNotNull() & F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 def _typed(arguments: Column) -> Column:
     return F.transform_values(F.from_json(arguments, "map<string, variant>"), lambda _, v: F.schema_of_variant(v))
 
@@ -67,7 +72,7 @@ def _fits(types: Column, properties: Column, required: Column) -> Column:
 def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """Per message and call: conv_id, turn, kind, role, call_id, linked, valid, the order keys, json."""
     text = F.col("text").cast("string")
-    shaped = text.rlike(r"^\s*\{") & F.try_parse_json(text).isNotNull()
+    shaped = text.rlike(r"^\s*\{") & _one_value(text)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), F.when(shaped, F.from_json(text, _MESSAGE)).alias("m"))
     one = rows.withColumn("call_id", F.when(F.col("role") == "tool", F.col("m.tool_call_id"))).withColumn("content", F.when(F.col("m.content").isNotNull() | F.col("m.tool_calls").isNotNull() | F.col("m.tool_call_id").isNotNull(), F.col("m.content")).otherwise(F.col("text")))
     calls = rows.filter("m.tool_calls is not null").select("conv_id", "turn", "role", F.posexplode("m.tool_calls").alias("index", "c"))
@@ -89,7 +94,7 @@ def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         F.when(result, _object(("content", _text(F.col("content"))), ("role", _text(F.col("role"))), ("tool_call_id", _text(F.col("call_id"))))).otherwise(_object(("content", _text(F.col("content"))), ("role", _text(F.col("role"))))).alias("json"),
     )
 
-    parsed = F.when(F.col("arguments").rlike(r"^\s*\{"), F.try_parse_json("arguments"))
+    parsed = F.when(F.col("arguments").rlike(r"^\s*\{") & _one_value(F.col("arguments")), F.try_parse_json("arguments"))
     called = calls.withColumn("whole", parsed).join(first, ["conv_id", "call_id"], "left").join(schemas, "tool", "left")
     called = called.withColumn("types", F.when(F.col("whole").isNotNull(), _typed(F.col("arguments"))))
     own = (F.col("turn") == F.col("first_turn")) & (F.col("index") == F.col("first_index"))
