@@ -13,10 +13,14 @@ write. A shard's base, the number of ids before it, is a prefix sum over the
 manifest. Readers map local files into memory and read others by stretches.
 Writing is idempotent: a task that runs again replaces its files by equal ones.
 
-Encoding calls the tokenizer once for each distinct white-space unit a task
-meets. A byte-level vocabulary never merges across a space that a word
-follows, so a text's ids are those of its units in order; texts with white
-space other than space, tab, newline and carriage return are encoded whole.
+Encoding calls the tokenizer once for each distinct unit a process meets: a
+word, the punctuation after it, white space. A byte-level vocabulary never
+merges across a space that a word follows, nor from a letter or digit to
+punctuation (but for the apostrophe), so a text's ids are those of its units
+in order. Units of letters alone go straight to the tokenizer's merge model,
+which skips its splitting; that this is the same is tried out on words when an
+encoder is made. Texts with white space other than space, tab, newline and
+carriage return are encoded whole.
 
 Edge cases: null and empty texts are written as ``end_id`` alone. Rows that
 repeat a doc_id follow each other in the order of their texts. Rows without
@@ -28,7 +32,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,10 @@ from pyspark.sql.window import Window
 from waypost.llm import words as W
 from waypost.llm.shared import file_system, parts, put_file, scratch, stored
 
-_UNIT = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: Letters of the Latin blocks up to U+024F, all of which are letters but two.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_UNIT = re.compile(rf" ?[0-9{_LETTERS}]+(?=[ \t\n\r!-&(-/:-@\[-`{{-~]|\Z)| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
 #: Characters that some Unicode version takes for white space, but those four.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _NO_ID = np.iinfo(np.int64).min
@@ -51,6 +60,13 @@ _MEMORY = 3 << 18
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes of ``width`` bytes an id."""
 
@@ -58,41 +74,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # units come once; ``known`` is the memory
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # units come once; ``known`` is the memory
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        probes = [" word", "Word", " straße", "déjà", " ĳsselmeerĦ", "unbekanntes", "a"]
+        self.direct = self._merged(probes) == self._raw(probes)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.type).tobytes() for x in found]
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode new units, many to a call: a newline between words is always one id, found nowhere else in them."""
-        words = [u for u in units if not u.isspace()] if self.line is not None else []
-        stretches = [words[at : at + 8192] for at in range(0, len(words), 8192)]
-        found = self.tokenizer.encode_batch_fast(["\n".join(x) for x in stretches], add_special_tokens=False)
-        for own, x in zip(stretches, found, strict=True):
-            ids = np.array(x.ids, dtype=self.type)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) == len(own) - 1:
-                raw, width = ids.tobytes(), self.type.itemsize
-                starts = [0, *((cuts + 1) * width).tolist()]
-                ends = [*(cuts * width).tolist(), len(raw)]
-                self.known.update(zip(own, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
-        rest = [u for u in units if u not in self.known]
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space but a leading space, from the merge model alone."""
+        kind = "H" if self.type.itemsize == 2 else "I"
+        spelled = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        found = ([x.id for x in tokens] for tokens in map(self.model.tokenize, spelled))
+        return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in found]
+
+    def _learn(self, units: set[str]) -> None:
+        words = [u for u in units if _WORD.fullmatch(u)] if self.direct else []
+        self.known.update(zip(words, self._merged(words) if words else [], strict=True))
+        rest = list(units.difference(words))
         self.known.update(zip(rest, self._raw(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [None if _ODD.search(x) else _UNIT.findall(x) for x in texts]
-        needed = set().union(*(x for x in units if x))
         if len(self.known) > _MEMORY:
-            self.known = {u: self.known[u] for u in needed if u in self.known}
-        self._learn(list(needed.difference(self.known)))
-        get = self.known.__getitem__
-        return [self._raw([text])[0] if x is None else b"".join(map(get, x)) for text, x in zip(texts, units, strict=True)]
+            for unit in list(islice(self.known, len(self.known) // 2)):  # the longest known
+                del self.known[unit]
+        known = self.known
+        units = [None if _ODD.search(x) else _UNIT.findall(x) for x in texts]
+        pieces = [None if x is None else list(map(known.get, x)) for x in units]
+        missing = [[] if x is None else [i for i, p in enumerate(x) if p is None] for x in pieces]
+        new = {own[i] for own, at in zip(units, missing, strict=True) for i in at}
+        if new:
+            self._learn(new)
+        for own, got, at in zip(units, pieces, missing, strict=True):
+            for i in at:
+                got[i] = known[own[i]]
+        return [self._raw([text])[0] if got is None else b"".join(got) for text, got in zip(texts, pieces, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
