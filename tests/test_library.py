@@ -159,3 +159,37 @@ def test_plans_stay_native(name, spark):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert plan.count("FileScan") == 1
+
+
+def test_clients_wait_and_fail_over():
+    from waypost.sources import clients
+
+    waits, calls = [], []
+
+    def busy(text):
+        calls.append(text)
+        if len(calls) < 3:
+            raise clients.Busy
+        return "done"
+
+    assert clients.patient(busy, sleep=waits.append)("q") == "done"
+    assert len(waits) == 2 and 5 <= waits[0] <= 8 and 10 <= waits[1] <= 13
+
+    def never(_):
+        raise clients.Busy
+
+    with pytest.raises(clients.Busy):
+        clients.patient(never, attempts=2, sleep=waits.append)("q")
+
+    def late(_):
+        raise TimeoutError
+
+    assert clients.failover([late, lambda q: f"from b: {q}"], sleep=waits.append)("q") == "from b: q"
+    with pytest.raises(RuntimeError):
+        clients.failover([late, never], sleep=waits.append)("q")
+
+
+def test_empty_result_message_is_escaped():
+    from waypost.functions.display import no_results
+
+    assert "<b>" not in no_results("<b>")

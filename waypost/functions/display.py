@@ -81,3 +81,22 @@ def more_photos(photos: Column) -> tuple[Column, Column]:
     """The second and third photo, and how many there are."""
     listed = F.coalesce(F.from_json(photos, "array<string>"), F.array().cast("array<string>"))
     return F.concat_ws(", ", F.slice(listed, 2, 2)), F.size(listed).cast("long")
+
+
+def review_block(vibe: Column, plus: Column, minus: Column, summary: Column) -> Column:
+    """P10: vibe, plus and minus where the first or second says something, else the old summary."""
+    v, p, m = clean(vibe, ""), clean(plus, ""), clean(minus, "")
+    parts = F.concat_ws(" | ", F.nullif(v, F.lit("")), F.when(p != "", F.concat(F.lit("+ "), p)), F.when(m != "", F.concat(F.lit("- "), m)))
+    return F.when((v != "") | (p != ""), parts).otherwise(clean(summary, ""))
+
+
+def thousands(n: Column) -> Column:
+    """A count with separators."""
+    return F.format_number(n, 0)
+
+
+def no_results(query: str) -> str:
+    """What an empty result says; the query is escaped."""
+    from html import escape
+
+    return f"Geen resultaten voor “{escape(query, quote=True)}”"

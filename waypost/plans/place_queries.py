@@ -13,7 +13,7 @@ from waypost.functions.geo import distance_label, haversine
 from waypost.operators import batching, curation, enrich, geo, quality, search
 from waypost.plans import oracle as O
 from waypost.plans.catalog import register
-from waypost.sources import osm
+from waypost.sources import clients, osm
 from waypost.sources.places import gazetteer, places
 
 HOME = (52.3, 5.3)
@@ -411,3 +411,25 @@ def sort_choices(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty in the order of ratings: a top-k report."""
     order = P.SidebarFilters(sort_keuze="Beoordeling ↓").order()
     return places(spark, d).orderBy(*order).limit(50).select("place_id", C.parse_score(col("beoordeling")).alias("score"))
+
+
+@register("landing_tiles", O.places("format('{:,}', count(*)) AS total, format('{:,}', count(DISTINCT naam)) AS names"))
+def landing_tiles(spark: SparkSession, d: str) -> DataFrame:
+    counted = places(spark, d).agg(F.count("*").alias("n"), F.count_distinct("naam").alias("m"))
+    return counted.select(D.thousands(col("n")).alias("total"), D.thousands(col("m")).alias("names"))
+
+
+projected("review_block", {"review": lambda: D.review_block(F.when(col("place_id") % 3 == 0, "rustig"), F.when(col("place_id") % 2 == 0, "uitzicht").otherwise("-"), F.lit("ver"), col("drukte_indicator"))}, {"review": f"CASE WHEN place_id % 6 = 0 THEN 'rustig | + uitzicht | - ver' WHEN place_id % 3 = 0 THEN 'rustig | - ver' WHEN place_id % 2 = 0 THEN '+ uitzicht | - ver' ELSE {O.clean('drukte_indicator', '')} END"})
+
+
+@register("geocode_lookup", f"WITH gazetteer AS ({O.GAZETTEER_SQL}) SELECT city_id, CASE WHEN city_id % 2 = 0 THEN lat END AS lat, CASE WHEN city_id % 2 = 0 THEN lon END AS lon FROM gazetteer")
+def geocode_lookup(spark: SparkSession, d: str) -> DataFrame:
+    cities = gazetteer(spark, d)
+    queries = cities.select("city_id", F.when(col("city_id") % 2 == 0, F.lower("admin1")).otherwise(F.lit("nergens")).alias("query"))
+    return clients.geocode(queries, cities.withColumnRenamed("admin1", "name")).select("city_id", "lat", "lon")
+
+
+@register("health_status", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'invalid key' WHEN 2 THEN 'forbidden' WHEN 3 THEN 'rate limited' WHEN 4 THEN 'HTTP 500' ELSE 'unreachable' END AS health FROM part")
+def health_status(spark: SparkSession, d: str) -> DataFrame:
+    status = F.expr("CASE p_partkey % 6 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 500 END")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", clients.health(status).alias("health"))
