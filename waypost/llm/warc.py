@@ -113,9 +113,11 @@ def write_archive(pages: DataFrame, root: str | None = None, min_bytes: int = 0)
     digest = F.concat_ws(":", F.sha2("html", 256), F.octet_length("html"))
     marked = rows.filter("page_id is not null").filter(F.octet_length("html") >= min_bytes).select("page_id", digest.alias("digest"))
     repeated = stored(marked.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
-    verdicts = marked.join(repeated, "digest").distinct()
-    told = rows.withColumn("digest", digest).join(verdicts, ["page_id", "digest"], "left")
-    told = told.repartition(parts(pages.sparkSession), "page_id").sortWithinPartitions("page_id", "digest", "url")
+    verdicts = marked.join(repeated, "digest").distinct().withColumn("url", F.lit(None).cast("string"))
+    # one key and one exchange: equal records meet in a task, and the join finds its pages where they are
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none"), F.xxhash64("url").cast("string"))), "digest")
+    told = rows.withColumn("digest", digest).withColumn("key", key).repartition(parts(pages.sparkSession), "key")
+    told = told.join(verdicts.select(key.alias("key"), "first_id"), "key", "left").sortWithinPartitions("page_id", "digest", "url")
     return stored(told.select("page_id", "url", "html", "first_id").mapInArrow(_write(root), "path string, offset long, length long, record_id string, record_type string, page_id long, payload_digest string, header binary"), "index")
 
 
