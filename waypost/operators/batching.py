@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def numbered(df: DataFrame, key: str = "place_id", size: int = 5) -> DataFrame:
-    """The position of each row in the order of ``key``, and its batch of ``size``.
+def numbered(df: DataFrame, key: str = "place_id", size: int = 5, buckets: int = 1024) -> DataFrame:
+    """The position of each row in the order of the numeric ``key``, and its batch of ``size``.
 
-    Rows are dealt out by ranges of ``key`` and counted by range; a range's
-    first position is a prefix sum over those counts, so no task sees all rows.
+    Rows fall into ``buckets`` ranges of ``key`` of equal width and are counted
+    there; a range's first position is a prefix sum over those counts, at most
+    ``buckets`` rows, so no task sees all rows. Rows without key come last, in
+    a range of their own.
     """
-    ranged = df.repartitionByRange(key).withColumn("range_", F.spark_partition_id())
-    counts = ranged.groupBy("range_").agg(F.count("*").alias("n_"), F.min(key).alias("low_"))
-    before = Window.orderBy("low_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("low_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"), F.lead("low_").over(Window.orderBy("low_")).alias("high_"))
-    # ranges are matched by their bounds, which a second evaluation of the same data can't change
-    own = F.row_number().over(Window.partitionBy("low_").orderBy(key)) - 1
-    placed = df.join(F.broadcast(bases), (df[key] >= F.col("low_")) & (F.col("high_").isNull() | (df[key] < F.col("high_"))))
-    position = (F.col("base_") + own).cast("long")
-    return placed.withColumn("position", position).withColumn("batch", F.floor(F.col("position") / size)).drop("low_", "high_", "base_")
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    low, high = (ends.low or 0), (ends.high or 0)
+    bucket = F.when(F.col(key).isNull(), buckets + 2).otherwise(F.width_bucket(F.col(key).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(buckets)))
+    ranged = df.withColumn("range_", bucket.cast("int"))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(key)) - 1
+    placed = ranged.join(F.broadcast(bases), "range_")
+    return placed.withColumn("position", (F.col("base_") + own).cast("long")).withColumn("batch", F.floor(F.col("position") / size)).drop("range_", "base_")
 
 
 def first_unprocessed(df: DataFrame, limit: int) -> DataFrame:
