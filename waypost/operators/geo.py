@@ -82,7 +82,7 @@ def nearest_city(df: DataFrame, cities: DataFrame, cell: float = 1.0) -> DataFra
         if last:
             break
         rest = rest.join(sure.select("place_id"), "place_id", "left_anti")
-        if spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.getCheckpointDir():
             rest = rest.checkpoint()
         if rest.isEmpty():
             break
