@@ -170,11 +170,11 @@ def _block_links(percent: int):
 
 def _across(open_: DataFrame, sets: DataFrame, percent: int, few: int, block: int) -> DataFrame:
     """Links (a, b) between components that meet in a bucket; ``open_`` has key, rep, n, component, main."""
-    hubs = open_.groupBy("component").agg(F.max(F.struct("main_size", "main")).alias("h")).select("component", F.col("h.main").alias("family"))
+    hubs = stored(open_.groupBy("component").agg(F.max(F.struct("main_size", "main")).alias("h")).select("component", F.col("h.main").alias("family")), "hubs")
     placed = stored(open_.select("key", "rep", "n", "component").join(hubs, "component"), "families")
     kin = placed.select("rep", "n", "component", "family").distinct().withColumn("outside", F.col("component") != F.col("family"))
     sizes = kin.groupBy("family").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")).filter("outsiders > 0")
-    kin = stored(kin.join(sizes, "family"), "kin")
+    kin = stored(kin.join(stored(sizes, "sizes"), "family"), "kin")
 
     # pair by pair: few outsiders, and members of different families
     of = lambda df, *more: df.select(*more, F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"))
@@ -214,17 +214,19 @@ def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int
 
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     centres = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(spread.join(centres, "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")), "members")
+    members = stored(spread.join(stored(centres, "centres"), "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"), "sets")
 
     pairs = members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
-    placed = members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    volume = placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume"))
+    placed = stored(members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    # what is joined is written first: a join of bare exchanges can be split by Spark where a key is hot
+    volume = stored(placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")), "volumes")
     placed = stored(placed.join(volume, "component"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("volume", "component")).alias("top")).filter("low < high")
-    open_ = placed.join(mixed.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "key")
+    mixed = stored(mixed.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "mixed")
+    open_ = placed.join(mixed, "key")
     merged = components(_across(open_, sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
 
     named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
