@@ -31,8 +31,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often, and as far, as the mix of their sources takes them."""
-    return mixing.mixed(docs)
+    """Whole documents, each as often as the mix of their sources takes it."""
+    return mixing.mixed(docs, whole=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,3 +139,23 @@ def test_mixed_rows_carry_what_is_taken(spark):
         got[r.doc_id] += len(words(r.text))
     assert dict(got) == want
     assert zlib.crc32(b"") == 0
+
+
+def test_no_mixed_text_is_a_beginning(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(40 + i % 60))) for i in range(300)]
+    docs = table(spark, [*rows, (None, "a b c"), (None, "d e f g"), (7, "again again"), (900, None)])
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    kept = mixing.mixed(docs, whole=True).collect()
+    copies = Counter((r.doc_id, r.text) for r in kept)
+    assert set(copies) <= set(texts) and all(c <= 2 for c in copies.values())
+    assert len({r.doc_id for r in kept}) < 300 and max(copies.values()) == 2
+    taken, got, longest = Counter(), Counter(), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r.size)
+    for r in kept:
+        got[r.source] += len(words(r.text))
+    assert all(abs(got[s] - taken[s]) <= longest[s] + 16 for s in taken)
+    cut = [r for r in mixing.mixed(docs).collect() if (r.doc_id, r.text) not in texts]
+    assert cut and any(not (dict(rows)[r.doc_id] + " ").startswith(r.text + " ") for r in cut)
+    assert mixing.mixed(empty(spark), whole=True).count() == 0

@@ -79,9 +79,15 @@ def sainte_lague(items: DataFrame, group: list[str], item: str, votes: str, seat
     return joined.withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("share", "reach", "low", "high", "open", "won")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: int = 2, block_words: int = 4, shard_docs: int = 20_000, seed: int = 17) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: int = 2, block_words: int = 4, shard_docs: int = 20_000, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` doc_id, the columns ``keep``, source, sizes and target, and its place in the draw.
+
+    The place: the row's words are ``a`` to ``b`` of its shard, which has
+    ``words`` words and ``n`` blocks, of which ``q`` are drawn from ``u`` on;
+    ``nth`` counts the shard's rows that have words by size.
+    """
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size, *keep)
     sized = stored(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     aimed = targets(sums.drop("rows"), weights, ratio, cap)
@@ -96,41 +102,65 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.
     shards = placed.groupBy("position", "shard").agg(F.sum("size").alias("words"), F.max("quota").alias("seats")).withColumn("votes", F.col("words").cast("double"))
     shards = sainte_lague(shards, ["position"], "shard", "votes", "seats")
     n = F.ceil(F.col("words") / block_words).cast("long")
-    shards = shards.select("position", "shard", n.alias("n"), F.least(F.col("quota"), n * cap).alias("q"))
+    shards = shards.select("position", "shard", "words", n.alias("n"), F.least(F.col("quota"), n * cap).alias("q"))
     shards = shards.withColumn("u", F.when(F.col("n") > 0, F.pmod(_draw(F.lit(seed), F.lit("start"), F.col("position"), F.col("shard")), F.col("n"))))
     shards = stored(shards, "shards")
 
-    order = Window.partitionBy("position", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string"))), "doc_id", "size")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string")))
+    order = Window.partitionBy("position", "shard").orderBy(key, "doc_id", "size")
     start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_size = Window.partitionBy("position", "shard").orderBy("size", key, "doc_id")
     placed = placed.withColumn("a", start).withColumn("b", F.col("a") + F.col("size"))
-    ready = placed.join(shards, ["position", "shard"])
+    placed = placed.withColumn("nth", F.sum((F.col("size") > 0).cast("long")).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return placed.join(shards, ["position", "shard"])
+
+
+def mix(docs: DataFrame, block_words: int = 4, **options) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken."""
     taken = F.expr(f"{_taken('b', block_words)} - {_taken('a', block_words)}")
-    return ready.select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return _placed(docs, block_words=block_words, **options).select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+
+
+def _times(j: str) -> str:
+    """SQL: how many blocks before a shard's block ``j`` are drawn."""
+    return f"((({j}) * q + u) div nullif(n, 0))"
 
 
 def _taken(t: str, b: int) -> str:
     """SQL: words drawn from a shard's first ``t``; block j is drawn ((j + 1) q + u) div n - (j q + u) div n times."""
-    drawn = lambda j: f"(({j}) * q + u) div nullif(n, 0)"
-    return f"({b} * ({drawn(f'{t} div {b}')}) + ({t} % {b}) * (({drawn(f'{t} div {b} + 1')}) - ({drawn(f'{t} div {b}')})))"
+    return f"({b} * {_times(f'{t} div {b}')} + ({t} % {b}) * ({_times(f'{t} div {b} + 1')} - {_times(f'{t} div {b}')}))"
+
 
+def mixed(docs: DataFrame, whole: bool = False, cap: int = 2, block_words: int = 4, **options) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, one row a copy; what is never taken is left out.
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them.
+    With ``whole`` the draw takes whole documents and no text is changed. A
+    shard that gives the share r of its words gives each document r times,
+    rounded up or down by a seeded systematic draw over its documents by size,
+    so its words differ from what ``mix`` takes by less than its longest
+    document has and four blocks.
 
-    A document that the mix takes once and a half comes once whole and once cut
-    to the first half of its words, as rows with the same doc_id; n_chars, where
-    there is such a column, follows the cut. Documents of which nothing is taken
-    are left out. Rows that share a doc_id share what is taken by their sizes.
+    Without it a copy holds the words of the blocks that ``mix`` has drawn at
+    least that often, wherever they lie; n_chars, where there is such a
+    column, follows.
     """
-    took = mix(docs, **options).groupBy("doc_id").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("rate_")).filter("rate_ > 0")
-    joined = docs.join(took.withColumnRenamed("doc_id", "id_"), docs["doc_id"].eqNullSafe(F.col("id_")))
-    words = F.regexp_count("text", F.lit(WORD)).cast("long")
-    sized = joined.select(*docs.columns, words.alias("size_"), F.round(F.col("rate_") * words).cast("long").alias("take_")).filter("take_ > 0")
-    copies = sized.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("take_") / F.col("size_")))))
-    rest = F.col("take_") - (F.col("copy_") - 1) * F.col("size_")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.least(rest, F.col("size_")).cast("int")), " ")
-    copies = copies.withColumn("text", F.when(rest >= F.col("size_"), F.col("text")).otherwise(cut))
+    rows = stored(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    placed = _placed(rows, cap=cap, block_words=block_words, keep=("row_",), **options)
+    if whole:
+        rate = F.least(F.lit(float(cap)), F.col("q") * float(block_words) / F.col("words"))
+        drawn = lambda nth: F.floor(nth * rate + F.col("u") / F.col("n"))
+        chosen = placed.filter("size > 0").select("row_", (drawn(F.col("nth")) - drawn(F.col("nth") - 1)).cast("int").alias("copies_")).filter("copies_ > 0")
+        return rows.join(chosen, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select(*docs.columns)
+    chosen = placed.filter(f"size > 0 and {_taken('b', block_words)} > {_taken('a', block_words)}").select("row_", "size", "a", "n", "q", "u")
+    chosen = chosen.withColumnsRenamed({c: f"{c}_" for c in ("size", "a", "n", "q", "u")})
+    copies = rows.join(chosen, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("q_") / F.col("n_")))))
+    before = lambda j: F.floor((j * F.col("q_") + F.col("u_")) / F.col("n_"))
+    block = lambda i: F.floor((F.col("a_") + i) / block_words)
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    copies = copies.withColumn("words_", F.filter(words, lambda _, i: before(block(i) + 1) - before(block(i)) >= F.col("copy_"))).filter("size(words_) > 0")
+    uncut = F.size("words_") == F.col("size_")
+    copies = copies.withColumn("text", F.when(uncut, F.col("text")).otherwise(F.array_join("words_", " ")))
     if "n_chars" in docs.columns:
-        whole = F.col("n_chars").cast(docs.schema["n_chars"].dataType)
-        copies = copies.withColumn("n_chars", F.when(rest >= F.col("size_"), whole).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        kind = docs.schema["n_chars"].dataType
+        copies = copies.withColumn("n_chars", F.when(uncut, F.col("n_chars").cast(kind)).otherwise(F.length("text").cast(kind)))
     return copies.select(*docs.columns)
