@@ -30,6 +30,17 @@ def test_style_tree_drops_what_repeats(spark):
     assert got[50].startswith("Welcome") and got[51].startswith("Welcome")
 
 
+@pytest.mark.parametrize("body", ["<article class='post tag-politics'><p>{long}</p></article>", "<div class='content no-sidebar'><p>{long}</p></div>", "<main class='comments-open'><p>{long}</p></main>", "<article class='related'><p>{long}</p></article>", "<div class='sidebar'><nav>menu {i}</nav><article><p>{long}</p></article></div>"])
+def test_hints_are_whole_names_and_yield_to_articles(body):
+    html = body.replace("{long}", "story")
+    assert [t for _, role, t in html_text.blocks(html) if role in (1, 2)] == ["story"]
+
+
+def test_headlines_in_articles_stay():
+    html = "<article><header class='entry-header'><h1 class='post-header'>Head</h1></header><p>a</p><div class='share-buttons'>share</div></article><div class='site-header'>Site</div><div class='comment-list'><article class='comment'>c</article></div>"
+    assert [(role, t) for _, role, t in html_text.blocks(html)] == [(2, "Head"), (2, "a"), (3, "share"), (3, "Site"), (3, "c")]
+
+
 def test_copied_articles_stay(spark):
     rows = [(i, f"http://h/{i}", "<article><p>Same story.</p></article>") for i in range(6)]
     assert {r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same story."}

@@ -45,46 +45,63 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template iframe svg math object canvas audio video title textarea".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _BOILERPLATE = frozenset("head nav aside footer form menu button select dialog search".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_HINT = re.compile(r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|widget|login|signup|search|skip|tags?|toc|hidden)$")
+_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog hidden".split())
+_HINT = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|widget|login|signup|search|skip|tags?|toc|hidden)")
+#: Parts that leave a name made of hints what it is: site-header, share-buttons, left-sidebar.
+_NEUTRAL = frozenset("area bar block bottom box button buttons column container desktop global inner js left link links list mobile outer panel posts primary right secondary section site top wrap wrapper".split())
 _MAIN = re.compile(r"^(?:article|articlebody|main)$")
 _PART = re.compile(r"[^a-z0-9]+")
 
 
-def _attributes(text: str) -> tuple[str, set[str], str]:
-    """(class and id without digits, their tokens, role) of a tag's attribute text."""
+def _hints(name: str) -> bool:
+    """Whether a class or id as a whole names boilerplate: each part does, but for neutral ones."""
+    parts = [x for x in _PART.split(name) if x and not x.isdigit() and x not in _NEUTRAL]
+    return bool(parts) and all(map(_HINT.fullmatch, parts))
+
+
+def _attributes(text: str) -> tuple[str, set[str], str, bool]:
+    """(class and id without digits, their tokens, role, whether one of them is a hint) of a tag's attribute text."""
     if not text or text.isspace():
-        return "", set(), ""
+        return "", set(), "", False
     names, role = [], ""
     for name, *values in _ATTRIBUTE.findall(text):
         value = (values[0] or values[1] or values[2]).lower()
         name = name.lower()
         if name == "role":
-            role = value
+            role = role if role == "hidden" else value
         elif name == "itemprop":
             role = role or ("main" if value == "articlebody" else "")
         elif name in ("hidden", "aria-hidden"):
-            names += ["hidden"] if name == "hidden" or value == "true" else []
+            role = "hidden" if name == "hidden" or value == "true" else role
         else:
             names += value.split()
     tokens = set(names) | {part for x in names for part in _PART.split(x)}
-    return ".".join(re.sub(r"\d+", "", x) for x in names), tokens, role
+    return ".".join(re.sub(r"\d+", "", x) for x in names), tokens, role, any(map(_hints, names))
 
 
 def blocks(html: str) -> list[tuple[str, int, str]]:
-    """(path, role, text) of each text block: role 0 is declared boilerplate, 2 inside an article, 1 neither."""
-    out: list[tuple[str, int, str]] = []
+    """(path, role, text) of each text block.
+
+    Role 0 is boilerplate by element or role attribute, 3 by class or id only,
+    2 inside an article, 1 none of these. An article or main isn't boilerplate
+    by class or id, nor is what it stands in, unless both say so.
+    """
+    out: list[tuple[tuple, str]] = []
     text: list[str] = []
-    # (tag, path, declared boilerplate, within an article)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # (tag, path, declared boilerplate, within an article, numbers of the elements around that are hinted boilerplate)
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
     place = stack[0]
+    overruled: set[int] = set()
+
+    def role_of(entry: tuple) -> int:
+        return 0 if entry[2] else 3 if not overruled.issuperset(entry[4]) else 2 if entry[3] else 1
 
     def flush() -> None:
         if text:
             whole = " ".join(unescape("".join(text)).split())
             text.clear()
             if whole:
-                out.append((place[1], 0 if place[2] else 2 if place[3] else 1, whole))
+                out.append((place, whole))
 
     at, end = 0, len(html)
     while at < end:
@@ -136,27 +153,33 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
                     break
                 if stack[i][0] in ("div", "ul", "ol", "table", "section", "article", "body"):
                     break
-        label, tokens, role = _attributes(m[3])
-        _, path, declared, inside = stack[-1]
-        main = tag in ("article", "main") or role == "main" or any(map(_MAIN.match, tokens))
-        told = tag in _BOILERPLATE or role in _ROLES or (tag == "header" and not inside) or any(map(_HINT.match, tokens))
+        label, tokens, role, hinted = _attributes(m[3])
+        _, path, declared, inside, hints = stack[-1]
+        firm = tag in ("article", "main") or role == "main"
+        main = firm or any(map(_MAIN.match, tokens))
+        told = tag in _BOILERPLATE or role in _ROLES or (tag == "header" and not inside)
         if tag in ("html", "body"):
-            main = told = False
-        entry = (tag, f"{path}/{tag}.{label}" if tag in _BLOCK else path, declared or told, inside or (main and not declared and not told))
+            main = told = hinted = firm = False
+        if firm and not inside and not (hinted and hints):
+            hinted = False
+            if not declared and not told:
+                overruled.update(hints)
+        here = (*hints, at) if hinted else hints
+        entry = (tag, f"{path}/{tag}.{label}" if tag in _BLOCK else path, declared or told, inside or (main and not hinted and not declared and not told), here)
         stack.append(entry)
         if tag in _BLOCK:
             place = entry
-        elif entry[2] and not declared:  # an inline element that declares itself is a block of its own
+        elif (entry[2] and not declared) or hinted:  # an inline element that declares itself is a block of its own
             flush()
     flush()
-    return out
+    return [(entry[1], role_of(entry), whole) for entry, whole in out]
 
 
 def _number(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("role", pa.int8()), ("feature", pa.int64()), ("text", pa.string())]))
+_BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("role", pa.int8()), ("feature", pa.int64()), ("words", pa.int32()), ("text", pa.string())]))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +187,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, landmarks = [], []
         for html in W.column(batch, "html").to_pylist():
             found = blocks(html or "")
-            rows.append([{"path": _number(p), "role": r, "feature": _number(t), "text": t} for p, r, t in found])
+            rows.append([{"path": _number(p), "role": r, "feature": _number(t), "words": t.count(" ") + 1, "text": t} for p, r, t in found])
             landmarks.append(any(r == 2 for _, r, _ in found))
         yield pa.RecordBatch.from_arrays([W.column(batch, "page_id"), W.column(batch, "url"), W.column(batch, "host"), pa.array(landmarks), pa.array(rows, _BLOCKS)], names=["page_id", "url", "host", "landmark", "blocks"])
 
@@ -189,12 +212,12 @@ def main_text(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text."""
     host = F.lower(F.nullif(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, host string, landmark boolean, blocks array<struct<path: long, role: tinyint, feature: long, text: string>>"
+    schema = "page_id long, url string, host string, landmark boolean, blocks array<struct<path: long, role: tinyint, feature: long, words: int, text: string>>"
     parsed = stored(rows.mapInArrow(_parse, schema), "blocks")
     low = importance(parsed).filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low"))
     low = stored(low, "low").withColumnRenamed("host", "h")
     told = parsed.join(low, parsed["host"] == low["h"], "left")
-    weight = lambda x: F.when(x["role"] == 0, DECLARED).when((x["role"] == 1) & F.col("landmark"), DECLARED).otherwise(1.0)
+    weight = lambda x: F.when(x["role"].isin(0, 3), DECLARED).when((x["role"] == 1) & F.col("landmark"), DECLARED).otherwise(1.0)
     floor = lambda x: F.when(x["role"] == 2, FLOOR).otherwise(0.0)
     known_low = lambda x: F.coalesce(F.array_contains("low", x["path"]), F.lit(False))
     kept = F.filter("blocks", lambda x: (floor(x) >= threshold) | ((weight(x) >= threshold) & ~known_low(x)))
