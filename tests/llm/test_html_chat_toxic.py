@@ -30,6 +30,20 @@ def test_style_tree_drops_what_repeats(spark):
     assert got[50].startswith("Welcome") and got[51].startswith("Welcome")
 
 
+def texts_of(spark, body, n=20):
+    long = lambda i, k: " ".join(f"word{i}x{k}x{j}" for j in range(60))
+    rows = [(i, f"http://h/{i}", body.replace("{i}", str(i)).replace("{long}", long(i, 0)).replace("{other}", long(i, 1))) for i in range(n)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return got[3].replace(long(3, 0), "LONG").replace(long(3, 1), "OTHER")
+
+
+def test_style_tree_overrules_the_mark_up_both_ways(spark):
+    teaser = '<article class="card"><h3>Teaser {i}</h3></article><div class="text"><p>{long}</p></div><div class="date">today {i}</div>'
+    assert texts_of(spark, teaser) == "Teaser 3\nLONG"
+    assert texts_of(spark, '<article><p>{long}</p><div class="box9">Read our magazine every week</div></article>') == "LONG"
+    assert texts_of(spark, '<div class="widget"><p>{long}</p></div><div class="widget">more {i}</div>') == "LONG"
+
+
 @pytest.mark.parametrize("body", ["<article class='post tag-politics'><p>{long}</p></article>", "<div class='content no-sidebar'><p>{long}</p></div>", "<main class='comments-open'><p>{long}</p></main>", "<article class='related'><p>{long}</p></article>", "<div class='sidebar'><nav>menu {i}</nav><article><p>{long}</p></article></div>"])
 def test_hints_are_whole_names_and_yield_to_articles(body):
     html = body.replace("{long}", "story")

@@ -10,11 +10,20 @@ shapes make its presentation important. A block whose node's importance is
 below ``threshold`` goes.
 
 Entropy alone can't tell a menu whose links differ on every page from an
-article, nor an article that is copied on many pages from a notice. So
-importance is weighed by what the mark-up says: elements that declare
-themselves menus, headers, footers, sidebars, notices, adverts, forms or
-comments weigh ``DECLARED``, and so does all outside of a declared article;
-what is inside one and isn't declared otherwise never falls below ``FLOOR``.
+article, nor an article that is copied on many pages from a notice. So the
+mark-up gives a prior and importance the evidence, and either can tip a block:
+
+* Against a block speak elements that declare themselves menus, headers,
+  footers, sidebars, notices, adverts, forms or comments, by element or role
+  or, weaker, by a whole class or id; and, weakest, that it lies outside of
+  the page's article. Importance times words / (words + ``SHORT``), with the
+  node's mean words a block, is the evidence; times ``PRIOR`` it must reach
+  ``threshold``. So long texts that differ from page to page stay.
+* For a block speaks that it lies in an article: then it goes only if its
+  node's importance is below ``threshold`` even with ``DOUBT`` pages more that
+  speak for it, and other nodes of the page's article aren't as low. So what
+  an article repeats on all pages of a host goes, and a copied article stays.
+* With no article on the page and nothing declared importance decides alone.
 
 Edge cases: null and empty html, and pages of which nothing is left, give an
 empty text. Pages without a host are judged on their own; a node on a single
@@ -37,7 +46,13 @@ from pyspark.sql import functions as F
 from waypost.llm import words as W
 from waypost.llm.shared import stored
 
-DECLARED, FLOOR = 0.1, 0.5
+#: What mark-up against a block leaves of its evidence: by element; by class or id, with and without an article on
+#: the page; outside of the page's article.
+PRIOR = (0.24, 0.26, 0.3, 0.4)
+#: Words a block at which evidence against the mark-up counts half.
+SHORT = 8
+#: Pages that speak for a node of an article beforehand.
+DOUBT = 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<]*\Z|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -193,19 +208,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(parsed: DataFrame) -> DataFrame:
-    """(host, path, importance) of the nodes that more than one page of a host has."""
+    """(host, path, pages, words a block, importance) of the nodes that more than one page of a host has."""
     each = parsed.filter("host is not null").withColumn("page", F.monotonically_increasing_id()).select("host", "page", F.explode("blocks").alias("x"))
-    rows = each.select("host", "page", "x.path", "x.feature")
-    in_page = rows.groupBy("host", "path", "page", "feature").agg(F.count("*").alias("k"))
-    shapes = in_page.groupBy("host", "path", "page").agg(F.sum("k").alias("k")).groupBy("host", "path", "k").agg(F.count("*").alias("n"))
-    shape = shapes.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nln")).filter("m > 1")
+    rows = each.select("host", "page", "x.path", "x.feature", "x.words")
+    in_page = rows.groupBy("host", "path", "page", "feature").agg(F.count("*").alias("k"), F.sum("words").alias("words"))
+    shapes = in_page.groupBy("host", "path", "page").agg(F.sum("k").alias("k"), F.sum("words").alias("words")).groupBy("host", "path", "k").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    shape = shapes.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nln"), (F.sum("words") / F.sum(F.col("n") * F.col("k"))).alias("words")).filter("m > 1")
     # -sum(n/m ln(n/m)) / ln m over the shapes
     presentation = (F.ln("m") - F.col("nln") / F.col("m")) / F.ln("m")
     texts = in_page.groupBy("host", "path", "feature").agg(F.count("*").alias("df"))
     content = texts.groupBy("host", "path").agg(F.avg(F.ln("df")).alias("mean_ln_df"))
     both = shape.join(content, ["host", "path"])
     value = 0.9 * (1 - F.col("mean_ln_df") / F.ln("m")) + 0.1 * presentation
-    return both.select("host", "path", value.alias("importance"))
+    return both.select("host", "path", F.col("m").alias("pages"), "words", value.alias("importance"))
 
 
 def main_text(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -214,11 +229,20 @@ def main_text(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     schema = "page_id long, url string, host string, landmark boolean, blocks array<struct<path: long, role: tinyint, feature: long, words: int, text: string>>"
     parsed = stored(rows.mapInArrow(_parse, schema), "blocks")
-    low = importance(parsed).filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low"))
-    low = stored(low, "low").withColumnRenamed("host", "h")
-    told = parsed.join(low, parsed["host"] == low["h"], "left")
-    weight = lambda x: F.when(x["role"].isin(0, 3), DECLARED).when((x["role"] == 1) & F.col("landmark"), DECLARED).otherwise(1.0)
-    floor = lambda x: F.when(x["role"] == 2, FLOOR).otherwise(0.0)
-    known_low = lambda x: F.coalesce(F.array_contains("low", x["path"]), F.lit(False))
-    kept = F.filter("blocks", lambda x: (floor(x) >= threshold) | ((weight(x) >= threshold) & ~known_low(x)))
-    return told.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
+    nodes = importance(parsed).withColumn("evidence", F.col("importance") * F.col("words") / (F.col("words") + SHORT))
+    nodes = nodes.withColumn("faded", (F.col("importance") * F.col("pages") + DOUBT) / (F.col("pages") + DOUBT) < threshold)
+    # other nodes leave all decisions to the mark-up
+    telling = nodes.filter(F.col("faded") | (F.col("importance") < threshold) | (F.col("evidence") * max(PRIOR) >= threshold))
+    tree = telling.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("importance", "evidence", "faded")))).alias("tree"))
+    tree = stored(tree, "tree").withColumnRenamed("host", "h")
+    told = parsed.join(tree, parsed["host"] == tree["h"], "left")
+    node = lambda x: F.try_element_at("tree", x["path"])
+    known = lambda x, name, otherwise: F.coalesce(node(x)[name], F.lit(otherwise))
+    faded = lambda x: known(x, "faded", False)
+    lively = F.exists("blocks", lambda x: (x["role"] == 2) & ~faded(x))
+    prior = lambda x: F.when(x["role"] == 0, PRIOR[0]).when(x["role"] == 3, F.when(F.col("landmark"), PRIOR[1]).otherwise(PRIOR[2])).otherwise(PRIOR[3])
+    article = lambda x: (x["role"] == 2) & ~(F.col("lively") & faded(x))
+    free = lambda x: (x["role"] == 1) & ~F.col("landmark") & (known(x, "importance", 1.0) >= threshold)
+    against = lambda x: (x["role"] != 2) & ((x["role"] != 1) | F.col("landmark")) & (prior(x) * known(x, "evidence", 0.0) >= threshold)
+    kept = F.filter("blocks", lambda x: article(x) | free(x) | against(x))
+    return told.withColumn("lively", lively).select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
