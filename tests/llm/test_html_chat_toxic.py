@@ -135,6 +135,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.predicted for r in got if r.doc_id in (5000, 5001)} == {0}
 
 
+def test_toxicity_counts_all_grams_at_any_size(spark):
+    rows, labels = abusive(n=300)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = table(spark, [*rows, (5000, None), (5001, ""), (5002, "zzzyx idiot")])
+    small, large = ({r.doc_id: r.score for r in toxicity.score(docs, labels, max_grams=n).collect()} for n in (2_000_000, 100))
+    assert large == pytest.approx(small, abs=1e-3)
+    assert len(toxicity.train(docs, labels).grams) == len(toxicity.train(docs, labels, max_rows=20).grams)
+
+
 def test_held_out_labels_are_never_read(spark):
     import zlib
 

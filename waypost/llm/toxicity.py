@@ -12,10 +12,12 @@ over the strongest 1, 3, 8 and 20, so a long text doesn't dilute a short
 abuse. A logistic curve over these means, fitted on labelled rows that the
 counts haven't seen, gives the score.
 
-Learning takes at most about ``max_rows`` labelled rows of each class (chosen
-by a hash of doc_id; the default takes all in the given tables) and keeps at
-most ``max_grams`` grams, so the broadcast model is bounded. Scoring is one
-pass over whole texts without a shuffle.
+The counts take every labelled row outside fold 2 and every gram. Up to
+``max_grams`` grams the model is broadcast, and scoring is one pass over whole
+texts without a shuffle. Beyond that it is worked out and kept as tables, and
+the distinct words of the texts meet it in joins; the scores are the same.
+Only the curve of six weights is fitted on at most about ``max_rows`` rows of
+each class, chosen by a hash of doc_id.
 
 Edge cases: null, empty and wordless texts have no evidence and get the score
 of zero evidence. Rows that repeat a doc_id are each scored; repeated labels
@@ -200,15 +202,17 @@ class Model:
             out[:, i] = total(k) / k
         return out
 
-    def fit(self, features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
-        self.centre, self.spread = features.mean(axis=0), features.std(axis=0) + 1e-9
-        self.weights = logistic((features - self.centre) / self.spread, toxic, weight)
-
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = ((features - self.centre) / self.spread) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def fitted(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, spread and logistic weights of the curve over ``features``."""
+    centre, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
+    return centre, spread, logistic((features - centre) / spread, toxic, weight)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Weights of a logistic curve (the last is the constant) by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -239,20 +243,86 @@ def _counted(rows: DataFrame) -> DataFrame:
     return stored(summed, "grams")
 
 
-def _model(counts: DataFrame, max_grams: int) -> Model | None:
-    """A model of the grams that occur often enough for at most ``max_grams`` of them; None unless both classes have some."""
-    least = 1
-    while counts.filter(F.col("toxic") + F.col("ordinary") >= least).count() > max_grams:
-        least *= 2
-    found = counts.filter(F.col("toxic") + F.col("ordinary") >= least).toArrow()
+class Tables:
+    """Evidence of grams and contexts as tables, for models beyond a broadcast; the numbers are those of ``Model``."""
+
+    def __init__(self, counts: DataFrame, toxic: int, ordinary: int):
+        below = None
+        for order in range(1, ORDER):
+            longer = counts.select(F.col("gram").bitwiseAND(_mask(order + 1)).alias("gram")).distinct()
+            keyed = stored(longer.groupBy(F.col("gram").bitwiseAND(_mask(order)).alias("key")).agg(F.count("*").alias("count")), "keys")
+            once, twice = keyed.agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
+            d = once / (once + 2 * twice) if once else 0.5
+            keyed = keyed.withColumn("context", F.shiftright("key", 8))
+            sums = stored(keyed.groupBy("context").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")), "contexts")
+            keyed = keyed.join(sums, "context").withColumn("shorter", F.col("key").bitwiseAND(_mask(order - 1)))
+            keyed = keyed.withColumn("lower", F.lit(1 / 256)) if below is None else keyed.join(below.withColumnsRenamed({"key": "shorter", "below": "lower"}), "shorter")
+            value = F.greatest(F.col("count") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("lower")
+            below = stored(keyed.select("key", value.alias("below")), "below")
+        smaller = min(toxic, ordinary)
+        counted = counts.select("gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(_mask(ORDER - 1)).alias("key"), (F.col("toxic") * (smaller / toxic)).alias("toxic"), (F.col("ordinary") * (smaller / ordinary)).alias("ordinary"))
+        over = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+        total = lambda c: F.greatest(F.sum(c), F.lit(1e-9))
+        rest = lambda c: F.least(F.greatest(1 - F.sum(over(c)) / total(c), F.lit(1e-6)), F.lit(1.0))
+        both = ("toxic", "ordinary")
+        sums = stored(counted.groupBy("context").agg(*[total(c).alias(f"{c}_total") for c in both], *[rest(c).alias(f"{c}_rest") for c in both]), "contexts")
+        log = lambda c: F.ln(over(c) / F.col(f"{c}_total") + F.col(f"{c}_rest") * F.col("below"))
+        self.grams = stored(counted.join(sums, "context").join(below, "key").select("gram", (log("toxic") - log("ordinary")).alias("evidence")), "evidence")
+        self.contexts = sums.select("context", (F.ln("toxic_rest") - F.ln("ordinary_rest")).alias("unseen"))
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (text and more) with ``x``, the features of ``Model``."""
+        rows = stored(rows.withColumn("row_", F.monotonically_increasing_id()), "rows")
+        words = rows.select("text").mapInArrow(_word_grams, "word long, grams array<long>").groupBy("word").agg(F.first("grams").alias("grams"))
+        grams = words.select("word", F.explode("grams").alias("gram")).withColumn("context", F.shiftright("gram", 8))
+        met = grams.join(self.grams, "gram", "left").join(self.contexts, "context", "left")
+        value = stored(met.groupBy("word").agg(F.sum(F.coalesce("evidence", "unseen", F.lit(0.0))).alias("value")), "words")
+        own = stored(rows.select("row_", "text").mapInArrow(_row_words, "row_ long, word long"), "row-words")
+        own = own.join(value, "word").groupBy("row_").agg(F.avg("value").alias("mean"), F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, max(BEST)).alias("best"))
+        best = [F.aggregate(F.slice("best", 1, k), F.lit(0.0), lambda t, v: t + v) / k for k in BEST]
+        zero = F.array(*[F.lit(0.0)] * (1 + len(BEST)))
+        return rows.join(own.select("row_", F.array("mean", *best).alias("x")), "row_", "left").withColumn("x", F.coalesce("x", zero)).drop("row_", "text")
+
+
+def _mask(n: int) -> int:
+    return (1 << (8 * n)) - 1
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of the texts of a batch with the grams of their spelling."""
+    for batch in W.small(batches):
+        words = W.words_of(W.column(batch, "text"), W.ALNUM, fold=True)
+        if len(words.start):
+            grams, offsets, _ = _spellings(words)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.hashes()).view(np.int64)), lists], names=["word", "grams"])
+
+
+def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text."""
+    for batch in W.small(batches):
+        words = W.words_of(W.column(batch, "text"), W.ALNUM, fold=True)
+        if len(words.start):
+            known, number = np.unique(words.hashes(), return_inverse=True)
+            once = _once(words.text, number, len(known))
+            rows = W.column(batch, "row_").to_numpy()[words.text[once]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(known[number[once]].view(np.int64))], names=["row_", "word"])
+
+
+def _model(counts: DataFrame, max_grams: int) -> Model | Tables | None:
+    """A model of all grams, as tables if there are more than ``max_grams``; None unless both classes have some."""
+    size = counts.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
+    if not size.toxic or not size.ordinary:
+        return None
+    if size.n > max_grams:
+        return Tables(counts, size.toxic, size.ordinary)
+    found = counts.toArrow()
     gram, toxic, ordinary = (found[name].to_numpy() for name in ("gram", "toxic", "ordinary"))
     del found
-    if not toxic.sum() or not ordinary.sum():
-        return None
     return Model(gram.view(U64), toxic, ordinary)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams: int = 2_000_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams: int = 2_000_000) -> Model | Tables | None:
     """The model of the labelled rows outside fold 2; None unless both classes occur.
 
     The logistic curve is fitted on fold 3 by a model that counts folds 0 and 1
@@ -266,9 +336,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams:
         return None
     share = {k: min(1.0, max_rows / n) for k, n in sizes.items()}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < F.when(F.col("toxic"), share[True] * (1 << 30)).otherwise(share[False] * (1 << 30))
-    # at most about 2 * max_rows short rows, so they may be broadcast
-    drawn_rows = F.broadcast(known.filter(drawn))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(drawn_rows, "doc_id")
+    # a row a labelled document, so Spark may broadcast them while they are few
+    known = stored(known.withColumn("drawn", drawn), "labels")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    rows = stored(rows, "labelled")
     first, last = _counted(rows.filter("part <> 3")), _counted(rows.filter("part = 3"))
     both = stored(first.unionByName(last).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     # one model after the other, as the driver holds them
@@ -278,9 +349,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams:
         return None
 
     def featured(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        held = spark.sparkContext.broadcast(model)
-        found = df.select("text", "toxic").mapInArrow(_featured(held), "toxic boolean, x array<double>").toArrow()
-        held.unpersist()
+        df = df.filter("drawn").select("text", "toxic")
+        if isinstance(model, Tables):
+            found = model.features(df).toArrow()
+        else:
+            held = spark.sparkContext.broadcast(model)
+            found = df.mapInArrow(_featured(held), "toxic boolean, x array<double>").toArrow()
+            held.unpersist()
         x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return x.reshape(found.num_rows, 1 + len(BEST)), found["toxic"].to_numpy().astype(bool)
 
@@ -288,8 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams:
     if toxic.all() or not toxic.any():
         x, toxic = featured(rows)
     weight = np.where(toxic, 1 / share[True], 1 / share[False])
-    model.fit(x, toxic.astype(float), weight / weight.mean())
-    curve = model.centre, model.spread, model.weights
+    curve = fitted(x, toxic.astype(float), weight / weight.mean())
     if early is not None:
         early = None
         model = _model(both, max_grams) or model
@@ -297,27 +371,39 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams:
     return model
 
 
-def _scored(model):
+def _scored(model, keep=()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
             x = model.value.features(W.column(batch, "text"))
-            arrays = [W.column(batch, "doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(model.value.scores(x))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mean_evidence", "top_evidence", "score"])
+            arrays = [*(W.column(batch, c) for c in ("doc_id", *keep)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(model.value.scores(x))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *keep, "mean_evidence", "top_evidence", "score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted, and the two evidences."""
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = (), **options) -> DataFrame:
     model = train(docs, labels, **options)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     if model is None:
         zero = F.lit(0.0)
-        scored = rows.select("doc_id", zero.alias("mean_evidence"), zero.alias("top_evidence"), zero.alias("score"))
+        scored = rows.select("doc_id", *keep, zero.alias("mean_evidence"), zero.alias("top_evidence"), zero.alias("score"))
+    elif isinstance(model, Tables):
+        scored = model.features(rows)
+        z = F.lit(float(model.weights[-1]))
+        for i, w in enumerate(model.weights[:-1]):
+            z = z + (F.col("x")[i] - float(model.centre[i])) / float(model.spread[i]) * float(w)
+        z = F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))
+        scored = scored.select("doc_id", *keep, F.col("x")[0].alias("mean_evidence"), F.col("x")[1].alias("top_evidence"), (1 / (1 + F.exp(-z))).alias("score"))
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
-        scored = rows.mapInArrow(_scored(held), "doc_id long, mean_evidence double, top_evidence double, score double")
-    return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_evidence", "top_evidence")
+        kept = "".join(f"{c} long, " for c in keep)
+        scored = rows.mapInArrow(_scored(held, keep), f"doc_id long, {kept}mean_evidence double, top_evidence double, score double")
+    return scored.select("doc_id", *keep, F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_evidence", "top_evidence")
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted, and the two evidences."""
+    return _judged(docs, labels, threshold, **options)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
