@@ -16,3 +16,11 @@ def test_matches_oracle(name, spark, duck):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(name, spark):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("choice", ["by_default", "by_name", "free_first", "by_rating", "by_distance"])
+def test_sort_choices_rank_all_places(choice, spark):
+    from waypost.sources.places import places
+
+    ranks = sorted(r.rank for r in QUERIES[f"ranked_{choice}"](spark, SF).collect())
+    assert ranks == list(range(1, places(spark, SF).count() + 1))

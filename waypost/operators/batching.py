@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,3 +30,18 @@ def first_unprocessed(df: DataFrame, limit: int) -> DataFrame:
     """O3: the first ``limit`` rows by place_id; 0 means all."""
     ordered = df.orderBy("place_id")
     return ordered.limit(limit) if limit > 0 else ordered
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their rank from 1 in ``order``.
+
+    The sort deals rows out by ranges, each of which numbers its own; a range's
+    first rank is a prefix sum over their counts, so no task sees all rows.
+    The sorted rows are held, as a second sort could draw other ranges.
+    """
+    placed = df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn("row_", F.monotonically_increasing_id())
+    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    own = F.col("row_").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(bases), "part_").withColumn("rank", F.col("base_") + own + 1).drop("part_", "row_", "base_")

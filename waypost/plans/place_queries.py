@@ -413,6 +413,23 @@ def sort_choices(spark: SparkSession, d: str) -> DataFrame:
     return places(spark, d).orderBy(*order).limit(50).select("place_id", C.parse_score(col("beoordeling")).alias("score"))
 
 
+def ranked(name: str, choice: str, sql: str) -> None:
+    """All places with their rank by one of the sort choices; sort_choices and nearest_k are only the first of them."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = geo.add_distances(places(spark, d), *HOME)
+        return batching.ranked(df, *P.SidebarFilters(sort_keuze=choice).order()).select("place_id", "rank")
+
+    register(name, O.places(f"place_id, row_number() OVER (ORDER BY {sql}place_id) AS rank"))(query)
+
+
+ranked("ranked_by_default", "Standaard", "")
+ranked("ranked_by_name", "Naam A→Z", "lower(naam) NULLS FIRST, ")
+ranked("ranked_free_first", "Prijs (gratis eerst)", f"{O.says('prijs', 'gratis')} DESC, lower(naam) NULLS FIRST, ")
+ranked("ranked_by_rating", "Beoordeling ↓", f"{O.score('beoordeling')} DESC NULLS LAST, ")
+ranked("ranked_by_distance", "Afstand ↑", f"{_KM}, ")
+
+
 @register("landing_tiles", O.places("format('{:,}', count(*)) AS total, format('{:,}', count(DISTINCT naam)) AS names"))
 def landing_tiles(spark: SparkSession, d: str) -> DataFrame:
     counted = places(spark, d).agg(F.count("*").alias("n"), F.count_distinct("naam").alias("m"))
