@@ -159,3 +159,9 @@ def test_no_mixed_text_is_a_beginning(spark):
     cut = [r for r in mixing.mixed(docs).collect() if (r.doc_id, r.text) not in texts]
     assert cut and any(not (dict(rows)[r.doc_id] + " ").startswith(r.text + " ") for r in cut)
     assert mixing.mixed(empty(spark), whole=True).count() == 0
+
+
+def test_texts_with_added_tokens_are_encoded_whole():
+    own = token_files.Encoder(tokenizer_path())
+    texts = ["x\n\n<|endoftext|>y", "a  <|endoftext|> b", "plain words"]
+    assert own.encode(texts) == own._raw(texts)

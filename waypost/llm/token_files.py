@@ -20,7 +20,8 @@ punctuation (but for the apostrophe), so a text's ids are those of its units
 in order. Units of letters alone go straight to the tokenizer's merge model,
 which skips its splitting; that this is the same is tried out on words when an
 encoder is made. Texts with white space other than space, tab, newline and
-carriage return are encoded whole.
+carriage return are encoded whole, and so are those that hold one of the
+tokenizer's added tokens, before which white space is split in another way.
 
 Edge cases: null and empty texts are written as ``end_id`` alone. Rows that
 repeat a doc_id follow each other in the order of their texts. Rows without
@@ -78,6 +79,8 @@ class Encoder:
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # units come once; ``known`` is the memory
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        self.whole = re.compile("|".join([_ODD.pattern, *added]))
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         probes = [" word", "Word", " straße", "déjà", " ĳsselmeerĦ", "unbekanntes", "a"]
@@ -105,7 +108,7 @@ class Encoder:
             for unit in list(islice(self.known, len(self.known) // 2)):  # the longest known
                 del self.known[unit]
         known = self.known
-        units = [None if _ODD.search(x) else _UNIT.findall(x) for x in texts]
+        units = [None if self.whole.search(x) else _UNIT.findall(x) for x in texts]
         pieces = [None if x is None else list(map(known.get, x)) for x in units]
         missing = [[] if x is None else [i for i, p in enumerate(x) if p is None] for x in pieces]
         new = {own[i] for own, at in zip(units, missing, strict=True) for i in at}
