@@ -144,6 +144,14 @@ def test_toxicity_counts_all_grams_at_any_size(spark):
     assert len(toxicity.train(docs, labels).grams) == len(toxicity.train(docs, labels, max_rows=20).grams)
 
 
+def test_rows_without_doc_id_are_judged_one_by_one(spark):
+    rows, labels = abusive(n=300)
+    docs = table(spark, [*rows, (None, "idiot idiot"), (None, "the ring on"), (None, None)])
+    kept = toxicity.without_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == docs.columns
+    assert sorted(str(r.text) for r in kept.filter("doc_id is null").collect()) == ["None", "the ring on"]
+
+
 def test_held_out_labels_are_never_read(spark):
     import zlib
 

@@ -45,6 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unnamed_numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_``: a number of its own for each row without doc_id, null for others; written if there is one."""
+    if docs.filter("doc_id is null").isEmpty():
+        return docs.withColumn("row_", F.lit(None).cast("long"))
+    return stored(docs.withColumn("row_", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "numbered")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm import words as W
-from waypost.llm.shared import stored
+from waypost.llm.shared import stored, unnamed_numbered
 
 U64 = np.uint64
 ORDER = 6
@@ -407,6 +407,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic; rows that share a doc_id go together."""
-    bad = score(docs, labels, **options).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` that aren't predicted toxic; rows that share a doc_id go together, those without one are judged one by one."""
+    rows = unnamed_numbered(docs)
+    bad = _judged(rows, labels, keep=("row_",), **options).filter("predicted = 1").select(F.col("doc_id").alias("id_"), F.col("row_").alias("bad_")).distinct()
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("row_").eqNullSafe(F.col("bad_")), "left_anti").select(*docs.columns)
