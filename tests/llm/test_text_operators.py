@@ -144,3 +144,10 @@ def test_host_verdicts(spark):
     assert not got[0].base_failed and got[0].host_rejected and not got[0].kept
     assert got[150].kept and got[301].kept and not got[300].kept
     assert quality.host_rules(empty(spark)).count() == 0
+
+
+def test_rows_without_doc_id_are_cleaned_one_by_one(spark):
+    item = " ".join(f"word{i}" for i in range(12))
+    docs = table(spark, [(None, item), (None, "something else"), (1, item), (2, "two words")])
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == ["something else", "two words"] and kept.columns == docs.columns
