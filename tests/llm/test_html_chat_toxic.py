@@ -47,12 +47,12 @@ def test_style_tree_overrules_the_mark_up_both_ways(spark):
 @pytest.mark.parametrize("body", ["<article class='post tag-politics'><p>{long}</p></article>", "<div class='content no-sidebar'><p>{long}</p></div>", "<main class='comments-open'><p>{long}</p></main>", "<article class='related'><p>{long}</p></article>", "<div class='sidebar'><nav>menu {i}</nav><article><p>{long}</p></article></div>"])
 def test_hints_are_whole_names_and_yield_to_articles(body):
     html = body.replace("{long}", "story")
-    assert [t for _, role, t in html_text.blocks(html) if role in (1, 2)] == ["story"]
+    assert [b.text for b in html_text.parsed(html) if b.role in (1, 2)] == ["story"]
 
 
 def test_headlines_in_articles_stay():
     html = "<article><header class='entry-header'><h1 class='post-header'>Head</h1></header><p>a</p><div class='share-buttons'>share</div></article><div class='site-header'>Site</div><div class='comment-list'><article class='comment'>c</article></div>"
-    assert [(role, t) for _, role, t in html_text.blocks(html)] == [(2, "Head"), (2, "a"), (3, "share"), (3, "Site"), (3, "c")]
+    assert [(b.role, b.text) for b in html_text.parsed(html)] == [(2, "Head"), (2, "a"), (3, "share"), (3, "Site"), (3, "c")]
 
 
 def test_copied_articles_stay(spark):
@@ -62,7 +62,7 @@ def test_copied_articles_stay(spark):
 
 @pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("a < b &am; <", "a < b &am; <"), ("<!-- x", ""), ("<p>a</p><foo", "a"), ("<ul><li>x<li>y</ul>z", "x\ny\nz"), ("<script>a<b", ""), ("</p></div>q", "q"), ("<p title='a>b'>c</p>", "c")])
 def test_odd_markup(html, text):
-    assert "\n".join(t for _, role, t in html_text.blocks(html or "") if role) == text
+    assert "\n".join(b.text for b in html_text.parsed(html or "") if b.role) == text
 
 
 def test_empty_pages(spark):

@@ -1,44 +1,57 @@
 """Main text of web pages by site style trees.
 
-Each page is cut once into its text blocks; a block's place in the tree is the
-path of its elements (tag, class, id). The pages of a host are merged into one
-style tree, kept as counts: for each path the pages that have it, how often
-each block text occurs there, and how many blocks a page has there. From these
-come two entropies, to the base of the number of pages: texts that differ from
-page to page make a node's content important, repeated ones don't; varying
-shapes make its presentation important. A block whose node's importance is
-below ``threshold`` goes.
-
-Entropy alone can't tell a menu whose links differ on every page from an
-article, nor an article that is copied on many pages from a notice. So the
-mark-up gives a prior and importance the evidence, and either can tip a block:
-
-* Against a block speak elements that declare themselves menus, headers,
-  footers, sidebars, notices, adverts, forms or comments, by element or role
-  or, weaker, by a whole class or id; and, weakest, that it lies outside of
-  the page's article. Importance times words / (words + ``SHORT``), with the
-  node's mean words a block, is the evidence; times ``PRIOR`` it must reach
-  ``threshold``. So long texts that differ from page to page stay.
-* For a block speaks that it lies in an article: then it goes only if its
-  node's importance is below ``threshold`` even with ``DOUBT`` pages more that
-  speak for it, and other nodes of the page's article aren't as low. So what
-  an article repeats on all pages of a host goes, and a copied article stays.
-* With no article on the page and nothing declared importance decides alone.
+The pages of a host are merged into one style tree. A node stands for an
+element by its path (tags, classes and ids from the page's body down); the
+text that stands directly in an element is a leaf below it. The tree is kept as
+counts, a row a node: the pages that have it, how often each order of children
+occurs there, and for leaves the pages of each text. To the base of the number
+of pages
+
+* a leaf's content importance is 1 less the mean entropy of its texts over the
+  pages: texts that differ from page to page are important, repeated ones not;
+* a node's presentation importance is the entropy of its orders of children;
+* a node's importance is composite: ``CONTENT`` parts the content importance
+  of all leaves below it, by their words, and one part its own presentation.
+
+The importance is multiplied by a mark-up weight, and a branch whose product is
+below ``threshold`` is cut from the page with all that is below it; what is
+left is judged further down, to the leaves. Entropy alone can't tell a menu
+whose links differ on every page from an article, nor an article that is
+copied on many pages from a notice, so the weight depends on what elements say
+of themselves:
+
+* Elements that declare themselves menus, headers, footers, sidebars, notices,
+  adverts, forms or comments, by element or role or, weaker, by a whole class or
+  id, and weakest what lies outside of the page's article, have a weight of
+  ``PRIOR`` times words / (words + ``SHORT``), with the words a block below the
+  node. So long texts that differ from page to page stay.
+* In an article, a node's importance counts with ``DOUBT`` pages more that
+  speak for it, so what an article repeats on all pages of a host goes. Where
+  nothing of a page's article would be left, all of it stays: copied articles
+  aren't boilerplate.
+* On pages without article, nodes that declare nothing have the weight 1.
+
+What holds the page's article is never cut. Up to ``max_nodes`` nodes the tree
+is broadcast; larger trees meet the nodes of the pages in a join, with the same
+result.
 
 Edge cases: null and empty html, and pages of which nothing is left, give an
-empty text. Pages without a host are judged on their own; a node on a single
-page is important. Unclosed, stray and cut-off tags and comments are taken as
-browsers do: paragraphs end where the next block begins, a cut-off tag or
-comment is dropped. Rows that repeat a page_id are each returned.
+empty text. On pages without a host, and for nodes that only one page of a host
+has, the mark-up decides. Unclosed, stray and cut-off tags and comments are
+taken as browsers do: paragraphs end where the next block begins, a cut-off tag
+or comment is dropped. Rows that repeat a page_id are each returned. A page
+needs memory in proportion to its length, and is never split.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +59,14 @@ from pyspark.sql import functions as F
 from waypost.llm import words as W
 from waypost.llm.shared import stored
 
-#: What mark-up against a block leaves of its evidence: by element; by class or id, with and without an article on
-#: the page; outside of the page's article.
+#: Weights of what declares itself boilerplate: by element; by class or id, with and without an article on the page;
+#: and of what is outside of the page's article.
 PRIOR = (0.24, 0.26, 0.3, 0.4)
-#: Words a block at which evidence against the mark-up counts half.
+#: Levels of elements that are told apart, more than real pages have.
+LEVELS = 128
+#: The share of content in a composite importance.
+CONTENT = 0.9
+#: Words a block at which a declared node's importance counts half.
 SHORT = 8
 #: Pages that speak for a node of an article beforehand.
 DOUBT = 4
@@ -94,23 +111,47 @@ def _attributes(text: str) -> tuple[str, set[str], str, bool]:
     return ".".join(re.sub(r"\d+", "", x) for x in names), tokens, role, any(map(_hints, names))
 
 
-def blocks(html: str) -> list[tuple[str, int, str]]:
-    """(path, role, text) of each text block.
+def _number(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Element(NamedTuple):
+    """An open element: its path in the style tree, what it and those around it declare, and the node above."""
+
+    tag: str
+    path: int
+    declared: bool = False
+    inside: bool = False
+    hints: tuple[int, ...] = ()
+    above: Element | None = None
+    node: bool = False
+
+
+class Block(NamedTuple):
+    """A text block: its nodes (number of the path, role) from the outermost on, and its text."""
+
+    chain: tuple[tuple[int, int], ...]
+    text: str
+
+    @property
+    def role(self) -> int:
+        return self.chain[-1][1] if self.chain else 1
+
+
+def parsed(html: str, host: str = "") -> list[Block]:
+    """The text blocks of a page; paths are numbered by host.
 
     Role 0 is boilerplate by element or role attribute, 3 by class or id only,
     2 inside an article, 1 none of these. An article or main isn't boilerplate
-    by class or id, nor is what it stands in, unless both say so.
+    by class or id, nor is what it stands in, unless both say so. Elements more
+    than ``LEVELS`` deep stand beside each other, as in browsers (at another depth).
     """
-    out: list[tuple[tuple, str]] = []
+    out: list[tuple[Element, str]] = []
     text: list[str] = []
-    # (tag, path, declared boilerplate, within an article, numbers of the elements around that are hinted boilerplate)
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+    stack = [Element("", _number(host))]
     place = stack[0]
     overruled: set[int] = set()
 
-    def role_of(entry: tuple) -> int:
-        return 0 if entry[2] else 3 if not overruled.issuperset(entry[4]) else 2 if entry[3] else 1
-
     def flush() -> None:
         if text:
             whole = " ".join(unescape("".join(text)).split())
@@ -133,13 +174,12 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             if tag in _BLOCK:
                 flush()
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
+                    if any(x.node for x in stack[i:]):
+                        flush()
                     del stack[i:]
+                    place = stack[-1] if stack[-1].node else stack[-1].above or stack[0]
                     break
-            else:
-                continue
-            if tag in _BLOCK:
-                place = next(x for x in reversed(stack) if x[0] in _BLOCK or not x[0])
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -152,10 +192,6 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             continue
         if tag in _VOID and tag != "hr":
             continue
-        if tag not in _BLOCK and tag != "button":
-            if tag != "a" and not m[3]:
-                stack.append((tag, *stack[-1][1:]))
-                continue
         if tag in _BLOCK:
             flush()
             if tag == "hr":
@@ -163,13 +199,20 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             # a block ends an open paragraph, an item or cell the one before
             ends = {"p"} | ({tag} if tag in ("li", "dt", "dd", "td", "th", "tr", "option") else set())
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
+                if stack[i].tag in ends:
                     del stack[i:]
                     break
-                if stack[i][0] in ("div", "ul", "ol", "table", "section", "article", "body"):
+                if stack[i].tag in ("div", "ul", "ol", "table", "section", "article", "body"):
                     break
+        if len(stack) > LEVELS:
+            stack.pop()
+        last = stack[-1]
+        above = last if last.node else last.above
+        if not m[3] and tag not in _BLOCK and tag not in _BOILERPLATE:
+            stack.append(last._replace(tag=tag, above=above, node=False))
+            continue
         label, tokens, role, hinted = _attributes(m[3])
-        _, path, declared, inside, hints = stack[-1]
+        declared, inside, hints = last.declared, last.inside, last.hints
         firm = tag in ("article", "main") or role == "main"
         main = firm or any(map(_MAIN.match, tokens))
         told = tag in _BOILERPLATE or role in _ROLES or (tag == "header" and not inside)
@@ -179,70 +222,203 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             hinted = False
             if not declared and not told:
                 overruled.update(hints)
-        here = (*hints, at) if hinted else hints
-        entry = (tag, f"{path}/{tag}.{label}" if tag in _BLOCK else path, declared or told, inside or (main and not hinted and not declared and not told), here)
+        # an inline element that declares itself is a block of its own
+        node = tag in _BLOCK or hinted or (told and not declared)
+        path = _number(last.path, tag, label) if node else last.path
+        entry = Element(tag, path, declared or told, inside or (main and not hinted and not declared and not told), (*hints, at) if hinted else hints, above, node)
         stack.append(entry)
-        if tag in _BLOCK:
-            place = entry
-        elif (entry[2] and not declared) or hinted:  # an inline element that declares itself is a block of its own
+        if node:
             flush()
+            place = entry
     flush()
-    return [(entry[1], role_of(entry), whole) for entry, whole in out]
+
+    chains: dict[int, tuple[tuple[int, int], ...]] = {}
+
+    def chain(x: Element) -> tuple[tuple[int, int], ...]:
+        if id(x) not in chains:
+            lane, y = [], x
+            while y is not None:
+                if y.tag not in ("", "html", "body"):
+                    lane.append((y.path, 0 if y.declared else 3 if not overruled.issuperset(y.hints) else 2 if y.inside else 1))
+                y = y.above
+            chains[id(x)] = tuple(reversed(lane))
+        return chains[id(x)]
+
+    return [Block(chain(x), whole) for x, whole in out]
 
 
-def _number(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+class Page:
+    """A page's nodes, in the order in which they first occur, and its blocks.
 
+    ``nodes`` are (number, above, role, shape, around): the number of the path
+    on its host, the place of the node above (or -1), and whether an article is
+    below. ``leaves`` hold the leaf's place, its distinct texts, words and
+    blocks; ``at`` the leaf of each block.
+    """
+
+    def __init__(self, html: str, host: str | None):
+        host = host or ""
+        found = parsed(html, host)
+        self.texts = [b.text for b in found]
+        places: dict[tuple[int, int, bool], int] = {}
+        self.nodes: list[list] = []
+        self.at: list[int] = []
+        children: list[list[int]] = []
+        leaves: dict[int, tuple[set[int], list[int]]] = {}
+        for b in found:
+            above, lane = -1, []
+            leaf = (b.chain[-1][0] if b.chain else 0, b.role, True)
+            for key in (*((*x, False) for x in b.chain), leaf):
+                if key not in places:
+                    places[key] = len(self.nodes)
+                    self.nodes.append([_number(host, *key), above, key[1], 0, False])
+                    children.append([])
+                x = places[key]
+                if above >= 0 and (not children[above] or children[above][-1] != x):
+                    children[above].append(x)
+                above = x
+                lane.append(x)
+            if b.role == 2:
+                for x in lane:
+                    self.nodes[x][4] = self.nodes[x][2] != 2
+            texts, sums = leaves.setdefault(above, (set(), [0, 0]))
+            texts.add(_number(b.text))
+            sums[0] += b.text.count(" ") + 1
+            sums[1] += 1
+            self.at.append(above)
+        for x, below in enumerate(children):
+            # the order of a node's children; for a leaf, how many blocks it has
+            self.nodes[x][3] = leaves[x][1][1] if x in leaves else _number(*(str(self.nodes[y][0]) for y in below))
+        self.leaves = [(x, sorted(texts), *sums) for x, (texts, sums) in leaves.items()]
+
+    @property
+    def landmark(self) -> bool:
+        return any(self.nodes[x][2] == 2 for x in self.at)
 
-_BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("role", pa.int8()), ("feature", pa.int64()), ("words", pa.int32()), ("text", pa.string())]))
+
+_NODES = "nodes array<struct<node: long, above: int, role: tinyint, shape: long, around: boolean>>"
+_LEAVES = "leaves array<struct<at: int, up: array<long>, texts: array<long>, words: int, blocks: int>>"
+_PARSED = f"page_id long, url string, host string, landmark boolean, {_NODES}, {_LEAVES}, at array<int>, texts array<string>"
+_NODE_TYPE = pa.list_(pa.struct([("node", pa.int64()), ("above", pa.int32()), ("role", pa.int8()), ("shape", pa.int64()), ("around", pa.bool_())]))
+_LEAF_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("up", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("words", pa.int32()), ("blocks", pa.int32())]))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.small(batches, "html", 2 << 20):
-        rows, landmarks = [], []
-        for html in W.column(batch, "html").to_pylist():
-            found = blocks(html or "")
-            rows.append([{"path": _number(p), "role": r, "feature": _number(t), "words": t.count(" ") + 1, "text": t} for p, r, t in found])
-            landmarks.append(any(r == 2 for _, r, _ in found))
-        yield pa.RecordBatch.from_arrays([W.column(batch, "page_id"), W.column(batch, "url"), W.column(batch, "host"), pa.array(landmarks), pa.array(rows, _BLOCKS)], names=["page_id", "url", "host", "landmark", "blocks"])
-
-
-def importance(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, words a block, importance) of the nodes that more than one page of a host has."""
-    each = parsed.filter("host is not null").withColumn("page", F.monotonically_increasing_id()).select("host", "page", F.explode("blocks").alias("x"))
-    rows = each.select("host", "page", "x.path", "x.feature", "x.words")
-    in_page = rows.groupBy("host", "path", "page", "feature").agg(F.count("*").alias("k"), F.sum("words").alias("words"))
-    shapes = in_page.groupBy("host", "path", "page").agg(F.sum("k").alias("k"), F.sum("words").alias("words")).groupBy("host", "path", "k").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
-    shape = shapes.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nln"), (F.sum("words") / F.sum(F.col("n") * F.col("k"))).alias("words")).filter("m > 1")
-    # -sum(n/m ln(n/m)) / ln m over the shapes
-    presentation = (F.ln("m") - F.col("nln") / F.col("m")) / F.ln("m")
-    texts = in_page.groupBy("host", "path", "feature").agg(F.count("*").alias("df"))
-    content = texts.groupBy("host", "path").agg(F.avg(F.ln("df")).alias("mean_ln_df"))
-    both = shape.join(content, ["host", "path"])
-    value = 0.9 * (1 - F.col("mean_ln_df") / F.ln("m")) + 0.1 * presentation
-    return both.select("host", "path", F.col("m").alias("pages"), "words", value.alias("importance"))
-
-
-def main_text(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
+        pages = [Page(html or "", host) for html, host in zip(W.column(batch, "html").to_pylist(), W.column(batch, "host").to_pylist(), strict=True)]
+        nodes = [[dict(zip(("node", "above", "role", "shape", "around"), x, strict=True)) for x in p.nodes] for p in pages]
+        leaves = []
+        for p in pages:
+            rows = []
+            for x, texts, words, n in p.leaves:
+                up, y = [], x
+                while y >= 0:
+                    up.append(p.nodes[y][0])
+                    y = p.nodes[y][1]
+                rows.append({"at": x, "up": up, "texts": texts, "words": words, "blocks": n})
+            leaves.append(rows)
+        arrays = [*(W.column(batch, c) for c in ("page_id", "url", "host")), pa.array([p.landmark for p in pages]), pa.array(nodes, _NODE_TYPE), pa.array(leaves, _LEAF_TYPE), pa.array([p.at for p in pages], pa.list_(pa.int32())), pa.array([p.texts for p in pages], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "landmark", "nodes", "leaves", "at", "texts"])
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(node, pages, words, importance) of the nodes that more than one of the parsed ``pages`` of a host has."""
+    hosted = pages.filter("host is not null")
+    shapes = hosted.select(F.explode("nodes").alias("x")).groupBy("x.node", "x.shape").agg(F.count("*").alias("n"))
+    shapes = shapes.groupBy("node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nln")).filter("pages > 1")
+    # -sum(n/m ln(n/m)) / ln m over the orders of children
+    presentation = (F.ln("pages") - F.col("nln") / F.col("pages")) / F.ln("pages")
+    leaf = hosted.select(F.explode("leaves").alias("x")).select(F.col("x.up")[0].alias("leaf"), "x.up", "x.texts", "x.words", "x.blocks")
+    texts = leaf.select("leaf", F.explode("texts").alias("text")).groupBy("leaf", "text").agg(F.count("*").alias("df"))
+    texts = texts.groupBy("leaf").agg(F.avg(F.ln("df")).alias("mean_ln_df"))
+    sizes = leaf.groupBy("leaf").agg(F.any_value("up").alias("up"), F.count("*").alias("m"), F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
+    content = F.when(F.col("m") > 1, 1 - F.col("mean_ln_df") / F.ln("m")).otherwise(1.0)
+    weighed = sizes.join(texts, "leaf").select(F.explode("up").alias("node"), (content * F.col("words")).alias("value"), "words", "blocks")
+    below = weighed.groupBy("node").agg((F.sum("value") / F.sum("words")).alias("content"), (F.sum("words") / F.sum("blocks")).alias("words"))
+    value = CONTENT * F.col("content") + (1 - CONTENT) * presentation
+    return shapes.join(below, "node").select("node", "pages", "words", value.alias("importance"))
+
+
+def low(role: int, landmark: bool, pages: int, words: float, importance: float, threshold: float) -> bool:
+    """Whether a node of a role is cut; ``pages`` is 0 for a node that the tree doesn't have."""
+    if role == 2:
+        return pages > 0 and (importance * pages + DOUBT) / (pages + DOUBT) < threshold
+    if role == 1 and not landmark:
+        return pages > 0 and importance < threshold
+    prior = PRIOR[0] if role == 0 else PRIOR[3] if role == 1 else PRIOR[1] if landmark else PRIOR[2]
+    return pages == 0 or prior * importance * words / (words + SHORT) < threshold
+
+
+def kept_blocks(landmark: bool, nodes: list[dict], at: list[int], known: Callable[[int], tuple[int, float, float]], threshold: float) -> list[int]:
+    """The numbers of the blocks that stay; ``known`` gives (pages, words, importance) of a node's number."""
+    cut, faded = [False] * len(nodes), [False] * len(nodes)
+    for i, x in enumerate(nodes):  # a node comes after the one above
+        own = not x["around"] and low(x["role"], landmark, *known(x["node"]), threshold)
+        above = x["above"]
+        cut[i] = (own and x["role"] != 2) or (above >= 0 and cut[above])
+        faded[i] = (own and x["role"] == 2) or (above >= 0 and faded[above])
+    lively = any(nodes[x]["role"] == 2 and not cut[x] and not faded[x] for x in at)
+    return [i for i, x in enumerate(at) if not cut[x] and not (lively and faded[x])]
+
+
+class Tree:
+    """The tree as sorted arrays, for a broadcast."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table["node"].to_numpy())
+        self.node, self.pages, self.words, self.importance = (table[c].to_numpy()[order] for c in ("node", "pages", "words", "importance"))
+
+    def known(self, node: int) -> tuple[int, float, float]:
+        at = int(np.searchsorted(self.node, node))
+        if at == len(self.node) or self.node[at] != node:
+            return 0, 0.0, 0.0
+        return int(self.pages[at]), float(self.words[at]), float(self.importance[at])
+
+
+def _decide(threshold: float, tree=None):
+    """Texts of (page_id, url, landmark, nodes, at, texts); without a broadcast tree the rows have ``told``, their own nodes of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, float, float]] = {}
+
+        def shared(node: int) -> tuple[int, float, float]:
+            if node not in seen:
+                if len(seen) > 1 << 16:
+                    seen.clear()
+                seen[node] = tree.value.known(node)
+            return seen[node]
+
+        for batch in batches:
+            columns = [W.column(batch, c).to_pylist() for c in ("landmark", "nodes", "at", "texts")]
+            told = W.column(batch, "told").to_pylist() if tree is None else [None] * batch.num_rows
+            texts = []
+            for landmark, nodes, at, blocks, own in zip(*columns, told, strict=True):
+                mine = {x["node"]: (x["pages"], x["words"], x["importance"]) for x in own or ()}
+                known = shared if tree is not None else lambda node, mine=mine: mine.get(node, (0, 0.0, 0.0))
+                texts.append("\n".join(blocks[i] for i in kept_blocks(landmark, nodes, at, known, threshold)))
+            yield pa.RecordBatch.from_arrays([W.column(batch, "page_id"), W.column(batch, "url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+#: Pages that have a node from which on it is looked up in a broadcast; there are as few such nodes as pages allow.
+_HOT = 1_000_000
+
+
+def main_text(pages: DataFrame, threshold: float = 0.2, max_nodes: int = 1_000_000) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text."""
+    spark = pages.sparkSession
     host = F.lower(F.nullif(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, host string, landmark boolean, blocks array<struct<path: long, role: tinyint, feature: long, words: int, text: string>>"
-    parsed = stored(rows.mapInArrow(_parse, schema), "blocks")
-    nodes = importance(parsed).withColumn("evidence", F.col("importance") * F.col("words") / (F.col("words") + SHORT))
-    nodes = nodes.withColumn("faded", (F.col("importance") * F.col("pages") + DOUBT) / (F.col("pages") + DOUBT) < threshold)
-    # other nodes leave all decisions to the mark-up
-    telling = nodes.filter(F.col("faded") | (F.col("importance") < threshold) | (F.col("evidence") * max(PRIOR) >= threshold))
-    tree = telling.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("importance", "evidence", "faded")))).alias("tree"))
-    tree = stored(tree, "tree").withColumnRenamed("host", "h")
-    told = parsed.join(tree, parsed["host"] == tree["h"], "left")
-    node = lambda x: F.try_element_at("tree", x["path"])
-    known = lambda x, name, otherwise: F.coalesce(node(x)[name], F.lit(otherwise))
-    faded = lambda x: known(x, "faded", False)
-    lively = F.exists("blocks", lambda x: (x["role"] == 2) & ~faded(x))
-    prior = lambda x: F.when(x["role"] == 0, PRIOR[0]).when(x["role"] == 3, F.when(F.col("landmark"), PRIOR[1]).otherwise(PRIOR[2])).otherwise(PRIOR[3])
-    article = lambda x: (x["role"] == 2) & ~(F.col("lively") & faded(x))
-    free = lambda x: (x["role"] == 1) & ~F.col("landmark") & (known(x, "importance", 1.0) >= threshold)
-    against = lambda x: (x["role"] != 2) & ((x["role"] != 1) | F.col("landmark")) & (prior(x) * known(x, "evidence", 0.0) >= threshold)
-    kept = F.filter("blocks", lambda x: article(x) | free(x) | against(x))
-    return told.withColumn("lively", lively).select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
+    cut = stored(rows.mapInArrow(_parse, _PARSED).withColumn("row_", F.monotonically_increasing_id()), "blocks")
+    tree = stored(style_tree(cut), "tree")
+    found = "page_id long, url string, text string"
+    shown = ("page_id", "url", "landmark", "nodes", "at", "texts")
+    if tree.count() <= max_nodes:
+        held = spark.sparkContext.broadcast(Tree(tree.toArrow()))
+        return cut.select(*shown).mapInArrow(_decide(threshold, held), found)
+    wanted = cut.filter("host is not null").select("row_", F.explode("nodes.node").alias("node")).distinct()
+    hot = F.col("pages") >= _HOT
+    met = wanted.join(F.broadcast(tree.filter(hot)), "node").unionByName(wanted.join(F.broadcast(tree.filter(hot).select("node")), "node", "left_anti").join(tree.filter(~hot), "node"))
+    told = met.groupBy("row_").agg(F.collect_list(F.struct("node", "pages", "words", "importance")).alias("told"))  # a page's own nodes
+    return cut.join(told, "row_", "left").select(*shown, "told").mapInArrow(_decide(threshold), found)
