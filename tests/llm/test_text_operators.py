@@ -151,3 +151,16 @@ def test_rows_without_doc_id_are_cleaned_one_by_one(spark):
     docs = table(spark, [(None, item), (None, "something else"), (1, item), (2, "two words")])
     kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.text for r in kept.collect()) == ["something else", "two words"] and kept.columns == docs.columns
+
+
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_repeats_of_many_documents_in_ranges(spark, monkeypatch, ranges):
+    """Blocks of few windows, so that ranges get rows of many blocks; rows without doc_id in great number."""
+    monkeypatch.setattr(substring, "RANGES", ranges)
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{j}x{i}" for i in range(9)) for j in range(5)]
+    rows = [(int(i), " ".join([*(f"d{i}w{x}" for x in range(6)), passages[i % 5], *(f"e{i}w{x}" for x in range(4)), passages[int(rng.integers(5))]])) for i in rng.permutation(400)]
+    flood = [(None, passages[0] + f" n{i}") for i in range(200)]
+    got = substring.remove_repeats(table(spark, [*rows, *flood]).repartition(6), k=7).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got if r.doc_id is not None} == removed(rows, 7)
+    assert sum(r.doc_id is None and r.n_removed == 0 for r in got) == 200
