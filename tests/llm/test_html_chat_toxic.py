@@ -83,7 +83,7 @@ CHAT = [
 
 
 def test_tool_calls(spark):
-    schemas = tool_calls.tool_schemas(spark, {"add": {"x": "integer", "y": "number"}}, {"add": ["x", "y"]})
+    schemas = tool_calls.tool_schemas(spark, {"add": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "number"}}, "required": ["x", "y"]}})
     messages = spark.createDataFrame([(*c, 0) for c in CHAT], "conv_id long, turn long, role string, text string, valid int")
     got = tool_calls.events(messages, schemas).orderBy("conv_id", "order_turn", "order_kind", "order_index").collect()
     assert [(r.conv_id, r.turn, r.kind, r.call_id, r.linked, r.valid) for r in got] == [

@@ -39,14 +39,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: Argument types and required arguments of the tools that op5's calls are checked against.
-TOOLS = {"search": {"query": "string", "limit": "integer"}, "calculate": {"expression": "string"}, "fetch": {"url": "string"}}
-REQUIRED = {"search": ["query"], "calculate": ["expression"], "fetch": ["url"]}
+#: Schemas of the tools that op5's calls are checked against.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "unit": {"type": "string", "enum": ["km", "m"]}}, "required": ["query"]},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+    "fetch": {
+        "type": "object",
+        "properties": {"url": {"type": "string"}, "options": {"type": "object", "properties": {"depth": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}}},
+        "required": ["url"],
+    },
+}
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = tool_calls.tool_schemas(spark, TOOLS, REQUIRED)
-    return tool_calls.events(table(spark, sf_dir, "conversations"), schemas)
+    """The table has no calls of its own, so answers of the assistant make some and messages of the user answer them."""
+    messages = table(spark, sf_dir, "conversations").selectExpr(*[f"{sql} AS {name}" for name, sql in oracles.TOOL_MESSAGES.items()])
+    return tool_calls.events(messages, tool_calls.tool_schemas(spark, TOOLS))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

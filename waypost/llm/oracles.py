@@ -62,10 +62,59 @@ SELECT doc_id, size, source_size, target, sum(CASE WHEN n > 0 AND high > low THE
 FROM cut GROUP BY doc_id, size, source_size, target
 """
 
-OP5 = """
-SELECT conv_id, turn, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
-  turn AS order_turn, 0 AS order_kind, 0::BIGINT AS order_index, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS json
-FROM conversations
+_WORD = "regexp_extract(text, '[A-Za-z]+', 0)"
+_ESCAPED = "replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+_CALLING, _ANSWERING, _CASE = "role = 'assistant'", "role = 'user' AND turn >= 2", "(conv_id * 3 + turn) % 8"
+#: The call that an answer names: the one before it, the one after it, or none that there is.
+_ANSWERED = "CASE conv_id % 5 WHEN 0 THEN 'zz' WHEN 1 THEN 'c' || (turn + 1) ELSE 'c' || (turn - 1) END"
+
+
+def _call(name: str, arguments: str) -> str:
+    return f"""'{{"name": "{name}", "id": "c' || turn || '", "arguments": {arguments}}}'"""
+
+
+_W = f"' || {_WORD} || '"
+_CALLS = f"""CASE {_CASE}
+  WHEN 0 THEN {_call("search", f'{{"query": "{_W}", "limit": ' + "' || turn || '}")}
+  WHEN 1 THEN {_call("search", f'{{"query": "{_W}", "limit": "3"}}')}
+  WHEN 2 THEN {_call("search", '{"limit": 1}')}
+  WHEN 3 THEN {_call("teleport", f'{{"to": "{_W}"}}')}
+  WHEN 4 THEN {_call("calculate", f'{{"expression": "{_W}"}}')} || ', ' || {_call("search", f'{{"query": "{_W}"}}')}
+  WHEN 5 THEN '{{"id": "c' || turn || '", "function": {{"name": "search", "arguments": "{{' || chr(92) || '"unit' || chr(92) || '": ' || chr(92) || '"km' || chr(92) || '", ' || chr(92) || '"query' || chr(92) || '": ' || chr(92) || '"{_W}' || chr(92) || '"}}"}}}}'
+  WHEN 6 THEN {_call("fetch", f'{{"url": "{_W}", "options": {{"tags": [' + "' || CASE WHEN conv_id % 2 = 0 THEN '\"a\"' ELSE '1' END || '" + f', "{_W}"], "depth": 2}}}}')}
+  ELSE {_call("search", f'{{"unit": "miles", "query": "{_W}"}}')} END"""
+#: The conversations with calls and answers among their messages, in SQL that Spark and DuckDB read alike.
+TOOL_MESSAGES = {
+    "conv_id": "conv_id",
+    "turn": "turn",
+    "role": f"CASE WHEN {_ANSWERING} THEN 'tool' ELSE role END",
+    "text": f"""CASE WHEN {_CALLING} THEN '{{"content": "' || {_ESCAPED} || '", "tool_calls": [' || {_CALLS} || ']}}'
+      WHEN {_ANSWERING} THEN '{{"tool_call_id": "' || {_ANSWERED} || '", "content": "' || {_ESCAPED} || '"}}' ELSE text END""",
+}
+
+OP5 = f"""
+WITH told AS (
+  SELECT conv_id, turn, text, {_CALLING} AS calling, {_ANSWERING} AS answering, {_CASE} AS n, {_WORD} AS w, CASE WHEN {_ANSWERING} THEN 'tool' ELSE role END AS role, CASE WHEN {_ANSWERING} THEN {_ANSWERED} END AS answered
+  FROM conversations
+),
+calls AS (
+  SELECT conv_id, turn, role, 0::BIGINT AS i, 'c' || turn AS id, CASE n WHEN 3 THEN 'teleport' WHEN 4 THEN 'calculate' WHEN 6 THEN 'fetch' ELSE 'search' END AS tool, n IN (0, 4, 5) OR (n = 6 AND conv_id % 2 = 0) AS valid,
+    CASE n WHEN 0 THEN '{{"limit":' || turn || ',"query":' || to_json(w) || '}}' WHEN 1 THEN '{{"limit":"3","query":' || to_json(w) || '}}' WHEN 2 THEN '{{"limit":1}}' WHEN 3 THEN '{{"to":' || to_json(w) || '}}'
+      WHEN 4 THEN '{{"expression":' || to_json(w) || '}}' WHEN 5 THEN '{{"query":' || to_json(w) || ',"unit":"km"}}'
+      WHEN 6 THEN '{{"options":{{"depth":2,"tags":[' || CASE WHEN conv_id % 2 = 0 THEN '"a"' ELSE '1' END || ',' || to_json(w) || ']}},"url":' || to_json(w) || '}}' ELSE '{{"query":' || to_json(w) || ',"unit":"miles"}}' END AS arguments
+  FROM told WHERE calling
+  UNION ALL SELECT conv_id, turn, role, 1, 'c' || turn, 'search', true, '{{"query":' || to_json(w) || '}}' FROM told WHERE calling AND n = 4
+),
+made AS (SELECT DISTINCT conv_id, id, turn AS made_at FROM calls),
+answers AS (SELECT DISTINCT conv_id, answered AS id FROM told WHERE answering)
+SELECT conv_id, turn, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid, turn AS order_turn, 0 AS order_kind, 0::BIGINT AS order_index,
+  '{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}' AS json
+FROM told WHERE NOT answering
+UNION ALL SELECT conv_id, turn, 'result', role, answered, made_at IS NOT NULL, NULL, CASE WHEN made_at > turn THEN made_at ELSE turn END, 2, turn,
+  '{{"content":' || to_json(text) || ',"role":"tool","tool_call_id":' || to_json(answered) || '}}'
+FROM told LEFT JOIN (SELECT conv_id AS c, id, made_at FROM made) made ON conv_id = c AND answered = id WHERE answering
+UNION ALL SELECT conv_id, turn, 'call', role, id, i = 0 AND a IS NOT NULL, valid, turn, 1, i, '{{"arguments":' || arguments || ',"id":' || to_json(id) || ',"name":' || to_json(tool) || '}}'
+FROM calls LEFT JOIN (SELECT conv_id AS c, id AS a FROM answers) answers ON conv_id = c AND id = a
 """
 
 OP6 = """

@@ -12,31 +12,66 @@ one of each identifier before, so a repeated identifier multiplies nothing.
 The order keys (order_turn, order_kind, order_index) are a topological order:
 within a turn the message, then its calls, then results; a result that is
 recorded before its call moves to the call's turn. They are keys and not
-ranks, so no conversation, however long, is gathered in one task. Arguments
-are checked against the tool's schema, and each event is serialised as JSON
-with sorted keys and no spaces. All of it is DataFrame functions.
+ranks, so no conversation, however long, is gathered in one task. Each event
+is serialised as JSON with sorted keys and no spaces. All of it is DataFrame
+functions.
+
+Arguments are checked against the tool's schema: types at every depth, required
+and undeclared keys, types of array items, and enumerated values. A parsed
+value tells its whole type as one text with sorted keys, so a schema is
+compiled to a pattern of such texts; enumerations are looked up by their path.
+Of objects in an array the parser tells the type they have in common, so their
+required keys are those of the array as a whole, and enumerations in them
+aren't supported.
 
 Edge cases: null texts have the content null; text that isn't valid JSON is
 plain content; calls without identifier, later calls of the same identifier,
 and results without a call are kept with linked = false. Arguments that aren't
 an object are invalid, and so are calls of unknown tools. Repeated rows are
-repeated events. Rows without conv_id or turn link to nothing.
+repeated events. Rows without conv_id link to nothing. A tool without schema
+columns of its own takes no arguments.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MESSAGE = "struct<content: string, tool_call_id: string, tool_calls: array<struct<id: string, name: string, arguments: string, function: struct<name: string, arguments: string>>>>"
 #: JSON types of a schema, as the types that a parsed value reports.
-_TYPES = {"integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "string": r"^STRING$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*$", "object": r"^OBJECT<.*$", "null": r"^VOID$"}
+_TYPES = {"integer": "BIGINT", "number": r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+
+
+def pattern(schema: dict) -> str:
+    """A pattern of the types that values of ``schema`` report; undeclared keys of objects don't fit."""
+    kind = schema["type"]
+    if kind == "array":
+        return rf"ARRAY<(?:VOID|{pattern(schema['items'])})>"
+    if kind != "object":
+        return _TYPES[kind]
+    required = schema.get("required", ())
+    keys = "".join(rf"(?:`?{re.escape(k)}`?: {pattern(v)}(?:, |(?=>))){'' if k in required else '?'}" for k, v in sorted(schema.get("properties", {}).items()))
+    return f"OBJECT<{keys}>"
 
 
-def tool_schemas(spark: SparkSession, tools: dict[str, dict[str, str]], required: dict[str, list[str]]) -> DataFrame:
-    """A schema table (tool, properties, required) from argument types and required arguments by tool."""
-    rows = [(name, types, required.get(name, [])) for name, types in tools.items()]
-    return spark.createDataFrame(rows, "tool string, properties map<string, string>, required array<string>")
+def enumerations(schema: dict, path: str = "$") -> list[tuple[str, list[str]]]:
+    """(path, allowed values as text) of the enumerations outside of arrays."""
+    found = [(path, [str(x) for x in schema["enum"]])] if "enum" in schema else []
+    for k, v in schema.get("properties", {}).items():
+        found += enumerations(v, f"{path}['{k}']")
+    return found
+
+
+def tool_schemas(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
+    """A table (tool, shape, enums) of the JSON schemas of the tools' arguments."""
+    rows = []
+    for name, schema in sorted(tools.items()):
+        enums = [F.struct(F.lit(path).alias("path"), F.array(*map(F.lit, allowed)).alias("allowed")) for path, allowed in enumerations(schema)]
+        rows.append(F.struct(F.lit(name).alias("tool"), F.lit(f"^{pattern(schema)}$").alias("shape"), (F.array(*enums) if enums else F.array()).cast("array<struct<path: string, allowed: array<string>>>").alias("enums")))
+    listed = F.array(*rows) if rows else F.expr("cast(array() as array<struct<tool: string, shape: string, enums: array<struct<path: string, allowed: array<string>>>>>)")
+    return spark.range(1).select(F.inline(listed))
 
 
 def _object(*pairs: tuple[str, Column]) -> Column:
@@ -58,19 +93,24 @@ def _one_value(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull() & F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
 
 
-def _typed(arguments: Column) -> Column:
-    return F.transform_values(F.from_json(arguments, "map<string, variant>"), lambda _, v: F.schema_of_variant(v))
+def _fits(whole: Column, arguments: Column) -> Column:
+    """Whether parsed arguments have the shape of their tool's schema and only enumerated values."""
+    at = lambda e: F.call_function("get_json_object", arguments, e["path"])
+    listed = F.forall("enums", lambda e: at(e).isNull() | F.array_contains(e["allowed"], at(e)))
+    return F.regexp_like(F.schema_of_variant(whole), F.col("shape")) & listed
 
 
-def _fits(types: Column, properties: Column, required: Column) -> Column:
-    """Whether all required arguments are there and all arguments have a declared, right type."""
-    allowed = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
-    right = F.forall(F.map_keys(types), lambda k: F.coalesce(F.regexp_like(F.element_at(types, k), F.try_element_at(allowed, F.try_element_at(properties, k))), F.lit(False)))
-    return right & F.forall(required, lambda k: F.map_contains_key(types, k))
+def _met(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``rows`` with what is known of their call_id; those without one are spread by their text and meet nothing."""
+    salt = F.when(F.col("call_id").isNull(), F.xxhash64("turn", "salt")).otherwise(F.lit(0))
+    return rows.withColumn("salt", salt).join(first.withColumn("salt", F.lit(0).cast("long")), ["conv_id", "call_id", "salt"], "left")
 
 
 def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Per message and call: conv_id, turn, kind, role, call_id, linked, valid, the order keys, json."""
+    """Per message and call: conv_id, turn, kind, role, call_id, linked, valid, the order keys, json.
+
+    ``schemas`` (tool, shape, enums) has a row a tool, as ``tool_schemas`` gives it.
+    """
     text = F.col("text").cast("string")
     shaped = text.rlike(r"^\s*\{") & _one_value(text)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), F.when(shaped, F.from_json(text, _MESSAGE)).alias("m"))
@@ -84,7 +124,7 @@ def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     answered = one.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
     first = first.join(answered, ["conv_id", "call_id"], "left")
 
-    said = one.join(first, ["conv_id", "call_id"], "left")
+    said = _met(one.withColumn("salt", F.col("text")), first)
     moved = F.when(F.col("first_turn").isNotNull(), F.greatest("turn", "first_turn")).otherwise(F.col("turn"))
     result = F.col("call_id").isNotNull()
     said = said.select(
@@ -94,13 +134,12 @@ def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         F.when(result, _object(("content", _text(F.col("content"))), ("role", _text(F.col("role"))), ("tool_call_id", _text(F.col("call_id"))))).otherwise(_object(("content", _text(F.col("content"))), ("role", _text(F.col("role"))))).alias("json"),
     )
 
-    parsed = F.when(F.col("arguments").rlike(r"^\s*\{") & _one_value(F.col("arguments")), F.try_parse_json("arguments"))
-    called = calls.withColumn("whole", parsed).join(first, ["conv_id", "call_id"], "left").join(schemas, "tool", "left")
-    called = called.withColumn("types", F.when(F.col("whole").isNotNull(), _typed(F.col("arguments"))))
+    whole = F.when(F.col("arguments").rlike(r"^\s*\{") & _one_value(F.col("arguments")), F.try_parse_json("arguments"))
+    called = _met(calls.withColumn("salt", F.col("arguments")), first).join(F.broadcast(schemas), "tool", "left").withColumn("whole", whole)  # a row a tool
     own = (F.col("turn") == F.col("first_turn")) & (F.col("index") == F.col("first_index"))
     called = called.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "role", "call_id",
-        F.coalesce(own & F.col("answers").isNotNull(), F.lit(False)).alias("linked"), F.coalesce(_fits(F.col("types"), F.col("properties"), F.col("required")), F.lit(False)).alias("valid"),
+        F.coalesce(own & F.col("answers").isNotNull(), F.lit(False)).alias("linked"), F.coalesce(_fits(F.col("whole"), F.col("arguments")), F.lit(False)).alias("valid"),
         F.col("turn").alias("order_turn"), F.lit(1).alias("order_kind"), F.col("index").alias("order_index"),
         _object(("arguments", F.coalesce(F.to_json("whole"), _text(F.col("arguments")))), ("id", _text(F.col("call_id"))), ("name", _text(F.col("tool")))).alias("json"),
     )
