@@ -63,3 +63,41 @@ def test_removal_keeps_columns_and_smallest_ids(spark):
     assert kept.columns == table(spark, rows).columns
     truth = brute(rows, 5)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in truth.items() if i == c)
+
+
+def test_families_that_meet_in_buckets_only(spark):
+    """Two large groups with passages in common, so their members meet in buckets without being alike."""
+    import random
+
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(70)]
+    rows = []
+    for family in range(3):
+        base = [f"f{family}x{i}" for i in range(45)]
+        for i in range(40):
+            own = shared + base
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
+            rows.append((family * 100 + i, " ".join(own)))
+    want = brute(rows, 2)
+    for few in (0, 1000):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.link(table(spark, rows), shingle_words=2, few=few, block=8, bands=128, rows=1).collect()}
+        assert got == want
+
+
+def test_signatures_of_long_sets_are_the_same_in_groups(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    value, first = rng.integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 10, 10, 4000, 4001, 5000])
+    whole = near_dup.super_min_hash(value, first, 128)
+    monkeypatch.setattr(near_dup, "BIDDERS", 300)
+    assert (near_dup.super_min_hash(value, first, 128) == whole).all()
+
+
+def test_long_texts_and_extra_rows_without_id(spark):
+    long = " ".join(f"w{i}" for i in range(700_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), *[(None, "same text of a row without id")] * 300]
+    got = near_dup.link(table(spark, rows), shingle_words=2)
+    assert got.filter("doc_id is null and kept").count() == 300
+    assert {r.doc_id: r.component_id for r in got.filter("doc_id is not null").collect()} == {1: 1, 2: 1, 3: 3}

@@ -12,18 +12,23 @@
    meet in buckets gather in families around the largest of them; a family's
    members outside that one are compared with all of the family: pair by pair
    where they are few, else in blocks of bounded size, each block against each,
-   of which a task returns only the links. Pairs across families are compared
-   outright. So every pair that shares a bucket is confirmed, refuted, or
-   already connected, however large the group.
+   of which a task returns only the links. What still meets in a bucket across
+   families is compared in the same two ways. So every pair that shares a bucket
+   is confirmed, refuted, or already connected, however large the group, and
+   buckets with one component, usually all, need none of this.
 5. Components of the links come from star contraction (``graph``).
 
-Bands of 4 out of 128 positions: a pair at similarity 0.8 shares no bucket
+Whole sets are compared, not signatures, as sets of 64-bit hashes: with a
+thousand shingles each, two texts have one hash in common by chance with a
+probability of 5e-14. Bands of 4 out of 128 positions: a pair at similarity 0.8 shares no bucket
 with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
 
 Edge cases: null or empty texts and texts without words have size 0, stand
 alone and are kept. A text with fewer words than a shingle has one shingle,
 the whole sequence. Rows that repeat a doc_id are each returned and share its
-component. Rows without doc_id are returned unlinked and kept.
+component. Rows without doc_id are returned unlinked and kept. Elements of a
+long text bid in groups of ``BIDDERS``, so a task needs about twenty times the
+bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ from waypost.llm.graph import components
 from waypost.llm.shared import stored
 
 BANDS, ROWS = 32, 4
+#: Elements whose bids are held at once, of ``size`` bytes each.
+BIDDERS = 1 << 18
 U64 = np.uint64
 
 
@@ -73,6 +80,13 @@ def super_min_hash(value: np.ndarray, first: np.ndarray, size: int) -> np.ndarra
     n = len(first) - 1
     least = np.full(n * size, np.iinfo(np.int64).max, dtype=np.int64)
     text = np.repeat(np.arange(n), np.diff(first))
+    for low in range(0, len(value), BIDDERS):
+        _bid(least, value[low : low + BIDDERS], text[low : low + BIDDERS], size)
+    return least.reshape(n, size)
+
+
+def _bid(least: np.ndarray, value: np.ndarray, text: np.ndarray, size: int) -> None:
+    """Lower ``least`` (texts x size, flat) to the bids of the elements ``value``."""
     order = np.tile(np.arange(size, dtype=np.uint16 if size > 256 else np.uint8), (len(value), 1))
     for rank in range(size):
         if not len(value):
@@ -84,11 +98,10 @@ def super_min_hash(value: np.ndarray, first: np.ndarray, size: int) -> np.ndarra
         order[row, at] = order[:, rank]
         np.minimum.at(least, text * size + place, (rank << 32) | (draw >> U64(32)).astype(np.int64))
         live = np.unique(text)
-        open_ = live[least.reshape(n, size)[live].max(axis=1) >= (rank + 1) << 32]
+        open_ = live[least.reshape(-1, size)[live].max(axis=1) >= (rank + 1) << 32]
         if len(open_) < len(live):
             stays = np.isin(text, open_)
             value, text, order = value[stays], text[stays], order[stays]
-    return least.reshape(n, size)
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -168,36 +181,51 @@ def _block_links(percent: int):
     return run
 
 
+def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Members of groups dealt to pairs of blocks (x of outsiders, y of all).
+
+    ``rows`` have the group, rep, component, outside, and the group's ``all``
+    members and ``outsiders``. A member is copied once for each block it meets.
+    """
+    n_in, n_out = F.ceil(F.col("all") / block), F.ceil(F.col("outsiders") / block)
+    place = lambda n: F.pmod(F.xxhash64("rep"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = [F.xxhash64(F.lit(group), group).alias("met"), "rep", "component"]
+    asking = rows.filter("outside").select(*columns, F.lit(True).alias("outside"), place(n_out).alias("x"), every(n_in).alias("y"))
+    return asking.unionByName(rows.select(*columns, F.lit(False).alias("outside"), every(n_out).alias("x"), place(n_in).alias("y")))
+
+
 def _across(open_: DataFrame, sets: DataFrame, percent: int, few: int, block: int) -> DataFrame:
-    """Links (a, b) between components that meet in a bucket; ``open_`` has key, rep, n, component, main."""
+    """Links (a, b) between components that meet in a bucket; ``open_`` has key, rep, n, component, main, main_size."""
     hubs = stored(open_.groupBy("component").agg(F.max(F.struct("main_size", "main")).alias("h")).select("component", F.col("h.main").alias("family")), "hubs")
     placed = stored(open_.select("key", "rep", "n", "component").join(hubs, "component"), "families")
+
+    # within families: those outside of the largest component
     kin = placed.select("rep", "n", "component", "family").distinct().withColumn("outside", F.col("component") != F.col("family"))
     sizes = kin.groupBy("family").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")).filter("outsiders > 0")
     kin = stored(kin.join(stored(sizes, "sizes"), "family"), "kin")
+    # across families: those of a bucket outside of one of its families
+    foreign = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.max_by("family", F.xxhash64("family")).alias("home")).filter("low < high")
+    met = placed.join(foreign.select("key", "home"), "key").withColumn("outside", F.col("family") != F.col("home"))
+    sizes = met.groupBy("key").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders"))
+    met = stored(met.join(sizes, "key"), "met")
 
-    # pair by pair: few outsiders, and members of different families
+    # pair by pair where outsiders are few
     of = lambda df, *more: df.select(*more, F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"))
     distinct_parts = (F.col("component") != F.col("part")) & _near(percent)
-    pair = lambda df: df.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.when(F.col("rep") < F.col("r"), F.col("component")).otherwise(F.col("part")).alias("pa"), F.when(F.col("rep") < F.col("r"), F.col("part")).otherwise(F.col("component")).alias("pb"))
-    little = kin.filter(F.col("outsiders") <= few)
-    inside = pair(little.filter("outside").join(of(little, "family"), "family").filter(distinct_parts))
-    foreign = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.max_by("family", F.xxhash64("family")).alias("any")).filter("low < high")
-    foreign = placed.join(foreign, "key")
-    between = pair(foreign.filter("family <> any").join(of(foreign, "key", F.col("family").alias("kind")), "key").filter(distinct_parts & (F.col("family") != F.col("kind"))))
+    ordered = F.col("rep") < F.col("r")
+    pair = lambda df: df.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.when(ordered, F.col("component")).otherwise(F.col("part")).alias("pa"), F.when(ordered, F.col("part")).otherwise(F.col("component")).alias("pb"))
+    sparse, dense = F.col("outsiders") <= few, F.col("outsiders") > few
+    inside = pair(kin.filter(sparse & F.col("outside")).join(of(kin.filter(sparse), "family"), "family").filter(distinct_parts))
+    other = of(met.filter(sparse), "key", F.col("family").alias("kind"))
+    between = pair(met.filter(sparse & F.col("outside")).join(other, "key").filter(distinct_parts & (F.col("family") != F.col("kind"))))
     pairs = inside.unionByName(between).distinct()
     close = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
-    # block by block: each block of outsiders with each block of the family
-    large = kin.filter(F.col("outsiders") > few)
-    n_in, n_out = F.ceil(F.col("all") / block), F.ceil(F.col("outsiders") / block)
-    place = lambda n: F.pmod(F.xxhash64("rep"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    columns = ["family", "rep", "component"]
-    rows = large.filter("outside").select(*columns, F.lit(True).alias("outside"), place(n_out).alias("x"), every(n_in).alias("y"))
-    rows = rows.unionByName(large.select(*columns, F.lit(False).alias("outside"), every(n_out).alias("x"), place(n_in).alias("y")))
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("family", "x", "y", "rep", "component", "outside", "items")
-    in_blocks = rows.groupBy("family", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    # else block by block: each block of outsiders with each block of all
+    rows = _blocked(kin.filter(dense), "family", block).unionByName(_blocked(met.filter(dense), "key", block))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("met", "x", "y", "rep", "component", "outside", "items")
+    in_blocks = rows.groupBy("met", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
     return close.unionByName(in_blocks)
 
 
@@ -221,16 +249,18 @@ def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int
     pairs = members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
     placed = stored(members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
-    # what is joined is written first: a join of bare exchanges can be split by Spark where a key is hot
-    volume = stored(placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")), "volumes")
-    placed = stored(placed.join(volume, "component"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("volume", "component")).alias("top")).filter("low < high")
-    mixed = stored(mixed.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "mixed")
-    open_ = placed.join(mixed, "key")
-    merged = components(_across(open_, sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
-
     named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = stored(named.join(merged, "component", "left").select("n_shingles", "d1", "d2", F.coalesce("root", "component").alias("component")), "named")
+    mixed = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
+    if not mixed.isEmpty():
+        # what is joined is written first: a join of bare exchanges can be split by Spark where a key is hot
+        open_ = stored(placed.join(mixed, "key"), "open")
+        volume = stored(open_.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")), "volumes")
+        open_ = stored(open_.join(volume, "component"), "placed")
+        top = open_.groupBy("key").agg(F.max(F.struct("volume", "component")).alias("top"))
+        top = stored(top.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "tops")
+        merged = components(_across(open_.join(top, "key"), sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        named = named.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
+    named = stored(named.select("n_shingles", "d1", "d2", "component"), "named")
     placed = profile.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
