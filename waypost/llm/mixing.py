@@ -19,7 +19,9 @@ shard.
 Edge cases: null or empty texts have size 0 and take nothing; sources of size
 0 get the target 0; rows without source form one source, the last; rows that
 repeat a doc_id are separate rows that share the draw's order by their sizes;
-an empty table gives an empty result.
+rows without doc_id are drawn by a digest of their text; an empty table gives
+an empty result. A task holds the sizes of one shard, ``shard_docs`` rows on
+average; the windows over all sources, of a row each, are one task.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waypost.llm.shared import stored
+from waypost.llm.shared import boxed, stored
 
 #: Words are separated by space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,7 +81,7 @@ def sainte_lague(items: DataFrame, group: list[str], item: str, votes: str, seat
     return joined.withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("share", "reach", "low", "high", "open", "won")
 
 
-def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: int = 2, block_words: int = 4, shard_docs: int = 20_000, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: int = 2, block_words: int = 4, shard_docs: int = 2_000, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` doc_id, the columns ``keep``, source, sizes and target, and its place in the draw.
 
     The place: the row's words are ``a`` to ``b`` of its shard, which has
@@ -87,7 +89,9 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float
     ``nth`` counts the shard's rows that have words by size.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size, *keep)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.when(F.col("doc_id").isNull(), F.md5(text)).alias("name")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size, name, *keep)
     sized = stored(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     aimed = targets(sums.drop("rows"), weights, ratio, cap)
@@ -98,7 +102,8 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float
 
     named = dealt.withColumnRenamed("source", "s")
     placed = sized.join(named, sized["source"].eqNullSafe(named["s"])).drop("s")
-    placed = placed.withColumn("shard", F.pmod(_draw(F.lit(seed), F.lit("shard"), F.col("doc_id")), F.col("shards")))
+    named_row = F.coalesce(F.col("doc_id").cast("string"), F.col("name"))
+    placed = placed.withColumn("shard", F.pmod(_draw(F.lit(seed), F.lit("shard"), named_row), F.col("shards")))
     shards = placed.groupBy("position", "shard").agg(F.sum("size").alias("words"), F.max("quota").alias("seats")).withColumn("votes", F.col("words").cast("double"))
     shards = sainte_lague(shards, ["position"], "shard", "votes", "seats")
     n = F.ceil(F.col("words") / block_words).cast("long")
@@ -106,7 +111,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float
     shards = shards.withColumn("u", F.when(F.col("n") > 0, F.pmod(_draw(F.lit(seed), F.lit("start"), F.col("position"), F.col("shard")), F.col("n"))))
     shards = stored(shards, "shards")
 
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), named_row))
     order = Window.partitionBy("position", "shard").orderBy(key, "doc_id", "size")
     start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_size = Window.partitionBy("position", "shard").orderBy("size", key, "doc_id")
@@ -144,23 +149,24 @@ def mixed(docs: DataFrame, whole: bool = False, cap: int = 2, block_words: int =
     least that often, wherever they lie; n_chars, where there is such a
     column, follows.
     """
-    rows = stored(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    placed = _placed(rows, cap=cap, block_words=block_words, keep=("row_",), **options)
+    rows = stored(boxed(docs).withColumn("row_", F.monotonically_increasing_id()), "rows")
+    placed = _placed(rows.select("row_", "doc.doc_id", "doc.text", "doc.source"), cap=cap, block_words=block_words, keep=("row_",), **options)
     if whole:
         rate = F.least(F.lit(float(cap)), F.col("q") * float(block_words) / F.col("words"))
         drawn = lambda nth: F.floor(nth * rate + F.col("u") / F.col("n"))
         chosen = placed.filter("size > 0").select("row_", (drawn(F.col("nth")) - drawn(F.col("nth") - 1)).cast("int").alias("copies_")).filter("copies_ > 0")
-        return rows.join(chosen, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select(*docs.columns)
+        return rows.join(chosen, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_"))).select("doc.*")
     chosen = placed.filter(f"size > 0 and {_taken('b', block_words)} > {_taken('a', block_words)}").select("row_", "size", "a", "n", "q", "u")
-    chosen = chosen.withColumnsRenamed({c: f"{c}_" for c in ("size", "a", "n", "q", "u")})
-    copies = rows.join(chosen, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("q_") / F.col("n_")))))
-    before = lambda j: F.floor((j * F.col("q_") + F.col("u_")) / F.col("n_"))
-    block = lambda i: F.floor((F.col("a_") + i) / block_words)
-    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    copies = rows.join(chosen, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("q") / F.col("n")))))
+    before = lambda j: F.floor((j * F.col("q") + F.col("u")) / F.col("n"))
+    block = lambda i: F.floor((F.col("a") + i) / block_words)
+    words = F.regexp_extract_all(F.col("doc.text").cast("string"), F.lit(WORD), F.lit(0))
     copies = copies.withColumn("words_", F.filter(words, lambda _, i: before(block(i) + 1) - before(block(i)) >= F.col("copy_"))).filter("size(words_) > 0")
-    uncut = F.size("words_") == F.col("size_")
-    copies = copies.withColumn("text", F.when(uncut, F.col("text")).otherwise(F.array_join("words_", " ")))
+    uncut = F.size("words_") == F.col("size")
+    cut = F.array_join("words_", " ")
+    out = {c: F.col(f"doc.{c}") for c in docs.columns}
+    out["text"] = F.when(uncut, F.col("doc.text")).otherwise(cut)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        copies = copies.withColumn("n_chars", F.when(uncut, F.col("n_chars").cast(kind)).otherwise(F.length("text").cast(kind)))
-    return copies.select(*docs.columns)
+        out["n_chars"] = F.when(uncut, F.col("doc.n_chars")).otherwise(F.length(cut).cast(kind))
+    return copies.select(*[value.alias(c) for c, value in out.items()])

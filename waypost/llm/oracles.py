@@ -27,7 +27,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id
 """
 
 OP4 = rf"""
-WITH sized AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name, source, len({WORDS})::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS rows FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS position FROM sums),
 weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(position - 1) % 3 + 1] AS weight FROM ranked),
@@ -41,9 +41,9 @@ aimed AS (SELECT levels.*, CASE WHEN fl IS NULL OR full_at < fa OR (full_at = fa
 seats AS (SELECT round(sum(target) / 4)::BIGINT AS seats FROM aimed),
 quotients AS (SELECT position, target / (2 * k + 1) AS quotient, k FROM (SELECT position, target, unnest(range(0, (ceil(target / 4) * 2 + 16)::BIGINT)) AS k FROM aimed WHERE target > 0)),
 won AS (SELECT position, count(*) AS quota FROM (SELECT position, row_number() OVER (ORDER BY quotient DESC, position, k) AS r FROM quotients) CROSS JOIN seats WHERE r <= seats GROUP BY position),
-dealt AS (SELECT aimed.*, coalesce(quota, 0) AS quota, greatest(1, ceil(rows / 20000))::BIGINT AS shards FROM aimed LEFT JOIN won USING (position)),
+dealt AS (SELECT aimed.*, coalesce(quota, 0) AS quota, greatest(1, ceil(rows / 2000))::BIGINT AS shards FROM aimed LEFT JOIN won USING (position)),
 placed AS (
-  SELECT s.doc_id, s.size, d.position, d.source_size, d.target, d.quota, ('0x' || substr(md5('17:shard:' || s.doc_id), 1, 12))::BIGINT % d.shards AS shard
+  SELECT s.doc_id, s.name, s.size, d.position, d.source_size, d.target, d.quota, ('0x' || substr(md5('17:shard:' || s.name), 1, 12))::BIGINT % d.shards AS shard
   FROM sized s JOIN dealt d ON s.source IS NOT DISTINCT FROM d.source
 ),
 shards AS (SELECT position, shard, sum(size)::BIGINT AS words, max(quota) AS seats FROM placed GROUP BY 1, 2),
@@ -53,7 +53,7 @@ drawn AS (
   SELECT position, shard, n, least(coalesce(quota, 0), 2 * n) AS q, CASE WHEN n > 0 THEN ('0x' || substr(md5('17:start:' || position || ':' || shard), 1, 12))::BIGINT % n END AS u
   FROM (SELECT position, shard, ceil(words / 4)::BIGINT AS n FROM shards) LEFT JOIN shard_won USING (position, shard)
 ),
-laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY position, shard ORDER BY md5('17:order:' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM placed),
+laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY position, shard ORDER BY md5('17:order:' || name), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM placed),
 cut AS (
   SELECT doc_id, laid.size, source_size, target, q, n, u, greatest(a, 4 * j) AS low, least(a + laid.size, 4 * j + 4) AS high, j
   FROM (SELECT *, unnest(CASE WHEN size > 0 THEN range(a // 4, (a + size - 1) // 4 + 1) ELSE [0] END) AS j FROM laid) laid JOIN drawn USING (position, shard)
