@@ -167,11 +167,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a hit; rows that share a doc_id go together, those without one are judged one by one."""
     rows = unnamed_numbered(docs)
-    key = F.coalesce("row_", F.col("doc_id").cast("long")).alias("doc_id")
+    key = F.coalesce("row_", "doc_id").alias("doc_id")
     bad = []
     for unnamed in (False, True) if not rows.filter("row_ is not null").isEmpty() else (False,):
         part = rows.filter(F.col("row_").isNotNull() == unnamed)
         hit = contamination(part.select(key, "text"), benchmark, **options).filter("n_hit > 0")
         bad.append(hit.select(F.col("doc_id").alias("id_"), F.lit(unnamed).alias("unnamed_")).distinct())
     bad = functools.reduce(DataFrame.unionByName, bad)
-    return rows.join(bad, (key == F.col("id_")) & (F.col("row_").isNotNull() == F.col("unnamed_")), "left_anti").select(*docs.columns)
+    return rows.join(bad, (key == F.col("id_")) & (F.col("row_").isNotNull() == F.col("unnamed_")), "left_anti").select("doc.*")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from waypost.llm import words as W
 from waypost.llm.graph import components
-from waypost.llm.shared import stored
+from waypost.llm.shared import lasting, passing, stored
 
 BANDS, ROWS = 32, 4
 #: Elements whose bids are held at once, of ``size`` bytes each.
@@ -236,31 +236,32 @@ def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int
     ``block`` documents; neither number changes the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(texts.mapInArrow(_profile(shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "profiles")
-    real = profile.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-
-    spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    centres = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(spread.join(stored(centres, "centres"), "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"), "sets")
-
-    pairs = members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
-    placed = stored(members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
-    named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
-    if not mixed.isEmpty():
-        # what is joined is written first: a join of bare exchanges can be split by Spark where a key is hot
-        open_ = stored(placed.join(mixed, "key"), "open")
-        volume = stored(open_.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")), "volumes")
-        open_ = stored(open_.join(volume, "component"), "placed")
-        top = open_.groupBy("key").agg(F.max(F.struct("volume", "component")).alias("top"))
-        top = stored(top.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "tops")
-        merged = components(_across(open_.join(top, "key"), sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        named = named.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
-    named = stored(named.select("n_shingles", "d1", "d2", "component"), "named")
+    profile = lasting(texts.mapInArrow(_profile(shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "profiles")
+    with passing():
+        real = profile.filter("n_shingles > 0 and doc_id is not null")
+        classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+
+        spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+        centres = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+        members = stored(spread.join(stored(centres, "centres"), "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")), "members")
+        wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+        sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"), "sets")
+
+        pairs = members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+        label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
+        placed = stored(members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+        named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
+        if not mixed.isEmpty():
+            # what is joined is written first: a join of bare exchanges can be split by Spark where a key is hot
+            open_ = stored(placed.join(mixed, "key"), "open")
+            volume = stored(open_.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")), "volumes")
+            open_ = stored(open_.join(volume, "component"), "placed")
+            top = open_.groupBy("key").agg(F.max(F.struct("volume", "component")).alias("top"))
+            top = stored(top.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "tops")
+            merged = components(_across(open_.join(top, "key"), sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+            named = named.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
+        named = lasting(named.select("n_shingles", "d1", "d2", "component"), "named")
     placed = profile.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

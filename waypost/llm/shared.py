@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,16 @@ from pyspark.sql import functions as F
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests on one machine, a temporary
-    folder of the driver is made and announced as the checkpoint folder.
+    Only where the setting is absent and Spark runs on one machine, as in tests,
+    a temporary folder of the driver is made and announced as the checkpoint
+    folder. On a cluster without the setting this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     held = getattr(context, "_waypost_root", None)
     if held is None:
         held = tempfile.mkdtemp(prefix="waypost-")
@@ -36,20 +41,57 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/waypost/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[dict[str, SparkSession]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1][path] = spark
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Tables stored within are deleted at the end, but for those stored under ``lasting``.
+
+    What outlives the block must read lasting tables only.
+    """
+    _open.append({})
+    try:
+        yield
+    finally:
+        for path, spark in _open.pop().items():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, but kept when the ``passing`` block around ends; that block's own caller may let it pass."""
+    inner = _open.pop() if _open else None
+    try:
+        return stored(df, name)
+    finally:
+        if inner is not None:
+            _open.append(inner)
+
+
+def boxed(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` as one column ``doc``, so no added name clashes, beside the columns ``names``."""
+    return docs.select(F.struct("*").alias("doc"), *names)
+
+
 def unnamed_numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row_``: a number of its own for each row without doc_id, null for others; written if there is one."""
+    """doc (all of a row), doc_id, text and ``row_``: a number of its own for each row without doc_id, null for others; written if there is one."""
+    shown = lambda df, row: df.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"), row.alias("row_"))
+    rows = boxed(docs)
     if docs.filter("doc_id is null").isEmpty():
-        return docs.withColumn("row_", F.lit(None).cast("long"))
-    return stored(docs.withColumn("row_", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "numbered")
+        return shown(rows, F.lit(None).cast("long"))
+    return shown(stored(rows.withColumn("row_", F.monotonically_increasing_id()), "numbered"), F.when(F.col("doc.doc_id").isNull(), F.col("row_")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

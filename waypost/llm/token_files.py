@@ -24,9 +24,11 @@ carriage return are encoded whole, and so are those that hold one of the
 tokenizer's added tokens, before which white space is split in another way.
 
 Edge cases: null and empty texts are written as ``end_id`` alone. Rows that
-repeat a doc_id follow each other in the order of their texts. Rows without
-doc_id come first, marked by the smallest integer in ``.ids``. An empty table
-gives no shard.
+repeat a doc_id follow each other in an order that hashes of their texts give.
+Rows without doc_id come first, marked by the smallest integer in ``.ids``.
+Ranges are cut between texts of one doc_id, too, so many rows without one aren't
+one shard. An empty table gives no shard. A task needs about ten times the bytes
+of its longest text.
 """
 
 from __future__ import annotations
@@ -174,7 +176,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, root: st
     spark = docs.sparkSession
     root = root or scratch(spark, "tokens")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = texts.repartitionByRange(shards or parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    dealt = texts.repartitionByRange(shards or parts(spark), *order).sortWithinPartitions(*order, "text")
     return stored(dealt.mapInArrow(_write(root, tokenizer_path, end_id), "shard int, path string, docs long, tokens long, width int"), "manifest")
 
 

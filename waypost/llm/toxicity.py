@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm import words as W
-from waypost.llm.shared import stored, unnamed_numbered
+from waypost.llm.shared import lasting, passing, stored, unnamed_numbered
 
 U64 = np.uint64
 ORDER = 6
@@ -265,9 +265,9 @@ class Tables:
         total = lambda c: F.greatest(F.sum(c), F.lit(1e-9))
         rest = lambda c: F.least(F.greatest(1 - F.sum(over(c)) / total(c), F.lit(1e-6)), F.lit(1.0))
         both = ("toxic", "ordinary")
-        sums = stored(counted.groupBy("context").agg(*[total(c).alias(f"{c}_total") for c in both], *[rest(c).alias(f"{c}_rest") for c in both]), "contexts")
+        sums = lasting(counted.groupBy("context").agg(*[total(c).alias(f"{c}_total") for c in both], *[rest(c).alias(f"{c}_rest") for c in both]), "contexts")
         log = lambda c: F.ln(over(c) / F.col(f"{c}_total") + F.col(f"{c}_rest") * F.col("below"))
-        self.grams = stored(counted.join(sums, "context").join(below, "key").select("gram", (log("toxic") - log("ordinary")).alias("evidence")), "evidence")
+        self.grams = lasting(counted.join(sums, "context").join(below, "key").select("gram", (log("toxic") - log("ordinary")).alias("evidence")), "evidence")
         self.contexts = sums.select("context", (F.ln("toxic_rest") - F.ln("ordinary_rest")).alias("unseen"))
 
     def features(self, rows: DataFrame) -> DataFrame:
@@ -328,6 +328,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams:
     The logistic curve is fitted on fold 3 by a model that counts folds 0 and 1
     only; then fold 3 is counted, too.
     """
+    with passing():
+        return _trained(docs, labels, max_rows, max_grams)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, max_rows: int, max_grams: int) -> Model | Tables | None:
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")).withColumn("part", fold()).filter("part <> 2")
@@ -410,4 +415,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic; rows that share a doc_id go together, those without one are judged one by one."""
     rows = unnamed_numbered(docs)
     bad = _judged(rows, labels, keep=("row_",), **options).filter("predicted = 1").select(F.col("doc_id").alias("id_"), F.col("row_").alias("bad_")).distinct()
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("row_").eqNullSafe(F.col("bad_")), "left_anti").select(*docs.columns)
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("row_").eqNullSafe(F.col("bad_")), "left_anti").select("doc.*")
