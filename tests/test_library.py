@@ -17,7 +17,7 @@ def test_save_and_load(spark, tmp_path):
     sinks.save(df, f"{tmp_path}/table", f"{tmp_path}/snapshot")
     assert S.load(spark, f"{tmp_path}/table", f"{tmp_path}/snapshot").count() == df.count()
     columns = [c for c in df.columns if c != "place_id"]
-    back = S.load(spark, f"{tmp_path}/missing", f"{tmp_path}/snapshot") if False else S.read_csv(spark, f"{tmp_path}/snapshot", columns)
+    back = S.load(spark, f"{tmp_path}/missing", f"{tmp_path}/snapshot", columns)
     assert back.filter("telefoonnummer like '06%'").count() == df.filter("telefoonnummer like '06%'").count() > 0
     assert {r.tags for r in back.select("tags").distinct().collect()} == {'["a",null]'}
     assert back.select("photos").exceptAll(df.select("photos")).count() == 0
@@ -63,22 +63,30 @@ def test_payload_files(spark, tmp_path):
     assert (got["Plek"].honden_toegestaan, got["Plek"].prijs, got["Plek"].telefoonnummer) == ("Ja", "Gratis", "0612")
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_nearest_city_is_exact(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(0, 10_000), (1, 10_000), (0, 0)])
+def test_nearest_city_is_exact_all_over_the_globe(spark, seed, small):
     import random
+    from math import asin, cos, radians, sin, sqrt
 
     rng = random.Random(seed)
-    cities = [(i, rng.uniform(-60, 80), rng.uniform(-170, 170), "NL", f"r{i}") for i in range(40)]
-    points = [(i, rng.uniform(-60, 80), rng.uniform(-170, 170)) for i in range(60)]
-    from math import asin, cos, radians, sin, sqrt
+    span = 180 if seed else 40
+    cities = [(i, rng.uniform(-90, 90), rng.choice([-1, 1]) * (180 - rng.uniform(0, span)), "NL", f"r{i}") for i in range(300)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)]
+    points += [(900, 0.5, 179.9), (901, 90.0, 0.0), (902, -90.0, 77.0), (903, 89.99, -179.99), (904, 0.0, -180.0), (905, 0.0, 180.0)]
+    cities += [(900, 0.5, 179.1, "NL", "far"), (901, 0.5, -179.9, "NL", "near"), (902, 0.5, -179.9, "NL", "a tie")]
 
     def km(a, b, c, d):
-        return 2 * 6371 * asin(sqrt(sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2))
+        return 2 * 6371 * asin(sqrt(min(1.0, sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2)))
 
     want = {i: min((round(km(a, b, c, d), 6), city) for city, c, d, _, _ in cities)[1] for i, a, b in points}
-    df = spark.createDataFrame([*points, (999, None, 1.0)], "place_id long, lat_d double, lon_d double")
-    got = geo.nearest_city(df, spark.createDataFrame(cities, "city_id long, lat double, lon double, cc string, admin1 string"))
-    assert {r.place_id: r.city_id for r in got.collect()} == want
+    df = spark.createDataFrame([*points, (999, None, 1.0), (998, float("nan"), 1.0)], "place_id long, lat_d double, lon_d double")
+    got = geo.nearest_city(df, spark.createDataFrame(cities, "city_id long, lat double, lon double, cc string, admin1 string"), small=small)
+    assert {r.place_id: r.city_id for r in got.collect()} == want and want[900] == 901
+
+
+def test_nearest_city_without_cities(spark):
+    none = spark.createDataFrame([], "city_id long, lat double, lon double, cc string, admin1 string")
+    assert geo.nearest_city(spark.createDataFrame([(1, 2.0, 3.0)], "place_id long, lat_d double, lon_d double"), none).count() == 0
 
 
 def test_radius_without_a_point_keeps_all(spark):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.clean import number
-from waypost.functions.geo import NOWHERE, distance_label, haversine
+from waypost.functions.geo import NOWHERE, RADIUS_KM, distance_label, haversine
+from waypost.sources.scratch import written
 
 
 def with_coordinates(df: DataFrame) -> DataFrame:
@@ -49,48 +53,80 @@ def centroid(df: DataFrame) -> DataFrame:
     return located.agg(F.coalesce(F.avg("lat_d"), F.lit(52.3)).alias("lat"), F.coalesce(F.avg("lon_d"), F.lit(5.3)).alias("lon"), F.when(n == 0, 7).when(n > 15, 8).otherwise(11).alias("zoom"), F.least(n, F.lit(300)).alias("shown"))
 
 
-def nearest_city(df: DataFrame, cities: DataFrame, cell: float = 1.0) -> DataFrame:
+def _cell(lat: Column, lon: Column, size: float, *shift: Column) -> list[Column]:
+    """The cell of a point of the unit sphere in a grid of cubes; a grid in space has no date line and no poles."""
+    a, o = F.radians(lat), F.radians(lon)
+    axes = (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))
+    moved = shift or (F.lit(0), F.lit(0), F.lit(0))
+    return [(F.floor(x / size) + d).cast("long").alias(f"cell_{i}") for i, (x, d) in enumerate(zip(axes, moved, strict=True))]
+
+
+_CELL = ["cell_0", "cell_1", "cell_2"]
+_CITY = ["city_id", "cc", "admin1"]
+
+
+def _around(cities: DataFrame, size: float) -> DataFrame:
+    """Each city in its cell and the 26 around it."""
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spread = cities.select("lat", "lon", *_CITY)
+    for i in range(3):
+        spread = spread.withColumn(f"d_{i}", F.explode(steps))
+    return spread.select("lat", "lon", *_CITY, *_cell(F.col("lat"), F.col("lon"), size, *[F.col(f"d_{i}") for i in range(3)]))
+
+
+def _reach(size: float) -> float:
+    """Kilometres within which a cell's surroundings hold every city: a chord of one cell."""
+    return 2 * RADIUS_KM * math.asin(min(1.0, size / 2)) * (1 - 1e-9) - 1e-5
+
+
+def nearest_city(df: DataFrame, cities: DataFrame, small: int = 10_000) -> DataFrame:
     """Each row (place_id, lat_d, lon_d) with the nearest city's city_id, cc, admin1; ties go to the lowest city_id.
 
-    An exact search without a cross join. Cities are spread over cells of
-    ``cell`` degrees; a place looks in its own cell and those around it, and
-    its best find is sure if it is nearer than the edge of that
-    neighbourhood. What isn't sure looks again in cells twice as wide, until
-    cells span the globe.
+    An exact search without a cross join. Cities are spread over the cells of a
+    grid; a place looks in its own cell, and its best find is sure if it is
+    nearer than the cell's surroundings reach. What isn't sure looks again in
+    cells four times as wide, until they span the globe. The first cells hold
+    about one city each. Up to ``small`` cities, the grids are broadcast as a
+    list of cities a cell, and places aren't shuffled.
     """
-    spark = df.sparkSession
     here = df.filter("lat_d is not null and lon_d is not null and not isnan(lat_d) and not isnan(lon_d)").select("place_id", "lat_d", "lon_d")
-    found, rest, wide = [], here, cell
-    while True:
-        last = wide >= 360
-        y, x = (lambda c, w=wide: F.floor(c / w)), (lambda c, w=wide: F.floor(c / w))
-        if last:
-            near = rest.withColumn("k", F.lit(0))
-            spread = cities.withColumn("k", F.lit(0))
-            keys = ["k"]
-        else:
-            steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-            near = rest.withColumns({"cy": y(F.col("lat_d")), "cx": x(F.col("lon_d"))})
-            spread = cities.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)).withColumns({"cy": y(F.col("lat")) + F.col("dy"), "cx": x(F.col("lon")) + F.col("dx")})
-            keys = ["cy", "cx"]
-        km = haversine(F.col("lat_d"), F.col("lon_d"), F.col("lat"), F.col("lon"))
-        best = near.join(spread, keys).groupBy("place_id", "lat_d", "lon_d").agg(F.min(F.struct(F.round(km, 6).alias("km"), "city_id", "cc", "admin1")).alias("b"))
-        # the neighbourhood reaches at least one cell in each direction; degrees of longitude shrink towards the poles
-        reach = F.lit(wide * 111.0) * F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("lat_d")) + wide)))
-        sure = best if last else best.filter(F.col("b.km") <= reach)
-        found.append(sure.select("place_id", "b.city_id", "b.cc", "b.admin1"))
-        if last:
-            break
-        rest = rest.join(sure.select("place_id"), "place_id", "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            rest = rest.checkpoint()
+    n = cities.count()
+    sizes = [max(0.001, math.sqrt(4 * math.pi / max(n, 1)))]
+    while sizes[-1] < 2:
+        sizes.append(sizes[-1] * 4)
+    found = _nearest_of_few if n <= small else _nearest_of_many
+    return found(here, cities, sizes).select("place_id", *[F.col("b")[c].alias(c) for c in _CITY])
+
+
+def _candidate(lat: Column, lon: Column, city: Column) -> Column:
+    return F.struct(F.round(haversine(lat, lon, city["lat"], city["lon"]), 6).alias("km"), *[city[c].alias(c) for c in _CITY])
+
+
+def _nearest_of_few(here: DataFrame, cities: DataFrame, sizes: list[float]) -> DataFrame:
+    """By broadcast lists: places keep their partitions, and wider grids are only looked at where a narrow one isn't sure."""
+    best, rows = None, here
+    for i, size in enumerate(sizes):
+        lists = _around(cities, size).groupBy(*_CELL).agg(F.collect_list(F.struct("lat", "lon", *_CITY)).alias(f"near_{i}"))
+        rows = rows.select("*", *_cell(F.col("lat_d"), F.col("lon_d"), size)).join(F.broadcast(lists), _CELL, "left").drop(*_CELL)
+    for i, size in reversed(list(enumerate(sizes))):
+        own = F.array_min(F.transform(f"near_{i}", lambda c: _candidate(F.col("lat_d"), F.col("lon_d"), c)))
+        best = own if best is None else F.when(own["km"] <= _reach(size), own).otherwise(best)
+    return rows.select("place_id", best.alias("b")).filter("b is not null")
+
+
+def _nearest_of_many(here: DataFrame, cities: DataFrame, sizes: list[float]) -> DataFrame:
+    """By joins on the cell, a round a grid; each round is written, so none is worked out again."""
+    found, rest = [], here
+    for size in sizes:
+        near = rest.select("*", *_cell(F.col("lat_d"), F.col("lon_d"), size)).join(_around(cities, size), _CELL)
+        best = near.groupBy("place_id", "lat_d", "lon_d").agg(F.min(_candidate(F.col("lat_d"), F.col("lon_d"), F.struct("lat", "lon", *_CITY))).alias("b"))
+        sure = best if size >= 2 else best.filter(F.col("b.km") <= _reach(size))
+        sure = written(sure.select("place_id", "b"), "nearest")
+        found.append(sure)
+        rest = written(rest.join(sure.select("place_id"), "place_id", "left_anti"), "unsure")
         if rest.isEmpty():
             break
-        wide *= 4
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def in_country(df: DataFrame, cities: DataFrame, country: str = "NL") -> DataFrame:

@@ -35,15 +35,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return finished(spark.read.parquet(path))
 
 
-def load(spark: SparkSession, primary: str, fallback: str) -> DataFrame:
-    """The primary table, or the CSV snapshot where that can't be read or is empty."""
+def load(spark: SparkSession, primary: str, fallback: str, columns: list[str] | None = None) -> DataFrame:
+    """The primary table, or the CSV snapshot (of ``columns``) where that can't be read or is empty."""
     try:
         found = read_parquet(spark, primary)
         if not found.isEmpty():
             return found
     except Exception:  # noqa: BLE001  any failure of the primary source means the snapshot
         pass
-    return read_csv(spark, fallback)
+    return read_csv(spark, fallback, columns)
 
 
 def _choice(n: int, *values: str) -> str:
