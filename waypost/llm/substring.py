@@ -45,19 +45,29 @@ _CODEC = pa.Codec("zstd", 1)
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Integer columns as one compressed block of byte planes; sorted or small values shrink most."""
-    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
-    return len(columns[0]).to_bytes(8, "little") + _CODEC.compress(planes, asbytes=True)
+    """Integer columns as one block of byte planes, each compressed by itself if its bytes lie close, and so may shrink."""
+    out = [len(columns[0]).to_bytes(8, "little")]
+    for c in columns:
+        planes = np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T)
+        close = (np.ptp(planes, axis=1) < 200).tolist() if len(c) else [False] * c.itemsize
+        for plane, shrinks in zip(planes, close, strict=True):
+            raw = plane.tobytes()
+            small = _CODEC.compress(raw, asbytes=True) if shrinks else raw
+            small = raw if len(small) >= len(raw) else small
+            out += [len(small).to_bytes(4, "little"), small]
+    return b"".join(out)
 
 
 def unpack(block: bytes, *types) -> list[np.ndarray]:
-    n = int.from_bytes(block[:8], "little")
-    widths = [np.dtype(t).itemsize for t in types]
-    planes = np.frombuffer(_CODEC.decompress(block[8:], n * sum(widths), asbytes=True), dtype=np.uint8)
-    out, at = [], 0
-    for kind, width in zip(types, widths, strict=True):
-        out.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
-        at += n * width
+    n, at, out = int.from_bytes(block[:8], "little"), 8, []
+    for kind in map(np.dtype, types):
+        planes = np.empty((kind.itemsize, n), np.uint8)
+        for plane in planes:
+            size = int.from_bytes(block[at : at + 4], "little")
+            raw = block[at + 4 : at + 4 + size]
+            plane[:] = np.frombuffer(raw if size == n else _CODEC.decompress(raw, n, asbytes=True), np.uint8)
+            at += 4 + size
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
     return out
 
 
