@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,54 +91,26 @@ def needs_fallback(columns: Sequence[str]) -> Column:
     return (F.col("total_len") < SHORT_TEXT) | (unknowns(columns) > MANY_UNKNOWN)
 
 
-@dataclass
-class SidebarFilters:
-    """The sixteen search parameters. How they apply is this library's reading; the reference only declares them."""
-
-    selected_provs: list[str] = field(default_factory=list)
-    prijs_cat: str = "Alle"
-    min_score: float = 0.0
-    f_gratis: bool = False
-    f_stroom: bool = False
-    f_honden: bool = False
-    f_wifi: bool = False
-    f_water: bool = False
-    f_sanitair: bool = False
-    f_afvalwater: bool = False
-    f_lange_camper: bool = False
-    f_zwaar_voertuig: bool = False
-    toon_favs: bool = False
-    naam_query: str = ""
-    sort_keuze: str = "Standaard"
-    favourites: list[str] = field(default_factory=list)
-
-    def condition(self) -> Column:
-        tests = []
-        if self.selected_provs:
-            tests.append(F.col("provincie").isin(self.selected_provs))
-        if self.prijs_cat == "Gratis" or self.f_gratis:
-            tests.append(free())
-        elif self.prijs_cat == "Betaald":
-            tests.append(~free() & (clean(F.col("prijs"), "") != ""))
-        if self.min_score > 0:
-            tests.append(F.coalesce(parse_score(F.col("beoordeling")) >= self.min_score, F.lit(False)))
-        facilities = {"stroom": self.f_stroom, "honden_toegestaan": self.f_honden, "wifi": self.f_wifi, "water_tanken": self.f_water, "sanitair": self.f_sanitair, "afvalwater": self.f_afvalwater}
-        tests += [is_yes(F.col(c)) for c, on in facilities.items() if on]
-        if self.f_lange_camper:
-            tests.append(long_vehicle())
-        if self.f_zwaar_voertuig:
-            tests.append(heavy_vehicle())
-        if self.toon_favs:
-            tests.append(F.col("naam").isin(self.favourites))
-        if self.naam_query.strip():
-            tests.append(says(F.col("naam"), self.naam_query.strip()))
-        return all_of(tests)
-
-    def order(self) -> list[Column]:
-        keys = {
-            "Naam A→Z": [F.lower("naam")],
-            "Prijs (gratis eerst)": [F.desc(free()), F.lower("naam")],
-            "Beoordeling ↓": [F.desc_nulls_last(parse_score(F.col("beoordeling")))],
-            "Afstand ↑": [F.asc_nulls_last("afstand_km")],
-        }
-        return [*keys.get(self.sort_keuze, []), F.col("place_id")]
+#: How results can be ordered; every order ends with the key.
+ORDERS = ("key", "name", "free", "rating", "distance")
+
+
+def order_by(choice: str = "key") -> list[Column]:
+    """The columns of an order; "distance" needs afstand_km."""
+    rating, name = F.desc_nulls_last(parse_score(F.col("beoordeling"))), F.lower("naam")
+    first = {"key": [], "name": [name], "free": [F.desc(free()), name], "rating": [rating], "distance": [F.asc_nulls_last("afstand_km")]}
+    return [*first[choice], F.col("place_id")]
+
+
+def priced(kind: str) -> Column:
+    """Free places by what their price says, or paid ones: neither free nor unknown."""
+    return free() if kind == "free" else ~free() & (clean(F.col("prijs"), "") != "")
+
+
+def rated(least: float) -> Column:
+    return F.coalesce(parse_score(F.col("beoordeling")) >= least, F.lit(False))
+
+
+def offers(columns: Sequence[str]) -> Column:
+    """Places that say yes to every one of the facility columns."""
+    return all_of([is_yes(F.col(c)) for c in columns])

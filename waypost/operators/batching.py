@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waypost.functions.predicates import unprocessed
+
 
 def numbered(df: DataFrame, key: str = "place_id", size: int = 5, buckets: int = 1024) -> DataFrame:
     """The position of each row in the order of the numeric ``key``, and its batch of ``size``.
@@ -27,9 +29,9 @@ def numbered(df: DataFrame, key: str = "place_id", size: int = 5, buckets: int =
 
 
 def first_unprocessed(df: DataFrame, limit: int) -> DataFrame:
-    """O3: the first ``limit`` rows by place_id; 0 means all."""
-    ordered = df.orderBy("place_id")
-    return ordered.limit(limit) if limit > 0 else ordered
+    """O3: the first ``limit`` unprocessed rows by place_id; 0 means all of them."""
+    todo = df.filter(unprocessed())
+    return todo.orderBy("place_id").limit(limit) if limit > 0 else todo
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:

@@ -8,8 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from waypost.functions.clean import UNKNOWN
 from waypost.functions.normalize import postprocess
+from waypost.functions.predicates import MANY_UNKNOWN, SHORT_TEXT, unchanged
+from waypost.operators.batching import first_unprocessed, numbered
+from waypost.operators.search import first_json
+from waypost.sources.scratch import written
 
 # Text limits of the prompt and what stands for a missing source.
 SITE_CHARS, REVIEW_CHARS = 2500, 1500
@@ -84,17 +90,19 @@ def prompts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def deduced(df: DataFrame) -> DataFrame:
-    """Facts that the name or the capacity implies where nothing is known."""
-    name = F.lower("naam")
-    known = lambda c: ~_unknown(F.col(c))
+    """Facts that the name, description or reviews imply where nothing is known."""
+    text = lambda *names: F.lower(F.concat_ws(" ", *[F.col(c) for c in names if c in df.columns]))
+    name, told, reviews = text("naam"), text("naam", "beschrijving"), text("samenvatting_reviews")
     parking, harbour, camping = name.rlike("parking|parkeer"), name.rlike("jachthaven|marina"), name.rlike("camping|vakantiepark")
-    yes_no = {
+    facts = {
         "stroom": F.when(parking, "Nee"),
-        "sanitair": F.when(parking, "Nee").when(harbour | camping, "Ja"),
+        "sanitair": F.when(parking, "Nee").when(harbour | camping | reviews.contains("muntjes douche"), "Ja"),
         "water_tanken": F.when(harbour | camping, "Ja"),
         "afvalwater": F.when(harbour, "Ja"),
+        "check_in_out": F.when(told.rlike("24u|altijd open"), "Vrij"),
+        "honden_toegestaan": F.when(told.contains("honden welkom"), "Ja"),
     }
-    return df.withColumns({c: F.when(known(c), F.col(c)).otherwise(F.coalesce(v, F.col(c))) for c, v in yes_no.items() if c in df.columns})
+    return df.withColumns({c: F.when(_unknown(F.col(c)), F.coalesce(v, F.col(c))).otherwise(F.col(c)) for c, v in facts.items() if c in df.columns})
 
 
 def crowding_by_capacity(c: Column) -> Column:
@@ -128,18 +136,57 @@ def fetched(df: DataFrame, fetch: Callable[[str], str], column: str = "url") ->
     return df.mapInPandas(run, f"{schema}, site_text string, error string")
 
 
-def enriched(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], columns: list[str]) -> DataFrame:
-    """Rows to do, their prompts' answers by an injected model, merged by key.
+def _answers(asked: DataFrame, answer: Callable[[str], str], shape: str, *keep: str) -> DataFrame:
+    """What an injected model answers to each prompt, parsed; null where it isn't JSON of that shape."""
+    said = fetched(asked, answer, "prompt")
+    return said.select(*keep, F.from_json(first_json(F.col("site_text")), shape).alias("r"))
 
-    ``answer`` gets a row's JSON and text, and returns JSON with some of the
-    columns; what doesn't parse leaves the row unprocessed.
-    """
-    from waypost.functions.predicates import unprocessed
-    from waypost.operators.search import first_json
 
-    todo = base.filter(unprocessed()).join(scraped.select("place_id", "site_text"), "place_id", "left")
-    asked = todo.select("place_id", F.concat_ws("\n", F.to_json(F.struct(*columns)), clipped(F.col("site_text"), SITE_CHARS, NO_SITE)).alias("prompt"))
-    answers = fetched(asked, answer, "prompt").select("place_id", first_json(F.col("site_text")).alias("j"))
+def batch_run(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], answer_again: Callable[[str], str], columns: list[str], limit: int = 0, size: int = 5) -> DataFrame:
+    """What a run of the model makes of the unprocessed rows, a row each.
+
+    ``scraped`` has place_id, site_text, changed, total_len and photos (a list);
+    a row that isn't there counts as changed and empty. Unprocessed rows go in
+    batches of ``size``; of a batch, rows that are unchanged and checked before
+    are skipped, and the others make one prompt. Its answer is a JSON list,
+    paired with the rows by position; rows it doesn't cover stay as they are.
+    Where little text was found or much is still unknown, a second prompt for
+    that row alone is answered by ``answer_again``, and fills unknown values
+    only. Result: place_id, skipped, fallback, succeeded, the columns, photos.
+    """
+    own = list(dict.fromkeys(["place_id", *[c for c in ("naam", "provincie") if c in base.columns], *columns, "ai_gecheckt"]))
+    todo = numbered(first_unprocessed(base, limit).select(*own), size=size).drop("position")
+    known = scraped.select("place_id", "site_text", "changed", "total_len", "photos")
+    todo = todo.join(known, "place_id", "left").withColumns({"changed": F.coalesce("changed", F.lit(True)), "total_len": F.coalesce("total_len", F.lit(0))})
+    todo = written(todo.withColumn("skipped", unchanged()), "todo")
+    place = Window.partitionBy("batch").orderBy("place_id")  # a batch of at most ``size``
+    asked = todo.filter("not skipped").withColumn("pos", (F.row_number().over(place) - 1).cast("int"))
     shape = "struct<" + ", ".join(f"{c}: string" for c in columns) + ">"
-    parsed = answers.withColumn("r", F.from_json("j", shape)).filter("r is not null").select("place_id", "r.*")
-    return upsert(base, postprocess(parsed))
+    # models are asked once: what they said is written before it is used twice
+    answers = written(_answers(prompts(asked, columns), answer, f"array<{shape}>", "batch"), "answers")
+    got = paired(asked, answers.select("batch", F.col("r").alias("items")).filter("items is not null")).filter("item is not null")
+    named = F.concat_ws(", ", *[c for c in ("naam", "provincie") if c in base.columns])
+    got = got.select("place_id", named.alias("named"), "total_len", "photos", "item")
+    unknown = lambda row: F.size(F.filter(F.array(*[row[c] for c in columns]), lambda v: F.coalesce(_unknown(v), F.lit(False))))
+    got = got.withColumn("fallback", (F.col("total_len") < SHORT_TEXT) | (unknown(F.col("item")) > MANY_UNKNOWN))
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(_unknown(F.col("item")[c]), c) for c in columns])), ", ")
+    second = got.filter("fallback").select("place_id", F.concat_ws("\n", F.concat(F.lit("Zoek: "), F.col("named")), F.concat(F.lit("Onbekend: "), lacking), F.concat(F.lit("Data: "), F.to_json("item"))).alias("prompt"))
+    again = written(_answers(second, answer_again, shape, "place_id"), "second")
+    first = got.select("place_id", "fallback", "photos", "item.*")
+    filled = fill_unknown(first, again.filter("r is not null").select("place_id", "r.*"), columns)
+    shown = F.when(F.size("photos") > 0, F.to_json("photos"))
+    done = postprocess(filled.withColumn("photos", shown)).withColumn("succeeded", F.lit(True))
+    rest = todo.select("place_id", "skipped").join(done, "place_id", "left")
+    return rest.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("fallback", "succeeded")})
+
+
+def applied(base: DataFrame, run: DataFrame) -> DataFrame:
+    """``base`` with the values of a run; rows with a result, and skipped ones, count as processed."""
+    values = run.filter("succeeded or skipped").drop("skipped", "fallback", "succeeded")
+    return upsert(base, values)
+
+
+def enriched(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], columns: list[str]) -> DataFrame:
+    """A run in batches of one, without a second pass: ``base`` with the answers for rows (place_id, site_text) to do."""
+    pages = scraped.select("place_id", "site_text", F.lit(True).alias("changed"), F.lit(SHORT_TEXT).alias("total_len"), F.lit(None).cast("array<string>").alias("photos"))
+    return applied(base, batch_run(base, pages, answer, lambda _: "", columns, size=1).drop("photos"))

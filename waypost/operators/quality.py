@@ -36,8 +36,21 @@ def progress(df: DataFrame) -> DataFrame:
     return df.agg((F.count("*") - todo).alias("done"), todo.alias("todo"), F.ceil(todo / BATCH).alias("batches"))
 
 
+def preset(options: DataFrame, wanted: str | None) -> DataFrame:
+    """the options, of which the one that equals ``wanted`` is chosen; a preset that isn't an option chooses none."""
+    return options.withColumn("chosen", F.coalesce(F.col("provincie") == F.lit(wanted), F.lit(False)))
+
+
+def run_times(processed: Column, total: Column, seconds: Column) -> tuple[Column, Column, Column]:
+    """The share done, the time taken, and the time left at this speed."""
+    spell = lambda s: F.format_string("%dm %ds", F.floor(s / 60), F.floor(s) % 60)
+    left = (total - processed) * (seconds / processed)
+    share = F.when(total == 0, 0.0).otherwise(processed / total * 100)
+    return share, spell(seconds), F.when(processed == 0, "–").otherwise(F.concat(F.lit("~"), spell(left)))
+
+
 def run_counters(results: DataFrame) -> DataFrame:
-    """Processed, succeeded, skipped, fallback, and the share done."""
+    """Processed, succeeded, skipped, fallback, and the share that succeeded."""
     n = F.count("*")
     ok = F.count_if(F.coalesce(F.col("naam") != "", F.lit(False)))
     return results.agg(n.alias("processed"), ok.alias("succeeded"), F.count_if("skipped").alias("skipped"), F.count_if("fallback").alias("fallback"), F.round(ok / F.greatest(n, F.lit(1)) * 100, 1).alias("pct"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.clean import says, stripped
-from waypost.functions.predicates import extracted
+from waypost.functions.normalize import OFFICIAL
+from waypost.functions.predicates import all_of, extracted, heavy_vehicle, long_vehicle, offers, order_by, priced, rated
+from waypost.operators.batching import ranked
+from waypost.operators.curation import favourites_of
 
 FILTER = "struct<provincie: string, honden_toegestaan: string, is_gratis: boolean, stroom: string, water: string, sanitair: string, wifi: string>"
 
@@ -64,7 +67,7 @@ def keyword_extractor(query: str) -> dict:
     for word, key in (("hond", "honden_toegestaan"), ("stroom", "stroom"), ("water", "water"), ("sanitair", "sanitair"), ("wifi", "wifi")):
         if word in q:
             out[key] = "Ja"
-    for name in ("groningen", "friesland", "drenthe", "overijssel", "flevoland", "gelderland", "utrecht", "noord-holland", "zuid-holland", "zeeland", "noord-brabant", "limburg"):
+    for name in OFFICIAL:
         if name in q:
             out["provincie"] = name
     return out
@@ -76,3 +79,35 @@ def natural(df: DataFrame, query: str, extractor: Callable[[str], dict] = keywor
         return df, []
     condition, labels = extracted(df.columns, extractor(query) or {})
     return df.filter(condition), labels
+
+
+def shortlist(
+    df: DataFrame,
+    *,
+    text: str = "",
+    provinces: Sequence[str] = (),
+    price: str | None = None,
+    least_score: float = 0.0,
+    facilities: Sequence[str] = (),
+    vehicles: Sequence[str] = (),
+    favourites: DataFrame | None = None,
+) -> DataFrame:
+    """The places that fit all of what is asked; what isn't asked for doesn't filter.
+
+    ``price`` is "free" or "paid", ``facilities`` are columns that must say yes,
+    ``vehicles`` may hold "long" and "heavy", ``favourites`` is a table of
+    names. How these apply is this library's reading.
+    """
+    tests = [says(F.col("naam"), text.strip())] if text.strip() else []
+    tests += [F.col("provincie").isin(list(provinces))] if provinces else []
+    tests += [priced(price)] if price else []
+    tests += [rated(least_score)] if least_score > 0 else []
+    tests += [offers(facilities)] if facilities else []
+    tests += [{"long": long_vehicle, "heavy": heavy_vehicle}[kind]() for kind in vehicles]
+    fitting = df.filter(all_of(tests)) if tests else df
+    return fitting if favourites is None else favourites_of(fitting, favourites)
+
+
+def ordered(df: DataFrame, choice: str = "key") -> DataFrame:
+    """All rows with their rank in one of the orders."""
+    return ranked(df, *order_by(choice))

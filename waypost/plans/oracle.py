@@ -88,3 +88,10 @@ def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 def distance(lat: float, lon: float) -> str:
     a, b = number("latitude"), number("longitude")
     return f"CASE WHEN ({a}) IS NULL OR ({b}) IS NULL THEN 9999.0 ELSE {km(str(lat), str(lon), f'({a})', f'({b})')} END"
+
+
+def escape(c: str) -> str:
+    out = f"({c})"
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = f"replace({out}, {q(raw)}, {q(safe)})"
+    return out

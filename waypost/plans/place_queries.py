@@ -219,10 +219,11 @@ def radius_filter(spark: SparkSession, d: str) -> DataFrame:
     return geo.within(places(spark, d), HOME, 60.0).select("place_id", F.round("afstand_km", 3).alias("km"))
 
 
-@register("nearest_k", O.places(f"place_id, round({_KM}, 3) AS km", f"ORDER BY {_KM}, place_id LIMIT 25"))
+@register("nearest_k", O.places(f"place_id, round({_KM}, 3) AS km, row_number() OVER (ORDER BY {_KM}, place_id) AS rank"))
 def nearest_k(spark: SparkSession, d: str) -> DataFrame:
-    """A top-k report: the limit is the feature (O1)."""
-    return geo.nearest(places(spark, d), *HOME, 25).select("place_id", F.round("afstand_km", 3).alias("km"))
+    """O1: all places by distance; ``geo.nearest`` gives the first k."""
+    near = search.ordered(geo.add_distances(places(spark, d), *HOME), "distance")
+    return near.select("place_id", F.round("afstand_km", 3).alias("km"), "rank")
 
 
 @register("map_centroid", O.places(f"round(coalesce(avg({O.number('latitude')}), 52.3), 6) AS lat, round(coalesce(avg({O.number('longitude')}), 5.3), 6) AS lon, CASE WHEN count(*) = 0 THEN 7 WHEN count(*) > 15 THEN 8 ELSE 11 END AS zoom, least(count(*), 300) AS shown"))
@@ -243,15 +244,31 @@ def nl_only(spark: SparkSession, d: str) -> DataFrame:
     return geo.in_country(places(spark, d), gazetteer(spark, d)).select("place_id", "naam", "provincie")
 
 
-_ELEMENT = """'{"elements":[{"type":"node"' || CASE WHEN place_id % 3 = 0 THEN ',"center":{"lat":' || la || ',"lon":' || lo || '}' ELSE ',"lat":' || la || ',"lon":' || lo END || ',"tags":{' || CASE WHEN place_id % 5 = 0 THEN '"addr:city":"Sneek"' ELSE '"name":"' || naam || '"' END || CASE WHEN place_id % 2 = 0 THEN ',"phone":"+31 6-12 34"' ELSE ',"contact:phone":"0 6"' END || ',"dog":"' || CASE WHEN place_id % 4 = 0 THEN 'yes' ELSE 'no' END || '","fee":"' || CASE WHEN place_id % 7 = 0 THEN 'no' ELSE 'yes' END || '"' || CASE WHEN place_id % 11 = 0 THEN ',"charge":"5 EUR"' ELSE '' END || '}}]}'"""
+_ELEMENT = """'{"elements":[{"type":"node"' || CASE WHEN place_id % 3 = 0 THEN ',"center":{"lat":' || la || ',"lon":' || lo || '}' ELSE ',"lat":' || la || ',"lon":' || lo END || ',"tags":{' || CASE WHEN place_id % 5 = 0 THEN '"addr:city":"Sneek"' ELSE '"name":"' || naam || '"' END || CASE WHEN place_id % 2 = 0 THEN ',"phone":"+31 6-12 34"' ELSE ',"contact:phone":"0 6"' END || ',"dog":"' || CASE WHEN place_id % 4 = 0 THEN 'yes' ELSE 'no' END || '","power_supply":"' || CASE WHEN place_id % 3 = 1 THEN 'yes' ELSE '' END || '"' || CASE WHEN place_id % 6 = 1 THEN ',"water_point":"yes","capacity":"12"' ELSE '' END || CASE place_id % 9 WHEN 2 THEN ',"website":"www.a.nl"' WHEN 3 THEN ',"contact:website":"http://b.nl"' ELSE '' END || ',"fee":"' || CASE WHEN place_id % 7 = 0 THEN 'no' ELSE 'yes' END || '"' || CASE WHEN place_id % 11 = 0 THEN ',"charge":"5 EUR"' ELSE '' END || '}}]}'"""
 _WITH_JSON = f"SELECT place_id, naam, la, lo, {_ELEMENT} AS payload FROM (SELECT place_id, naam, CAST(51 + place_id % 2 AS STRING) || '.5' AS la, CASE WHEN place_id % 97 = 0 THEN '0.0' ELSE '5.25' END AS lo FROM places)"
 _NAME = "CASE WHEN place_id % 5 = 0 THEN 'Camperplaats Sneek' ELSE naam END"
 
 
-@register("osm_ingest", O.places(f"place_id, {_NAME} AS naam, CAST(51 + place_id % 2 AS DOUBLE) + 0.5 AS latitude, 5.25::DOUBLE AS longitude, CASE WHEN place_id % 2 = 0 THEN '+3161234' ELSE '06' END AS telefoonnummer, CASE WHEN place_id % 4 = 0 THEN 'Ja' ELSE 'Onbekend' END AS honden_toegestaan, CASE WHEN place_id % 11 = 0 THEN '5 EUR' WHEN place_id % 7 = 0 THEN 'Gratis' ELSE 'Onbekend' END AS prijs", f"WHERE place_id % 97 <> 0 AND NOT regexp_matches(lower({_NAME}), 'hotel|appartement|bungalow|chalet|vakantiepark|resort|villa|studio')"))
+@register("osm_ingest", O.places(f"place_id, {_NAME} AS naam, CAST(51 + place_id % 2 AS DOUBLE) + 0.5 AS latitude, 5.25::DOUBLE AS longitude, CASE WHEN place_id % 2 = 0 THEN '+3161234' ELSE '06' END AS telefoonnummer, CASE WHEN place_id % 4 = 0 THEN 'Ja' ELSE 'Onbekend' END AS honden_toegestaan, CASE WHEN place_id % 11 = 0 THEN '5 EUR' WHEN place_id % 7 = 0 THEN 'Gratis' ELSE 'Onbekend' END AS prijs, CASE WHEN place_id % 3 = 1 THEN 'Ja' ELSE 'Onbekend' END AS stroom, CASE WHEN place_id % 6 = 1 THEN 'Ja' ELSE 'Onbekend' END AS waterfront, CASE WHEN place_id % 6 = 1 THEN '12' ELSE 'Onbekend' END AS aantal_plekken, CASE place_id % 9 WHEN 2 THEN 'www.a.nl' WHEN 3 THEN 'http://b.nl' ELSE '' END AS website, {O.q(C.PLACEHOLDER_IMAGE)} AS afbeelding, 'Nee' AS ai_gecheckt, 'Onbekend' AS provincie", f"WHERE place_id % 97 <> 0 AND NOT regexp_matches(lower({_NAME}), 'hotel|appartement|bungalow|chalet|vakantiepark|resort|villa|studio')"))
 def osm_ingest(spark: SparkSession, d: str) -> DataFrame:
     df = places(spark, d).selectExpr("place_id", "naam", "CAST(51 + place_id % 2 AS STRING) || '.5' AS la", "CASE WHEN place_id % 97 = 0 THEN '0.0' ELSE '5.25' END AS lo").selectExpr("place_id", f"{_ELEMENT} AS payload")
-    return osm.ingest(osm.elements(df, "payload", "place_id"), "place_id").select("place_id", "naam", "latitude", "longitude", "telefoonnummer", "honden_toegestaan", "prijs")
+    return osm.ingest(osm.elements(df, "payload", "place_id"), "place_id").select("place_id", "naam", "latitude", "longitude", "telefoonnummer", "honden_toegestaan", "prijs", "stroom", "waterfront", "aantal_plekken", "website", "afbeelding", "ai_gecheckt", "provincie")
+
+
+_TAGS = """CASE place_id % 6 WHEN 0 THEN '"tourism":"caravan_site"' WHEN 1 THEN '"amenity":"parking","motorhome":"yes"' WHEN 2 THEN '"tourism":"camp_site","motorhome":"designated"' WHEN 3 THEN '"amenity":"parking","motorhome":"no"' WHEN 4 THEN '"tourism":"camp_site"' ELSE '"tourism":"hotel"' END"""
+_KIND = "CASE place_id % 5 WHEN 0 THEN 'relation' WHEN 1 THEN 'way' ELSE 'node' END"
+_FOUND = f"""'{{"elements":[{{"type":"' || {_KIND} || '","center":{{"lat":' || CASE WHEN place_id % 4 = 0 THEN '60.5' ELSE '52.5' END || ',"lon":' || CASE WHEN place_id % 11 = 0 THEN '2.5' ELSE '5.5' END || '}},"tags":{{' || {_TAGS} || '}}}}]}}'"""
+
+
+@register("osm_search", O.places("place_id", "WHERE (place_id % 6 IN (0, 2) OR (place_id % 6 = 1 AND place_id % 5 <> 0)) AND place_id % 4 <> 0 AND place_id % 11 <> 0"))
+def osm_search(spark: SparkSession, d: str) -> DataFrame:
+    payloads = places(spark, d).selectExpr("place_id", f"{_FOUND} AS payload")
+    return osm.elements(payloads, "payload", "place_id").filter(osm.in_search()).select("place_id")
+
+
+@register("scrape_page_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) AS text FROM pages")
+def scrape_page_text(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", enrich.page_text(col("html")).alias("text"))
 
 
 @register("scrape_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
@@ -319,6 +336,17 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
     return quality.run_counters(results)
 
 
+_SECONDS = "(place_id * 7 % 5000)"
+_LEFT = f"((place_id + 10 - place_id) * ({_SECONDS}::DOUBLE / greatest(place_id, 1)))"
+
+
+@register("run_times", O.places(f"place_id, place_id::DOUBLE / (place_id + 10) * 100 AS pct, ({_SECONDS} // 60) || 'm ' || ({_SECONDS} % 60) || 's' AS elapsed, CASE WHEN place_id = 0 THEN '–' ELSE '~' || CAST(floor({_LEFT} / 60) AS BIGINT) || 'm ' || CAST(floor({_LEFT}) % 60 AS BIGINT) || 's' END AS eta"))
+def run_times(spark: SparkSession, d: str) -> DataFrame:
+    n = col("place_id")
+    share, taken, left = quality.run_times(n, n + 10, n * 7 % 5000)
+    return places(spark, d).select("place_id", share.alias("pct"), taken.alias("elapsed"), left.alias("eta"))
+
+
 _MIN = "(p_partkey::DOUBLE / 10 * 3.0 / 60 + p_partkey::DOUBLE / 5 * (4.0 + 1.5) / 60)"
 
 
@@ -337,7 +365,10 @@ def prompt_clip(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", enrich.clipped(col("html"), enrich.SITE_CHARS, enrich.NO_SITE).alias("site"), enrich.clipped(F.lit(""), enrich.REVIEW_CHARS, enrich.NO_REVIEW).alias("review"))
 
 
-@register("prompt_payload")
+_PROMPT = """'Website: (niet beschikbaar)' || chr(10) || 'Data: {"naam":' || to_json(naam) || ',"provincie":' || to_json(provincie) || ',"prijs":' || to_json(prijs) || '}'"""
+
+
+@register("prompt_payload", O.places(f"position // 5 AS batch, string_agg({_PROMPT}, chr(10) || chr(10) ORDER BY place_id) AS prompt", "JOIN numbered USING (place_id) GROUP BY 1", _POS))
 def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
     rows = batching.numbered(places(spark, d).select("place_id", "naam", "provincie", "prijs")).withColumn("site_text", F.lit(""))
     return enrich.prompts(rows, ["naam", "provincie", "prijs"])
@@ -353,7 +384,7 @@ def _labels(pairs, *more: str) -> str:
 
 projected("facility_chips", {"chips": D.chips}, {"chips": _labels(D.CHIPS, f"CASE WHEN ({O.clean('max_lengte', '')}) <> '' THEN 'max ' || ({O.clean('max_lengte', '')}) END")})
 projected("facility_badges", {"badges": D.badges}, {"badges": _labels(D.BADGES)})
-_HAVE = {"stroom", "wifi", "honden_toegestaan", "sanitair", "water_tanken", "afvalwater", "waterfront", "max_lengte", "max_gewicht", "drukte_indicator"}
+_HAVE = {"stroom", "wifi", "honden_toegestaan", "sanitair", "water_tanken", "afvalwater", "waterfront", "max_lengte", "max_gewicht", "drukte_indicator", "prijs", "telefoonnummer"}
 
 
 def _grid(pairs) -> str:
@@ -368,11 +399,22 @@ projected("remote_class", {"remote": lambda: D.remote_class(F.expr(_REMOTE))}, {
 projected("result_cards", {"naam": lambda: C.clean(col("naam")), "provincie": lambda: N.province(col("provincie")), "score": lambda: C.visible_score(C.parse_score(col("beoordeling"))), "price_class": lambda: D.price_class(col("prijs")), "chips": D.chips}, {"naam": O.clean("naam"), "provincie": O.province("provincie"), "score": f"nullif({O.score('beoordeling')}, 0)", "price_class": f"CASE WHEN lower({O.clean('prijs', '')}) = 'gratis' THEN 'gratis' WHEN ({O.clean('prijs', '')}) = '' THEN 'onbekend' ELSE 'betaald' END", "chips": _labels(D.CHIPS, f"CASE WHEN ({O.clean('max_lengte', '')}) <> '' THEN 'max ' || ({O.clean('max_lengte', '')}) END")})
 
 
-@register("detail_rows", " UNION ALL ".join("(" + O.places(f"place_id, {O.q(label)} AS label, {O.clean(c) if c in _HAVE else O.q('Onbekend')} AS value") + ")" for c, label in D.DETAILS))
+def _details(section: str, pairs, fallback=None) -> str:
+    """SQL: a row for each (column, label) of a detail table."""
+    own = lambda c, f: O.clean(c, f) if c in _HAVE else O.q(f)
+    state = lambda c: f"CASE WHEN lower({O.clean(c)}) IN ('ja', 'nee') THEN lower({O.clean(c)}) ELSE {O.clean(c)} END"
+    value = lambda c, label: own(c, label) if section == "texts" else state(c) if section in ("facilities", "rules") and c in _HAVE else own(c, "Onbekend")
+    return " UNION ALL ".join("(" + O.places(f"place_id, {O.q(section)} AS section, {O.q(c if section == 'texts' else label)} AS label, {value(c, label)} AS value") + ")" for c, label in pairs)
+
+
+@register("detail_rows", " UNION ALL ".join(_details(section, pairs) for section, pairs in (("facts", D.FACTS), ("facilities", D.GRID), ("vehicle", D.DETAILS), ("rules", D.RULES), ("texts", D.TEXTS))))
 def detail_rows(spark: SparkSession, d: str) -> DataFrame:
     df = places(spark, d)
-    named = df.select("place_id", *[(C.clean(col(c)) if c in df.columns else F.lit("Onbekend")).alias(label) for c, label in D.DETAILS])
-    return named.unpivot(["place_id"], [label for _, label in D.DETAILS], "label", "value")
+    return df.select("place_id", F.inline(D.details(df.columns)))
+
+
+_POPUP = {"naam": O.escape(O.clean("naam")), "provincie": O.escape(O.clean("provincie", "")), "honden": O.yes("honden_toegestaan"), "stroom": O.yes("stroom"), "prijs": O.escape(O.clean("prijs", "?")), "free": f"contains(lower({O.clean('prijs', '?')}), 'gratis')"}
+projected("map_popup", {k: lambda k=k: D.popup()[k] for k in _POPUP}, _POPUP)
 
 
 def _deduce(c: str, *whens: tuple[str, str]) -> str:
@@ -384,6 +426,16 @@ def deduction_rules(spark: SparkSession, d: str) -> DataFrame:
     return enrich.deduced(places(spark, d)).select("place_id", "stroom", "sanitair", "water_tanken", "afvalwater")
 
 
+_TOLD = "CASE place_id % 4 WHEN 0 THEN '24u open' WHEN 1 THEN 'Honden welkom!' WHEN 2 THEN 'Altijd open, honden welkom' ELSE 'rustig' END"
+_REVIEWS = "CASE place_id % 3 WHEN 0 THEN 'Muntjes douche' ELSE 'fijn' END"
+
+
+@register("deduction_texts", O.places(f"place_id, CASE WHEN place_id % 5 = 0 THEN '14:00' WHEN place_id % 4 IN (0, 2) THEN 'Vrij' ELSE 'Onbekend' END AS check_in_out, CASE WHEN lower(trim(honden_toegestaan)) = 'onbekend' AND place_id % 4 IN (1, 2) THEN 'Ja' ELSE honden_toegestaan END AS honden_toegestaan, CASE WHEN lower(trim(sanitair)) <> 'onbekend' THEN sanitair WHEN regexp_matches(lower(naam), 'parking|parkeer') THEN 'Nee' WHEN regexp_matches(lower(naam), 'jachthaven|marina|camping|vakantiepark') OR place_id % 3 = 0 THEN 'Ja' ELSE sanitair END AS sanitair"))
+def deduction_texts(spark: SparkSession, d: str) -> DataFrame:
+    told = places(spark, d).withColumns({"beschrijving": F.expr(_TOLD), "samenvatting_reviews": F.expr(_REVIEWS), "check_in_out": F.when(col("place_id") % 5 == 0, "14:00").otherwise("Onbekend")})
+    return enrich.deduced(told).select("place_id", "check_in_out", "honden_toegestaan", "sanitair")
+
+
 projected("crowding_by_capacity", {"drukte": lambda: enrich.crowding_by_capacity(F.when(col("place_id") % 9 == 0, "veel").otherwise((col("place_id") % 80).cast("string")))}, {"drukte": "CASE WHEN place_id % 9 = 0 THEN 'Onbekend' WHEN place_id % 80 < 20 THEN 'Snel vol in het seizoen' WHEN place_id % 80 > 50 THEN 'Vaak plek beschikbaar' ELSE 'Onbekend' END"})
 
 
@@ -398,36 +450,46 @@ def favourites_toggle(spark: SparkSession, d: str) -> DataFrame:
     return curation.toggled(spark.read.parquet(f"{d}/events.parquet").select("user_id", col("event_type").alias("naam")))
 
 
-_SIDEBAR = P.SidebarFilters(prijs_cat="Betaald", min_score=8.0, f_wifi=False, f_lange_camper=True, naam_query="a")
+@register("sidebar_filters", O.places("place_id", f"WHERE NOT {O.says('prijs', 'gratis')} AND ({O.clean('prijs', '')}) <> '' AND coalesce(({O.score('beoordeling')}) >= 8.0, false) AND {O.says('naam', 'a')}"))
+def sidebar_filters(spark: SparkSession, d: str) -> DataFrame:
+    return search.shortlist(places(spark, d), price="paid", least_score=8.0, text=" a ").select("place_id")
 
 
-@register("sidebar_filters", O.places("place_id", f"WHERE NOT {O.says('prijs', 'gratis')} AND ({O.clean('prijs', '')}) <> '' AND coalesce(({O.score('beoordeling')}) >= 8.0, false) AND ({O.metres('max_lengte')}) >= 8.0 AND {O.says('naam', 'a')}"))
-def sidebar_filters(spark: SparkSession, d: str) -> DataFrame:
-    return places(spark, d).filter(_SIDEBAR.condition()).select("place_id")
+@register("shortlist_vehicles", O.places("place_id", f"WHERE {O.says('prijs', 'gratis')} AND ({O.metres('max_lengte')}) >= 8.0 AND {O.yes('stroom')}"))
+def shortlist_vehicles(spark: SparkSession, d: str) -> DataFrame:
+    return search.shortlist(places(spark, d), price="free", vehicles=["long"], facilities=["stroom"]).select("place_id")
+
+
+@register("shortlist_favourites", O.places("place_id", f"WHERE ({O.tons('max_gewicht')}) >= 3.5 AND provincie IN ('Drenthe', 'Zeeland', 'noord-holland') AND naam IN (SELECT naam FROM places WHERE place_id % 10 = 3)"))
+def shortlist_favourites(spark: SparkSession, d: str) -> DataFrame:
+    return search.shortlist(places(spark, d), provinces=["Drenthe", "Zeeland", "noord-holland"], vehicles=["heavy"], favourites=_favourites(spark, d)).select("place_id")
+
+
+@register("preset_membership", O.places("DISTINCT provincie, provincie = 'Zeeland' AS chosen", "WHERE lower(provincie) NOT IN ('onbekend', '', 'nan')"))
+def preset_membership(spark: SparkSession, d: str) -> DataFrame:
+    return quality.preset(quality.province_options(places(spark, d)), "Zeeland")
 
 
-@register("sort_choices", O.places(f"place_id, {O.score('beoordeling')} AS score", f"ORDER BY {O.score('beoordeling')} DESC NULLS LAST, place_id LIMIT 50"))
+@register("sort_choices", O.places(f"place_id, {O.score('beoordeling')} AS score, row_number() OVER (ORDER BY {O.score('beoordeling')} DESC NULLS LAST, place_id) AS rank"))
 def sort_choices(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifty in the order of ratings: a top-k report."""
-    order = P.SidebarFilters(sort_keuze="Beoordeling ↓").order()
-    return places(spark, d).orderBy(*order).limit(50).select("place_id", C.parse_score(col("beoordeling")).alias("score"))
+    """All places in the order of their ratings."""
+    return search.ordered(places(spark, d), "rating").select("place_id", C.parse_score(col("beoordeling")).alias("score"), "rank")
 
 
 def ranked(name: str, choice: str, sql: str) -> None:
-    """All places with their rank by one of the sort choices; sort_choices and nearest_k are only the first of them."""
+    """All places with their rank by one of the sort choices."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        df = geo.add_distances(places(spark, d), *HOME)
-        return batching.ranked(df, *P.SidebarFilters(sort_keuze=choice).order()).select("place_id", "rank")
+        return search.ordered(geo.add_distances(places(spark, d), *HOME), choice).select("place_id", "rank")
 
     register(name, O.places(f"place_id, row_number() OVER (ORDER BY {sql}place_id) AS rank"))(query)
 
 
-ranked("ranked_by_default", "Standaard", "")
-ranked("ranked_by_name", "Naam A→Z", "lower(naam) NULLS FIRST, ")
-ranked("ranked_free_first", "Prijs (gratis eerst)", f"{O.says('prijs', 'gratis')} DESC, lower(naam) NULLS FIRST, ")
-ranked("ranked_by_rating", "Beoordeling ↓", f"{O.score('beoordeling')} DESC NULLS LAST, ")
-ranked("ranked_by_distance", "Afstand ↑", f"{_KM}, ")
+ranked("ranked_by_default", "key", "")
+ranked("ranked_by_name", "name", "lower(naam) NULLS FIRST, ")
+ranked("ranked_free_first", "free", f"{O.says('prijs', 'gratis')} DESC, lower(naam) NULLS FIRST, ")
+ranked("ranked_by_rating", "rating", f"{O.score('beoordeling')} DESC NULLS LAST, ")
+ranked("ranked_by_distance", "distance", f"{_KM}, ")
 
 
 @register("landing_tiles", O.places("format('{:,}', count(*)) AS total, format('{:,}', count(DISTINCT naam)) AS names"))
