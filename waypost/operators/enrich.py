@@ -15,7 +15,7 @@ from waypost.functions.normalize import postprocess
 from waypost.functions.predicates import MANY_UNKNOWN, SHORT_TEXT, unchanged
 from waypost.operators.batching import first_unprocessed, numbered
 from waypost.operators.search import first_json
-from waypost.sources.scratch import written
+from waypost.sources.scratch import filed
 
 # Text limits of the prompt and what stands for a missing source.
 SITE_CHARS, REVIEW_CHARS = 2500, 1500
@@ -158,12 +158,12 @@ def batch_run(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str],
     todo = numbered(first_unprocessed(base, limit).select(*own), size=size).drop("position")
     known = scraped.select("place_id", "site_text", "changed", "total_len", "photos")
     todo = todo.join(known, "place_id", "left").withColumns({"changed": F.coalesce("changed", F.lit(True)), "total_len": F.coalesce("total_len", F.lit(0))})
-    todo = written(todo.withColumn("skipped", unchanged()), "todo")
+    todo = filed(todo.withColumn("skipped", unchanged()), "todo")
     place = Window.partitionBy("batch").orderBy("place_id")  # a batch of at most ``size``
     asked = todo.filter("not skipped").withColumn("pos", (F.row_number().over(place) - 1).cast("int"))
     shape = "struct<" + ", ".join(f"{c}: string" for c in columns) + ">"
     # models are asked once: what they said is written before it is used twice
-    answers = written(_answers(prompts(asked, columns), answer, f"array<{shape}>", "batch"), "answers")
+    answers = filed(_answers(prompts(asked, columns), answer, f"array<{shape}>", "batch"), "answers")
     got = paired(asked, answers.select("batch", F.col("r").alias("items")).filter("items is not null")).filter("item is not null")
     named = F.concat_ws(", ", *[c for c in ("naam", "provincie") if c in base.columns])
     got = got.select("place_id", named.alias("named"), "total_len", "photos", "item")
@@ -171,7 +171,7 @@ def batch_run(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str],
     got = got.withColumn("fallback", (F.col("total_len") < SHORT_TEXT) | (unknown(F.col("item")) > MANY_UNKNOWN))
     lacking = F.array_join(F.array_compact(F.array(*[F.when(_unknown(F.col("item")[c]), c) for c in columns])), ", ")
     second = got.filter("fallback").select("place_id", F.concat_ws("\n", F.concat(F.lit("Zoek: "), F.col("named")), F.concat(F.lit("Onbekend: "), lacking), F.concat(F.lit("Data: "), F.to_json("item"))).alias("prompt"))
-    again = written(_answers(second, answer_again, shape, "place_id"), "second")
+    again = filed(_answers(second, answer_again, shape, "place_id"), "second")
     first = got.select("place_id", "fallback", "photos", "item.*")
     filled = fill_unknown(first, again.filter("r is not null").select("place_id", "r.*"), columns)
     shown = F.when(F.size("photos") > 0, F.to_json("photos"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waypost.functions.clean import number
 from waypost.functions.geo import NOWHERE, RADIUS_KM, distance_label, haversine
-from waypost.sources.scratch import written
+from waypost.sources.scratch import filed
 
 
 def with_coordinates(df: DataFrame) -> DataFrame:
@@ -121,9 +121,9 @@ def _nearest_of_many(here: DataFrame, cities: DataFrame, sizes: list[float]) ->
         near = rest.select("*", *_cell(F.col("lat_d"), F.col("lon_d"), size)).join(_around(cities, size), _CELL)
         best = near.groupBy("place_id", "lat_d", "lon_d").agg(F.min(_candidate(F.col("lat_d"), F.col("lon_d"), F.struct("lat", "lon", *_CITY))).alias("b"))
         sure = best if size >= 2 else best.filter(F.col("b.km") <= _reach(size))
-        sure = written(sure.select("place_id", "b"), "nearest")
+        sure = filed(sure.select("place_id", "b"), "nearest")
         found.append(sure)
-        rest = written(rest.join(sure.select("place_id"), "place_id", "left_anti"), "unsure")
+        rest = filed(rest.join(sure.select("place_id"), "place_id", "left_anti"), "unsure")
         if rest.isEmpty():
             break
     return functools.reduce(DataFrame.unionByName, found)

@@ -37,9 +37,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/waypost/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: lineage ends here."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet at a path in the shared folder, read back: lineage ends here."""
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def filed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under a new path."""
+    return written(df, scratch(df.sparkSession, name))
