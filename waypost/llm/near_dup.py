@@ -33,6 +33,7 @@ bytes of its longest text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,16 +182,17 @@ def _block_links(percent: int):
     return run
 
 
-def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
     """Members of groups dealt to pairs of blocks (x of outsiders, y of all).
 
-    ``rows`` have the group, rep, component, outside, and the group's ``all``
-    members and ``outsiders``. A member is copied once for each block it meets.
+    ``rows`` have the group ``met``, rep, component, outside, and the group's
+    ``all`` members and ``outsiders``. A member is copied once for each block it
+    meets.
     """
     n_in, n_out = F.ceil(F.col("all") / block), F.ceil(F.col("outsiders") / block)
     place = lambda n: F.pmod(F.xxhash64("rep"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    columns = [F.xxhash64(F.lit(group), group).alias("met"), "rep", "component"]
+    columns = ["met", "rep", "component"]
     asking = rows.filter("outside").select(*columns, F.lit(True).alias("outside"), place(n_out).alias("x"), every(n_in).alias("y"))
     return asking.unionByName(rows.select(*columns, F.lit(False).alias("outside"), every(n_out).alias("x"), place(n_in).alias("y")))
 
@@ -202,30 +204,31 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int, few: int, block: in
 
     # within families: those outside of the largest component
     kin = placed.select("rep", "n", "component", "family").distinct().withColumn("outside", F.col("component") != F.col("family"))
-    sizes = kin.groupBy("family").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")).filter("outsiders > 0")
-    kin = stored(kin.join(stored(sizes, "sizes"), "family"), "kin")
+    sizes = stored(kin.groupBy("family").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")).filter("outsiders > 0"), "sizes")
+    kin = stored(kin.join(sizes, "family"), "kin")
+    groups = [kin.select(F.xxhash64(F.lit("family"), "family").alias("met"), "rep", "n", "component", "outside", "all", "outsiders", F.lit(None).cast("long").alias("kind"))]
     # across families: those of a bucket outside of one of its families
     foreign = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.max_by("family", F.xxhash64("family")).alias("home")).filter("low < high")
-    met = placed.join(foreign.select("key", "home"), "key").withColumn("outside", F.col("family") != F.col("home"))
-    sizes = met.groupBy("key").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders"))
-    met = stored(met.join(sizes, "key"), "met")
+    foreign = stored(foreign.select("key", "home"), "foreign")
+    if not foreign.isEmpty():
+        met = stored(placed.join(foreign, "key").withColumn("outside", F.col("family") != F.col("home")), "met")
+        sizes = stored(met.groupBy("key").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")), "sizes")
+        groups.append(stored(met.join(sizes, "key"), "met").select(F.xxhash64(F.lit("key"), "key").alias("met"), "rep", "n", "component", "outside", "all", "outsiders", F.col("family").alias("kind")))
+    rows = functools.reduce(DataFrame.unionByName, groups)
 
     # pair by pair where outsiders are few
-    of = lambda df, *more: df.select(*more, F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"))
-    distinct_parts = (F.col("component") != F.col("part")) & _near(percent)
+    sparse = rows.filter(F.col("outsiders") <= few)
+    other = sparse.select("met", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("kind").alias("other_kind"))
+    apart = (F.col("component") != F.col("part")) & _near(percent) & F.coalesce(F.col("kind") != F.col("other_kind"), F.lit(True))
     ordered = F.col("rep") < F.col("r")
-    pair = lambda df: df.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.when(ordered, F.col("component")).otherwise(F.col("part")).alias("pa"), F.when(ordered, F.col("part")).otherwise(F.col("component")).alias("pb"))
-    sparse, dense = F.col("outsiders") <= few, F.col("outsiders") > few
-    inside = pair(kin.filter(sparse & F.col("outside")).join(of(kin.filter(sparse), "family"), "family").filter(distinct_parts))
-    other = of(met.filter(sparse), "key", F.col("family").alias("kind"))
-    between = pair(met.filter(sparse & F.col("outside")).join(other, "key").filter(distinct_parts & (F.col("family") != F.col("kind"))))
-    pairs = inside.unionByName(between).distinct()
+    either = lambda x, y: F.when(ordered, F.col(x)).otherwise(F.col(y))
+    pairs = sparse.filter("outside").join(other, "met").filter(apart).select(either("rep", "r").alias("a"), either("r", "rep").alias("b"), either("component", "part").alias("pa"), either("part", "component").alias("pb")).distinct()
     close = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
     # else block by block: each block of outsiders with each block of all
-    rows = _blocked(kin.filter(dense), "family", block).unionByName(_blocked(met.filter(dense), "key", block))
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("met", "x", "y", "rep", "component", "outside", "items")
-    in_blocks = rows.groupBy("met", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    dealt = _blocked(rows.filter(F.col("outsiders") > few), block)
+    dealt = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("met", "x", "y", "rep", "component", "outside", "items")
+    in_blocks = dealt.groupBy("met", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
     return close.unionByName(in_blocks)
 
 
