@@ -90,12 +90,12 @@ def test_very_long_texts(spark, long_docs):
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
-    from waypost.llm import shared
+    from waypost.sources import scratch
 
     conf = SimpleNamespace(get=lambda *_: None)
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf))
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
-        shared.checkpoint_root(cluster)
+        scratch.shared_folder(cluster)
 
 
 def test_passing_tables_go(spark):

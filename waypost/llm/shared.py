@@ -2,57 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waypost.sources.scratch import scratch, written
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where the setting is absent and Spark runs on one machine, as in tests,
-    a temporary folder of the driver is made and announced as the checkpoint
-    folder. On a cluster without the setting this raises.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    held = getattr(context, "_waypost_root", None)
-    if held is None:
-        held = tempfile.mkdtemp(prefix="waypost-")
-        context._waypost_root = held
-        context.setCheckpointDir(f"file://{held}")
-        atexit.register(shutil.rmtree, held, True)
-    return f"file://{held}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is there yet."""
-    return f"{checkpoint_root(spark)}/waypost/{name}-{uuid.uuid4().hex}"
-
-
+#: Tables of the ``passing`` blocks that are open, the innermost last.
 _open: list[dict[str, SparkSession]] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    path = scratch(df.sparkSession, name)
     if _open:
-        _open[-1][path] = spark
-    return spark.read.schema(schema).parquet(path)
+        _open[-1][path] = df.sparkSession
+    return written(df, path)
 
 
 @contextlib.contextmanager
