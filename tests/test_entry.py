@@ -47,7 +47,9 @@ def test_broken_imports_are_not_hidden(tmp_path):
         pytest.skip("the subpackage isn't here")
     folder = copied(tmp_path)
     catalog = folder / "waypost/llm/catalog.py"
-    catalog.write_text("import no_such_module\n" + catalog.read_text().replace("from __future__ import annotations", ""))
+    catalog.write_text(
+        "import no_such_module\n" + catalog.read_text().replace("from __future__ import annotations", "")
+    )
     out = said(folder)
     assert out.returncode != 0 and "no_such_module" in out.stderr
 

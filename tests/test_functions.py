@@ -41,7 +41,12 @@ def test_table(name, spark):
 
 
 def test_haversine_properties(spark):
-    points = spark.createDataFrame([(52.3, 5.3, 51.0, 4.0), (0.0, 0.0, 0.0, 180.0), (10.0, 10.0, 10.0, 10.0), (-90.0, 0.0, 90.0, 0.0)], "a double, b double, c double, d double")
-    there, back = haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")), haversine(F.col("c"), F.col("d"), F.col("a"), F.col("b"))
+    points = spark.createDataFrame(
+        [(52.3, 5.3, 51.0, 4.0), (0.0, 0.0, 0.0, 180.0), (10.0, 10.0, 10.0, 10.0), (-90.0, 0.0, 90.0, 0.0)],
+        "a double, b double, c double, d double"
+    )
+    there, back = haversine(
+        F.col("a"), F.col("b"), F.col("c"), F.col("d")
+    ), haversine(F.col("c"), F.col("d"), F.col("a"), F.col("b"))
     for r in points.select(there.alias("x"), back.alias("y")).collect():
         assert r.x == pytest.approx(r.y) and 0 <= r.x <= 6371.0 * 3.14159266

@@ -26,7 +26,9 @@ def test_save_and_load(spark, tmp_path):
 def test_loading_falls_back_when_the_table_is_empty(spark, tmp_path):
     df = S.places(spark, SF).select("place_id", "naam")
     df.limit(0).write.parquet(f"{tmp_path}/empty")
-    df.selectExpr("place_id", "naam", *[f"'' AS {c}" for c in S.place_schema().names[2:]]).write.option("header", True).csv(f"{tmp_path}/csv")
+    df.selectExpr(
+        "place_id", "naam", *[f"'' AS {c}" for c in S.place_schema().names[2:]]
+    ).write.option("header", True).csv(f"{tmp_path}/csv")
     assert S.load(spark, f"{tmp_path}/empty", f"{tmp_path}/csv").count() == df.count()
 
 
@@ -36,13 +38,18 @@ def test_processed_flag_is_added(spark):
 
 
 def test_reports_and_favourites(spark, tmp_path):
-    rows = spark.createDataFrame([("A & B", "prijs", "5", ""), ("C", "prijs", "  ", "")], "naam string, veld string, correctie string, opmerking string")
+    rows = spark.createDataFrame(
+        [("A & B", "prijs", "5", ""), ("C", "prijs", "  ", "")],
+        "naam string, veld string, correctie string, opmerking string"
+    )
     sinks.append_reports(rows, f"{tmp_path}/reports")
     sinks.append_reports(rows, f"{tmp_path}/reports")
     got = sinks.read_reports(spark, f"{tmp_path}/reports").collect()
     assert [(r.naam, r.status) for r in got] == [("A &amp; B", "nieuw")] * 2
     sinks.save_favourites(rows, f"{tmp_path}/favourites")
-    kept = curation.favourites_of(spark.createDataFrame([("C",), ("D",)], "naam string"), sinks.read_favourites(spark, f"{tmp_path}/favourites"))
+    kept = curation.favourites_of(
+        spark.createDataFrame([("C",), ("D",)], "naam string"), sinks.read_favourites(spark, f"{tmp_path}/favourites")
+    )
     assert [r.naam for r in kept.collect()] == ["C"]
 
 
@@ -70,23 +77,40 @@ def test_nearest_city_is_exact_all_over_the_globe(spark, seed, small):
 
     rng = random.Random(seed)
     span = 180 if seed else 40
-    cities = [(i, rng.uniform(-90, 90), rng.choice([-1, 1]) * (180 - rng.uniform(0, span)), "NL", f"r{i}") for i in range(300)]
+    cities = [
+        (i, rng.uniform(-90, 90), rng.choice([-1, 1]) * (180 - rng.uniform(0, span)), "NL", f"r{i}") for i in range(300)
+    ]
     points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)]
-    points += [(900, 0.5, 179.9), (901, 90.0, 0.0), (902, -90.0, 77.0), (903, 89.99, -179.99), (904, 0.0, -180.0), (905, 0.0, 180.0)]
+    points += [
+        (900, 0.5, 179.9), (901, 90.0, 0.0), (902, -90.0, 77.0), (903, 89.99, -179.99), (904, 0.0, -180.0),
+        (905, 0.0, 180.0)
+    ]
     cities += [(900, 0.5, 179.1, "NL", "far"), (901, 0.5, -179.9, "NL", "near"), (902, 0.5, -179.9, "NL", "a tie")]
 
     def km(a, b, c, d):
-        return 2 * 6371 * asin(sqrt(min(1.0, sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2)))
+        return 2 * 6371 * asin(
+            sqrt(
+                min(
+                    1.0, sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2
+                )
+            )
+        )
 
     want = {i: min((round(km(a, b, c, d), 6), city) for city, c, d, _, _ in cities)[1] for i, a, b in points}
-    df = spark.createDataFrame([*points, (999, None, 1.0), (998, float("nan"), 1.0)], "place_id long, lat_d double, lon_d double")
-    got = geo.nearest_city(df, spark.createDataFrame(cities, "city_id long, lat double, lon double, cc string, admin1 string"), small=small)
+    df = spark.createDataFrame(
+        [*points, (999, None, 1.0), (998, float("nan"), 1.0)], "place_id long, lat_d double, lon_d double"
+    )
+    got = geo.nearest_city(
+        df, spark.createDataFrame(cities, "city_id long, lat double, lon double, cc string, admin1 string"), small=small
+    )
     assert {r.place_id: r.city_id for r in got.collect()} == want and want[900] == 901
 
 
 def test_nearest_city_without_cities(spark):
     none = spark.createDataFrame([], "city_id long, lat double, lon double, cc string, admin1 string")
-    assert geo.nearest_city(spark.createDataFrame([(1, 2.0, 3.0)], "place_id long, lat_d double, lon_d double"), none).count() == 0
+    assert geo.nearest_city(
+        spark.createDataFrame([(1, 2.0, 3.0)], "place_id long, lat_d double, lon_d double"), none
+    ).count() == 0
 
 
 def test_radius_without_a_point_keeps_all(spark):
@@ -110,16 +134,23 @@ def test_filters_and_labels(spark):
     assert search.natural(df, "iets")[1] == ["Geen filters herkend"]
     assert df.drop("waterfront", "water_tanken").filter(P.extracted(["naam"], {"water": "Ja"})[0]).count() == 0
     names = spark.createDataFrame([("x",)], "naam string")
-    assert search.shortlist(df, provinces=["Drenthe"], price="free", facilities=["stroom"], vehicles=["heavy"], favourites=names).count() == 0
+    assert search.shortlist(
+        df, provinces=["Drenthe"], price="free", facilities=["stroom"], vehicles=["heavy"], favourites=names
+    ).count() == 0
     assert search.shortlist(df).count() == df.count() and search.shortlist(df, price="paid").count() > 0
     for choice in P.ORDERS[:-1]:
         assert df.orderBy(*P.order_by(choice)).first() is not None
 
 
 def test_merges_keep_what_is_known(spark):
-    base = spark.createDataFrame([(1, "Ja", "Nee"), (2, "Onbekend", "Nee"), (3, " onbekend ", "Nee")], "place_id long, wifi string, ai_gecheckt string")
+    base = spark.createDataFrame(
+        [(1, "Ja", "Nee"), (2, "Onbekend", "Nee"), (3, " onbekend ", "Nee")],
+        "place_id long, wifi string, ai_gecheckt string"
+    )
     new = spark.createDataFrame([(1, "Nee"), (2, "Ja"), (3, "Onbekend")], "place_id long, wifi string")
-    assert [r.wifi for r in enrich.fill_unknown(base, new, ["wifi"]).orderBy("place_id").collect()] == ["Ja", "Ja", " onbekend "]
+    assert [
+        r.wifi for r in enrich.fill_unknown(base, new, ["wifi"]).orderBy("place_id").collect()
+    ] == ["Ja", "Ja", " onbekend "]
 
 
 def test_injected_clients(spark):
@@ -133,9 +164,14 @@ def test_injected_clients(spark):
     assert got == {"a": ("text of a", None), "bad": ("", "late")}
 
     def answer(prompt):
-        return "```json\n" + json.dumps({"wifi": "Ja", "telefoonnummer": "0612345678"}) + "\n```" if '"naam":"A"' in prompt else "geen idee"
-
-    base = spark.createDataFrame([(1, "A", "Onbekend", "", "Nee"), (2, "B", "Onbekend", "", "Nee"), (3, "A", "Nee", "", "Ja")], "place_id long, naam string, wifi string, telefoonnummer string, ai_gecheckt string")
+        return "```json\n" + json.dumps(
+            {"wifi": "Ja", "telefoonnummer": "0612345678"}
+        ) + "\n```" if '"naam":"A"' in prompt else "geen idee"
+
+    base = spark.createDataFrame(
+        [(1, "A", "Onbekend", "", "Nee"), (2, "B", "Onbekend", "", "Nee"), (3, "A", "Nee", "", "Ja")],
+        "place_id long, naam string, wifi string, telefoonnummer string, ai_gecheckt string"
+    )
     scraped = spark.createDataFrame([(1, "site")], "place_id long, site_text string")
     out = enrich.enriched(base, scraped, answer, ["naam", "wifi", "telefoonnummer"]).orderBy("place_id").collect()
     assert [(r.wifi, r.ai_gecheckt) for r in out] == [("Ja", "Ja"), ("Onbekend", "Nee"), ("Nee", "Ja")]
@@ -146,7 +182,9 @@ def test_batches_and_limits(spark):
     df = S.places(spark, SF).select("place_id", "ai_gecheckt")
     got = batching.numbered(df.repartition(5)).orderBy("place_id").collect()
     assert [r.position for r in got] == list(range(len(got))) and got[7].batch == 1
-    assert batching.first_unprocessed(df, 3).count() == 3 and batching.first_unprocessed(df, 0).count() == df.filter("ai_gecheckt <> 'Ja'").count()
+    assert batching.first_unprocessed(df, 3).count() == 3 and batching.first_unprocessed(df, 0).count() == df.filter(
+        "ai_gecheckt <> 'Ja'"
+    ).count()
     assert quality.landing_stats(df.limit(0).selectExpr("'' AS prijs", "'' AS provincie")).first() == (0, 0, 0)
 
 
@@ -163,7 +201,9 @@ def test_stream_resumes_by_file(spark, tmp_path):
     assert out.count() == rows.count() and out.filter("naam like 'Parking%' and sanitair = 'Onbekend'").count() == 0
 
 
-@pytest.mark.parametrize("name", ["clean_values", "normalize_province", "filter_all", "unknown_profile", "distance_labels", "landing_stats"])
+@pytest.mark.parametrize(
+    "name", ["clean_values", "normalize_province", "filter_all", "unknown_profile", "distance_labels", "landing_stats"]
+)
 def test_plans_stay_native(name, spark):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -63,7 +63,9 @@ def format_score(c: Column) -> Column:
     """C5."""
     t = clean(c, "")
     head = F.element_at(F.split(t, "/"), 1)
-    return F.when(t == "", "").when(number(head).isNull(), t).when(F.contains(t, F.lit("/")), t).otherwise(F.concat(t, F.lit("/5")))
+    return F.when(t == "", "").when(number(head).isNull(), t).when(
+        F.contains(t, F.lit("/")), t
+    ).otherwise(F.concat(t, F.lit("/5")))
 
 
 def truncate(c: Column, limit: int = 120) -> Column:
@@ -81,7 +83,11 @@ def parse_score(c: Column) -> Column:
 
 def score_label(score: Column) -> Column:
     """C8."""
-    return F.when(score >= 9, "Uitzonderlijk").when(score >= 8.5, "Geweldig").when(score >= 8, "Heel goed").when(score >= 7.5, "Goed").when(score >= 7, "Prima").otherwise("Redelijk")
+    return F.when(
+        score >= 9, "Uitzonderlijk"
+    ).when(
+        score >= 8.5, "Geweldig"
+    ).when(score >= 8, "Heel goed").when(score >= 7.5, "Goed").when(score >= 7, "Prima").otherwise("Redelijk")
 
 
 def visible_score(score: Column) -> Column:
@@ -97,7 +103,9 @@ def score_source(review_score: Column, rating: Column) -> Column:
 def _limit(t: Column) -> Column:
     found = F.regexp_extract(t, r"\d+(?:[.,]\d+)?", 0)
     value = F.replace(found, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(t.rlike("geen|onbeperkt"), F.lit(UNLIMITED)).otherwise(F.coalesce(F.when(found != "", value), F.lit(NOTHING)))
+    return F.when(t.rlike("geen|onbeperkt"), F.lit(UNLIMITED)).otherwise(
+        F.coalesce(F.when(found != "", value), F.lit(NOTHING))
+    )
 
 
 def metres(c: Column) -> Column:
@@ -112,7 +120,9 @@ def tons(c: Column) -> Column:
 
 def route_url(lat: Column, lon: Column) -> Column:
     """C21."""
-    return F.concat(F.lit("https://www.google.com/maps/dir/?api=1&destination="), lat.cast("string"), F.lit(","), lon.cast("string"))
+    return F.concat(
+        F.lit("https://www.google.com/maps/dir/?api=1&destination="), lat.cast("string"), F.lit(","), lon.cast("string")
+    )
 
 
 def website(c: Column) -> Column:

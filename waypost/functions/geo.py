@@ -11,7 +11,9 @@ RADIUS_KM, NOWHERE = 6371.0, 9999.0
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """G1: great-circle distance in km."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
+    a = F.pow(
+        F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)
+    ) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     return F.lit(2 * RADIUS_KM) * F.asin(F.sqrt(a))
 
 

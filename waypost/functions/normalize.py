@@ -40,7 +40,10 @@ PROVINCES = {
     "sud-holland": "Zuid-Holland",
     "sud holland": "Zuid-Holland",
 }
-OFFICIAL = ["groningen", "friesland", "drenthe", "overijssel", "flevoland", "gelderland", "utrecht", "noord-holland", "zuid-holland", "zeeland", "noord-brabant", "limburg"]
+OFFICIAL = [
+    "groningen", "friesland", "drenthe", "overijssel", "flevoland", "gelderland", "utrecht", "noord-holland",
+    "zuid-holland", "zeeland", "noord-brabant", "limburg"
+]
 UNKNOWN_PROVINCE = ["onbekend", "nan", "none", "", "-", "unknown"]
 UNKNOWN_PHONE = ["onbekend", "nan", "none", "", "-", "–", "unknown", "n/a"]
 TWO_DIGIT_AREAS = ["20", "10", "30", "70", "40", "45", "46", "50", "55", "58", "73", "76", "77", "78", "79"]
@@ -52,7 +55,9 @@ def province(c: Column) -> Column:
     t = stripped(c)
     low = F.lower(t)
     exact = F.create_map(*[F.lit(x) for pair in PROVINCES.items() for x in pair])
-    out = F.when(c.isNull() | low.isin(UNKNOWN_PROVINCE), UNKNOWN).when(F.try_element_at(exact, low).isNotNull(), F.try_element_at(exact, low)).when(low.isin(OFFICIAL), t)
+    out = F.when(c.isNull() | low.isin(UNKNOWN_PROVINCE), UNKNOWN).when(
+        F.try_element_at(exact, low).isNotNull(), F.try_element_at(exact, low)
+    ).when(low.isin(OFFICIAL), t)
     for spelling, name in PROVINCES.items():
         out = out.when(F.contains(low, F.lit(spelling)), name)
     return out.otherwise(t)
@@ -62,12 +67,18 @@ def phone(c: Column) -> Column:
     """Dutch numbers in one international format, others as they are."""
     t = stripped(c)
     raw = F.regexp_replace(t, "[^0-9]", "")
-    digits = F.when(F.startswith(raw, F.lit("0031")) & (F.length(raw) >= 12), F.concat(F.lit("0"), F.substring(raw, 5, 1000)))
-    digits = digits.when(F.startswith(raw, F.lit("31")) & (F.length(raw) == 11), F.concat(F.lit("0"), F.substring(raw, 3, 1000))).otherwise(raw)
+    digits = F.when(
+        F.startswith(raw, F.lit("0031")) & (F.length(raw) >= 12), F.concat(F.lit("0"), F.substring(raw, 5, 1000))
+    )
+    digits = digits.when(
+        F.startswith(raw, F.lit("31")) & (F.length(raw) == 11), F.concat(F.lit("0"), F.substring(raw, 3, 1000))
+    ).otherwise(raw)
     local = F.substring(digits, 2, 9)
     piece = lambda a, n: F.substring(local, a, n)
     national = F.when(F.startswith(local, F.lit("6")), F.concat_ws(" ", F.lit("+31 6"), piece(2, 4), piece(6, 4)))
-    national = national.when(piece(1, 2).isin(TWO_DIGIT_AREAS), F.concat_ws(" ", F.lit("+31"), piece(1, 2), piece(3, 3), piece(6, 4)))
+    national = national.when(
+        piece(1, 2).isin(TWO_DIGIT_AREAS), F.concat_ws(" ", F.lit("+31"), piece(1, 2), piece(3, 3), piece(6, 4))
+    )
     national = national.otherwise(F.concat_ws(" ", F.lit("+31"), piece(1, 3), piece(4, 3), piece(7, 3)))
     regular = (F.length(digits) == 10) & F.startswith(digits, F.lit("0"))
     return F.when(c.isNull() | F.lower(t).isin(UNKNOWN_PHONE), UNKNOWN).when(regular, national).otherwise(t)

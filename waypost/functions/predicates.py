@@ -49,7 +49,9 @@ def extracted(columns: list[str], wanted: dict) -> tuple[Column, list[str]]:
     if wanted.get("is_gratis") is True and "prijs" in columns:
         found.append(("Gratis", free()))
     if wanted.get("water") == "Ja":
-        found.append(("Water: Ja", any_of([says(F.col(c), "ja") for c in ("waterfront", "water_tanken") if c in columns])))
+        found.append(
+            ("Water: Ja", any_of([says(F.col(c), "ja") for c in ("waterfront", "water_tanken") if c in columns]))
+        )
     for key, label in (("sanitair", "Sanitair"), ("wifi", "Wifi")):
         if wanted.get(key) == "Ja" and key in columns:
             found.append((f"{label}: Ja", says(F.col(key), "ja")))
@@ -98,7 +100,10 @@ ORDERS = ("key", "name", "free", "rating", "distance")
 def order_by(choice: str = "key") -> list[Column]:
     """The columns of an order; "distance" needs afstand_km."""
     rating, name = F.desc_nulls_last(parse_score(F.col("beoordeling"))), F.lower("naam")
-    first = {"key": [], "name": [name], "free": [F.desc(free()), name], "rating": [rating], "distance": [F.asc_nulls_last("afstand_km")]}
+    first = {
+        "key": [], "name": [name], "free": [F.desc(free()), name], "rating": [rating],
+        "distance": [F.asc_nulls_last("afstand_km")]
+    }
     return [*first[choice], F.col("place_id")]
 
 

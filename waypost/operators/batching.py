@@ -19,13 +19,19 @@ def numbered(df: DataFrame, key: str = "place_id", size: int = 5, buckets: int =
     """
     ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
     low, high = (ends.low or 0), (ends.high or 0)
-    bucket = F.when(F.col(key).isNull(), buckets + 2).otherwise(F.width_bucket(F.col(key).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(buckets)))
+    bucket = F.when(F.col(key).isNull(), buckets + 2).otherwise(
+        F.width_bucket(F.col(key).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(buckets))
+    )
     ranged = df.withColumn("range_", bucket.cast("int"))
     before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    bases = ranged.groupBy("range_").agg(F.count("*").alias("n_")).select(
+        "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_")
+    )
     own = F.row_number().over(Window.partitionBy("range_").orderBy(key)) - 1
     placed = ranged.join(F.broadcast(bases), "range_")
-    return placed.withColumn("position", (F.col("base_") + own).cast("long")).withColumn("batch", F.floor(F.col("position") / size)).drop("range_", "base_")
+    return placed.withColumn(
+        "position", (F.col("base_") + own).cast("long")
+    ).withColumn("batch", F.floor(F.col("position") / size)).drop("range_", "base_")
 
 
 def first_unprocessed(df: DataFrame, limit: int) -> DataFrame:
@@ -41,9 +47,15 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     first rank is a prefix sum over their counts, so no task sees all rows.
     The sorted rows are held, as a second sort could draw other ranges.
     """
-    placed = df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn("row_", F.monotonically_increasing_id())
+    placed = df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn(
+        "row_", F.monotonically_increasing_id()
+    )
     placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    bases = placed.groupBy("part_").agg(F.count("*").alias("n_")).select(
+        "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_")
+    )
     own = F.col("row_").bitwiseAND((1 << 33) - 1)
-    return placed.join(F.broadcast(bases), "part_").withColumn("rank", F.col("base_") + own + 1).drop("part_", "row_", "base_")
+    return placed.join(F.broadcast(bases), "part_").withColumn(
+        "rank", F.col("base_") + own + 1
+    ).drop("part_", "row_", "base_")

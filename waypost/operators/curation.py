@@ -17,4 +17,6 @@ def others(places: DataFrame, names: DataFrame) -> DataFrame:
 
 def toggled(events: DataFrame) -> DataFrame:
     """Names that were toggled an odd number of times, from (user, naam) events."""
-    return events.groupBy("user_id", "naam").agg(F.count("*").alias("toggles")).filter("toggles % 2 = 1").select("user_id", "naam")
+    return events.groupBy("user_id", "naam").agg(
+        F.count("*").alias("toggles")
+    ).filter("toggles % 2 = 1").select("user_id", "naam")

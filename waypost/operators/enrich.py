@@ -20,7 +20,13 @@ from waypost.sources.scratch import filed
 # Text limits of the prompt and what stands for a missing source.
 SITE_CHARS, REVIEW_CHARS = 2500, 1500
 NO_SITE, NO_REVIEW = "(niet beschikbaar)", "(niet gevonden)"
-DOMAINS = {c: ["Ja", "Nee", "Onbekend"] for c in ("honden_toegestaan", "stroom", "afvalwater", "chemisch_toilet", "water_tanken", "sanitair", "wifi", "waterfront", "roken", "feesten")}
+DOMAINS = {
+    c: ["Ja", "Nee", "Onbekend"]
+    for c in (
+        "honden_toegestaan", "stroom", "afvalwater", "chemisch_toilet", "water_tanken", "sanitair", "wifi",
+        "waterfront", "roken", "feesten"
+    )
+}
 
 
 def title(html: Column) -> Column:
@@ -30,7 +36,9 @@ def title(html: Column) -> Column:
 
 def page_text(html: Column) -> Column:
     """S9's stand-in: a page without scripts, styles and tags."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
+    bare = F.regexp_replace(
+        F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " "
+    )
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -50,7 +58,9 @@ def clipped(c: Column, limit: int, missing: str) -> Column:
 def changed(new: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (url, hash) with whether the page's hash differs from the known one or is unknown."""
     old = known.select("url", F.col("hash").alias("old_"))
-    return new.join(old, "url", "left").withColumn("changed", ~F.col("hash").eqNullSafe(F.col("old_")) | F.col("hash").isNull()).drop("old_")
+    return new.join(old, "url", "left").withColumn(
+        "changed", ~F.col("hash").eqNullSafe(F.col("old_")) | F.col("hash").isNull()
+    ).drop("old_")
 
 
 def _unknown(c: Column) -> Column:
@@ -61,7 +71,9 @@ def fill_unknown(base: DataFrame, updates: DataFrame, columns: list[str], key: s
     """Updates replace unknown values only, and only by known ones."""
     named = updates.select(key, *[F.col(c).alias(f"{c}_new") for c in columns])
     joined = base.join(named, key, "left")
-    value = lambda c: F.when(_unknown(F.col(c)) & ~F.coalesce(_unknown(F.col(f"{c}_new")), F.lit(True)), F.col(f"{c}_new")).otherwise(F.col(c))
+    value = lambda c: F.when(
+        _unknown(F.col(c)) & ~F.coalesce(_unknown(F.col(f"{c}_new")), F.lit(True)), F.col(f"{c}_new")
+    ).otherwise(F.col(c))
     return joined.withColumns({c: value(c) for c in columns}).drop(*[f"{c}_new" for c in columns])
 
 
@@ -84,8 +96,13 @@ def paired(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 def prompts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per batch (batch, place_id, columns, website text) one prompt, its rows in place order."""
     row = F.to_json(F.struct(*columns))
-    source = F.concat_ws("\n", F.concat(F.lit("Website: "), clipped(F.col("site_text"), SITE_CHARS, NO_SITE)), F.concat(F.lit("Data: "), row))
-    gathered = df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place_id", source.alias("s")))).alias("rows"))
+    source = F.concat_ws(
+        "\n", F.concat(F.lit("Website: "), clipped(F.col("site_text"), SITE_CHARS, NO_SITE)),
+        F.concat(F.lit("Data: "), row)
+    )
+    gathered = df.groupBy("batch").agg(
+        F.sort_array(F.collect_list(F.struct("place_id", source.alias("s")))).alias("rows")
+    )
     return gathered.select("batch", F.array_join(F.transform("rows", lambda x: x["s"]), "\n\n").alias("prompt"))
 
 
@@ -93,7 +110,9 @@ def deduced(df: DataFrame) -> DataFrame:
     """Facts that the name, description or reviews imply where nothing is known."""
     text = lambda *names: F.lower(F.concat_ws(" ", *[F.col(c) for c in names if c in df.columns]))
     name, told, reviews = text("naam"), text("naam", "beschrijving"), text("samenvatting_reviews")
-    parking, harbour, camping = name.rlike("parking|parkeer"), name.rlike("jachthaven|marina"), name.rlike("camping|vakantiepark")
+    parking, harbour, camping = name.rlike("parking|parkeer"), name.rlike("jachthaven|marina"), name.rlike(
+        "camping|vakantiepark"
+    )
     facts = {
         "stroom": F.when(parking, "Nee"),
         "sanitair": F.when(parking, "Nee").when(harbour | camping | reviews.contains("muntjes douche"), "Ja"),
@@ -102,7 +121,12 @@ def deduced(df: DataFrame) -> DataFrame:
         "check_in_out": F.when(told.rlike("24u|altijd open"), "Vrij"),
         "honden_toegestaan": F.when(told.contains("honden welkom"), "Ja"),
     }
-    return df.withColumns({c: F.when(_unknown(F.col(c)), F.coalesce(v, F.col(c))).otherwise(F.col(c)) for c, v in facts.items() if c in df.columns})
+    return df.withColumns(
+        {
+            c: F.when(_unknown(F.col(c)), F.coalesce(v, F.col(c))).otherwise(F.col(c)) for c,
+            v in facts.items() if c in df.columns
+        }
+    )
 
 
 def crowding_by_capacity(c: Column) -> Column:
@@ -142,7 +166,10 @@ def _answers(asked: DataFrame, answer: Callable[[str], str], shape: str, *keep:
     return said.select(*keep, F.from_json(first_json(F.col("site_text")), shape).alias("r"))
 
 
-def batch_run(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], answer_again: Callable[[str], str], columns: list[str], limit: int = 0, size: int = 5) -> DataFrame:
+def batch_run(
+    base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], answer_again: Callable[[str], str],
+    columns: list[str], limit: int = 0, size: int = 5
+) -> DataFrame:
     """What a run of the model makes of the unprocessed rows, a row each.
 
     ``scraped`` has place_id, site_text, changed, total_len and photos (a list);
@@ -154,23 +181,37 @@ def batch_run(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str],
     that row alone is answered by ``answer_again``, and fills unknown values
     only. Result: place_id, skipped, fallback, succeeded, the columns, photos.
     """
-    own = list(dict.fromkeys(["place_id", *[c for c in ("naam", "provincie") if c in base.columns], *columns, "ai_gecheckt"]))
+    own = list(
+        dict.fromkeys(["place_id", *[c for c in ("naam", "provincie") if c in base.columns], *columns, "ai_gecheckt"])
+    )
     todo = numbered(first_unprocessed(base, limit).select(*own), size=size).drop("position")
     known = scraped.select("place_id", "site_text", "changed", "total_len", "photos")
-    todo = todo.join(known, "place_id", "left").withColumns({"changed": F.coalesce("changed", F.lit(True)), "total_len": F.coalesce("total_len", F.lit(0))})
+    todo = todo.join(known, "place_id", "left").withColumns(
+        {"changed": F.coalesce("changed", F.lit(True)), "total_len": F.coalesce("total_len", F.lit(0))}
+    )
     todo = filed(todo.withColumn("skipped", unchanged()), "todo")
     place = Window.partitionBy("batch").orderBy("place_id")  # a batch of at most ``size``
     asked = todo.filter("not skipped").withColumn("pos", (F.row_number().over(place) - 1).cast("int"))
     shape = "struct<" + ", ".join(f"{c}: string" for c in columns) + ">"
     # models are asked once: what they said is written before it is used twice
     answers = filed(_answers(prompts(asked, columns), answer, f"array<{shape}>", "batch"), "answers")
-    got = paired(asked, answers.select("batch", F.col("r").alias("items")).filter("items is not null")).filter("item is not null")
+    got = paired(
+        asked, answers.select("batch", F.col("r").alias("items")).filter("items is not null")
+    ).filter("item is not null")
     named = F.concat_ws(", ", *[c for c in ("naam", "provincie") if c in base.columns])
     got = got.select("place_id", named.alias("named"), "total_len", "photos", "item")
-    unknown = lambda row: F.size(F.filter(F.array(*[row[c] for c in columns]), lambda v: F.coalesce(_unknown(v), F.lit(False))))
+    unknown = lambda row: F.size(
+        F.filter(F.array(*[row[c] for c in columns]), lambda v: F.coalesce(_unknown(v), F.lit(False)))
+    )
     got = got.withColumn("fallback", (F.col("total_len") < SHORT_TEXT) | (unknown(F.col("item")) > MANY_UNKNOWN))
     lacking = F.array_join(F.array_compact(F.array(*[F.when(_unknown(F.col("item")[c]), c) for c in columns])), ", ")
-    second = got.filter("fallback").select("place_id", F.concat_ws("\n", F.concat(F.lit("Zoek: "), F.col("named")), F.concat(F.lit("Onbekend: "), lacking), F.concat(F.lit("Data: "), F.to_json("item"))).alias("prompt"))
+    second = got.filter("fallback").select(
+        "place_id",
+        F.concat_ws(
+            "\n", F.concat(F.lit("Zoek: "), F.col("named")), F.concat(F.lit("Onbekend: "), lacking),
+            F.concat(F.lit("Data: "), F.to_json("item"))
+        ).alias("prompt")
+    )
     again = filed(_answers(second, answer_again, shape, "place_id"), "second")
     first = got.select("place_id", "fallback", "photos", "item.*")
     filled = fill_unknown(first, again.filter("r is not null").select("place_id", "r.*"), columns)
@@ -188,5 +229,8 @@ def applied(base: DataFrame, run: DataFrame) -> DataFrame:
 
 def enriched(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], columns: list[str]) -> DataFrame:
     """A run in batches of one, without a second pass: ``base`` with the answers for rows (place_id, site_text) to do."""
-    pages = scraped.select("place_id", "site_text", F.lit(True).alias("changed"), F.lit(SHORT_TEXT).alias("total_len"), F.lit(None).cast("array<string>").alias("photos"))
+    pages = scraped.select(
+        "place_id", "site_text", F.lit(True).alias("changed"), F.lit(SHORT_TEXT).alias("total_len"),
+        F.lit(None).cast("array<string>").alias("photos")
+    )
     return applied(base, batch_run(base, pages, answer, lambda _: "", columns, size=1).drop("photos"))

@@ -25,7 +25,9 @@ def add_distances(df: DataFrame, lat: float, lon: float) -> DataFrame:
     usable = F.col("lat_d").isNotNull() & F.col("lon_d").isNotNull()
     unknown_input = F.isnan("lat_d") | F.isnan("lon_d")
     measured = F.when(~usable, NOWHERE).when(F.isnan(km) & ~unknown_input, NOWHERE).otherwise(km)
-    return located.withColumn("afstand_km", measured).withColumn("afstand_label", distance_label(F.col("afstand_km"))).drop("lat_d", "lon_d")
+    return located.withColumn("afstand_km", measured).withColumn(
+        "afstand_label", distance_label(F.col("afstand_km"))
+    ).drop("lat_d", "lon_d")
 
 
 def nearest(df: DataFrame, lat: float, lon: float, k: int) -> DataFrame:
@@ -50,7 +52,10 @@ def centroid(df: DataFrame) -> DataFrame:
     """The middle of the map, its zoom, and how many places it shows."""
     located = with_coordinates(df)
     n = F.count("*")
-    return located.agg(F.coalesce(F.avg("lat_d"), F.lit(52.3)).alias("lat"), F.coalesce(F.avg("lon_d"), F.lit(5.3)).alias("lon"), F.when(n == 0, 7).when(n > 15, 8).otherwise(11).alias("zoom"), F.least(n, F.lit(300)).alias("shown"))
+    return located.agg(
+        F.coalesce(F.avg("lat_d"), F.lit(52.3)).alias("lat"), F.coalesce(F.avg("lon_d"), F.lit(5.3)).alias("lon"),
+        F.when(n == 0, 7).when(n > 15, 8).otherwise(11).alias("zoom"), F.least(n, F.lit(300)).alias("shown")
+    )
 
 
 def _cell(lat: Column, lon: Column, size: float, *shift: Column) -> list[Column]:
@@ -58,7 +63,10 @@ def _cell(lat: Column, lon: Column, size: float, *shift: Column) -> list[Column]
     a, o = F.radians(lat), F.radians(lon)
     axes = (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))
     moved = shift or (F.lit(0), F.lit(0), F.lit(0))
-    return [(F.floor(x / size) + d).cast("long").alias(f"cell_{i}") for i, (x, d) in enumerate(zip(axes, moved, strict=True))]
+    return [
+        (F.floor(x / size) + d).cast("long").alias(f"cell_{i}") for i,
+        (x, d) in enumerate(zip(axes, moved, strict=True))
+    ]
 
 
 _CELL = ["cell_0", "cell_1", "cell_2"]
@@ -71,7 +79,9 @@ def _around(cities: DataFrame, size: float) -> DataFrame:
     spread = cities.select("lat", "lon", *_CITY)
     for i in range(3):
         spread = spread.withColumn(f"d_{i}", F.explode(steps))
-    return spread.select("lat", "lon", *_CITY, *_cell(F.col("lat"), F.col("lon"), size, *[F.col(f"d_{i}") for i in range(3)]))
+    return spread.select(
+        "lat", "lon", *_CITY, *_cell(F.col("lat"), F.col("lon"), size, *[F.col(f"d_{i}") for i in range(3)])
+    )
 
 
 def _reach(size: float) -> float:
@@ -89,7 +99,9 @@ def nearest_city(df: DataFrame, cities: DataFrame, small: int = 10_000) -> DataF
     about one city each. Up to ``small`` cities, the grids are broadcast as a
     list of cities a cell, and places aren't shuffled.
     """
-    here = df.filter("lat_d is not null and lon_d is not null and not isnan(lat_d) and not isnan(lon_d)").select("place_id", "lat_d", "lon_d")
+    here = df.filter(
+        "lat_d is not null and lon_d is not null and not isnan(lat_d) and not isnan(lon_d)"
+    ).select("place_id", "lat_d", "lon_d")
     n = cities.count()
     sizes = [max(0.001, math.sqrt(4 * math.pi / max(n, 1)))]
     while sizes[-1] < 2:
@@ -99,15 +111,21 @@ def nearest_city(df: DataFrame, cities: DataFrame, small: int = 10_000) -> DataF
 
 
 def _candidate(lat: Column, lon: Column, city: Column) -> Column:
-    return F.struct(F.round(haversine(lat, lon, city["lat"], city["lon"]), 6).alias("km"), *[city[c].alias(c) for c in _CITY])
+    return F.struct(
+        F.round(haversine(lat, lon, city["lat"], city["lon"]), 6).alias("km"), *[city[c].alias(c) for c in _CITY]
+    )
 
 
 def _nearest_of_few(here: DataFrame, cities: DataFrame, sizes: list[float]) -> DataFrame:
     """By broadcast lists: places keep their partitions, and wider grids are only looked at where a narrow one isn't sure."""
     best, rows = None, here
     for i, size in enumerate(sizes):
-        lists = _around(cities, size).groupBy(*_CELL).agg(F.collect_list(F.struct("lat", "lon", *_CITY)).alias(f"near_{i}"))
-        rows = rows.select("*", *_cell(F.col("lat_d"), F.col("lon_d"), size)).join(F.broadcast(lists), _CELL, "left").drop(*_CELL)
+        lists = _around(cities, size).groupBy(*_CELL).agg(
+            F.collect_list(F.struct("lat", "lon", *_CITY)).alias(f"near_{i}")
+        )
+        rows = rows.select(
+            "*", *_cell(F.col("lat_d"), F.col("lon_d"), size)
+        ).join(F.broadcast(lists), _CELL, "left").drop(*_CELL)
     for i, size in reversed(list(enumerate(sizes))):
         own = F.array_min(F.transform(f"near_{i}", lambda c: _candidate(F.col("lat_d"), F.col("lon_d"), c)))
         best = own if best is None else F.when(own["km"] <= _reach(size), own).otherwise(best)
@@ -119,7 +137,9 @@ def _nearest_of_many(here: DataFrame, cities: DataFrame, sizes: list[float]) ->
     found, rest = [], here
     for size in sizes:
         near = rest.select("*", *_cell(F.col("lat_d"), F.col("lon_d"), size)).join(_around(cities, size), _CELL)
-        best = near.groupBy("place_id", "lat_d", "lon_d").agg(F.min(_candidate(F.col("lat_d"), F.col("lon_d"), F.struct("lat", "lon", *_CITY))).alias("b"))
+        best = near.groupBy("place_id", "lat_d", "lon_d").agg(
+            F.min(_candidate(F.col("lat_d"), F.col("lon_d"), F.struct("lat", "lon", *_CITY))).alias("b")
+        )
         sure = best if size >= 2 else best.filter(F.col("b.km") <= _reach(size))
         sure = filed(sure.select("place_id", "b"), "nearest")
         found.append(sure)
@@ -133,4 +153,6 @@ def in_country(df: DataFrame, cities: DataFrame, country: str = "NL") -> DataFra
     """Places nearest to a city of ``country``; their province is that city's region."""
     named = with_coordinates(df)
     near = nearest_city(named, cities)
-    return named.drop("provincie", "lat_d", "lon_d").join(near.filter(F.col("cc") == country).select("place_id", F.col("admin1").alias("provincie")), "place_id")
+    return named.drop("provincie", "lat_d", "lon_d").join(
+        near.filter(F.col("cc") == country).select("place_id", F.col("admin1").alias("provincie")), "place_id"
+    )

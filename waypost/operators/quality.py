@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from waypost.functions.predicates import NO_OPTION, free, unprocessed
 
 # The profiled fields, and the planning constants of a run.
-PROFILED = ["prijs", "honden_toegestaan", "stroom", "sanitair", "wifi", "water_tanken", "afvalwater", "beoordeling", "beschrijving", "telefoonnummer", "provincie", "drukte_indicator", "max_lengte", "remote_work_score"]
+PROFILED = [
+    "prijs", "honden_toegestaan", "stroom", "sanitair", "wifi", "water_tanken", "afvalwater", "beoordeling",
+    "beschrijving", "telefoonnummer", "provincie", "drukte_indicator", "max_lengte", "remote_work_score"
+]
 BATCH, WORKERS, SCRAPE_S, MODEL_S, PAUSE_S = 5, 10, 3.0, 4.0, 1.5
 
 
 def landing_stats(df: DataFrame) -> DataFrame:
     """A1: rows, free rows, distinct provinces (the sentinel counts as one)."""
-    return df.agg(F.count("*").alias("total"), F.count_if(free()).alias("gratis"), F.count_distinct("provincie").alias("provincies"))
+    return df.agg(
+        F.count("*").alias("total"), F.count_if(free()).alias("gratis"),
+        F.count_distinct("provincie").alias("provincies")
+    )
 
 
 def unknown_profile(df: DataFrame) -> DataFrame:
@@ -22,7 +28,9 @@ def unknown_profile(df: DataFrame) -> DataFrame:
     fields = [c for c in PROFILED if c in df.columns]
     counted = df.agg(F.count("*").alias("rows_"), *[F.count_if(F.lower(c) == "onbekend").alias(c) for c in fields])
     long = counted.unpivot(["rows_"], fields, "veld", "onbekend")
-    return long.select("veld", "onbekend", F.round(F.col("onbekend") / F.greatest("rows_", F.lit(1)) * 100, 1).alias("pct"))
+    return long.select(
+        "veld", "onbekend", F.round(F.col("onbekend") / F.greatest("rows_", F.lit(1)) * 100, 1).alias("pct")
+    )
 
 
 def province_options(df: DataFrame) -> DataFrame:
@@ -53,7 +61,10 @@ def run_counters(results: DataFrame) -> DataFrame:
     """Processed, succeeded, skipped, fallback, and the share that succeeded."""
     n = F.count("*")
     ok = F.count_if(F.coalesce(F.col("naam") != "", F.lit(False)))
-    return results.agg(n.alias("processed"), ok.alias("succeeded"), F.count_if("skipped").alias("skipped"), F.count_if("fallback").alias("fallback"), F.round(ok / F.greatest(n, F.lit(1)) * 100, 1).alias("pct"))
+    return results.agg(
+        n.alias("processed"), ok.alias("succeeded"), F.count_if("skipped").alias("skipped"),
+        F.count_if("fallback").alias("fallback"), F.round(ok / F.greatest(n, F.lit(1)) * 100, 1).alias("pct")
+    )
 
 
 def minutes(n: Column) -> Column:

@@ -29,7 +29,9 @@ def cascade(df: DataFrame, query: str, regex: bool = False) -> DataFrame:
     staged = df.withColumn("stage_", F.when(match("naam"), 1).when(match("provincie"), 2))
     best = staged.agg(F.min("stage_").alias("best_"))
     joined = staged.crossJoin(F.broadcast(best))  # one row
-    return joined.filter(F.col("best_").isNull() | (F.col("stage_") == F.col("best_"))).withColumn("use_ai", F.col("best_").isNull()).drop("stage_", "best_")
+    return joined.filter(
+        F.col("best_").isNull() | (F.col("stage_") == F.col("best_"))
+    ).withColumn("use_ai", F.col("best_").isNull()).drop("stage_", "best_")
 
 
 def first_json(text: Column, strict_order: bool = False) -> Column:
@@ -40,16 +42,22 @@ def first_json(text: Column, strict_order: bool = False) -> Column:
     parse, which loses arrays of several objects.
     """
     fenced = F.startswith(stripped(text), F.lit("```"))
-    inner = F.when(fenced, F.regexp_replace(F.regexp_replace(stripped(text), r"^[^\n]*\n", ""), r"\n[^\n]*$", "")).otherwise(text)
+    inner = F.when(
+        fenced, F.regexp_replace(F.regexp_replace(stripped(text), r"^[^\n]*\n", ""), r"\n[^\n]*$", "")
+    ).otherwise(text)
     whole = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
     listed = F.regexp_extract(inner, r"(?s)\[.*\]", 0)
     # a parser stops after the first value; within brackets what follows it shows
-    parse = lambda c: F.when(F.try_parse_json(c).isNotNull() & (F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1), c)
+    parse = lambda c: F.when(
+        F.try_parse_json(c).isNotNull() & (F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1), c
+    )
     brace, bracket = F.instr(inner, "{"), F.instr(inner, "[")
     list_first = (bracket > 0) & ((brace == 0) | (bracket < brace))
     either = F.coalesce(parse(whole), parse(listed))
     object_first = F.when(whole != "", parse(whole)).otherwise(parse(listed))
-    found = object_first if strict_order else F.when(list_first, F.coalesce(parse(listed), parse(whole))).otherwise(either)
+    found = object_first if strict_order else F.when(
+        list_first, F.coalesce(parse(listed), parse(whole))
+    ).otherwise(either)
     return F.when(text.isNotNull() & ~F.startswith(text, F.lit("⚠️")), found)
 
 
@@ -64,7 +72,10 @@ def keyword_extractor(query: str) -> dict:
     out: dict = {}
     if "gratis" in q:
         out["is_gratis"] = True
-    for word, key in (("hond", "honden_toegestaan"), ("stroom", "stroom"), ("water", "water"), ("sanitair", "sanitair"), ("wifi", "wifi")):
+    for word, key in (
+        ("hond", "honden_toegestaan"), ("stroom", "stroom"), ("water", "water"), ("sanitair", "sanitair"),
+        ("wifi", "wifi")
+    ):
         if word in q:
             out[key] = "Ja"
     for name in OFFICIAL:
@@ -73,7 +84,9 @@ def keyword_extractor(query: str) -> dict:
     return out
 
 
-def natural(df: DataFrame, query: str, extractor: Callable[[str], dict] = keyword_extractor) -> tuple[DataFrame, list[str]]:
+def natural(
+    df: DataFrame, query: str, extractor: Callable[[str], dict] = keyword_extractor
+) -> tuple[DataFrame, list[str]]:
     """F8, Q2: filter by what ``extractor`` finds in the query; the labels say what applied."""
     if not (query or "").strip():
         return df, []

@@ -20,7 +20,14 @@ def answer(prompt: str) -> str:
     rows = [json.loads(line.removeprefix("Data: ")) for line in prompt.split("\n") if line.startswith("Data: ")]
     if rows[0]["naam"].startswith("Boerderij"):
         return "geen idee"
-    said = [{"naam": r["naam"], "provincie": r["provincie"], "prijs": "Onbekend", "stroom": "Nee" if "Parking" in r["naam"] else "Onbekend", "wifi": "Ja" if "Camping" in r["naam"] else "Onbekend", "sanitair": "Onbekend"} for r in rows]
+    said = [
+        {
+            "naam": r["naam"], "provincie": r["provincie"], "prijs": "Onbekend",
+            "stroom": "Nee" if "Parking" in r["naam"] else "Onbekend",
+            "wifi": "Ja" if "Camping" in r["naam"] else "Onbekend", "sanitair": "Onbekend"
+        }
+        for r in rows
+    ]
     return "```json\n" + json.dumps(said, ensure_ascii=False) + "\n```"
 
 
@@ -31,7 +38,11 @@ def answer_again(prompt: str) -> str:
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     base = places(spark, d).select("place_id", *COLUMNS, "photos", "ai_gecheckt")
-    scraped = base.filter("place_id % 11 <> 0").select("place_id", F.lit("").alias("site_text"), (F.col("place_id") % 4 != 0).alias("changed"), (F.col("place_id") % 500).alias("total_len"), F.when(F.col("place_id") % 5 == 0, F.array(F.lit("a.jpg"), F.lit("b.jpg"))).alias("photos"))
+    scraped = base.filter("place_id % 11 <> 0").select(
+        "place_id", F.lit("").alias("site_text"), (F.col("place_id") % 4 != 0).alias("changed"),
+        (F.col("place_id") % 500).alias("total_len"),
+        F.when(F.col("place_id") % 5 == 0, F.array(F.lit("a.jpg"), F.lit("b.jpg"))).alias("photos")
+    )
     return base, scraped
 
 
@@ -53,14 +64,29 @@ run AS (
 _NEW = ", ".join(f"coalesce(r.{c}, p.{c}) AS {c}" for c in (*COLUMNS, "photos"))
 
 
-@register("batch_enrichment", O.places("p.place_id, " + _NEW + ", coalesce(r.stroom_prijs, 'Onbekend') AS stroom_prijs, CASE WHEN r.place_id IS NOT NULL OR s.place_id IS NOT NULL THEN 'Ja' ELSE ai_gecheckt END AS ai_gecheckt", "p LEFT JOIN run r USING (place_id) LEFT JOIN (SELECT place_id FROM todo WHERE skipped) s USING (place_id)", _RUN))
+@register(
+    "batch_enrichment",
+    O.places(
+        "p.place_id, "
+        + _NEW
+        + ", coalesce(r.stroom_prijs, 'Onbekend') AS stroom_prijs, CASE WHEN r.place_id IS NOT NULL OR s.place_id IS NOT NULL THEN 'Ja' ELSE ai_gecheckt END AS ai_gecheckt",
+        "p LEFT JOIN run r USING (place_id) LEFT JOIN (SELECT place_id FROM todo WHERE skipped) s USING (place_id)",
+        _RUN
+    )
+)
 def batch_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """The whole run, applied to the places."""
     base, scraped = _inputs(spark, d)
     return enrich.applied(base, enrich.batch_run(base, scraped, answer, answer_again, COLUMNS))
 
 
-@register("batch_outcomes", O.places("count(*) AS processed, count(r.place_id) AS succeeded, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE fallback) AS fallback, round(count(r.place_id) / greatest(count(*), 1) * 100, 1) AS pct", "JOIN todo USING (place_id) LEFT JOIN run r USING (place_id)", _RUN))
+@register(
+    "batch_outcomes",
+    O.places(
+        "count(*) AS processed, count(r.place_id) AS succeeded, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE fallback) AS fallback, round(count(r.place_id) / greatest(count(*), 1) * 100, 1) AS pct",
+        "JOIN todo USING (place_id) LEFT JOIN run r USING (place_id)", _RUN
+    )
+)
 def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """The counters of that run."""
     base, scraped = _inputs(spark, d)

@@ -20,7 +20,10 @@ class Busy(Exception):
     """Raised by a client for a status in ``BUSY``."""
 
 
-def patient(call: Callable[[str], str], attempts: int = 4, base_s: float = 5.0, jitter_s: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+def patient(
+    call: Callable[[str], str], attempts: int = 4, base_s: float = 5.0, jitter_s: float = 3.0,
+    sleep: Callable[[float], None] = time.sleep
+) -> Callable[[str], str]:
     """``call`` again after ``Busy``, waiting twice as long each time; the last failure is raised, not swallowed."""
 
     def run(text: str) -> str:
@@ -36,7 +39,9 @@ def patient(call: Callable[[str], str], attempts: int = 4, base_s: float = 5.0,
     return run
 
 
-def failover(calls: Sequence[Callable[[str], str]], attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+def failover(
+    calls: Sequence[Callable[[str], str]], attempts: int = 5, sleep: Callable[[float], None] = time.sleep
+) -> Callable[[str], str]:
     """The endpoints in turn until one answers; waits grow after busy answers and time-outs."""
 
     def run(query: str) -> str:
@@ -67,7 +72,9 @@ def geocode(queries: DataFrame, names: DataFrame, query: str = "query") -> DataF
     """
     known = names.groupBy(F.lower(F.trim("name")).alias("known_")).agg(F.min(F.struct("lat", "lon")).alias("at_"))
     full = known.select(F.concat("known_", F.lit(", nederland")).alias("full_"), F.col("at_").alias("full_at_"))
-    asked = queries.withColumn("full_", F.lower(F.trim(geocode_query(F.col(query))))).withColumn("known_", F.lower(F.trim(F.col(query))))
+    asked = queries.withColumn(
+        "full_", F.lower(F.trim(geocode_query(F.col(query))))
+    ).withColumn("known_", F.lower(F.trim(F.col(query))))
     found = asked.join(full, "full_", "left").join(known, "known_", "left")
     at = F.coalesce("full_at_", "at_")
     return found.withColumn("lat", at["lat"]).withColumn("lon", at["lon"]).drop("full_", "known_", "full_at_", "at_")

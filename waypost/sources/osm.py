@@ -66,4 +66,9 @@ def ingest(df: DataFrame, *keep: str) -> DataFrame:
         F.lit("Nee").alias("ai_gecheckt"),
         F.lit(PLACEHOLDER_IMAGE).alias("afbeelding"),
     )
-    return out.filter(a_stopover()).filter(F.col("latitude").isNotNull() & (F.col("latitude") != 0) & F.col("longitude").isNotNull() & (F.col("longitude") != 0))
+    return out.filter(a_stopover()).filter(
+        F.col("latitude").isNotNull()
+        & (F.col("latitude") != 0)
+        & F.col("longitude").isNotNull()
+        & (F.col("longitude") != 0)
+    )

@@ -9,8 +9,17 @@ from pyspark.sql import types as T
 from waypost.functions.clean import UNKNOWN
 
 # Columns of the base table and of the enrichment contract.
-BASE = ["naam", "latitude", "longitude", "telefoonnummer", "provincie", "honden_toegestaan", "stroom", "waterfront", "aantal_plekken", "prijs", "website", "ai_gecheckt", "afbeelding"]
-ENRICHED = ["naam", "provincie", "prijs", "honden_toegestaan", "stroom", "stroom_prijs", "afvalwater", "chemisch_toilet", "water_tanken", "aantal_plekken", "check_in_out", "beschrijving", "ondergrond", "toegankelijkheid", "rust", "sanitair", "wifi", "waterfront", "beoordeling", "samenvatting_reviews", "telefoonnummer", "roken", "feesten", "faciliteiten_extra", "huisregels", "loc_type", "drukte_indicator", "max_lengte", "max_gewicht", "remote_work_score", "voertuig_types", "tarieftype", "ai_gecheckt"]
+BASE = [
+    "naam", "latitude", "longitude", "telefoonnummer", "provincie", "honden_toegestaan", "stroom", "waterfront",
+    "aantal_plekken", "prijs", "website", "ai_gecheckt", "afbeelding"
+]
+ENRICHED = [
+    "naam", "provincie", "prijs", "honden_toegestaan", "stroom", "stroom_prijs", "afvalwater", "chemisch_toilet",
+    "water_tanken", "aantal_plekken", "check_in_out", "beschrijving", "ondergrond", "toegankelijkheid", "rust",
+    "sanitair", "wifi", "waterfront", "beoordeling", "samenvatting_reviews", "telefoonnummer", "roken", "feesten",
+    "faciliteiten_extra", "huisregels", "loc_type", "drukte_indicator", "max_lengte", "max_gewicht",
+    "remote_work_score", "voertuig_types", "tarieftype", "ai_gecheckt"
+]
 
 
 def place_schema(columns: list[str] | None = None) -> T.StructType:
@@ -28,7 +37,13 @@ def finished(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Text columns stay text, so telephone numbers keep their zeros."""
-    return finished(spark.read.schema(place_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+    return finished(
+        spark.read.schema(place_schema(columns))
+        .option("header", True)
+        .option("multiLine", True)
+        .option("escape", '"')
+        .csv(path)
+    )
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -90,13 +105,19 @@ DERIVED = {
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived place relation; columns that a query doesn't use are pruned from the scan."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*[f"{sql} AS {name}" for name, sql in DERIVED.items()])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        *[f"{sql} AS {name}" for name, sql in DERIVED.items()]
+    )
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(*GAZETTEER)
 
 
-GAZETTEER = ["CAST(n_nationkey AS BIGINT) AS city_id", "CAST(50 + n_nationkey % 5 AS DOUBLE) AS lat", "CAST(3 + CAST(floor(n_nationkey / 5) AS BIGINT) AS DOUBLE) AS lon", "CASE WHEN n_nationkey % 6 = 5 THEN 'DE' ELSE 'NL' END AS cc", "n_name AS admin1"]
+GAZETTEER = [
+    "CAST(n_nationkey AS BIGINT) AS city_id", "CAST(50 + n_nationkey % 5 AS DOUBLE) AS lat",
+    "CAST(3 + CAST(floor(n_nationkey / 5) AS BIGINT) AS DOUBLE) AS lon",
+    "CASE WHEN n_nationkey % 6 = 5 THEN 'DE' ELSE 'NL' END AS cc", "n_name AS admin1"
+]
 PLACES_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in DERIVED.items()) + " FROM part"
 GAZETTEER_SQL = "SELECT " + ", ".join(GAZETTEER) + " FROM nation"

@@ -16,12 +16,17 @@ def save(df: DataFrame, path: str, snapshot: str | None = None) -> None:
     flat = df.withColumns({c: F.to_json(c) for c in nested}).na.fill(UNKNOWN)
     flat.write.mode("overwrite").parquet(path)
     if snapshot:
-        df.sparkSession.read.parquet(path).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(snapshot)
+        df.sparkSession.read.parquet(path).write.mode("overwrite").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(snapshot)
 
 
 def append_reports(df: DataFrame, path: str) -> None:
     """K4: corrections (naam, veld, correctie, opmerking) that say something, stamped as new, the name escaped."""
-    rows = df.filter(stripped(F.col("correctie")) != "").select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), escape_html(F.col("naam")).alias("naam"), "veld", "correctie", "opmerking", F.lit("nieuw").alias("status"))
+    rows = df.filter(stripped(F.col("correctie")) != "").select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        escape_html(F.col("naam")).alias("naam"), "veld", "correctie", "opmerking", F.lit("nieuw").alias("status")
+    )
     rows.write.mode("append").json(path)
 
 

@@ -11,7 +11,10 @@ from waypost.functions.normalize import postprocess
 from waypost.operators.enrich import deduced
 
 
-def enrich_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def enrich_stream(
+    spark: SparkSession, source: str, schema: str, target: str, checkpoint: str,
+    step: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
     """Reads what is new in ``source``, writes it enriched to ``target`` and stops.
 
     The stream's own checkpoint remembers what is done, so a run that is cut
@@ -20,4 +23,6 @@ def enrich_stream(spark: SparkSession, source: str, schema: str, target: str, ch
     rows = spark.readStream.schema(schema).parquet(source)
     done = postprocess(deduced(rows))
     done = step(done) if step else done
-    return done.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return done.writeStream.format("parquet").option("path", target).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
