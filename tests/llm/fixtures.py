@@ -29,8 +29,14 @@ def documents(seed=3, families=6):
             for _ in range(changes):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary)
             texts.append(" ".join(own))
-    texts += [" ".join(some(30) + passage + some(20)), "\n".join(some(5) + passage) + "\n", " ".join(passage), " ".join(some(3000)), "x " * 200, "A B a b A B"]
-    texts += [None, "", "   \t\n", "one", "ONE", "two words", "\x00 odd \x0b\x0c chars #*$%&|<>", "line\nline\n\nline\n other", "é" * 50]
+    texts += [
+        " ".join(some(30) + passage + some(20)), "\n".join(some(5) + passage) + "\n", " ".join(passage),
+        " ".join(some(3000)), "x " * 200, "A B a b A B"
+    ]
+    texts += [
+        None, "", "   \t\n", "one", "ONE", "two words", "\x00 odd \x0b\x0c chars #*$%&|<>",
+        "line\nline\n\nline\n other", "é" * 50
+    ]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
     return rows
 

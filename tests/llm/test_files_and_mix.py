@@ -21,10 +21,16 @@ def tokenizer():
 
 
 def test_units_encode_like_whole_texts(tokenizer):
-    odd = ["a  b\n\n c\t\td ' 's don't  ", "x\xa0y z", "a　b", "<|endoftext|> hi<|endoftext|>", "  lead", "trail  ", "", "\n", "a\r\nb", "é è w 123abc!!! ...", "don't,can't 'tis a'b's", "x…,y—z;", "abc123 1,234.5 ½¾ ñ́a", "日本語,テスト abc日本", "×÷ a×b", "a\x0bb c\x1cd"]
+    odd = [
+        "a  b\n\n c\t\td ' 's don't  ", "x\xa0y z", "a　b", "<|endoftext|> hi<|endoftext|>", "  lead", "trail  ", "",
+        "\n", "a\r\nb", "é è w 123abc!!! ...", "don't,can't 'tis a'b's", "x…,y—z;", "abc123 1,234.5 ½¾ ñ́a",
+        "日本語,テスト abc日本", "×÷ a×b", "a\x0bb c\x1cd"
+    ]
     encoder = token_files.Encoder(tokenizer_path())
     for _ in range(2):
-        assert encoder.encode(odd) == [np.array(x.ids, dtype="<u2").tobytes() for x in tokenizer.encode_batch(odd, add_special_tokens=False)]
+        assert encoder.encode(odd) == [
+            np.array(x.ids, dtype="<u2").tobytes() for x in tokenizer.encode_batch(odd, add_special_tokens=False)
+        ]
 
 
 def test_token_files_round_trip(spark, tokenizer):
@@ -45,16 +51,27 @@ def test_token_files_round_trip(spark, tokenizer):
     assert token_files.read_tokens(token_files.write_tokens(empty(spark), tokenizer_path())).count() == 0
 
 
-PAGES = [(1, "u", "<p>a</p>"), (2, None, "<p>a</p>"), (2, "v", "<p>a</p>"), (3, "x\r\ny", None), (4, "", ""), (None, "n", "<p>a</p>"), (9, "é", "é" * 1000)]
+PAGES = [
+    (1, "u", "<p>a</p>"), (2, None, "<p>a</p>"), (2, "v", "<p>a</p>"), (3, "x\r\ny", None), (4, "", ""),
+    (None, "n", "<p>a</p>"), (9, "é", "é" * 1000)
+]
 
 
 def test_archive_round_trip(spark):
-    pages = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, record_type string")
+    pages = spark.createDataFrame(
+        [(*p, "clash") for p in PAGES], "page_id long, url string, html string, record_type string"
+    )
     index = warc.write_archive(pages)
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     a, none, e = b"<p>a</p>", b"", ("é" * 1000).encode()
     got = Counter(tuple(r) for r in warc.summaries(index).collect())
-    assert got == Counter([(1, 8, sha(a), "response", None), (2, 8, sha(a), "revisit", 1), (2, 8, sha(a), "revisit", 1), (None, 8, sha(a), "response", None), (3, 0, sha(none), "response", None), (4, 0, sha(none), "revisit", 3), (9, 2000, sha(e), "response", None)])
+    assert got == Counter(
+        [
+            (1, 8, sha(a), "response", None), (2, 8, sha(a), "revisit", 1), (2, 8, sha(a), "revisit", 1),
+            (None, 8, sha(a), "response", None), (3, 0, sha(none), "response", None), (4, 0, sha(none), "revisit", 3),
+            (9, 2000, sha(e), "response", None)
+        ]
+    )
     payloads = Counter((r.page_id, bytes(r.payload)) for r in warc.reconstructed(index).collect())
     assert payloads == Counter((i, (h or "").encode()) for i, _, h in PAGES)
     stored = index.filter("record_type = 'response'").count()
@@ -63,9 +80,16 @@ def test_archive_round_trip(spark):
 
 
 def test_min_bytes_and_repeats_of_one_row(spark):
-    pages = spark.createDataFrame([(1, "u", "ab"), (1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
-    kinds = lambda n: Counter((r.page_id, r.record_type) for r in warc.summaries(warc.write_archive(pages, min_bytes=n)).collect())
-    assert kinds(0) == Counter({(1, "response"): 1, (1, "revisit"): 1, (2, "revisit"): 1, (3, "response"): 1, (4, "revisit"): 1})
+    pages = spark.createDataFrame(
+        [(1, "u", "ab"), (1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")],
+        "page_id long, url string, html string"
+    )
+    kinds = lambda n: Counter(
+        (r.page_id, r.record_type) for r in warc.summaries(warc.write_archive(pages, min_bytes=n)).collect()
+    )
+    assert kinds(0) == Counter(
+        {(1, "response"): 1, (1, "revisit"): 1, (2, "revisit"): 1, (3, "response"): 1, (4, "revisit"): 1}
+    )
     assert kinds(5) == Counter({(1, "response"): 2, (2, "response"): 1, (3, "response"): 1, (4, "revisit"): 1})
 
 
@@ -121,9 +145,16 @@ def test_mix_hits_its_targets(spark, shard_docs):
 
 def test_sainte_lague_is_highest_quotients(spark):
     votes = {1: 53.0, 2: 24.0, 3: 23.0, 4: 0.0, 5: 7.5, 6: 7.5}
-    items = spark.createDataFrame([(0, k, v, n) for n in (1,) for k, v in votes.items()], "g int, item int, votes double, seats long")
+    items = spark.createDataFrame(
+        [(0, k, v, n) for n in (1,) for k, v in votes.items()], "g int, item int, votes double, seats long"
+    )
     for seats in (0, 1, 7, 40, 1001):
-        got = {r.item: r.quota for r in mixing.sainte_lague(items.withColumn("seats", F.lit(seats).cast("long")), ["g"], "item", "votes", "seats").collect()}
+        got = {
+            r.item: r.quota
+            for r in mixing.sainte_lague(
+                items.withColumn("seats", F.lit(seats).cast("long")), ["g"], "item", "votes", "seats"
+            ).collect()
+        }
         ranked = sorted(((-v / (2 * k + 1), i) for i, v in votes.items() if v for k in range(seats + 1)))[:seats]
         assert got == {i: sum(x == i for _, x in ranked) for i in votes}
 

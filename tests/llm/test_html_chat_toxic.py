@@ -24,27 +24,48 @@ def test_article_without_the_rest(spark):
 
 def test_style_tree_drops_what_repeats(spark):
     body = '<div class="x">Welcome to our site</div><div class="c"><p>Story {i} begins</p><p>and ends {i}</p></div><div class="y">All rights</div>'
-    rows = [(i, f"http://h/{i}", body.replace("{i}", str(i))) for i in range(12)] + [(50, "http://one/", body), (51, None, body)]
-    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [
+        (i, f"http://h/{i}", body.replace("{i}", str(i))) for i in range(12)
+    ] + [(50, "http://one/", body), (51, None, body)]
+    got = {
+        r.page_id: r.text
+        for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    }
     assert got[3] == "Story 3 begins\nand ends 3"
     assert got[50].startswith("Welcome") and got[51].startswith("Welcome")
 
 
 def texts_of(spark, body, n=20):
     long = lambda i, k: " ".join(f"word{i}x{k}x{j}" for j in range(60))
-    rows = [(i, f"http://h/{i}", body.replace("{i}", str(i)).replace("{long}", long(i, 0)).replace("{other}", long(i, 1))) for i in range(n)]
-    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [
+        (i, f"http://h/{i}", body.replace("{i}", str(i)).replace("{long}", long(i, 0)).replace("{other}", long(i, 1)))
+        for i in range(n)
+    ]
+    got = {
+        r.page_id: r.text
+        for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    }
     return got[3].replace(long(3, 0), "LONG").replace(long(3, 1), "OTHER")
 
 
 def test_style_tree_overrules_the_mark_up_both_ways(spark):
     teaser = '<article class="card"><h3>Teaser {i}</h3></article><div class="text"><p>{long}</p></div><div class="date">today {i}</div>'
     assert texts_of(spark, teaser) == "Teaser 3\nLONG"
-    assert texts_of(spark, '<article><p>{long}</p><div class="box9">Read our magazine every week</div></article>') == "LONG"
+    assert texts_of(
+        spark, '<article><p>{long}</p><div class="box9">Read our magazine every week</div></article>'
+    ) == "LONG"
     assert texts_of(spark, '<div class="widget"><p>{long}</p></div><div class="widget">more {i}</div>') == "LONG"
 
 
-@pytest.mark.parametrize("body", ["<article class='post tag-politics'><p>{long}</p></article>", "<div class='content no-sidebar'><p>{long}</p></div>", "<main class='comments-open'><p>{long}</p></main>", "<article class='related'><p>{long}</p></article>", "<div class='sidebar'><nav>menu {i}</nav><article><p>{long}</p></article></div>"])
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<article class='post tag-politics'><p>{long}</p></article>",
+        "<div class='content no-sidebar'><p>{long}</p></div>", "<main class='comments-open'><p>{long}</p></main>",
+        "<article class='related'><p>{long}</p></article>",
+        "<div class='sidebar'><nav>menu {i}</nav><article><p>{long}</p></article></div>"
+    ]
+)
 def test_hints_are_whole_names_and_yield_to_articles(body):
     html = body.replace("{long}", "story")
     assert [b.text for b in html_text.parsed(html) if b.role in (1, 2)] == ["story"]
@@ -52,15 +73,27 @@ def test_hints_are_whole_names_and_yield_to_articles(body):
 
 def test_headlines_in_articles_stay():
     html = "<article><header class='entry-header'><h1 class='post-header'>Head</h1></header><p>a</p><div class='share-buttons'>share</div></article><div class='site-header'>Site</div><div class='comment-list'><article class='comment'>c</article></div>"
-    assert [(b.role, b.text) for b in html_text.parsed(html)] == [(2, "Head"), (2, "a"), (3, "share"), (3, "Site"), (3, "c")]
+    assert [(b.role, b.text) for b in html_text.parsed(html)] == [
+        (2, "Head"), (2, "a"), (3, "share"), (3, "Site"), (3, "c")
+    ]
 
 
 def test_copied_articles_stay(spark):
     rows = [(i, f"http://h/{i}", "<article><p>Same story.</p></article>") for i in range(6)]
-    assert {r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same story."}
-
-
-@pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("a < b &am; <", "a < b &am; <"), ("<!-- x", ""), ("<p>a</p><foo", "a"), ("<ul><li>x<li>y</ul>z", "x\ny\nz"), ("<script>a<b", ""), ("</p></div>q", "q"), ("<p title='a>b'>c</p>", "c")])
+    assert {
+        r.text
+        for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    } == {"Same story."}
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("a < b &am; <", "a < b &am; <"),
+        ("<!-- x", ""), ("<p>a</p><foo", "a"), ("<ul><li>x<li>y</ul>z", "x\ny\nz"), ("<script>a<b", ""),
+        ("</p></div>q", "q"), ("<p title='a>b'>c</p>", "c")
+    ]
+)
 def test_odd_markup(html, text):
     assert "\n".join(b.text for b in html_text.parsed(html or "") if b.role) == text
 
@@ -83,8 +116,18 @@ CHAT = [
 
 
 def test_tool_calls(spark):
-    schemas = tool_calls.tool_schemas(spark, {"add": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "number"}}, "required": ["x", "y"]}})
-    messages = spark.createDataFrame([(*c, 0) for c in CHAT], "conv_id long, turn long, role string, text string, valid int")
+    schemas = tool_calls.tool_schemas(
+        spark,
+        {
+            "add": {
+                "type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "number"}},
+                "required": ["x", "y"]
+            }
+        }
+    )
+    messages = spark.createDataFrame(
+        [(*c, 0) for c in CHAT], "conv_id long, turn long, role string, text string, valid int"
+    )
     got = tool_calls.events(messages, schemas).orderBy("conv_id", "order_turn", "order_kind", "order_index").collect()
     assert [(r.conv_id, r.turn, r.kind, r.call_id, r.linked, r.valid) for r in got] == [
         (None, None, "message", None, None, None),
@@ -139,7 +182,9 @@ def test_toxicity_counts_all_grams_at_any_size(spark):
     rows, labels = abusive(n=300)
     labels = spark.createDataFrame(labels, "doc_id long, toxic int")
     docs = table(spark, [*rows, (5000, None), (5001, ""), (5002, "zzzyx idiot")])
-    small, large = ({r.doc_id: r.score for r in toxicity.score(docs, labels, max_grams=n).collect()} for n in (2_000_000, 100))
+    small, large = (
+        {r.doc_id: r.score for r in toxicity.score(docs, labels, max_grams=n).collect()} for n in (2_000_000, 100)
+    )
     assert large == pytest.approx(small, abs=1e-3)
     assert len(toxicity.train(docs, labels).grams) == len(toxicity.train(docs, labels, max_rows=20).grams)
 
@@ -158,7 +203,10 @@ def test_held_out_labels_are_never_read(spark):
     rows, labels = abusive(n=300)
     docs = table(spark, rows)
     flip = [(i, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, t in labels]
-    scores = [{r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect()} for x in (labels, flip)]
+    scores = [
+        {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect()}
+        for x in (labels, flip)
+    ]
     assert scores[0] == scores[1]
 
 

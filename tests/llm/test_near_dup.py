@@ -46,7 +46,10 @@ def test_large_borderline_group_in_blocks(spark):
         for _ in range(rng.randint(3, 9)):
             own[rng.randrange(100)] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(own)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.link(table(spark, rows), shingle_words=2, few=2, block=16).collect()}
+    got = {
+        r.doc_id: (r.n_shingles, r.component_id)
+        for r in near_dup.link(table(spark, rows), shingle_words=2, few=2, block=16).collect()
+    }
     assert got == brute(rows, 2)
 
 
@@ -81,7 +84,10 @@ def test_families_that_meet_in_buckets_only(spark):
             rows.append((family * 100 + i, " ".join(own)))
     want = brute(rows, 2)
     for few in (0, 1000):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.link(table(spark, rows), shingle_words=2, few=few, block=8, bands=128, rows=1).collect()}
+        got = {
+            r.doc_id: (r.n_shingles, r.component_id)
+            for r in near_dup.link(table(spark, rows), shingle_words=2, few=few, block=8, bands=128, rows=1).collect()
+        }
         assert got == want
 
 
@@ -97,7 +103,9 @@ def test_signatures_of_long_sets_are_the_same_in_groups(monkeypatch):
 
 def test_long_texts_and_extra_rows_without_id(spark):
     long = " ".join(f"w{i}" for i in range(700_000))
-    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), *[(None, "same text of a row without id")] * 300]
+    rows = [
+        (1, long), (2, long + " end"), (3, long[: len(long) // 2]), *[(None, "same text of a row without id")] * 300
+    ]
     got = near_dup.link(table(spark, rows), shingle_words=2)
     assert got.filter("doc_id is null and kept").count() == 300
     assert {r.doc_id: r.component_id for r in got.filter("doc_id is not null").collect()} == {1: 1, 2: 1, 3: 3}

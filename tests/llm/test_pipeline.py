@@ -19,7 +19,9 @@ from waypost.llm.catalog import tokenizer_path
 def corpus(spark, tmp_path_factory):
     """Clean and toxic documents, exact and near copies, benchmark passages, rows without id or text."""
     rng = random.Random(11)
-    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "ru", "te", "é"]) for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    vocabulary = [
+        "".join(rng.choice(["ka", "lo", "mi", "ru", "te", "é"]) for _ in range(rng.randint(2, 4))) for _ in range(900)
+    ]
     some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(i, " ".join(some(12 + i % 9))) for i in range(15)] + [(77, "Short one"), (78, None)]
     rows, toxic = [], {}
@@ -37,11 +39,16 @@ def corpus(spark, tmp_path_factory):
         if i % 2:
             copy[rng.randrange(len(copy))] = "changed"
         rows.append((1000 + i, " ".join(copy)))
-    rows += [(None, "a row without id " + " ".join(some(30))), (None, "vermin scumbag worthless vermin"), (2000, None), (2001, ""), (2002, "Short one"), (7, rows[7][1])]
+    rows += [
+        (None, "a row without id " + " ".join(some(30))), (None, "vermin scumbag worthless vermin"), (2000, None),
+        (2001, ""), (2002, "Short one"), (7, rows[7][1])
+    ]
     folder = str(tmp_path_factory.mktemp("corpus"))
     docs = table(spark, rows)
     docs.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(t)) for i, t in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(
+        [(i, 1, int(t)) for i, t in toxic.items()], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, docs, rows, toxic, items
 
@@ -64,9 +71,13 @@ def test_stages_against_brute_force(spark, corpus):
     # toxicity: plain Kneser-Ney features under the fitted curve
     plain = Plain([(i, t) for i, t in rows if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2], toxic)
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    z = lambda t: sum((a - c) / s * w for a, c, s, w in zip(plain.features(t), model.centre, model.spread, model.weights)) + model.weights[-1]
+    z = lambda t: sum(
+        (a - c) / s * w for a, c, s, w in zip(plain.features(t), model.centre, model.spread, model.weights)
+    ) + model.weights[-1]
     bad = {i for i, t in rows if i is not None and 1 / (1 + np.exp(-z(t))) >= 0.3}
-    want = sorted([(i, t) for i, t in rows if (i not in bad if i is not None else 1 / (1 + np.exp(-z(t))) < 0.3)], key=key)
+    want = sorted(
+        [(i, t) for i, t in rows if (i not in bad if i is not None else 1 / (1 + np.exp(-z(t))) < 0.3)], key=key
+    )
     got = stage["toxicity"](spark, docs, folder)
     assert got.columns == docs.columns and sorted(rows_of(got), key=key) == want
     assert len([i for i in bad if toxic.get(i)]) > 0.9 * sum(toxic.values()) and len(want) > 150
@@ -90,7 +101,9 @@ def test_stages_against_brute_force(spark, corpus):
     mixed = stage["mixing"](spark, spark.createDataFrame(got.collect(), SCHEMA), folder)
     copies = Counter(rows_of(mixed))
     before = Counter(want)
-    assert mixed.columns == docs.columns and set(copies) <= set(before) and all(n <= 2 * before[x] for x, n in copies.items())
+    assert mixed.columns == docs.columns and set(copies) <= set(before) and all(
+        n <= 2 * before[x] for x, n in copies.items()
+    )
     sizes, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
     for x in want:
         sizes[source[x]] += len(words(x[1]))
@@ -113,7 +126,9 @@ def test_stages_against_brute_force(spark, corpus):
         assert r.start == base and crcs[r.doc_id][r.n_tokens, r.ids_crc32] > 0
         crcs[r.doc_id][r.n_tokens, r.ids_crc32] -= 1
         base += r.n_tokens
-    assert len(read) == sum(copies.values()) and [r.doc_id for r in read] == sorted((r.doc_id for r in read), key=lambda i: (i is not None, i or 0))
+    assert len(read) == sum(copies.values()) and [r.doc_id for r in read] == sorted(
+        (r.doc_id for r in read), key=lambda i: (i is not None, i or 0)
+    )
 
 
 def test_run_gives_what_the_stages_give(spark, corpus):

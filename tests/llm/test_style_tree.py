@@ -10,11 +10,16 @@ from waypost.llm import html_text as H
 
 def site(rng, host, n):
     """``n`` pages of one template; of each part the text is fixed, drawn from few, or new on every page."""
-    tags = ["div", "section", "p", "aside", "nav", "article", "div class='menu'", "div class='text'", "main", "span class='share'", "header", "ul", "li"]
+    tags = [
+        "div", "section", "p", "aside", "nav", "article", "div class='menu'", "div class='text'", "main",
+        "span class='share'", "header", "ul", "li"
+    ]
 
     def part(depth):
         kids = [part(depth + 1) for _ in range(rng.randint(1, 3))] if depth < 3 and rng.random() < 0.6 else []
-        return rng.choice(tags), rng.choice(["fixed", "few", "new", "new"]), rng.randint(1, 30), kids, rng.random() < 0.2
+        return rng.choice(tags), rng.choice(
+            ["fixed", "few", "new", "new"]
+        ), rng.randint(1, 30), kids, rng.random() < 0.2
 
     def written(x, page):
         tag, kind, size, kids, optional = x
@@ -25,7 +30,10 @@ def site(rng, host, n):
         return f"<{tag}>{words}{''.join(written(k, page) for k in kids)}</{tag.split()[0]}>"
 
     top = [part(0) for _ in range(rng.randint(2, 5))]
-    return [(f"https://{host}/{i}", "<html><body>" + "".join(written(x, i) for x in top) + "</body></html>") for i in range(n)]
+    return [
+        (f"https://{host}/{i}", "<html><body>" + "".join(written(x, i) for x in top) + "</body></html>")
+        for i in range(n)
+    ]
 
 
 def entropy(counts, base):
@@ -37,7 +45,9 @@ def plain(pages, threshold=0.2):
     """Texts of (url, html) rows of one host, by dictionaries of nodes."""
     cut = [H.parsed(html) for _, html in pages]
     lane = lambda b: [*b.chain, ("leaf", b.chain[-1] if b.chain else b.role)]
-    has, orders, texts, words, blocks = defaultdict(set), defaultdict(dict), defaultdict(lambda: defaultdict(set)), Counter(), Counter()
+    has, orders, texts, words, blocks = defaultdict(set), defaultdict(dict), defaultdict(
+        lambda: defaultdict(set)
+    ), Counter(), Counter()
     below = defaultdict(set)
     for i, page in enumerate(cut):
         for b in page:
@@ -60,7 +70,9 @@ def plain(pages, threshold=0.2):
         m = len(on)
         if m < 2:
             continue
-        content = lambda y: 1 - sum(entropy([1] * len(p), len(has[y])) for p in texts[y].values()) / len(texts[y]) if len(has[y]) > 1 else 1.0
+        content = lambda y: 1 - sum(
+            entropy([1] * len(p), len(has[y])) for p in texts[y].values()
+        ) / len(texts[y]) if len(has[y]) > 1 else 1.0
         shown = entropy(Counter(map(repr, orders[x].values())).values(), m)
         value[x] = 0.9 * sum(words[y] * content(y) for y in below[x]) / words[x] + 0.1 * shown
     out = []
@@ -107,7 +119,13 @@ def test_pages_of_random_sites(spark, seed):
 def test_low_branches_go_with_what_is_below(spark):
     words = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
     notice = "Fixed words that every page has, many of them, " * 6
-    rows = [(i, f"http://h/{i}", f"<article><p>{words(i)}</p><div class='box'><p>{notice}</p><ul><li>new {i}</ul></div></article>") for i in range(60)]
+    rows = [
+        (
+            i, f"http://h/{i}",
+            f"<article><p>{words(i)}</p><div class='box'><p>{notice}</p><ul><li>new {i}</ul></div></article>"
+        )
+        for i in range(60)
+    ]
     got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: words(i) for i in range(60)}
 
@@ -117,6 +135,9 @@ def test_deep_and_long_pages(spark):
     long = "<article>" + "<p>" + "word " * 200_000 + "</p>" + "<p>more</p>" * 20_000 + "</article>"
     open_ = "<b><i class='x'>" * 20_000 + "end"
     rows = [(1, "http://h/1", deep), (2, "http://h/2", long), (3, None, open_), (3, None, open_)]
-    got = sorted((r.page_id, r.text) for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    got = sorted(
+        (r.page_id, r.text)
+        for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    )
     assert got[0] == (1, "core") and got[2:] == [(3, "end"), (3, "end")]
     assert len(got[1][1].split()) == 220_000

@@ -14,7 +14,9 @@ from waypost.llm import words as W
 def test_words_and_windows_of_a_batch():
     texts = ["Ab  c\td", None, "", "é\x0bx", "last"]
     found = W.words_of(pa.array(texts), fold=True)
-    assert [bytes(found.data[a:b]).decode() for a, b in zip(found.start, found.end)] == ["ab", "c", "d", "é", "x", "last"]
+    assert [
+        bytes(found.data[a:b]).decode() for a, b in zip(found.start, found.end)
+    ] == ["ab", "c", "d", "é", "x", "last"]
     assert found.counts.tolist() == [3, 0, 0, 2, 1]
     assert W.window_starts(found.first, 2).tolist() == [0, 1, 3]
     h = found.hashes()
@@ -127,18 +129,25 @@ def measured(text, k=8):
     grams = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     repeated = {j for i in range(len(w) - k + 1) if grams[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
     lines = [x for x in (text or "").split("\n") if words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
+    return len(w), sum(map(len, w)), sum(
+        c in "#*$%&|<>" for c in text or ""
+    ), len(lines) - len(set(lines)), len(repeated)
 
 
 def test_quality_measures(spark):
     rows = documents()
-    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.measures(table(spark, rows)).collect()}
+    got = {
+        r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        for r in quality.measures(table(spark, rows)).collect()
+    }
     assert got == {i: measured(t) for i, t in rows}
 
 
 def test_host_verdicts(spark):
     good, bad = " ".join(f"w{i}" for i in range(40)), "short"
-    rows = [(i, bad if i % 10 else good) for i in range(100)] + [(100 + i, good) for i in range(100)] + [(300, bad), (301, good)]
+    rows = [
+        (i, bad if i % 10 else good) for i in range(100)
+    ] + [(100 + i, good) for i in range(100)] + [(300, bad), (301, good)]
     source = lambda i: "bad" if i < 100 else "good" if i < 200 else None
     got = {r.doc_id: r for r in quality.host_rules(table(spark, rows, source)).collect()}
     assert not got[0].base_failed and got[0].host_rejected and not got[0].kept
@@ -159,7 +168,18 @@ def test_repeats_of_many_documents_in_ranges(spark, monkeypatch, ranges):
     monkeypatch.setattr(substring, "RANGES", ranges)
     rng = np.random.default_rng(4)
     passages = [" ".join(f"p{j}x{i}" for i in range(9)) for j in range(5)]
-    rows = [(int(i), " ".join([*(f"d{i}w{x}" for x in range(6)), passages[i % 5], *(f"e{i}w{x}" for x in range(4)), passages[int(rng.integers(5))]])) for i in rng.permutation(400)]
+    rows = [
+        (
+            int(i),
+            " ".join(
+                [
+                    *(f"d{i}w{x}" for x in range(6)), passages[i % 5], *(f"e{i}w{x}" for x in range(4)),
+                    passages[int(rng.integers(5))]
+                ]
+            )
+        )
+        for i in rng.permutation(400)
+    ]
     flood = [(None, passages[0] + f" n{i}") for i in range(200)]
     got = substring.remove_repeats(table(spark, [*rows, *flood]).repartition(6), k=7).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got if r.doc_id is not None} == removed(rows, 7)

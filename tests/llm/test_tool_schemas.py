@@ -38,22 +38,39 @@ CASES = [
 
 
 def test_nested_schemas(spark):
-    rows = [(i, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "go", "arguments": x}]})) for i, (x, _) in enumerate(CASES)]
+    rows = [
+        (i, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "go", "arguments": x}]})) for i,
+        (x, _) in enumerate(CASES)
+    ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = tool_calls.events(messages, tool_calls.tool_schemas(spark, {"go": NESTED, "wait": {"type": "object"}})).filter("kind = 'call'")
+    got = tool_calls.events(
+        messages, tool_calls.tool_schemas(spark, {"go": NESTED, "wait": {"type": "object"}})
+    ).filter("kind = 'call'")
     assert {r.conv_id: r.valid for r in got.collect()} == {i: want for i, (_, want) in enumerate(CASES)}
     assert tool_calls.events(messages, tool_calls.tool_schemas(spark, {})).filter("valid").count() == 0
 
 
 def test_repeated_rows_long_texts_and_clashing_names(spark):
     call = json.dumps({"content": "x" * 3_000_000, "tool_calls": [{"id": "a", "name": "wait", "arguments": {}}]})
-    rows = [(1, 0, "assistant", call)] * 2 + [(1, 1, "tool", '{"tool_call_id": "a"}')] * 3 + [(None, None, "tool", None)] * 50
-    messages = spark.createDataFrame([(*r, "clash", 1, True) for r in rows], "conv_id long, turn long, role string, text string, json string, salt int, linked boolean")
-    got = tool_calls.events(messages, tool_calls.tool_schemas(spark, {"wait": {"type": "object"}})).groupBy("kind", "linked", "valid").count()
-    assert sorted((r.kind, r.linked, r.valid, r["count"]) for r in got.collect()) == [("call", True, True, 2), ("message", None, None, 52), ("result", True, None, 3)]
+    rows = [(1, 0, "assistant", call)] * 2 + [
+        (1, 1, "tool", '{"tool_call_id": "a"}')
+    ] * 3 + [(None, None, "tool", None)] * 50
+    messages = spark.createDataFrame(
+        [(*r, "clash", 1, True) for r in rows],
+        "conv_id long, turn long, role string, text string, json string, salt int, linked boolean"
+    )
+    got = tool_calls.events(
+        messages, tool_calls.tool_schemas(spark, {"wait": {"type": "object"}})
+    ).groupBy("kind", "linked", "valid").count()
+    assert sorted((r.kind, r.linked, r.valid, r["count"]) for r in got.collect()) == [
+        ("call", True, True, 2), ("message", None, None, 52), ("result", True, None, 3)
+    ]
 
 
 def test_the_query_meets_every_kind_of_call(duck):
     found = duck.execute(f"SELECT kind, linked, valid, count(*) FROM ({oracles.OP5}) GROUP BY ALL").fetchall()
-    assert {(k, a, b) for k, a, b, n in found if n > 1} >= {("call", True, True), ("call", True, False), ("call", False, True), ("call", False, False), ("result", True, None), ("result", False, None), ("message", None, None)}
+    assert {(k, a, b) for k, a, b, n in found if n > 1} >= {
+        ("call", True, True), ("call", True, False), ("call", False, True), ("call", False, False),
+        ("result", True, None), ("result", False, None), ("message", None, None)
+    }
     assert duck.execute(f"SELECT count(*) FROM ({oracles.OP5}) WHERE order_turn > turn").fetchone()[0] > 0

@@ -53,7 +53,9 @@ TOOLS = {
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no calls of its own, so answers of the assistant make some and messages of the user answer them."""
-    messages = table(spark, sf_dir, "conversations").selectExpr(*[f"{sql} AS {name}" for name, sql in oracles.TOOL_MESSAGES.items()])
+    messages = table(spark, sf_dir, "conversations").selectExpr(
+        *[f"{sql} AS {name}" for name, sql in oracles.TOOL_MESSAGES.items()]
+    )
     return tool_calls.events(messages, tool_calls.tool_schemas(spark, TOOLS))
 
 
@@ -63,7 +65,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +78,21 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.host_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ).select("doc_id", "held_out", "score", "predicted")
 
 
-_ALL = (op1_token_files, op2_main_text, op3_minhash, op4_mixing, op5_tool_calls, op6_warc, op7_decontaminate, op8_substring, op9_quality, op10_toxicity)
+_ALL = (
+    op1_token_files, op2_main_text, op3_minhash, op4_mixing, op5_tool_calls, op6_warc, op7_decontaminate, op8_substring,
+    op9_quality, op10_toxicity
+)
 
 
 def queries() -> dict[str, Query]:

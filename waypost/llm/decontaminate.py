@@ -138,22 +138,37 @@ def _pass(index, with_text: bool):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0]))))
                 spans[row] = [{"from_word": int(x), "to_word": int(y)} for x, y in edge.reshape(-1, 2)]
             text = W.column(batch, "text") if with_text else pa.nulls(n, pa.string())
-            yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), text, pa.array(words.counts), pa.array(n_hit), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "n_hit", "hits", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    W.column(batch, "doc_id"), text, pa.array(words.counts), pa.array(n_hit), pa.array(spans, _SPANS),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+                ],
+                names=["doc_id", "text", "n_words", "n_hit", "hits", "items"]
+            )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, block_bytes: int = 16 << 20
+) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, hits, items.
 
     ``hits`` are the maximal word intervals hit, ``items`` the item_ids as
     sorted strings whose windows occur.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(
+        F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
+    )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<struct<from_word: long, to_word: long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    state = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        F.expr("cast(array() as array<struct<from_word: long, to_word: long>>)").alias("hits"),
+        F.expr("cast(array() as array<string>)").alias("items")
+    )
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = own.collect()  # at most about block_bytes of text
@@ -174,4 +189,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         hit = contamination(part.select(key, "text"), benchmark, **options).filter("n_hit > 0")
         bad.append(hit.select(F.col("doc_id").alias("id_"), F.lit(unnamed).alias("unnamed_")).distinct())
     bad = functools.reduce(DataFrame.unionByName, bad)
-    return rows.join(bad, (key == F.col("id_")) & (F.col("row_").isNotNull() == F.col("unnamed_")), "left_anti").select("doc.*")
+    return rows.join(
+        bad, (key == F.col("id_")) & (F.col("row_").isNotNull() == F.col("unnamed_")), "left_anti"
+    ).select("doc.*")

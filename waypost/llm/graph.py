@@ -38,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
     before = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).cast("decimal(38,0)"))).first()
+        now = edges.agg(
+            F.count("*"), F.sum(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).cast("decimal(38,0)"))
+        ).first()
         if now == before or not now[0]:
             return edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
         before = now

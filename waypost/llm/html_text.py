@@ -71,16 +71,29 @@ SHORT = 8
 #: Pages that speak for a node of an article beforehand.
 DOUBT = 4
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<]*\Z|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<]*\Z|[^<]+|<""",
+    re.S
+)
+_ATTRIBUTE = re.compile(
+    r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe svg math object canvas audio video title textarea".split())
-_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+_BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
 _BOILERPLATE = frozenset("head nav aside footer form menu button select dialog search".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog hidden".split())
-_HINT = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|widget|login|signup|search|skip|tags?|toc|hidden)")
+_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog hidden".split()
+)
+_HINT = re.compile(
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|popup|modal|overlay|pagination|pager|widget|login|signup|search|skip|tags?|toc|hidden)"
+)
 #: Parts that leave a name made of hints what it is: site-header, share-buttons, left-sidebar.
-_NEUTRAL = frozenset("area bar block bottom box button buttons column container desktop global inner js left link links list mobile outer panel posts primary right secondary section site top wrap wrapper".split())
+_NEUTRAL = frozenset(
+    "area bar block bottom box button buttons column container desktop global inner js left link links list mobile outer panel posts primary right secondary section site top wrap wrapper".split()
+)
 _MAIN = re.compile(r"^(?:article|articlebody|main)$")
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -112,7 +125,10 @@ def _attributes(text: str) -> tuple[str, set[str], str, bool]:
 
 
 def _number(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(
+        hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+        "little", signed=True
+    )
 
 
 class Element(NamedTuple):
@@ -225,7 +241,10 @@ def parsed(html: str, host: str = "") -> list[Block]:
         # an inline element that declares itself is a block of its own
         node = tag in _BLOCK or hinted or (told and not declared)
         path = _number(last.path, tag, label) if node else last.path
-        entry = Element(tag, path, declared or told, inside or (main and not hinted and not declared and not told), (*hints, at) if hinted else hints, above, node)
+        entry = Element(
+            tag, path, declared or told, inside or (main and not hinted and not declared and not told),
+            (*hints, at) if hinted else hints, above, node
+        )
         stack.append(entry)
         if node:
             flush()
@@ -239,7 +258,9 @@ def parsed(html: str, host: str = "") -> list[Block]:
             lane, y = [], x
             while y is not None:
                 if y.tag not in ("", "html", "body"):
-                    lane.append((y.path, 0 if y.declared else 3 if not overruled.issuperset(y.hints) else 2 if y.inside else 1))
+                    lane.append(
+                        (y.path, 0 if y.declared else 3 if not overruled.issuperset(y.hints) else 2 if y.inside else 1)
+                    )
                 y = y.above
             chains[id(x)] = tuple(reversed(lane))
         return chains[id(x)]
@@ -299,14 +320,33 @@ class Page:
 _NODES = "nodes array<struct<node: long, above: int, role: tinyint, shape: long, around: boolean>>"
 _LEAVES = "leaves array<struct<at: int, up: array<long>, texts: array<long>, words: int, blocks: int>>"
 _PARSED = f"page_id long, url string, host string, landmark boolean, {_NODES}, {_LEAVES}, at array<int>, texts array<string>"
-_NODE_TYPE = pa.list_(pa.struct([("node", pa.int64()), ("above", pa.int32()), ("role", pa.int8()), ("shape", pa.int64()), ("around", pa.bool_())]))
-_LEAF_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("up", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("words", pa.int32()), ("blocks", pa.int32())]))
+_NODE_TYPE = pa.list_(
+    pa.struct(
+        [
+            ("node", pa.int64()), ("above", pa.int32()), ("role", pa.int8()), ("shape", pa.int64()),
+            ("around", pa.bool_())
+        ]
+    )
+)
+_LEAF_TYPE = pa.list_(
+    pa.struct(
+        [
+            ("at", pa.int32()), ("up", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("words", pa.int32()),
+            ("blocks", pa.int32())
+        ]
+    )
+)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.small(batches, "html", 2 << 20):
-        pages = [Page(html or "", host) for html, host in zip(W.column(batch, "html").to_pylist(), W.column(batch, "host").to_pylist(), strict=True)]
-        nodes = [[dict(zip(("node", "above", "role", "shape", "around"), x, strict=True)) for x in p.nodes] for p in pages]
+        pages = [
+            Page(html or "", host) for html,
+            host in zip(W.column(batch, "html").to_pylist(), W.column(batch, "host").to_pylist(), strict=True)
+        ]
+        nodes = [
+            [dict(zip(("node", "above", "role", "shape", "around"), x, strict=True)) for x in p.nodes] for p in pages
+        ]
         leaves = []
         for p in pages:
             rows = []
@@ -317,24 +357,42 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     y = p.nodes[y][1]
                 rows.append({"at": x, "up": up, "texts": texts, "words": words, "blocks": n})
             leaves.append(rows)
-        arrays = [*(W.column(batch, c) for c in ("page_id", "url", "host")), pa.array([p.landmark for p in pages]), pa.array(nodes, _NODE_TYPE), pa.array(leaves, _LEAF_TYPE), pa.array([p.at for p in pages], pa.list_(pa.int32())), pa.array([p.texts for p in pages], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "landmark", "nodes", "leaves", "at", "texts"])
+        arrays = [
+            *(W.column(batch, c) for c in ("page_id", "url", "host")), pa.array([p.landmark for p in pages]),
+            pa.array(nodes, _NODE_TYPE), pa.array(leaves, _LEAF_TYPE),
+            pa.array([p.at for p in pages], pa.list_(pa.int32())),
+            pa.array([p.texts for p in pages], pa.list_(pa.string()))
+        ]
+        yield pa.RecordBatch.from_arrays(
+            arrays, names=["page_id", "url", "host", "landmark", "nodes", "leaves", "at", "texts"]
+        )
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(node, pages, words, importance) of the nodes that more than one of the parsed ``pages`` of a host has."""
     hosted = pages.filter("host is not null")
     shapes = hosted.select(F.explode("nodes").alias("x")).groupBy("x.node", "x.shape").agg(F.count("*").alias("n"))
-    shapes = shapes.groupBy("node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nln")).filter("pages > 1")
+    shapes = shapes.groupBy("node").agg(
+        F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nln")
+    ).filter("pages > 1")
     # -sum(n/m ln(n/m)) / ln m over the orders of children
     presentation = (F.ln("pages") - F.col("nln") / F.col("pages")) / F.ln("pages")
-    leaf = hosted.select(F.explode("leaves").alias("x")).select(F.col("x.up")[0].alias("leaf"), "x.up", "x.texts", "x.words", "x.blocks")
+    leaf = hosted.select(F.explode("leaves").alias("x")).select(
+        F.col("x.up")[0].alias("leaf"), "x.up", "x.texts", "x.words", "x.blocks"
+    )
     texts = leaf.select("leaf", F.explode("texts").alias("text")).groupBy("leaf", "text").agg(F.count("*").alias("df"))
     texts = texts.groupBy("leaf").agg(F.avg(F.ln("df")).alias("mean_ln_df"))
-    sizes = leaf.groupBy("leaf").agg(F.any_value("up").alias("up"), F.count("*").alias("m"), F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
+    sizes = leaf.groupBy("leaf").agg(
+        F.any_value("up").alias("up"), F.count("*").alias("m"), F.sum("words").alias("words"),
+        F.sum("blocks").alias("blocks")
+    )
     content = F.when(F.col("m") > 1, 1 - F.col("mean_ln_df") / F.ln("m")).otherwise(1.0)
-    weighed = sizes.join(texts, "leaf").select(F.explode("up").alias("node"), (content * F.col("words")).alias("value"), "words", "blocks")
-    below = weighed.groupBy("node").agg((F.sum("value") / F.sum("words")).alias("content"), (F.sum("words") / F.sum("blocks")).alias("words"))
+    weighed = sizes.join(texts, "leaf").select(
+        F.explode("up").alias("node"), (content * F.col("words")).alias("value"), "words", "blocks"
+    )
+    below = weighed.groupBy("node").agg(
+        (F.sum("value") / F.sum("words")).alias("content"), (F.sum("words") / F.sum("blocks")).alias("words")
+    )
     value = CONTENT * F.col("content") + (1 - CONTENT) * presentation
     return shapes.join(below, "node").select("node", "pages", "words", value.alias("importance"))
 
@@ -349,7 +407,9 @@ def low(role: int, landmark: bool, pages: int, words: float, importance: float,
     return pages == 0 or prior * importance * words / (words + SHORT) < threshold
 
 
-def kept_blocks(landmark: bool, nodes: list[dict], at: list[int], known: Callable[[int], tuple[int, float, float]], threshold: float) -> list[int]:
+def kept_blocks(
+    landmark: bool, nodes: list[dict], at: list[int], known: Callable[[int], tuple[int, float, float]], threshold: float
+) -> list[int]:
     """The numbers of the blocks that stay; ``known`` gives (pages, words, importance) of a node's number."""
     cut, faded = [False] * len(nodes), [False] * len(nodes)
     for i, x in enumerate(nodes):  # a node comes after the one above
@@ -366,7 +426,9 @@ class Tree:
 
     def __init__(self, table: pa.Table):
         order = np.argsort(table["node"].to_numpy())
-        self.node, self.pages, self.words, self.importance = (table[c].to_numpy()[order] for c in ("node", "pages", "words", "importance"))
+        self.node, self.pages, self.words, self.importance = (
+            table[c].to_numpy()[order] for c in ("node", "pages", "words", "importance")
+        )
 
     def known(self, node: int) -> tuple[int, float, float]:
         at = int(np.searchsorted(self.node, node))
@@ -396,7 +458,10 @@ def _decide(threshold: float, tree=None):
                 mine = {x["node"]: (x["pages"], x["words"], x["importance"]) for x in own or ()}
                 known = shared if tree is not None else lambda node, mine=mine: mine.get(node, (0, 0.0, 0.0))
                 texts.append("\n".join(blocks[i] for i in kept_blocks(landmark, nodes, at, known, threshold)))
-            yield pa.RecordBatch.from_arrays([W.column(batch, "page_id"), W.column(batch, "url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [W.column(batch, "page_id"), W.column(batch, "url"), pa.array(texts, pa.string())],
+                names=["page_id", "url", "text"]
+            )
 
     return run
 
@@ -408,8 +473,16 @@ _HOT = 1_000_000
 def main_text(pages: DataFrame, threshold: float = 0.2, max_nodes: int = 1_000_000) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text."""
     spark = pages.sparkSession
-    host = F.lower(F.nullif(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
+    host = F.lower(
+        F.nullif(
+            F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1),
+            F.lit("")
+        )
+    )
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"),
+        F.col("html").cast("string").alias("html")
+    )
     cut = stored(rows.mapInArrow(_parse, _PARSED).withColumn("row_", F.monotonically_increasing_id()), "blocks")
     tree = stored(style_tree(cut), "tree")
     found = "page_id long, url string, text string"
@@ -419,6 +492,8 @@ def main_text(pages: DataFrame, threshold: float = 0.2, max_nodes: int = 1_000_0
         return cut.select(*shown).mapInArrow(_decide(threshold, held), found)
     wanted = cut.filter("host is not null").select("row_", F.explode("nodes.node").alias("node")).distinct()
     hot = F.col("pages") >= _HOT
-    met = wanted.join(F.broadcast(tree.filter(hot)), "node").unionByName(wanted.join(F.broadcast(tree.filter(hot).select("node")), "node", "left_anti").join(tree.filter(~hot), "node"))
+    met = wanted.join(F.broadcast(tree.filter(hot)), "node").unionByName(
+        wanted.join(F.broadcast(tree.filter(hot).select("node")), "node", "left_anti").join(tree.filter(~hot), "node")
+    )
     told = met.groupBy("row_").agg(F.collect_list(F.struct("node", "pages", "words", "importance")).alias("told"))  # a page's own nodes
     return cut.join(told, "row_", "left").select(*shown, "told").mapInArrow(_decide(threshold), found)

@@ -122,8 +122,13 @@ def _profile(k: int, bands: int, rows: int):
                 sums = np.zeros(batch.num_rows, dtype=U64)
                 np.add.at(sums, text, W.mix(value ^ W.mix(np.full(1, seed, dtype=U64))))
                 digests.append(pa.array(sums.view(np.int64)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array(np.diff(first)), *digests, lists], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [W.column(batch, "doc_id"), pa.array(np.diff(first)), *digests, lists],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands"]
+            )
 
     return run
 
@@ -143,7 +148,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
+    both = pairs.join(right, "b").join(left, "a").select(
+        "a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")
+    )
     return both.filter(F.col("c") * 100 >= F.col("u") * percent).select("a", "b")
 
 
@@ -193,81 +200,168 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("rep"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     columns = ["met", "rep", "component"]
-    asking = rows.filter("outside").select(*columns, F.lit(True).alias("outside"), place(n_out).alias("x"), every(n_in).alias("y"))
-    return asking.unionByName(rows.select(*columns, F.lit(False).alias("outside"), every(n_out).alias("x"), place(n_in).alias("y")))
+    asking = rows.filter("outside").select(
+        *columns, F.lit(True).alias("outside"), place(n_out).alias("x"), every(n_in).alias("y")
+    )
+    return asking.unionByName(
+        rows.select(*columns, F.lit(False).alias("outside"), every(n_out).alias("x"), place(n_in).alias("y"))
+    )
 
 
 def _across(open_: DataFrame, sets: DataFrame, percent: int, few: int, block: int) -> DataFrame:
     """Links (a, b) between components that meet in a bucket; ``open_`` has key, rep, n, component, main, main_size."""
-    hubs = stored(open_.groupBy("component").agg(F.max(F.struct("main_size", "main")).alias("h")).select("component", F.col("h.main").alias("family")), "hubs")
+    hubs = stored(
+        open_.groupBy("component").agg(
+            F.max(F.struct("main_size", "main")).alias("h")
+        ).select("component", F.col("h.main").alias("family")),
+        "hubs"
+    )
     placed = stored(open_.select("key", "rep", "n", "component").join(hubs, "component"), "families")
 
     # within families: those outside of the largest component
-    kin = placed.select("rep", "n", "component", "family").distinct().withColumn("outside", F.col("component") != F.col("family"))
-    sizes = stored(kin.groupBy("family").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")).filter("outsiders > 0"), "sizes")
+    kin = placed.select("rep", "n", "component", "family").distinct().withColumn(
+        "outside", F.col("component") != F.col("family")
+    )
+    sizes = stored(
+        kin.groupBy("family").agg(
+            F.count("*").alias("all"), F.count_if("outside").alias("outsiders")
+        ).filter("outsiders > 0"),
+        "sizes"
+    )
     kin = stored(kin.join(sizes, "family"), "kin")
-    groups = [kin.select(F.xxhash64(F.lit("family"), "family").alias("met"), "rep", "n", "component", "outside", "all", "outsiders", F.lit(None).cast("long").alias("kind"))]
+    groups = [
+        kin.select(
+            F.xxhash64(F.lit("family"), "family").alias("met"), "rep", "n", "component", "outside", "all", "outsiders",
+            F.lit(None).cast("long").alias("kind")
+        )
+    ]
     # across families: those of a bucket outside of one of its families
-    foreign = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.max_by("family", F.xxhash64("family")).alias("home")).filter("low < high")
+    foreign = placed.groupBy("key").agg(
+        F.min("family").alias("low"), F.max("family").alias("high"),
+        F.max_by("family", F.xxhash64("family")).alias("home")
+    ).filter("low < high")
     foreign = stored(foreign.select("key", "home"), "foreign")
     if not foreign.isEmpty():
         met = stored(placed.join(foreign, "key").withColumn("outside", F.col("family") != F.col("home")), "met")
-        sizes = stored(met.groupBy("key").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")), "sizes")
-        groups.append(stored(met.join(sizes, "key"), "met").select(F.xxhash64(F.lit("key"), "key").alias("met"), "rep", "n", "component", "outside", "all", "outsiders", F.col("family").alias("kind")))
+        sizes = stored(
+            met.groupBy("key").agg(F.count("*").alias("all"), F.count_if("outside").alias("outsiders")), "sizes"
+        )
+        groups.append(
+            stored(met.join(sizes, "key"), "met").select(
+                F.xxhash64(F.lit("key"), "key").alias("met"), "rep", "n", "component", "outside", "all", "outsiders",
+                F.col("family").alias("kind")
+            )
+        )
     rows = functools.reduce(DataFrame.unionByName, groups)
 
     # pair by pair where outsiders are few
     sparse = rows.filter(F.col("outsiders") <= few)
-    other = sparse.select("met", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"), F.col("kind").alias("other_kind"))
-    apart = (F.col("component") != F.col("part")) & _near(percent) & F.coalesce(F.col("kind") != F.col("other_kind"), F.lit(True))
+    other = sparse.select(
+        "met", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("part"),
+        F.col("kind").alias("other_kind")
+    )
+    apart = (F.col("component") != F.col("part")) & _near(percent) & F.coalesce(
+        F.col("kind") != F.col("other_kind"), F.lit(True)
+    )
     ordered = F.col("rep") < F.col("r")
     either = lambda x, y: F.when(ordered, F.col(x)).otherwise(F.col(y))
-    pairs = sparse.filter("outside").join(other, "met").filter(apart).select(either("rep", "r").alias("a"), either("r", "rep").alias("b"), either("component", "part").alias("pa"), either("part", "component").alias("pb")).distinct()
-    close = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    pairs = sparse.filter("outside").join(other, "met").filter(apart).select(
+        either("rep", "r").alias("a"), either("r", "rep").alias("b"), either("component", "part").alias("pa"),
+        either("part", "component").alias("pb")
+    ).distinct()
+    close = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(
+        F.col("pa").alias("a"), F.col("pb").alias("b")
+    )
 
     # else block by block: each block of outsiders with each block of all
     dealt = _blocked(rows.filter(F.col("outsiders") > few), block)
-    dealt = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("met", "x", "y", "rep", "component", "outside", "items")
+    dealt = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(
+        "met", "x", "y", "rep", "component", "outside", "items"
+    )
     in_blocks = dealt.groupBy("met", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
     return close.unionByName(in_blocks)
 
 
-def link(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, few: int = 16, block: int = 256) -> DataFrame:
+def link(
+    docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, few: int = 16,
+    block: int = 256
+) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Families with more than ``few`` outsiders are compared in blocks of about
     ``block`` documents; neither number changes the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = lasting(texts.mapInArrow(_profile(shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "profiles")
+    profile = lasting(
+        texts.mapInArrow(
+            _profile(shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+        ),
+        "profiles"
+    )
     with passing():
         real = profile.filter("n_shingles > 0 and doc_id is not null")
-        classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+        classes = stored(
+            real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
+            "classes"
+        )
 
         spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-        centres = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-        members = stored(spread.join(stored(centres, "centres"), "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")), "members")
+        centres = spread.groupBy("key").agg(
+            F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")
+        ).filter("size > 1")
+        members = stored(
+            spread.join(stored(centres, "centres"), "key").select(
+                "key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")
+            ),
+            "members"
+        )
         wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-        sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"), "sets")
-
-        pairs = members.filter("rep <> centre").filter(_near(percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+        sets = stored(
+            texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"),
+            "sets"
+        )
+
+        pairs = members.filter("rep <> centre").filter(_near(percent)).select(
+            F.col("centre").alias("a"), F.col("rep").alias("b")
+        ).distinct()
         label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
-        placed = stored(members.select("key", "rep", "n").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
-        named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
+        placed = stored(
+            members.select("key", "rep", "n").join(label, "rep", "left").withColumn(
+                "component", F.coalesce("component", "rep")
+            ),
+            "labelled"
+        )
+        named = classes.select("n_shingles", "d1", "d2", "rep").join(label, "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep")
+        )
+        mixed = stored(
+            placed.groupBy("key").agg(
+                F.min("component").alias("low"), F.max("component").alias("high")
+            ).filter("low < high").select("key"),
+            "mixed"
+        )
         if not mixed.isEmpty():
             # what is joined is written first: a join of bare exchanges can be split by Spark where a key is hot
             open_ = stored(placed.join(mixed, "key"), "open")
-            volume = stored(open_.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")), "volumes")
+            volume = stored(
+                open_.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("volume")),
+                "volumes"
+            )
             open_ = stored(open_.join(volume, "component"), "placed")
             top = open_.groupBy("key").agg(F.max(F.struct("volume", "component")).alias("top"))
-            top = stored(top.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "tops")
-            merged = components(_across(open_.join(top, "key"), sets, percent, few, block)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+            top = stored(
+                top.select("key", F.col("top.component").alias("main"), F.col("top.volume").alias("main_size")), "tops"
+            )
+            merged = components(_across(open_.join(top, "key"), sets, percent, few, block)).select(
+                F.col("node").alias("component"), F.col("component").alias("root")
+            )
             named = named.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
         named = lasting(named.select("n_shingles", "d1", "d2", "component"), "named")
     placed = profile.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return placed.select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
+    )
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -169,4 +169,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM tested JOIN verdicts ON tested.source IS NOT DISTINCT FROM verdicts.source
 """
 
-SQL = {"op3_minhash": OP3, "op4_mixing": OP4, "op5_tool_calls": OP5, "op6_warc": OP6, "op7_decontaminate": OP7, "op8_substring": OP8, "op9_quality": OP9}
+SQL = {
+    "op3_minhash": OP3, "op4_mixing": OP4, "op5_tool_calls": OP5, "op6_warc": OP6, "op7_decontaminate": OP7,
+    "op8_substring": OP8, "op9_quality": OP9
+}

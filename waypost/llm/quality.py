@@ -65,7 +65,10 @@ def _measure(window: int):
                 "n_dup_lines": np.bincount(line_text[later], minlength=n),
                 "n_repeat_words": _per_text(W.covered(len(words.start), starts[twice], window), words.first),
             }
-            arrays = [W.column(batch, "doc_id"), W.column(batch, "source"), *(pa.array(x.astype(np.int64)) for x in numbers.values())]
+            arrays = [
+                W.column(batch, "doc_id"), W.column(batch, "source"),
+                *(pa.array(x.astype(np.int64)) for x in numbers.values())
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", *numbers])
 
     return run
@@ -73,14 +76,23 @@ def _measure(window: int):
 
 def measures(docs: DataFrame, window: int = 8) -> DataFrame:
     """doc_id, source and the five counts of each row of ``docs`` (doc_id, text, source)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_measure(window), "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("text").cast("string").alias("text")
+    )
+    return rows.mapInArrow(
+        _measure(window),
+        "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    )
 
 
 def beta_prior(rates: DataFrame) -> tuple[float, float]:
     """Beta parameters fitted by moments to rows (n, failed); only sums reach the driver."""
     n, f = F.col("n").cast("double"), F.col("failed").cast("double")
-    s = rates.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.sum(n * n).alias("nn")).first()
+    s = rates.agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"),
+        F.sum(n * n).alias("nn")
+    ).first()
     if not s.k or s.k < 2:
         return 1.0, 1.0
     mean = (s.f + 1) / (s.n + 2)
@@ -95,9 +107,13 @@ def host_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 3
     """Per row of ``docs``: the measures, base_failed, host_rate, host_rejected, kept."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     tested = stored(measures(docs).withColumn("base_failed", failed), "measures")
-    rates = stored(tested.groupBy("source").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed")), "rates")
+    rates = stored(
+        tested.groupBy("source").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed")), "rates"
+    )
     a, b = beta_prior(rates)
     rate = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    verdicts = rates.select(F.col("source").alias("host"), rate.alias("host_rate"), (rate > max_rate).alias("host_rejected"))
+    verdicts = rates.select(
+        F.col("source").alias("host"), rate.alias("host_rate"), (rate > max_rate).alias("host_rejected")
+    )
     joined = tested.join(verdicts, tested["source"].eqNullSafe(verdicts["host"]), "left").drop("host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))

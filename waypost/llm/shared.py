@@ -56,11 +56,16 @@ def boxed(docs: DataFrame, *names: str) -> DataFrame:
 
 def unnamed_numbered(docs: DataFrame) -> DataFrame:
     """doc (all of a row), doc_id, text and ``row_``: a number of its own for each row without doc_id, null for others; written if there is one."""
-    shown = lambda df, row: df.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"), row.alias("row_"))
+    shown = lambda df, row: df.select(
+        "doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"), row.alias("row_")
+    )
     rows = boxed(docs)
     if docs.filter("doc_id is null").isEmpty():
         return shown(rows, F.lit(None).cast("long"))
-    return shown(stored(rows.withColumn("row_", F.monotonically_increasing_id()), "numbered"), F.when(F.col("doc.doc_id").isNull(), F.col("row_")))
+    return shown(
+        stored(rows.withColumn("row_", F.monotonically_increasing_id()), "numbered"),
+        F.when(F.col("doc.doc_id").isNull(), F.col("row_"))
+    )
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

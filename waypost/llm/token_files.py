@@ -51,7 +51,9 @@ from waypost.llm.shared import file_system, parts, put_file, scratch, stored
 
 #: Letters of the Latin blocks up to U+024F, all of which are letters but two.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_UNIT = re.compile(rf" ?[0-9{_LETTERS}]+(?=[ \t\n\r!-&(-/:-@\[-`{{-~]|\Z)| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_UNIT = re.compile(
+    rf" ?[0-9{_LETTERS}]+(?=[ \t\n\r!-&(-/:-@\[-`{{-~]|\Z)| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
+)
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
 #: Characters that some Unicode version takes for white space, but those four.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -163,22 +165,33 @@ def _write(root: str, tokenizer_path: str, end_id: int):
         put_file(f"{path}.idx", [offsets.tobytes()])
         put_file(f"{path}.ids", [np.concatenate(ids).astype("<i8").tobytes()])
         values = [shard, path, len(sizes), int(offsets[-1]), own.type.itemsize]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _MANIFEST.types, strict=True)], schema=_MANIFEST)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], t) for x, t in zip(values, _MANIFEST.types, strict=True)], schema=_MANIFEST
+        )
 
     return run
 
 
-_MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())])
+_MANIFEST = pa.schema(
+    [("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]
+)
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, root: str | None = None, shards: int | None = None) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 2, root: str | None = None, shards: int | None = None
+) -> DataFrame:
     """Write the files of ``docs`` (doc_id, text) below ``root``; returns the stored manifest."""
     spark = docs.sparkSession
     root = root or scratch(spark, "tokens")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", F.xxhash64("text"))
     dealt = texts.repartitionByRange(shards or parts(spark), *order).sortWithinPartitions(*order, "text")
-    return stored(dealt.mapInArrow(_write(root, tokenizer_path, end_id), "shard int, path string, docs long, tokens long, width int"), "manifest")
+    return stored(
+        dealt.mapInArrow(
+            _write(root, tokenizer_path, end_id), "shard int, path string, docs long, tokens long, width int"
+        ),
+        "manifest"
+    )
 
 
 class Shard:
@@ -201,7 +214,9 @@ class Shard:
     def tokens(self, start: int, end: int) -> np.ndarray:
         if self.mapped is not None:
             return self.mapped[start:end]
-        return np.frombuffer(self.file.read_at((end - start) * self.type.itemsize, start * self.type.itemsize), dtype=self.type)
+        return np.frombuffer(
+            self.file.read_at((end - start) * self.type.itemsize, start * self.type.itemsize), dtype=self.type
+        )
 
 
 _READ = "doc_id long, start long, n_tokens long, ids binary"
@@ -217,9 +232,18 @@ def _read(limit: int = 1 << 20):
                     to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
                     raw = shard.tokens(int(offsets[at]), int(offsets[to])).astype("<u4").tobytes()
                     own = (offsets[at : to + 1] - offsets[at]) * 4
-                    lists = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(own.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+                    lists = pa.Array.from_buffers(
+                        pa.large_binary(), to - at,
+                        [None, pa.py_buffer(own.astype(np.int64).tobytes()), pa.py_buffer(raw)]
+                    ).cast(pa.binary())
                     ids = shard.ids[at:to]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NO_ID), pa.array(row["base"] + offsets[at:to]), pa.array(np.diff(offsets[at : to + 1])), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids, mask=ids == _NO_ID), pa.array(row["base"] + offsets[at:to]),
+                            pa.array(np.diff(offsets[at : to + 1])), lists
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids"]
+                    )
                     at = to
 
     return run

@@ -41,7 +41,10 @@ from pyspark.sql import functions as F
 
 _MESSAGE = "struct<content: string, tool_call_id: string, tool_calls: array<struct<id: string, name: string, arguments: string, function: struct<name: string, arguments: string>>>>"
 #: JSON types of a schema, as the types that a parsed value reports.
-_TYPES = {"integer": "BIGINT", "number": r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+_TYPES = {
+    "integer": "BIGINT", "number": r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))", "string": "STRING",
+    "boolean": "BOOLEAN", "null": "VOID"
+}
 
 
 def pattern(schema: dict) -> str:
@@ -52,7 +55,10 @@ def pattern(schema: dict) -> str:
     if kind != "object":
         return _TYPES[kind]
     required = schema.get("required", ())
-    keys = "".join(rf"(?:`?{re.escape(k)}`?: {pattern(v)}(?:, |(?=>))){'' if k in required else '?'}" for k, v in sorted(schema.get("properties", {}).items()))
+    keys = "".join(
+        rf"(?:`?{re.escape(k)}`?: {pattern(v)}(?:, |(?=>))){'' if k in required else '?'}" for k,
+        v in sorted(schema.get("properties", {}).items())
+    )
     return f"OBJECT<{keys}>"
 
 
@@ -68,9 +74,21 @@ def tool_schemas(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
     """A table (tool, shape, enums) of the JSON schemas of the tools' arguments."""
     rows = []
     for name, schema in sorted(tools.items()):
-        enums = [F.struct(F.lit(path).alias("path"), F.array(*map(F.lit, allowed)).alias("allowed")) for path, allowed in enumerations(schema)]
-        rows.append(F.struct(F.lit(name).alias("tool"), F.lit(f"^{pattern(schema)}$").alias("shape"), (F.array(*enums) if enums else F.array()).cast("array<struct<path: string, allowed: array<string>>>").alias("enums")))
-    listed = F.array(*rows) if rows else F.expr("cast(array() as array<struct<tool: string, shape: string, enums: array<struct<path: string, allowed: array<string>>>>>)")
+        enums = [
+            F.struct(F.lit(path).alias("path"), F.array(*map(F.lit, allowed)).alias("allowed")) for path,
+            allowed in enumerations(schema)
+        ]
+        rows.append(
+            F.struct(
+                F.lit(name).alias("tool"), F.lit(f"^{pattern(schema)}$").alias("shape"),
+                (F.array(*enums) if enums else F.array()).cast(
+                    "array<struct<path: string, allowed: array<string>>>"
+                ).alias("enums")
+            )
+        )
+    listed = F.array(*rows) if rows else F.expr(
+        "cast(array() as array<struct<tool: string, shape: string, enums: array<struct<path: string, allowed: array<string>>>>>)"
+    )
     return spark.range(1).select(F.inline(listed))
 
 
@@ -90,7 +108,9 @@ def _text(value: Column) -> Column:
 
 def _one_value(text: Column) -> Column:
     """Whether a text is one JSON value and nothing after it, which the parser alone would pass over."""
-    return F.try_parse_json(text).isNotNull() & F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+    return F.try_parse_json(text).isNotNull() & F.coalesce(
+        F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False)
+    )
 
 
 def _fits(whole: Column, arguments: Column) -> Column:
@@ -103,7 +123,9 @@ def _fits(whole: Column, arguments: Column) -> Column:
 def _met(rows: DataFrame, first: DataFrame) -> DataFrame:
     """``rows`` with what is known of their call_id; those without one are spread by their text and meet nothing."""
     salt = F.when(F.col("call_id").isNull(), F.xxhash64("turn", "salt")).otherwise(F.lit(0))
-    return rows.withColumn("salt", salt).join(first.withColumn("salt", F.lit(0).cast("long")), ["conv_id", "call_id", "salt"], "left")
+    return rows.withColumn("salt", salt).join(
+        first.withColumn("salt", F.lit(0).cast("long")), ["conv_id", "call_id", "salt"], "left"
+    )
 
 
 def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -113,14 +135,34 @@ def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     text = F.col("text").cast("string")
     shaped = text.rlike(r"^\s*\{") & _one_value(text)
-    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), F.when(shaped, F.from_json(text, _MESSAGE)).alias("m"))
-    one = rows.withColumn("call_id", F.when(F.col("role") == "tool", F.col("m.tool_call_id"))).withColumn("content", F.when(F.col("m.content").isNotNull() | F.col("m.tool_calls").isNotNull() | F.col("m.tool_call_id").isNotNull(), F.col("m.content")).otherwise(F.col("text")))
-    calls = rows.filter("m.tool_calls is not null").select("conv_id", "turn", "role", F.posexplode("m.tool_calls").alias("index", "c"))
-    calls = calls.select("conv_id", "turn", "role", F.col("index").cast("long").alias("index"), F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("tool"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"))
+    rows = messages.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"), text.alias("text"),
+        F.when(shaped, F.from_json(text, _MESSAGE)).alias("m")
+    )
+    one = rows.withColumn("call_id", F.when(F.col("role") == "tool", F.col("m.tool_call_id"))).withColumn(
+        "content",
+        F.when(
+            F.col("m.content").isNotNull() | F.col("m.tool_calls").isNotNull() | F.col("m.tool_call_id").isNotNull(),
+            F.col("m.content")
+        ).otherwise(F.col("text"))
+    )
+    calls = rows.filter("m.tool_calls is not null").select(
+        "conv_id", "turn", "role", F.posexplode("m.tool_calls").alias("index", "c")
+    )
+    calls = calls.select(
+        "conv_id", "turn", "role", F.col("index").cast("long").alias("index"), F.col("c.id").alias("call_id"),
+        F.coalesce("c.name", "c.function.name").alias("tool"),
+        F.coalesce("c.arguments", "c.function.arguments").alias("arguments")
+    )
 
     # the first call and the number of results of each identifier, reduced before any join
-    first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "index")).alias("f"))
-    first = first.select("conv_id", "call_id", F.col("f.turn").alias("first_turn"), F.col("f.index").alias("first_index"))
+    first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(
+        F.min(F.struct("turn", "index")).alias("f")
+    )
+    first = first.select(
+        "conv_id", "call_id", F.col("f.turn").alias("first_turn"), F.col("f.index").alias("first_index")
+    )
     answered = one.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
     first = first.join(answered, ["conv_id", "call_id"], "left")
 
@@ -135,7 +177,9 @@ def events(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     )
 
     whole = F.when(F.col("arguments").rlike(r"^\s*\{") & _one_value(F.col("arguments")), F.try_parse_json("arguments"))
-    called = _met(calls.withColumn("salt", F.col("arguments")), first).join(F.broadcast(schemas), "tool", "left").withColumn("whole", whole)  # a row a tool
+    called = _met(  # a row a tool
+        calls.withColumn("salt", F.col("arguments")), first
+    ).join(F.broadcast(schemas), "tool", "left").withColumn("whole", whole)
     own = (F.col("turn") == F.col("first_turn")) & (F.col("index") == F.col("first_index"))
     called = called.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "role", "call_id",

@@ -105,7 +105,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(held[0][0])
     if held:
         key, toxic, ordinary = merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array(ordinary.astype(np.int64))], names=["gram", "toxic", "ordinary"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array(ordinary.astype(np.int64))],
+            names=["gram", "toxic", "ordinary"]
+        )
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -166,7 +169,9 @@ class Model:
             gram_evidence += sign * np.log(over / total[of] + rest[of] * below)
             context_evidence += sign * np.log(rest)
         self.gram_evidence, self.context_evidence = gram_evidence.astype(np.float32), context_evidence.astype(np.float32)
-        self.centre, self.spread, self.weights = np.zeros(1 + len(BEST)), np.ones(1 + len(BEST)), np.zeros(2 + len(BEST))
+        self.centre, self.spread, self.weights = np.zeros(
+            1 + len(BEST)
+        ), np.ones(1 + len(BEST)), np.zeros(2 + len(BEST))
 
     def evidence(self, grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The log-likelihood difference of each word, given the grams of its spelling."""
@@ -233,13 +238,17 @@ def _featured(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
             x = model.value.features(W.column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([W.column(batch, "toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [W.column(batch, "toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"]
+            )
 
     return run
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    summed = rows.select("text", "toxic").mapInArrow(_counts, _COUNTS).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    summed = rows.select("text", "toxic").mapInArrow(_counts, _COUNTS).groupBy("gram").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+    )
     return stored(summed, "grams")
 
 
@@ -250,38 +259,70 @@ class Tables:
         below = None
         for order in range(1, ORDER):
             longer = counts.select(F.col("gram").bitwiseAND(_mask(order + 1)).alias("gram")).distinct()
-            keyed = stored(longer.groupBy(F.col("gram").bitwiseAND(_mask(order)).alias("key")).agg(F.count("*").alias("count")), "keys")
+            keyed = stored(
+                longer.groupBy(F.col("gram").bitwiseAND(_mask(order)).alias("key")).agg(F.count("*").alias("count")),
+                "keys"
+            )
             once, twice = keyed.agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
             d = once / (once + 2 * twice) if once else 0.5
             keyed = keyed.withColumn("context", F.shiftright("key", 8))
-            sums = stored(keyed.groupBy("context").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")), "contexts")
+            sums = stored(
+                keyed.groupBy("context").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")), "contexts"
+            )
             keyed = keyed.join(sums, "context").withColumn("shorter", F.col("key").bitwiseAND(_mask(order - 1)))
-            keyed = keyed.withColumn("lower", F.lit(1 / 256)) if below is None else keyed.join(below.withColumnsRenamed({"key": "shorter", "below": "lower"}), "shorter")
-            value = F.greatest(F.col("count") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("lower")
+            keyed = keyed.withColumn("lower", F.lit(1 / 256)) if below is None else keyed.join(
+                below.withColumnsRenamed({"key": "shorter", "below": "lower"}), "shorter"
+            )
+            value = F.greatest(
+                F.col("count") - d, F.lit(0.0)
+            ) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("lower")
             below = stored(keyed.select("key", value.alias("below")), "below")
         smaller = min(toxic, ordinary)
-        counted = counts.select("gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(_mask(ORDER - 1)).alias("key"), (F.col("toxic") * (smaller / toxic)).alias("toxic"), (F.col("ordinary") * (smaller / ordinary)).alias("ordinary"))
+        counted = counts.select(
+            "gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(_mask(ORDER - 1)).alias("key"),
+            (F.col("toxic") * (smaller / toxic)).alias("toxic"),
+            (F.col("ordinary") * (smaller / ordinary)).alias("ordinary")
+        )
         over = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
         total = lambda c: F.greatest(F.sum(c), F.lit(1e-9))
         rest = lambda c: F.least(F.greatest(1 - F.sum(over(c)) / total(c), F.lit(1e-6)), F.lit(1.0))
         both = ("toxic", "ordinary")
-        sums = lasting(counted.groupBy("context").agg(*[total(c).alias(f"{c}_total") for c in both], *[rest(c).alias(f"{c}_rest") for c in both]), "contexts")
+        sums = lasting(
+            counted.groupBy("context").agg(
+                *[total(c).alias(f"{c}_total") for c in both], *[rest(c).alias(f"{c}_rest") for c in both]
+            ),
+            "contexts"
+        )
         log = lambda c: F.ln(over(c) / F.col(f"{c}_total") + F.col(f"{c}_rest") * F.col("below"))
-        self.grams = lasting(counted.join(sums, "context").join(below, "key").select("gram", (log("toxic") - log("ordinary")).alias("evidence")), "evidence")
+        self.grams = lasting(
+            counted.join(sums, "context").join(below, "key").select(
+                "gram", (log("toxic") - log("ordinary")).alias("evidence")
+            ),
+            "evidence"
+        )
         self.contexts = sums.select("context", (F.ln("toxic_rest") - F.ln("ordinary_rest")).alias("unseen"))
 
     def features(self, rows: DataFrame) -> DataFrame:
         """``rows`` (text and more) with ``x``, the features of ``Model``."""
         rows = stored(rows.withColumn("row_", F.monotonically_increasing_id()), "rows")
-        words = rows.select("text").mapInArrow(_word_grams, "word long, grams array<long>").groupBy("word").agg(F.first("grams").alias("grams"))
+        words = rows.select("text").mapInArrow(
+            _word_grams, "word long, grams array<long>"
+        ).groupBy("word").agg(F.first("grams").alias("grams"))
         grams = words.select("word", F.explode("grams").alias("gram")).withColumn("context", F.shiftright("gram", 8))
         met = grams.join(self.grams, "gram", "left").join(self.contexts, "context", "left")
-        value = stored(met.groupBy("word").agg(F.sum(F.coalesce("evidence", "unseen", F.lit(0.0))).alias("value")), "words")
+        value = stored(
+            met.groupBy("word").agg(F.sum(F.coalesce("evidence", "unseen", F.lit(0.0))).alias("value")), "words"
+        )
         own = stored(rows.select("row_", "text").mapInArrow(_row_words, "row_ long, word long"), "row-words")
-        own = own.join(value, "word").groupBy("row_").agg(F.avg("value").alias("mean"), F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, max(BEST)).alias("best"))
+        own = own.join(value, "word").groupBy("row_").agg(
+            F.avg("value").alias("mean"),
+            F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, max(BEST)).alias("best")
+        )
         best = [F.aggregate(F.slice("best", 1, k), F.lit(0.0), lambda t, v: t + v) / k for k in BEST]
         zero = F.array(*[F.lit(0.0)] * (1 + len(BEST)))
-        return rows.join(own.select("row_", F.array("mean", *best).alias("x")), "row_", "left").withColumn("x", F.coalesce("x", zero)).drop("row_", "text")
+        return rows.join(
+            own.select("row_", F.array("mean", *best).alias("x")), "row_", "left"
+        ).withColumn("x", F.coalesce("x", zero)).drop("row_", "text")
 
 
 def _mask(n: int) -> int:
@@ -295,7 +336,9 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(words.start):
             grams, offsets, _ = _spellings(words)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.hashes()).view(np.int64)), lists], names=["word", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.unique(words.hashes()).view(np.int64)), lists], names=["word", "grams"]
+            )
 
 
 def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,12 +349,16 @@ def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, number = np.unique(words.hashes(), return_inverse=True)
             once = _once(words.text, number, len(known))
             rows = W.column(batch, "row_").to_numpy()[words.text[once]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(known[number[once]].view(np.int64))], names=["row_", "word"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(known[number[once]].view(np.int64))], names=["row_", "word"]
+            )
 
 
 def _model(counts: DataFrame, max_grams: int) -> Model | Tables | None:
     """A model of all grams, as tables if there are more than ``max_grams``; None unless both classes have some."""
-    size = counts.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
+    size = counts.agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+    ).first()
     if not size.toxic or not size.ordinary:
         return None
     if size.n > max_grams:
@@ -322,7 +369,9 @@ def _model(counts: DataFrame, max_grams: int) -> Model | Tables | None:
     return Model(gram.view(U64), toxic, ordinary)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams: int = 2_000_000) -> Model | Tables | None:
+def train(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams: int = 2_000_000
+) -> Model | Tables | None:
     """The model of the labelled rows outside fold 2; None unless both classes occur.
 
     The logistic curve is fitted on fold 3 by a model that counts folds 0 and 1
@@ -334,19 +383,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, max_grams:
 
 def _trained(docs: DataFrame, labels: DataFrame, max_rows: int, max_grams: int) -> Model | Tables | None:
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    known = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")).withColumn("part", fold()).filter("part <> 2")
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
+    ).filter("doc_id is not null and toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(
+        (F.max("toxic") == 1).alias("toxic")
+    ).withColumn("part", fold()).filter("part <> 2")
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     share = {k: min(1.0, max_rows / n) for k, n in sizes.items()}
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < F.when(F.col("toxic"), share[True] * (1 << 30)).otherwise(share[False] * (1 << 30))
+    drawn = F.pmod(
+        F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)
+    ) < F.when(F.col("toxic"), share[True] * (1 << 30)).otherwise(share[False] * (1 << 30))
     # a row a labelled document, so Spark may broadcast them while they are few
     known = stored(known.withColumn("drawn", drawn), "labels")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).join(known, "doc_id")
     rows = stored(rows, "labelled")
     first, last = _counted(rows.filter("part <> 3")), _counted(rows.filter("part = 3"))
-    both = stored(first.unionByName(last).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
+    both = stored(
+        first.unionByName(last).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
+        "grams"
+    )
     # one model after the other, as the driver holds them
     early = _model(first, max_grams)
     model = early or _model(both, max_grams)
@@ -380,30 +440,45 @@ def _scored(model, keep=()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
             x = model.value.features(W.column(batch, "text"))
-            arrays = [*(W.column(batch, c) for c in ("doc_id", *keep)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(model.value.scores(x))]
+            arrays = [
+                *(W.column(batch, c) for c in ("doc_id", *keep)), pa.array(x[:, 0]), pa.array(x[:, 1]),
+                pa.array(model.value.scores(x))
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *keep, "mean_evidence", "top_evidence", "score"])
 
     return run
 
 
-def _judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = (), **options) -> DataFrame:
+def _judged(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = (), **options
+) -> DataFrame:
     model = train(docs, labels, **options)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     if model is None:
         zero = F.lit(0.0)
-        scored = rows.select("doc_id", *keep, zero.alias("mean_evidence"), zero.alias("top_evidence"), zero.alias("score"))
+        scored = rows.select(
+            "doc_id", *keep, zero.alias("mean_evidence"), zero.alias("top_evidence"), zero.alias("score")
+        )
     elif isinstance(model, Tables):
         scored = model.features(rows)
         z = F.lit(float(model.weights[-1]))
         for i, w in enumerate(model.weights[:-1]):
             z = z + (F.col("x")[i] - float(model.centre[i])) / float(model.spread[i]) * float(w)
         z = F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))
-        scored = scored.select("doc_id", *keep, F.col("x")[0].alias("mean_evidence"), F.col("x")[1].alias("top_evidence"), (1 / (1 + F.exp(-z))).alias("score"))
+        scored = scored.select(
+            "doc_id", *keep, F.col("x")[0].alias("mean_evidence"), F.col("x")[1].alias("top_evidence"),
+            (1 / (1 + F.exp(-z))).alias("score")
+        )
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
         kept = "".join(f"{c} long, " for c in keep)
-        scored = rows.mapInArrow(_scored(held, keep), f"doc_id long, {kept}mean_evidence double, top_evidence double, score double")
-    return scored.select("doc_id", *keep, F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_evidence", "top_evidence")
+        scored = rows.mapInArrow(
+            _scored(held, keep), f"doc_id long, {kept}mean_evidence double, top_evidence double, score double"
+        )
+    return scored.select(
+        "doc_id", *keep, F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_evidence", "top_evidence"
+    )
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
@@ -414,5 +489,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options)
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic; rows that share a doc_id go together, those without one are judged one by one."""
     rows = unnamed_numbered(docs)
-    bad = _judged(rows, labels, keep=("row_",), **options).filter("predicted = 1").select(F.col("doc_id").alias("id_"), F.col("row_").alias("bad_")).distinct()
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("row_").eqNullSafe(F.col("bad_")), "left_anti").select("doc.*")
+    bad = _judged(rows, labels, keep=("row_",), **options).filter("predicted = 1").select(
+        F.col("doc_id").alias("id_"), F.col("row_").alias("bad_")
+    ).distinct()
+    return rows.join(
+        bad, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("row_").eqNullSafe(F.col("bad_")), "left_anti"
+    ).select("doc.*")

@@ -37,7 +37,12 @@ from waypost.llm.shared import file_system, parts, put_file, scratch, stored
 _DATE = "2000-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_INDEX = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("header", pa.binary())])
+_INDEX = pa.schema(
+    [
+        ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()),
+        ("record_type", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("header", pa.binary())
+    ]
+)
 
 
 def base32(digest: bytes) -> str:
@@ -61,7 +66,9 @@ def _write(root: str):
         def members() -> Iterator[bytes]:
             at, last, again = 0, None, 0
             for batch in batches:
-                for page_id, url, html, first_id in zip(*(W.column(batch, c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
+                for page_id, url, html, first_id in zip(
+                    *(W.column(batch, c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True
+                ):
                     payload = html.encode() if isinstance(html, str) else html or b""
                     own = (page_id, hashlib.sha256(payload).digest())
                     again = again + 1 if own == last else 0
@@ -86,7 +93,9 @@ def _write(root: str):
                     ]
                     head = _header(fields)
                     member = gzip.compress(head + block + b"\r\n\r\n", 3, mtime=0)
-                    rows.append((path, at, len(member), name, "revisit" if revisit else "response", page_id, digest, head))
+                    rows.append(
+                        (path, at, len(member), name, "revisit" if revisit else "response", page_id, digest, head)
+                    )
                     at += len(member)
                     yield member
 
@@ -101,7 +110,10 @@ def _write(root: str):
 
         put_file(path, every())
         for at in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 4096], strict=True), _INDEX.types, strict=True)], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows[at : at + 4096], strict=True), _INDEX.types, strict=True)],
+                schema=_INDEX
+            )
 
     return run
 
@@ -109,16 +121,37 @@ def _write(root: str):
 def write_archive(pages: DataFrame, root: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``root``; returns the stored index of exact headers."""
     root = root or scratch(pages.sparkSession, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    )
     digest = F.concat_ws(":", F.sha2("html", 256), F.octet_length("html"))
-    marked = rows.filter("page_id is not null").filter(F.octet_length("html") >= min_bytes).select("page_id", digest.alias("digest"))
-    repeated = stored(marked.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    marked = rows.filter("page_id is not null").filter(
+        F.octet_length("html") >= min_bytes
+    ).select("page_id", digest.alias("digest"))
+    repeated = stored(
+        marked.groupBy("digest").agg(
+            F.min("page_id").alias("first_id"), F.count("*").alias("n")
+        ).filter("n > 1").drop("n"),
+        "repeated"
+    )
     verdicts = marked.join(repeated, "digest").distinct().withColumn("url", F.lit(None).cast("string"))
     # one key and one exchange: equal records meet in a task, and the join finds its pages where they are
-    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none"), F.xxhash64("url").cast("string"))), "digest")
+    key = F.concat_ws(
+        ":", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none"), F.xxhash64("url").cast("string"))),
+        "digest"
+    )
     told = rows.withColumn("digest", digest).withColumn("key", key).repartition(parts(pages.sparkSession), "key")
-    told = told.join(verdicts.select(key.alias("key"), "first_id"), "key", "left").sortWithinPartitions("page_id", "digest", "url")
-    return stored(told.select("page_id", "url", "html", "first_id").mapInArrow(_write(root), "path string, offset long, length long, record_id string, record_type string, page_id long, payload_digest string, header binary"), "index")
+    told = told.join(
+        verdicts.select(key.alias("key"), "first_id"), "key", "left"
+    ).sortWithinPartitions("page_id", "digest", "url")
+    return stored(
+        told.select("page_id", "url", "html", "first_id").mapInArrow(
+            _write(root),
+            "path string, offset long, length long, record_id string, record_type string, page_id long, payload_digest string, header binary"
+        ),
+        "index"
+    )
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -151,7 +184,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(rows):
         types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in _READ.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
+        )
 
     number = lambda x: None if x is None else int(x)
     for batch in batches:
@@ -164,9 +199,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
-                        if hashlib.sha256(payload).hexdigest() != fields["X-Payload-SHA256"] or base32(hashlib.sha1(payload).digest()) != digest:
+                        if hashlib.sha256(payload).hexdigest() != fields["X-Payload-SHA256"] or base32(
+                            hashlib.sha1(payload).digest()
+                        ) != digest:
                             raise ValueError(f"record {fields['WARC-Record-ID']} doesn't have its digest")
-                    rows.append((fields["WARC-Record-ID"], kind, number(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), digest, fields.get("WARC-Refers-To"), number(fields.get("X-Refers-To-Page-ID")), payload))
+                    rows.append(
+                        (
+                            fields["WARC-Record-ID"], kind, number(fields.get("X-Page-ID")),
+                            fields.get("WARC-Target-URI"), digest, fields.get("WARC-Refers-To"),
+                            number(fields.get("X-Refers-To-Page-ID")), payload
+                        )
+                    )
                     size += len(block)
                     if size > 4 << 20:
                         yield batch_of(rows)
@@ -186,17 +229,33 @@ def summaries(index: DataFrame) -> DataFrame:
 
     A revisit's length is that of the payload it refers to, found by record.
     """
-    found = stored(read_archive(index).select("record_id", "record_type", "page_id", "payload_digest", "refers_to_record", "refers_to", F.octet_length("payload").cast("long").alias("n")), "records")
-    kept = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("n").alias("m"), F.col("payload_digest").alias("d"))
-    full = found.filter("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    found = stored(
+        read_archive(index).select(
+            "record_id", "record_type", "page_id", "payload_digest", "refers_to_record", "refers_to",
+            F.octet_length("payload").cast("long").alias("n")
+        ),
+        "records"
+    )
+    kept = found.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to_record"), F.col("n").alias("m"), F.col("payload_digest").alias("d")
+    )
+    full = found.filter("record_type = 'response'").select(
+        "page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
+    )
     again = found.filter("record_type = 'revisit'").join(kept, "refers_to_record", "left")
-    return full.unionByName(again.select("page_id", F.col("m").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to"))
+    return full.unionByName(
+        again.select(
+            "page_id", F.col("m").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to"
+        )
+    )
 
 
 def reconstructed(index: DataFrame) -> DataFrame:
     """page_id, url and payload of every record, revisits filled through a join."""
     found = read_archive(index)
-    kept = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("payload").alias("p"))
+    kept = found.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to_record"), F.col("payload").alias("p")
+    )
     full = found.filter("record_type = 'response'").select("page_id", "url", "payload")
     again = found.filter("record_type = 'revisit'").join(kept, "refers_to_record", "left")
     return full.unionByName(again.select("page_id", "url", F.col("p").alias("payload")))

@@ -124,7 +124,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             total = U64(0)
             for at in range(low, high, SEGMENT):
                 piece = _BYTE[data[at : min(high, at + SEGMENT)]]
-                total = U64((int(total) * int(_POW[SEGMENT]) + int((piece * _POW[: len(piece)]).sum(dtype=U64))) % 2**64)
+                total = U64(
+                    (int(total) * int(_POW[SEGMENT]) + int((piece * _POW[: len(piece)]).sum(dtype=U64))) % 2**64
+                )
             out[i] = total
         else:
             sums = np.zeros(high - low + 1, dtype=U64)
