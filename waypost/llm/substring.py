@@ -11,8 +11,9 @@ holds the hashes of one at a time while the texts stream by; there, windows to
 remove merge into maximal word intervals.
 
 ``BITS`` bits of two hashes under different bases decide that windows are
-equal: at 1.5e13 windows, about 100 TB of text, the chance that two different
-ones anywhere are taken for equal is about 0.002. Windows are judged on the
+equal; words aren't compared again. At 1.5e13 windows, about 100 TB of text,
+a third of a pair of different windows is expected to be taken for equal; at
+1.5e12, a three-hundredth. Windows are judged on the
 input, never on what is left.
 
 Edge cases: null and empty texts, and texts shorter than a window, lose
@@ -40,7 +41,7 @@ U64 = np.uint64
 BLOCK = 1 << 20
 #: Windows of a block that a range should get at least, and ranges a partition at most.
 RANGE, RANGES = 1 << 10, 16
-BITS = 96
+BITS = 88
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -90,7 +91,10 @@ def _owner(doc: np.ndarray, groups: int) -> np.ndarray:
 
 def _group_column(groups: int) -> Column:
     doc = F.col("doc_id")
-    spread = F.coalesce(doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(F.shiftright(doc, 31)), F.xxhash64("text", F.spark_partition_id()))
+    spread = F.coalesce(
+        doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(F.shiftright(doc, 31)),
+        F.xxhash64("text", F.spark_partition_id())
+    )
     return F.pmod(spread, F.lit(groups)).cast("int")
 
 
@@ -109,7 +113,9 @@ _SENT = pa.schema([("bucket", pa.int32()), ("back", pa.bool_()), ("data", pa.bin
 def _window_hashes(found: W.Words, k: int, second: bool = True):
     starts = W.window_starts(found.first, k)
     hashes = found.hashes()
-    return starts, W.rolling(hashes, k)[starts], (W.rolling(hashes, k, True)[starts] >> U64(128 - BITS)).astype(np.uint32) if second else None
+    return starts, W.rolling(hashes, k)[starts], (
+        W.rolling(hashes, k, True)[starts] >> U64(128 - BITS)
+    ).astype(np.uint32) if second else None
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -134,8 +140,13 @@ def _windows(k: int, buckets: int):
         a, b, doc, heads, least, later = _distinct(a, b, doc)
         rows = [(g, True, block) for g, block in _returned(doc[later], a[later], buckets)]
         a, b = a[heads], b[heads]
-        rows += [(g, False, pack(np.diff(a[part], prepend=U64(0)), b[part], least[part])) for g, part in _by_group(_bucket(a, buckets), buckets)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT)
+        rows += [
+            (g, False, pack(np.diff(a[part], prepend=U64(0)), b[part], least[part])) for g,
+            part in _by_group(_bucket(a, buckets), buckets)
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -171,16 +182,22 @@ def _count(buckets: int):
     def counted(blocks: list[bytes]) -> Iterator[tuple[int, bytes]]:
         if blocks:
             delta, b, doc = zip(*(unpack(x, U64, np.uint32, np.int64) for x in blocks), strict=True)
-            a, _, doc, _, _, later = _distinct(np.concatenate([np.cumsum(x, dtype=U64) for x in delta]), np.concatenate(b), np.concatenate(doc))
+            a, _, doc, _, _, later = _distinct(
+                np.concatenate([np.cumsum(x, dtype=U64) for x in delta]), np.concatenate(b), np.concatenate(doc)
+            )
             yield from _returned(doc[later], a[later], buckets)
 
     def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=_BACK)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([g for g, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=_BACK
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            buckets_, back, data = W.column(batch, "bucket").to_numpy(), W.column(batch, "back").to_numpy(zero_copy_only=False), W.column(batch, "data")
+            buckets_, back, data = W.column(batch, "bucket").to_numpy(), W.column(batch, "back").to_numpy(
+                zero_copy_only=False
+            ), W.column(batch, "data")
             for low, high in _runs(buckets_, back):
                 blocks = data.slice(low, high - low).to_pylist()
                 if back[low]:  # decided within its block, on its way to its group
@@ -196,7 +213,12 @@ def _count(buckets: int):
 
 
 _SPAN = pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", _SPAN), ("text", pa.string())])
+_KEPT = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", _SPAN),
+        ("text", pa.string())
+    ]
+)
 
 
 def _by_document(blocks: list[bytes]) -> dict[int, np.ndarray]:
@@ -230,12 +252,20 @@ def _cut(k: int):
             n_removed.append(gone)
             spans.append(cut)
             kept.append(b" ".join(words))
-        return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, _SPAN), pa.array(kept, pa.binary()).cast(pa.string())], schema=_KEPT)
+        return pa.RecordBatch.from_arrays(
+            [
+                ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, _SPAN),
+                pa.array(kept, pa.binary()).cast(pa.string())
+            ],
+            schema=_KEPT
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, flagged = None, [], {}
         for batch in batches:
-            groups, is_text, data = W.column(batch, "grp").to_numpy(), W.column(batch, "is_text").to_numpy(zero_copy_only=False), W.column(batch, "data")
+            groups, is_text, data = W.column(batch, "grp").to_numpy(), W.column(batch, "is_text").to_numpy(
+                zero_copy_only=False
+            ), W.column(batch, "data")
             for low, high in _runs(groups, is_text):
                 if groups[low] != group:
                     group, held, flagged = groups[low], [], {}
@@ -261,8 +291,23 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     ranges = max(1, min(RANGES, BLOCK // (n * RANGE)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = lambda df, column: df.repartitionById(n, F.floor(F.col(column) / ranges).cast("int"))
-    sent = texts.filter("doc_id is not null").mapInArrow(_windows(k, n * ranges), "bucket int, back boolean, data binary")
-    back = own(sent, "bucket").sortWithinPartitions("bucket", "back").mapInArrow(_count(n * ranges), "grp int, data binary")
-    both = texts.select(_group_column(n * ranges).alias("grp"), F.lit(True).alias("is_text"), "doc_id", "text", F.lit(None).cast("binary").alias("data"))
-    both = both.unionByName(back.select("grp", F.lit(False).alias("is_text"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "data"))
-    return own(both, "grp").sortWithinPartitions("grp", "is_text").mapInArrow(_cut(k), "doc_id long, n_words long, n_removed long, removed array<struct<from_word: long, to_word: long>>, text string")
+    sent = texts.filter("doc_id is not null").mapInArrow(
+        _windows(k, n * ranges), "bucket int, back boolean, data binary"
+    )
+    back = own(sent, "bucket").sortWithinPartitions("bucket", "back").mapInArrow(
+        _count(n * ranges), "grp int, data binary"
+    )
+    both = texts.select(
+        _group_column(n * ranges).alias("grp"), F.lit(True).alias("is_text"), "doc_id", "text",
+        F.lit(None).cast("binary").alias("data")
+    )
+    both = both.unionByName(
+        back.select(
+            "grp", F.lit(False).alias("is_text"), F.lit(None).cast("long").alias("doc_id"),
+            F.lit(None).cast("string").alias("text"), "data"
+        )
+    )
+    return own(both, "grp").sortWithinPartitions("grp", "is_text").mapInArrow(
+        _cut(k),
+        "doc_id long, n_words long, n_removed long, removed array<struct<from_word: long, to_word: long>>, text string"
+    )
