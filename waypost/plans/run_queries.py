@@ -11,6 +11,8 @@ from waypost.operators import batching, enrich, quality
 from waypost.plans import oracle as O
 from waypost.plans.catalog import register
 from waypost.sources.places import places
+from waypost.sources.scratch import scratch
+from waypost.streaming.enrichment import enrich_stream
 
 COLUMNS = ["naam", "provincie", "prijs", "stroom", "wifi", "sanitair"]
 
@@ -98,3 +100,31 @@ def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
 def unprocessed_first(spark: SparkSession, d: str) -> DataFrame:
     """O3: the limit of a run is the feature."""
     return batching.first_unprocessed(places(spark, d), 40).select("place_id", "naam")
+
+
+_STREAMED = (
+    "CASE WHEN lower(trim(stroom)) = 'onbekend' AND regexp_matches(lower(naam), 'parking|parkeer') THEN 'Nee' ELSE stroom END"
+)
+_WASHED = (
+    "CASE WHEN lower(trim(sanitair)) <> 'onbekend' THEN sanitair "
+    "WHEN regexp_matches(lower(naam), 'parking|parkeer') THEN 'Nee' "
+    "WHEN regexp_matches(lower(naam), 'jachthaven|marina|camping|vakantiepark') THEN 'Ja' ELSE sanitair END"
+)
+
+
+@register(
+    "stream_enrichment",
+    O.places(
+        f"place_id, naam, {O.province('provincie')} AS provincie, {_STREAMED} AS stroom, {_WASHED} AS sanitair, "
+        f"CASE WHEN lower({_STREAMED}) = 'nee' THEN 'Nee (geen stroom)' END AS stroom_prijs"
+    ),
+)
+def stream_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Rows arrive in two lots; the second run of the stream takes only what is new."""
+    source, target, checkpoint = (scratch(spark, f"stream-{name}") for name in ("in", "out", "state"))
+    rows = places(spark, d).select("place_id", "naam", "provincie", "stroom", "sanitair")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    for lot in (0, 1):
+        rows.filter(F.col("place_id") % 2 == lot).write.mode("append").parquet(source)
+        enrich_stream(spark, source, schema, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target)
