@@ -4,9 +4,10 @@ With windows of ``n`` words, fingerprints are hashes of ``k``-grams, of which
 winnowing keeps the smallest of each ``n - k + 1`` in a row: two texts that
 share ``n`` words share the fingerprint picked there. The benchmark's
 fingerprints meet those of the documents; around each hit the windows of ``n``
-words that hold it are compared outright, which extends hits to every word of
-every shared window. Items shorter than a window count as one window of their
-own length, and of them every such gram of a document is compared.
+words that hold it are compared with the benchmark's by 128 bits of two hashes,
+which extends hits to every word of every shared window. Items shorter than a
+window count as one window of their own length, and of them every such gram of
+a document is compared in the same way.
 
 The benchmark is measured first and read in blocks of at most ``block_bytes``
 of text; only one block at a time is sent to the executors. Documents are
@@ -68,7 +69,7 @@ class Index:
         starts = W.window_starts(found.first, k)
         grams = W.rolling(hashes, k)[starts]
         self.fingerprints = np.unique(grams[winnowed(found.first, grams, starts, k, n)])
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in range(1, n + 1):
             if length < n:
                 of = np.flatnonzero(counts == length)
@@ -77,20 +78,24 @@ class Index:
                 at = W.window_starts(found.first, n)
                 owner = item[found.text[at]]
             if len(at):
-                pairs = np.unique(np.stack([W.rolling(hashes, length)[at], owner.view(U64)]), axis=1)
+                grams = W.rolling(hashes, length)[at]
+                pairs = np.unique(np.stack([grams, owner.view(U64)]), axis=1)
                 value, head = np.unique(pairs[0], return_index=True)
-                self.windows[length] = (value, np.append(head, pairs.shape[1]), pairs[1].view(np.int64))
+                second = W.rolling(hashes, length, True)[at][np.unique(grams, return_index=True)[1]]
+                self.windows[length] = (value, second, np.append(head, pairs.shape[1]), pairs[1].view(np.int64))
 
     def found_in(self, words: W.Words) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which words are hit, and pairs of arrays (text, item number)."""
         hashes, hit, pairs = words.hashes(), np.zeros(len(words.start), bool), []
-        for length, (value, head, items) in self.windows.items():
+        for length, (value, second, head, items) in self.windows.items():
             starts = self._candidates(words, hashes) if length == self.n else W.window_starts(words.first, length)
             if not len(starts):
                 continue
             grams = W.rolling(hashes, length)[starts]
             at = np.minimum(np.searchsorted(value, grams), len(value) - 1)
             same = value[at] == grams
+            if same.any():
+                same[same] = W.rolling(hashes, length, True)[starts[same]] == second[at[same]]
             starts, at = starts[same], at[same]
             hit |= W.covered(len(hit), starts, length)
             many = head[at + 1] - head[at]
