@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round is written to the shared folder, so lineage stays short; the
     only things that reach the driver are a row count and a checksum.
     """
-    edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
+    # not made distinct here, so that Spark may split the links' join where a key is hot
+    edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), "edges")
     before = None
     while True:
         now = edges.agg(

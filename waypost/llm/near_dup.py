@@ -144,14 +144,13 @@ def _sets(k: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have at least ``percent`` % of their union in common."""
+    """The rows of ``pairs`` (a, b and more) whose sets have at least ``percent`` % of their union in common."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(right, "b").join(left, "a").select(
-        "a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")
-    )
-    return both.filter(F.col("c") * 100 >= F.col("u") * percent).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a")
+    both = both.select(*pairs.columns, common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
+    return both.filter(F.col("c") * 100 >= F.col("u") * percent).drop("c", "u")
 
 
 def _near(percent: int):
@@ -269,9 +268,7 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int, few: int, block: in
         either("rep", "r").alias("a"), either("r", "rep").alias("b"), either("component", "part").alias("pa"),
         either("part", "component").alias("pb")
     ).distinct()
-    close = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(
-        F.col("pa").alias("a"), F.col("pb").alias("b")
-    )
+    close = _confirmed(pairs, sets, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
     # else block by block: each block of outsiders with each block of all
     dealt = _blocked(rows.filter(F.col("outsiders") > few), block)
