@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.llm import decontaminate, html_text, mixing, near_dup, oracles, quality, substring, token_files, tool_calls, toxicity, warc
+from waypost.llm import (
+    decontaminate, html_text, infill, mixing, near_dup, oracles, quality, secrets, substring, token_files, tool_calls, toxicity,
+    turn_repair, warc
+)
 from waypost.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,9 +92,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of_kinds = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select(
+        "doc.doc_id", *counts, F.sha2(secrets.shown(of_kinds(*secrets.BASE)), 256).alias("base_sha256"),
+        secrets.shown(F.col("spans")).alias("spans")
+    )
+
+
 _ALL = (
     op1_token_files, op2_main_text, op3_minhash, op4_mixing, op5_tool_calls, op6_warc, op7_decontaminate, op8_substring,
-    op9_quality, op10_toxicity
+    op9_quality, op10_toxicity, op11_turn_repair, op12_infill, op13_secrets
 )
 
 

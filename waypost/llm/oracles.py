@@ -169,7 +169,144 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM tested JOIN verdicts ON tested.source IS NOT DISTINCT FROM verdicts.source
 """
 
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(key, ''), lambda b: [ascii(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP11 = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS harm
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) FROM keyed)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, rtrim(text, {_SPACES}) AS whole
+  FROM (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged)
+),
+rows AS (
+  SELECT *, substr(role, 1, 1) AS x, CASE WHEN whole = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(whole, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+),
+walk AS (
+  SELECT c, 0::BIGINT AS i, '' AS state, 0::BIGINT AS cost, '' AS audit FROM (SELECT DISTINCT c FROM rows)
+  UNION ALL
+  SELECT c, i, state, best.cost, best.audit FROM (
+    SELECT c, i, right(state || made, 1) AS state, min({{'cost': cost + 3 * length(added) + 3 * (way = 'R')::INT + 4 * (way = 'D')::INT + CASE WHEN fault = 'truncated' AND way <> 'D' THEN 3 ELSE 0 END, 'audit': audit || repeat('I', length(added)) || way}}) AS best
+    FROM (
+      SELECT r.c, r.i, w.state, w.cost, w.audit, r.fault, added, way, added || CASE way WHEN 'K' THEN x WHEN 'R' THEN role_to ELSE '' END AS made
+      FROM walk w JOIN rows r ON r.c = w.c AND r.i = w.i + 1, (VALUES (''), ('u'), ('a'), ('ua'), ('au')) a(added), (VALUES ('K', ''), ('R', 'u'), ('R', 'a'), ('D', '')) e(way, role_to)
+      WHERE (fault NOT IN ('blank', 'duplicate') OR way = 'D')
+    )
+    WHERE (way = 'D' AND added = '') OR (way <> 'D' AND regexp_full_match(state || made, 's?(ua)*u?|(au)*a?') AND (state <> '' OR made[1] <> 'a'))
+    GROUP BY ALL
+  )
+),
+ended AS (
+  SELECT c, min({{'cost': cost + CASE state WHEN 'u' THEN 3 WHEN 's' THEN 6 ELSE 0 END, 'audit': audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END}}) AS best
+  FROM walk JOIN (SELECT c, max(i) AS i FROM rows GROUP BY c) USING (c, i) GROUP BY c
+),
+letters AS (
+  SELECT c, k, letter, sum((letter <> 'I')::INT) OVER (PARTITION BY c ORDER BY k) AS i, sum((letter <> 'D')::INT) OVER (PARTITION BY c ORDER BY k) AS pos
+  FROM (SELECT c, string_split(best.audit, '') AS letters, unnest(range(1, length(best.audit) + 1)) AS k, letters[k] AS letter FROM ended WHERE best.audit <> '')
+),
+kept AS (SELECT l.c, l.k, letter, pos, x, role, text FROM letters l LEFT JOIN rows r ON r.c = l.c AND r.i = l.i AND letter <> 'I' WHERE letter <> 'D'),
+headed AS (SELECT *, first_value(letter = 'K' AND x = 's') OVER (PARTITION BY c ORDER BY k) AS system FROM kept),
+mended AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (pos + system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS text FROM headed GROUP BY c
+),
+pairs AS (SELECT c, lag(x) OVER (PARTITION BY c ORDER BY i) || x AS pair FROM rows),
+illegal AS (SELECT c, count(*) AS illegal FROM pairs WHERE pair NOT IN ('su', 'ua', 'au') GROUP BY c),
+faults AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM rows GROUP BY c
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(mended.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN illegal USING (c) LEFT JOIN ended USING (c) LEFT JOIN mended USING (c)
+"""
+
+OP12 = rf"""
+WITH drawn AS (
+  SELECT doc_id, text, t, len(t)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in range(4)] AS d
+  FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents)
+),
+cut AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _found(name: str, pattern: str, holds: str = "true") -> str:
+    """A table (doc_id, pos, match): leftmost matches of a pattern with their offsets. No text may hold the two marks."""
+    return rf"""{name} AS (
+  SELECT doc_id, pos, match FROM (
+    SELECT doc_id, match, coalesce(sum(length(match) + length(rest)) OVER (PARTITION BY doc_id, row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, i
+    FROM (
+      SELECT doc_id, row, i, CASE WHEN i = 1 THEN '' ELSE split_part(piece, chr(2), 1) END AS match, CASE WHEN i = 1 THEN piece ELSE split_part(piece, chr(2), 2) END AS rest
+      FROM (SELECT doc_id, row, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM (SELECT doc_id, row, string_split(regexp_replace(text, '({pattern})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS pieces FROM texts))
+    )
+  ) WHERE i > 1 AND {holds}
+)"""
+
+
+_KEYWORD = "|".join(
+    "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    for word in ("password", "passwd", "secret", "token", "api_?key")
+)
+_ASSIGN = rf"""(?:{_KEYWORD})["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+
+
+def _high(name: str, source: str, bits: float) -> str:
+    """A table of spans (kind, start, stop): merged windows of 20 characters with enough entropy."""
+    return rf"""{name} AS (
+  SELECT doc_id, 'entropy_{source}' AS kind, min(pos + i) AS start, max(pos + i) + 20 AS stop FROM (
+    SELECT doc_id, pos, i, sum(fresh) OVER (PARTITION BY doc_id, pos ORDER BY i) AS nth FROM (
+      SELECT doc_id, pos, i, (i - coalesce(lag(i) OVER (PARTITION BY doc_id, pos ORDER BY i), -100) > 20)::INT AS fresh FROM (
+        SELECT doc_id, pos, i, substr(match, i + 1, 20) AS w FROM (SELECT doc_id, pos, match, unnest(range(0, length(match) - 19)) AS i FROM {source}_runs
+          WHERE NOT regexp_matches(match, '^[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}$|0123456789|1234567890|(?i:example|sample|dummy|placeholder|changeme|your_?key|abcdefgh)'))
+      ) WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
+        AND list_sum([round(65536 * c * log2(c)) for c in map_values(list_histogram(string_split(w, '')))]) <= floor(65536 * 20 * (log2(20) - {bits}))
+    )
+  ) GROUP BY doc_id, pos, nth
+)"""
+
+
+OP13 = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+{_found("assigned", _ASSIGN, "length(regexp_extract(match, '[A-Za-z0-9+/_.=-]+$')) >= 6")},
+{_found("accesses", "AKIA[A-Z0-9]+", "length(match) >= 20")},
+{_found("hexes", "[0-9a-f]{24,}")},
+{_found("hex_runs", "[0-9A-Fa-f]{20,}")},
+{_found("base64_runs", "[A-Za-z0-9+/_=-]{20,}")},
+{_high("high_hex", "hex", 2.9)},
+{_high("high_base64", "base64", 3.7)},
+base AS (
+  SELECT doc_id, 'assign' AS kind, pos AS start, pos + length(match) AS stop, 0 AS r FROM assigned UNION ALL SELECT doc_id, 'access', pos, pos + length(match), 1 FROM accesses
+  UNION ALL SELECT doc_id, 'hex', pos, pos + length(match), 2 FROM hexes
+),
+added AS (
+  SELECT h.*, CASE kind WHEN 'entropy_hex' THEN 3 ELSE 4 END AS r FROM (FROM high_hex UNION ALL FROM high_base64) h
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start <= h.start AND h.stop <= b.stop)
+),
+listed AS (
+  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, r, stop) AS spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, r, stop) FILTER (WHERE r < 3) AS based,
+    count(*) FILTER (WHERE r = 0) AS a, count(*) FILTER (WHERE r = 1) AS b, count(*) FILTER (WHERE r = 2) AS c
+  FROM (FROM base UNION ALL FROM added) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (doc_id)
+"""
+
 SQL = {
     "op3_minhash": OP3, "op4_mixing": OP4, "op5_tool_calls": OP5, "op6_warc": OP6, "op7_decontaminate": OP7,
-    "op8_substring": OP8, "op9_quality": OP9
+    "op8_substring": OP8, "op9_quality": OP9, "op11_turn_repair": OP11, "op12_infill": OP12, "op13_secrets": OP13
 }
