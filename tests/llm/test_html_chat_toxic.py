@@ -74,7 +74,7 @@ def test_hints_are_whole_names_and_yield_to_articles(body):
 def test_headlines_in_articles_stay():
     html = "<article><header class='entry-header'><h1 class='post-header'>Head</h1></header><p>a</p><div class='share-buttons'>share</div></article><div class='site-header'>Site</div><div class='comment-list'><article class='comment'>c</article></div>"
     assert [(b.role, b.text) for b in html_text.parsed(html)] == [
-        (2, "Head"), (2, "a"), (3, "share"), (3, "Site"), (3, "c")
+        (2, "Head"), (2, "a"), (4, "share"), (3, "Site"), (4, "c")
     ]
 
 

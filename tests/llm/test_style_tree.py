@@ -87,7 +87,7 @@ def plain(pages, threshold=0.2):
                 return x in value and (value[x] * len(has[x]) + 4) / (len(has[x]) + 4) < threshold
             if role == 1 and not landmark:
                 return x in value and value[x] < threshold
-            prior = {0: 0.24, 1: 0.4, 3: 0.26 if landmark else 0.3}[role]
+            prior = {0: 0.24, 1: 0.4, 3: 0.26 if landmark else 0.3, 4: 0.1}[role]
             size = words[x] / blocks[x]
             return x not in value or prior * value[x] * size / (size + 8) < threshold
 

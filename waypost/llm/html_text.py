@@ -25,6 +25,11 @@ of themselves:
   id, and weakest what lies outside of the page's article, have a weight of
   ``PRIOR`` times words / (words + ``SHORT``), with the words a block below the
   node. So long texts that differ from page to page stay.
+* Reader comments, adverts, notices, footers and forms differ from page to page
+  too, so no entropy tells them from an article. Where a class or id names one
+  outright (``user-comments``, ``ad-slot``, ``cookie-bar``, ``newsletter-form``),
+  the weight is so low that the branch is cut whatever its texts, unless the
+  page's article stands in it.
 * In an article, a node's importance counts with ``DOUBT`` pages more that
   speak for it, so what an article repeats on all pages of a host goes. Where
   nothing of a page's article would be left, all of it stays: copied articles
@@ -62,6 +67,8 @@ from waypost.llm.shared import stored
 #: Weights of what declares itself boilerplate: by element; by class or id, with and without an article on the page;
 #: and of what is outside of the page's article.
 PRIOR = (0.24, 0.26, 0.3, 0.4)
+#: The weight of what a class or id names outright; below any sensible threshold.
+NAMED = 0.1
 #: Levels of elements that are told apart, more than real pages have.
 LEVELS = 128
 #: The share of content in a composite importance.
@@ -72,7 +79,7 @@ SHORT = 8
 DOUBT = 4
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<]*\Z|[^<]+|<""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<[/a-zA-Z][^<]*\Z|[^<]+|<""",
     re.S
 )
 _ATTRIBUTE = re.compile(
@@ -83,7 +90,11 @@ _RAW = frozenset("script style noscript template iframe svg math object canvas a
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-_BOILERPLATE = frozenset("head nav aside footer form menu button select dialog search".split())
+_BOILERPLATE = frozenset(
+    "head nav aside footer form menu button select dialog search label fieldset legend option datalist".split()
+)
+#: Raw elements that a slash may close, being of other languages than HTML.
+_CLOSABLE = frozenset({"svg", "math"})
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog hidden".split()
 )
@@ -94,6 +105,19 @@ _HINT = re.compile(
 _NEUTRAL = frozenset(
     "area bar block bottom box button buttons column container desktop global inner js left link links list mobile outer panel posts primary right secondary section site top wrap wrapper".split()
 )
+#: Words that name what isn't the article, wherever they stand in a name, and those that do as its last word.
+_OUTRIGHT = re.compile(
+    r"(?:ads?|advert\w*|adsense|adsby\w*|adslot|adunit|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscri\w*|comments?|commentlist|commenter|disqus|respond|footer|sidebar|breadcrumbs?|nav|navbar|navigation|menu|share|sharing|social|related|recommend\w*|popup|modal|paywall|signup|login|outbrain|taboola)"
+)
+_OUTRIGHT_LAST = re.compile(
+    r"(?:form|notices?|alerts?|banner|overlay|widget|pagination|pager|toolbar|repl(?:y|ies)|disclaimer|copyright|ticker)"
+)
+#: Words of names that tell a state of the page, not what an element is: has-sidebar, comments-open, ad-free.
+_STATE_FIRST = frozenset("has no not with without is hide show non".split())
+_STATE_LAST = frozenset(
+    "open opened closed on off free enabled disabled supported active inactive visible hidden loaded ready count left right allowed accepted layout page template".split()
+)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _MAIN = re.compile(r"^(?:article|articlebody|main)$")
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -104,13 +128,22 @@ def _hints(name: str) -> bool:
     return bool(parts) and all(map(_HINT.fullmatch, parts))
 
 
-def _attributes(text: str) -> tuple[str, set[str], str, bool]:
-    """(class and id without digits, their tokens, role, whether one of them is a hint) of a tag's attribute text."""
+def _outright(name: str) -> bool:
+    """Whether a class or id, as written, names a comment, advert, notice, footer, menu or form: by any strong word or its last."""
+    parts = [x for x in _PART.split(_CAMEL.sub("-", name).lower()) if x and not x.isdigit()]
+    if not parts or parts[0] in _STATE_FIRST or (len(parts) > 1 and parts[-1] in _STATE_LAST):
+        return False
+    return any(map(_OUTRIGHT.fullmatch, parts)) or (len(parts) > 1 and bool(_OUTRIGHT_LAST.fullmatch(parts[-1])))
+
+
+def _attributes(text: str) -> tuple[str, set[str], str, bool, bool]:
+    """(class and id without digits, their tokens, role, whether one hints at boilerplate or names it outright) of attributes."""
     if not text or text.isspace():
-        return "", set(), "", False
-    names, role = [], ""
+        return "", set(), "", False, False
+    names, role, named = [], "", False
     for name, *values in _ATTRIBUTE.findall(text):
-        value = (values[0] or values[1] or values[2]).lower()
+        given = values[0] or values[1] or values[2]
+        value = given.lower()
         name = name.lower()
         if name == "role":
             role = role if role == "hidden" else value
@@ -120,8 +153,9 @@ def _attributes(text: str) -> tuple[str, set[str], str, bool]:
             role = "hidden" if name == "hidden" or value == "true" else role
         else:
             names += value.split()
+            named = named or any(map(_outright, given.split()))
     tokens = set(names) | {part for x in names for part in _PART.split(x)}
-    return ".".join(re.sub(r"\d+", "", x) for x in names), tokens, role, any(map(_hints, names))
+    return ".".join(re.sub(r"\d+", "", x) for x in names), tokens, role, named or any(map(_hints, names)), named
 
 
 def _number(*parts: object) -> int:
@@ -158,7 +192,7 @@ def parsed(html: str, host: str = "") -> list[Block]:
     """The text blocks of a page; paths are numbered by host.
 
     Role 0 is boilerplate by element or role attribute, 3 by class or id only,
-    2 inside an article, 1 none of these. An article or main isn't boilerplate
+    4 named outright by class or id, 2 inside an article, 1 none of these. An article or main isn't boilerplate
     by class or id, nor is what it stands in, unless both say so. Elements more
     than ``LEVELS`` deep stand beside each other, as in browsers (at another depth).
     """
@@ -167,6 +201,7 @@ def parsed(html: str, host: str = "") -> list[Block]:
     stack = [Element("", _number(host))]
     place = stack[0]
     overruled: set[int] = set()
+    outright: set[int] = set()
 
     def flush() -> None:
         if text:
@@ -179,14 +214,14 @@ def parsed(html: str, host: str = "") -> list[Block]:
     while at < end:
         m = _TOKEN.match(html, at)
         at = m.end()
-        tag = m[2]
+        slash, tag, given = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 text.append(piece)
             continue
         tag = tag.lower()
-        if m[1]:
+        if slash:
             if tag in _BLOCK:
                 flush()
             for i in range(len(stack) - 1, 0, -1):
@@ -199,7 +234,7 @@ def parsed(html: str, host: str = "") -> list[Block]:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            if not m[3].endswith("/"):
+            if tag not in _CLOSABLE or not given.endswith("/"):
                 at = close.end() if close else end
             text.append(" ")
             continue
@@ -224,10 +259,10 @@ def parsed(html: str, host: str = "") -> list[Block]:
             stack.pop()
         last = stack[-1]
         above = last if last.node else last.above
-        if not m[3] and tag not in _BLOCK and tag not in _BOILERPLATE:
+        if not given and tag not in _BLOCK and tag not in _BOILERPLATE:
             stack.append(last._replace(tag=tag, above=above, node=False))
             continue
-        label, tokens, role, hinted = _attributes(m[3])
+        label, tokens, role, hinted, named = _attributes(given)
         declared, inside, hints = last.declared, last.inside, last.hints
         firm = tag in ("article", "main") or role == "main"
         main = firm or any(map(_MAIN.match, tokens))
@@ -239,6 +274,8 @@ def parsed(html: str, host: str = "") -> list[Block]:
             if not declared and not told:
                 overruled.update(hints)
         # an inline element that declares itself is a block of its own
+        if hinted and named:
+            outright.add(at)
         node = tag in _BLOCK or hinted or (told and not declared)
         path = _number(last.path, tag, label) if node else last.path
         entry = Element(
@@ -252,15 +289,19 @@ def parsed(html: str, host: str = "") -> list[Block]:
     flush()
 
     chains: dict[int, tuple[tuple[int, int], ...]] = {}
+    outright -= overruled
+
+    def role_of(x: Element) -> int:
+        if not outright.isdisjoint(x.hints):
+            return 4
+        return 0 if x.declared else 3 if not overruled.issuperset(x.hints) else 2 if x.inside else 1
 
     def chain(x: Element) -> tuple[tuple[int, int], ...]:
         if id(x) not in chains:
             lane, y = [], x
             while y is not None:
                 if y.tag not in ("", "html", "body"):
-                    lane.append(
-                        (y.path, 0 if y.declared else 3 if not overruled.issuperset(y.hints) else 2 if y.inside else 1)
-                    )
+                    lane.append((y.path, role_of(y)))
                 y = y.above
             chains[id(x)] = tuple(reversed(lane))
         return chains[id(x)]
@@ -403,7 +444,7 @@ def low(role: int, landmark: bool, pages: int, words: float, importance: float,
         return pages > 0 and (importance * pages + DOUBT) / (pages + DOUBT) < threshold
     if role == 1 and not landmark:
         return pages > 0 and importance < threshold
-    prior = PRIOR[0] if role == 0 else PRIOR[3] if role == 1 else PRIOR[1] if landmark else PRIOR[2]
+    prior = NAMED if role == 4 else PRIOR[0] if role == 0 else PRIOR[3] if role == 1 else PRIOR[1] if landmark else PRIOR[2]
     return pages == 0 or prior * importance * words / (words + SHORT) < threshold
 
 
