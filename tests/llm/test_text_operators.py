@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from tests.llm.fixtures import ALNUM, documents, empty, table, words
-from waypost.llm import decontaminate, quality, substring
+from waypost.llm import decontaminate, near_dup, quality, substring
 from waypost.llm import words as W
 
 
@@ -24,10 +24,58 @@ def test_words_and_windows_of_a_batch():
     assert W.rolling(h, 2)[0] == W.rolling(again, 2)[1] and W.rolling(h, 2)[1] == W.rolling(again, 2)[3]
 
 
-def test_long_words_hash_by_content(monkeypatch):
-    long = "a" * (3 * W.SEGMENT + 5)
-    h = W.words_of(pa.array([f"x {long} y", f"{long}", long[:-1] + "b"])).hashes()
-    assert h[1] == h[3] and h[1] != h[4]
+def test_long_words_hash_by_content():
+    long = "a" * (3 * W.LONG + 5)
+    for second in (False, True):
+        h = W.words_of(pa.array([f"x {long} y", f"{long}", long[:-1] + "b"])).hashes(second)
+        assert h[1] == h[3] and h[1] != h[4]
+
+
+def test_words_of_all_lengths_hash_apart():
+    some = [c * n for n in range(1, 2 * W.LONG) for c in "ab\xe9"] + [f"{i:x}" for i in range(50_000)]
+    some = sorted(set(some))
+    for second in (False, True):
+        found = W.words_of(pa.array([" ".join(some)]))
+        assert len(np.unique(found.hashes(second))) == len(some)
+        alone = [int(W.words_of(pa.array([f"z {w}"])).hashes(second)[1]) for w in some[::997]]
+        assert alone == found.hashes(second)[::997].tolist()
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 8, 10, 50, 64])
+def test_rolling_is_the_polynomial(k):
+    h = np.random.default_rng(k).integers(0, 2**64, size=40_000, dtype=np.uint64)
+    for second in (False, True):
+        got, base = W.polynomials(h, k, second), W._BASES[second]
+        for i in (0, 1, 32_767, 32_768, len(got) - 1):
+            assert int(got[i]) == sum(int(x) * pow(base, t, W.PRIME) for t, x in enumerate(h[i : i + k].tolist())) % W.PRIME
+
+
+def mirrored(n, letters="ab"):
+    """A Thue-Morse word of ``n`` letters and its complement: any polynomial of them modulo 2 ** 64 is the same."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_mirrored_words_differ_everywhere(spark, n):
+    """Operators 3, 7, 8, 9 and 10 tell apart words, and sequences of words, that modular hashes take for equal."""
+    one, two = mirrored(n)
+    assert W.words_of(pa.array([f"{one} {two}"])).hashes().tolist()[0] != W.words_of(pa.array([two])).hashes()[0]
+    common = " ".join(f"w{i}" for i in range(49))
+    docs = table(spark, [(1, f"{common} {one}"), (2, f"{common} {two}")])
+    assert [r.n_removed for r in substring.remove_repeats(docs).collect()] == [0, 0]
+    short = table(spark, [(1, one), (2, two)])
+    assert {r.doc_id: r.component_id for r in near_dup.link(short, shingle_words=2).collect()} == {1: 1, 2: 2}
+    items = spark.createDataFrame([(1, f"a b c d e f g h i {one}"), (2, one)], "item_id long, text string")
+    hit = decontaminate.contamination(table(spark, [(1, f"a b c d e f g h i {two}"), (2, two)]), items)
+    assert [r.n_hit for r in hit.collect()] == [0, 0]
+    lines = table(spark, [(1, f"{one}\n{two}\n"), (2, " ".join([*"abcdefg", one, *"abcdefg", two]))])
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality.host_rules(lines).collect()} == {1: (0, 0), 2: (0, 0)}
+    _, names = np.unique(W.words_of(pa.array([f"{one} {two} {one}"])).hashes(), return_inverse=True)
+    assert names[0] == names[2] != names[1]  # as the toxicity models number words
+    said = [" ".join(x) for x in mirrored(n)]
+    texts = spark.createDataFrame([(1, said[0]), (2, said[1])], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeats(texts, k=n).collect()] == [0, 0]
 
 
 def removed(rows, k):

@@ -65,7 +65,7 @@ class Index:
         number = {x: i for i, x in enumerate(self.names)}
         found = W.words_of(pa.array(texts, pa.string()), W.ALNUM, fold=True)
         item = np.array([number.get(x, -1) for x in names], dtype=np.int64)
-        hashes, counts = found.hashes(), found.counts
+        hashes, again, counts = found.hashes(), found.hashes(second=True), found.counts
         starts = W.window_starts(found.first, k)
         grams = W.rolling(hashes, k)[starts]
         self.fingerprints = np.unique(grams[winnowed(found.first, grams, starts, k, n)])
@@ -81,12 +81,12 @@ class Index:
                 grams = W.rolling(hashes, length)[at]
                 pairs = np.unique(np.stack([grams, owner.view(U64)]), axis=1)
                 value, head = np.unique(pairs[0], return_index=True)
-                second = W.rolling(hashes, length, True)[at][np.unique(grams, return_index=True)[1]]
+                second = W.rolling(again, length, True)[at][np.unique(grams, return_index=True)[1]]
                 self.windows[length] = (value, second, np.append(head, pairs.shape[1]), pairs[1].view(np.int64))
 
     def found_in(self, words: W.Words) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which words are hit, and pairs of arrays (text, item number)."""
-        hashes, hit, pairs = words.hashes(), np.zeros(len(words.start), bool), []
+        hashes, again, hit, pairs = words.hashes(), None, np.zeros(len(words.start), bool), []
         for length, (value, second, head, items) in self.windows.items():
             starts = self._candidates(words, hashes) if length == self.n else W.window_starts(words.first, length)
             if not len(starts):
@@ -95,7 +95,8 @@ class Index:
             at = np.minimum(np.searchsorted(value, grams), len(value) - 1)
             same = value[at] == grams
             if same.any():
-                same[same] = W.rolling(hashes, length, True)[starts[same]] == second[at[same]]
+                again = words.hashes(second=True) if again is None else again
+                same[same] = W.rolling(again, length, True)[starts[same]] == second[at[same]]
             starts, at = starts[same], at[same]
             hit |= W.covered(len(hit), starts, length)
             many = head[at + 1] - head[at]

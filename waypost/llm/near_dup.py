@@ -18,9 +18,9 @@
    buckets with one component, usually all, need none of this.
 5. Components of the links come from star contraction (``graph``).
 
-Whole sets are compared, not signatures, as sets of 64-bit hashes: with a
-thousand shingles each, two texts have one hash in common by chance with a
-probability of 5e-14. Bands of 4 out of 128 positions: a pair at similarity 0.8 shares no bucket
+Whole sets are compared, not signatures, as sets of window hashes modulo 2 ** 61 - 1
+of 64-bit word hashes: with a thousand shingles each, two texts have one hash
+in common by chance with a probability of 5e-13. Bands of 4 out of 128 positions: a pair at similarity 0.8 shares no bucket
 with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
 
 Edge cases: null or empty texts and texts without words have size 0, stand

@@ -10,8 +10,9 @@ remove. These meet the texts again in groups of documents, of which a task
 holds the hashes of one at a time while the texts stream by; there, windows to
 remove merge into maximal word intervals.
 
-``BITS`` bits of two hashes under different bases decide that windows are
-equal; words aren't compared again. At 1.5e13 windows, about 100 TB of text,
+``BITS`` bits of two polynomials modulo 2 ** 61 - 1, over independent hashes of the
+words and under different bases, decide that windows are equal; words aren't
+compared again. At 1.5e13 windows, about 100 TB of text,
 a third of a pair of different windows is expected to be taken for equal; at
 1.5e12, a three-hundredth. Windows are judged on the
 input, never on what is left.
@@ -110,12 +111,12 @@ def _returned(doc: np.ndarray, first: np.ndarray, groups: int) -> Iterator[tuple
 _SENT = pa.schema([("bucket", pa.int32()), ("back", pa.bool_()), ("data", pa.binary())])
 
 
-def _window_hashes(found: W.Words, k: int, second: bool = True):
+def _window_hashes(found: W.Words, k: int):
+    """Starts of the windows, and ``BITS`` of their two hashes as 64 bits and the rest."""
     starts = W.window_starts(found.first, k)
-    hashes = found.hashes()
-    return starts, W.rolling(hashes, k)[starts], (
-        W.rolling(hashes, k, True)[starts] >> U64(128 - BITS)
-    ).astype(np.uint32) if second else None
+    one = W.polynomials(found.hashes(), k)[starts]
+    two = W.polynomials(found.hashes(second=True), k, second=True)[starts]
+    return starts, W.mix(one | (two << U64(61))), ((two >> U64(3)) & U64((1 << BITS - 64) - 1)).astype(np.uint32)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -242,7 +243,7 @@ def _cut(k: int):
             gone, cut = 0, []
             if doc is not None and (hit := flagged.get(doc)) is not None:
                 found = W.words_of(pa.array([text], pa.binary()))
-                starts, a, _ = _window_hashes(found, k, second=False)
+                starts, a, _ = _window_hashes(found, k)
                 out = W.covered(len(words), starts[np.isin(a, hit)], k)
                 gone = int(out.sum())
                 if gone:

@@ -7,6 +7,7 @@ count as empty texts, and no word or window ever crosses a document's end.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,26 +15,17 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes hashed at once; longer words are hashed piece by piece.
-SEGMENT = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG = 256
+#: A Mersenne prime: window hashes are polynomials modulo it, so no sequence of words and its mirror cancel.
+PRIME = (1 << 61) - 1
 _rng = np.random.Generator(np.random.PCG64(20240131))
-_BYTE = _rng.integers(1, 2**64, size=256, dtype=U64)
-_BASE = U64(0x9E3779B97F4A7C15)
+#: For each of two independent hashes: the seed of a word's hash and the base of a window's.
+_SEEDS = [int(x) for x in _rng.integers(1, 2**63, size=2)]
+_BASES = [int(x) for x in _rng.integers(1 << 40, PRIME, size=2)]
 _STEP = U64(0xD1342543DE82EF95)
-_STEP2 = U64(0xAF251AF3B0F025B5)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _inverse(base: np.uint64) -> np.uint64:
-    return U64(pow(int(base), -1, 1 << 64))
-
-
-_POW, _INV = _powers(_BASE, SEGMENT + 1), _powers(_inverse(_BASE), SEGMENT + 1)
+#: The bytes that count of a block that ends a word, by their number.
+_ENDS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +70,8 @@ class Words:
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end)
+    def hashes(self, second: bool = False) -> np.ndarray:
+        return span_hashes(self.data, self.start, self.end, second)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,27 +106,27 @@ def words_of(column: pa.Array, member: np.ndarray = SPACED, fold: bool = False)
     return split(_FOLD[data] if fold else data, offsets, member)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans (ascending, disjoint), by prefix sums of a polynomial."""
-    out, i, n = np.empty(len(start), dtype=U64), 0, len(start)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
-        low, high = int(start[i]), int(end[j - 1])
-        if high - low > SEGMENT:
-            total = U64(0)
-            for at in range(low, high, SEGMENT):
-                piece = _BYTE[data[at : min(high, at + SEGMENT)]]
-                total = U64(
-                    (int(total) * int(_POW[SEGMENT]) + int((piece * _POW[: len(piece)]).sum(dtype=U64))) % 2**64
-                )
-            out[i] = total
-        else:
-            sums = np.zeros(high - low + 1, dtype=U64)
-            np.cumsum(_BYTE[data[low:high]] * _POW[: high - low], out=sums[1:])
-            a, b = start[i:j] - low, end[i:j] - low
-            out[i:j] = (sums[b] - sums[a]) * _INV[a]
-        i = j
-    return mix(out + (end - start).astype(U64) * _STEP)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of the byte spans, eight bytes a step for all spans at once; ``second`` gives independent ones.
+
+    Each step is a bijection of the eight bytes, so equally long spans of up to eight bytes never collide.
+    """
+    seed, size = _SEEDS[second], end - start
+    out = mix(size.astype(U64) * _STEP + U64(seed))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    blocks = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    long = np.flatnonzero(size > LONG)
+    key = seed.to_bytes(8, "little")
+    for i in long.tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
+    rest = np.flatnonzero(size <= LONG) if len(long) else np.arange(len(size))
+    for at in range(0, LONG, 8):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        out[rest] = mix(out[rest] ^ (blocks[start[rest] + at] & _ENDS[np.minimum(size[rest] - at, 8)]))
+    return out
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:
@@ -147,26 +139,51 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
     return np.arange(n) + np.repeat(first[:-1] - (ends - room), room)
 
 
-def rolling(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Rabin-Karp hashes of all ``k``-windows of a word-hash sequence, ends of texts ignored.
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return x - U64(PRIME) * (x >= U64(PRIME))
+
+
+def _times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo ``PRIME``, both below it, by halves of 31 bits."""
+    high, low = x >> U64(31), x & U64(0x7FFFFFFF)
+    f_high, f_low = U64(factor >> 31), U64(factor & 0x7FFFFFFF)
+    middle = high * f_low + low * f_high
+    return _reduced(
+        U64(2) * (high * f_high) + (middle >> U64(30)) + ((middle & U64(0x3FFFFFFF)) << U64(31)) + low * f_low
+    )
+
+
+def polynomials(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+    """Rabin-Karp hashes of all ``k``-windows of a word-hash sequence, below ``PRIME``; ends of texts ignored.
 
-    Window i is sum(hashes[i + t] * base ** t), mixed; taken from prefix sums
-    over stretches, so the cost doesn't depend on ``k``. ``second`` gives the
-    values under another base.
+    Window i is sum(hashes[i + t] * base ** t) modulo ``PRIME``. Windows of
+    doubled length come from two of half of it, so the cost is log2(k) products.
     """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    base = _STEP2 if second else _STEP
-    out, stretch = np.empty(n, dtype=U64), 1 << 16
-    power = _powers(base, min(stretch, n) + k)
-    inverse = _powers(_inverse(base), min(stretch, n))
+    base, out, stretch = _BASES[second], np.empty(n, dtype=U64), 1 << 15
     for at in range(0, n, stretch):
         m = min(stretch, n - at)
-        sums = np.zeros(m + k, dtype=U64)
-        np.cumsum(hashes[at : at + m + k - 1] * power[: m + k - 1], out=sums[1:])
-        out[at : at + m] = (sums[k : k + m] - sums[:m]) * inverse[:m]
-    return mix(out + U64(k * int(_BASE) % 2**64))
+        power, length = _reduced(hashes[at : at + m + k - 1]), 1  # all windows of ``length`` words
+        total, done = None, 0
+        while True:
+            if k & length:
+                part = power[done : done + m]
+                total = part if total is None else _reduced(total + _times(part, pow(base, done, PRIME)))
+                done += length
+            if 2 * length > k:
+                break
+            power = _reduced(power[:-length] + _times(power[length:], pow(base, length, PRIME)))
+            length *= 2
+        out[at : at + m] = total
+    return out
+
+
+def rolling(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+    """``polynomials``, scrambled over 64 bits. ``second`` is the independent hash, for independent ``hashes``."""
+    return mix(polynomials(hashes, k, second) + U64(k))
 
 
 def covered(n: int, starts: np.ndarray, k: int | np.ndarray) -> np.ndarray:
