@@ -13,8 +13,9 @@ from waypost.functions.geo import distance_label, haversine
 from waypost.operators import batching, curation, enrich, geo, quality, search
 from waypost.plans import oracle as O
 from waypost.plans.catalog import register
-from waypost.sources import clients, osm
+from waypost.sources import clients, osm, osm_source
 from waypost.sources.places import gazetteer, places
+from waypost.sources.scratch import scratch
 
 HOME = (52.3, 5.3)
 
@@ -467,6 +468,23 @@ def osm_search(spark: SparkSession, d: str) -> DataFrame:
     return osm.elements(payloads, "payload", "place_id").filter(osm.in_search()).select("place_id")
 
 
+_FOUND_BY_ID = _FOUND.replace('"center":', '"id":\' || place_id || \',"center":')
+
+
+@register(
+    "osm_source_search",
+    O.places(
+        "place_id, CASE place_id % 6 WHEN 0 THEN 'caravan_site' WHEN 1 THEN 'parking' ELSE 'camp_site' END AS clause, 52.5::DOUBLE AS lat, 5.5::DOUBLE AS lon",
+        "WHERE (place_id % 6 IN (0, 2) OR (place_id % 6 = 1 AND place_id % 5 <> 0)) AND place_id % 4 <> 0 AND place_id % 11 <> 0"
+    )
+)
+def osm_source_search(spark: SparkSession, d: str) -> DataFrame:
+    """Payload files of many elements, read in ranges by the data source, box and clauses decided in the parse."""
+    path = scratch(spark, "payloads")
+    places(spark, d).selectExpr("place_id", f"{_FOUND_BY_ID} AS payload").select("payload").write.text(path)
+    return osm_source.search(spark, path, split_bytes=1 << 20).select(col("id").alias("place_id"), "clause", "lat", "lon")
+
+
 @register(
     "scrape_page_text",
     r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) AS text FROM pages"

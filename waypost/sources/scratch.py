@@ -44,6 +44,17 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a path of Spark's; usable on executors."""
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def filed(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under a new path."""
     return written(df, scratch(df.sparkSession, name))
