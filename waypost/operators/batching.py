@@ -7,31 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waypost.functions.predicates import unprocessed
+from waypost.sources.scratch import filed
 
 
-def numbered(df: DataFrame, key: str = "place_id", size: int = 5, buckets: int = 1024) -> DataFrame:
-    """The position of each row in the order of the numeric ``key``, and its batch of ``size``.
-
-    Rows fall into ``buckets`` ranges of ``key`` of equal width and are counted
-    there; a range's first position is a prefix sum over those counts, at most
-    ``buckets`` rows, so no task sees all rows. Rows without key come last, in
-    a range of their own.
-    """
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, high = (ends.low or 0), (ends.high or 0)
-    bucket = F.when(F.col(key).isNull(), buckets + 2).otherwise(
-        F.width_bucket(F.col(key).cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(buckets))
-    )
-    ranged = df.withColumn("range_", bucket.cast("int"))
-    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("range_").agg(F.count("*").alias("n_")).select(
-        "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_")
-    )
-    own = F.row_number().over(Window.partitionBy("range_").orderBy(key)) - 1
-    placed = ranged.join(F.broadcast(bases), "range_")
-    return placed.withColumn(
-        "position", (F.col("base_") + own).cast("long")
-    ).withColumn("batch", F.floor(F.col("position") / size)).drop("range_", "base_")
+def numbered(df: DataFrame, key: str = "place_id", size: int = 5) -> DataFrame:
+    """The position of each row in the order of ``key``, and its batch of ``size``; rows without key come last."""
+    placed = ranked(df, F.asc_nulls_last(key)).withColumn("position", F.col("rank") - 1).drop("rank")
+    return placed.withColumn("batch", F.floor(F.col("position") / size))
 
 
 def first_unprocessed(df: DataFrame, limit: int) -> DataFrame:
@@ -43,19 +25,20 @@ def first_unprocessed(df: DataFrame, limit: int) -> DataFrame:
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """All rows with their rank from 1 in ``order``.
 
-    The sort deals rows out by ranges, each of which numbers its own; a range's
-    first rank is a prefix sum over their counts, so no task sees all rows.
-    The sorted rows are held, as a second sort could draw other ranges.
+    The sort deals rows out by ranges of equal numbers of rows, drawn from a
+    sample, each of which numbers its own; a range's first rank is a prefix sum
+    over their counts, so no task sees all rows, whatever the values are. The
+    sorted rows are written, as a second sort could draw other ranges; rows that
+    are equal in ``order`` are numbered as they were written.
     """
     placed = df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn(
-        "row_", F.monotonically_increasing_id()
+        "row_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     )
-    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = filed(placed, "ranked")
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("part_").agg(F.count("*").alias("n_")).select(
         "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_")
     )
-    own = F.col("row_").bitwiseAND((1 << 33) - 1)
     return placed.join(F.broadcast(bases), "part_").withColumn(
-        "rank", F.col("base_") + own + 1
+        "rank", F.col("base_") + F.col("row_") + 1
     ).drop("part_", "row_", "base_")

@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from waypost.plans import place_queries, run_queries, table_queries  # noqa: F401  they register on import
+    from waypost.plans import match_queries, place_queries, run_queries, table_queries  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
