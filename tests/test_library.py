@@ -238,7 +238,42 @@ def test_clients_wait_and_fail_over():
         clients.failover([late, never], sleep=waits.append)("q")
 
 
-def test_empty_result_message_is_escaped():
-    from waypost.functions.display import no_results
+def test_waits_between_endpoints():
+    from waypost.sources import clients
+
+    def failing(kind):
+        def call(_):
+            raise kind
 
-    assert "<b>" not in no_results("<b>")
+        return call
+
+    waits = []
+    with pytest.raises(RuntimeError, match="5 tries"):
+        clients.failover([failing(clients.Busy), failing(TimeoutError), failing(ValueError)], sleep=waits.append)("q")
+    bounds = [(5, 9), (6, 8), (5, 7), (40, 44), (48, 50)]
+    assert all(low <= w <= high for w, (low, high) in zip(waits, bounds, strict=True))
+    with pytest.raises(RuntimeError):
+        clients.failover([failing(ValueError)], attempts=2, sleep=waits.append)("q")
+    assert len(waits) == 6  # nothing to wait for after the last try
+
+
+def test_fetches_run_together_and_time_out(spark):
+    import time
+
+    from waypost.operators import enrich
+
+    def slow(value):
+        if value == "stuck":
+            time.sleep(3)
+        if value == "bad":
+            raise ValueError("broken")
+        time.sleep(0.2)
+        return f"got {value}"
+
+    values = [f"v{i}" for i in range(18)] + ["stuck", "bad", None]
+    df = spark.createDataFrame([(v,) for v in values], "url string").coalesce(1)
+    began = time.time()
+    got = {r.url: (r.site_text, r.error) for r in enrich.fetched(df, slow, workers=7, timeout_s=1.0).collect()}
+    assert time.time() - began < 12  # 20 calls of 0.2 s one by one, and one that hangs
+    assert got["stuck"] == ("", "no answer within 1 s") and got["bad"] == ("", "broken") and got[None] == ("got None", None)
+    assert all(got[v] == (f"got {v}", None) for v in values[:18])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,22 +12,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waypost.functions.clean import UNKNOWN
-from waypost.functions.normalize import postprocess
+from waypost.functions.normalize import PROVINCES, postprocess
 from waypost.functions.predicates import MANY_UNKNOWN, SHORT_TEXT, unchanged
 from waypost.operators.batching import first_unprocessed, numbered
 from waypost.operators.search import first_json
+from waypost.sources.places import ENRICHED
 from waypost.sources.scratch import filed
 
-# Text limits of the prompt and what stands for a missing source.
+# Text limits of the prompt, what stands for a missing source, and what answers may say.
 SITE_CHARS, REVIEW_CHARS = 2500, 1500
 NO_SITE, NO_REVIEW = "(niet beschikbaar)", "(niet gevonden)"
+_THREE = ("Ja", "Nee", "Onbekend")
 DOMAINS = {
-    c: ["Ja", "Nee", "Onbekend"]
-    for c in (
-        "honden_toegestaan", "stroom", "afvalwater", "chemisch_toilet", "water_tanken", "sanitair", "wifi",
-        "waterfront", "roken", "feesten"
-    )
+    "provincie": tuple(sorted(set(PROVINCES.values()))),
+    "honden_toegestaan": _THREE,
+    "stroom": _THREE,
+    "afvalwater": _THREE,
+    "chemisch_toilet": _THREE,
+    "water_tanken": _THREE,
+    "ondergrond": ("Gras", "Asfalt", "Grind", "Verhard", "Gemengd", "Onbekend"),
+    "toegankelijkheid": _THREE,
+    "rust": ("Rustig", "Gemiddeld", "Druk", "Onbekend"),
+    "sanitair": _THREE,
+    "wifi": _THREE,
+    "waterfront": _THREE,
+    "roken": _THREE,
+    "feesten": _THREE,
+    "loc_type": ("Camping", "Camperplaats", "Parking", "Jachthaven", "Boerderij"),
+    "tarieftype": ("Per nacht", "Gratis", "Onbekend"),
+    "ai_gecheckt": ("Ja",),
+}
+#: Patterns of answers of a shape instead of a list; each also admits "Onbekend".
+_AMOUNT = r"€ ?[0-9]+([.,][0-9]{1,2})?"
+SHAPES = {
+    "prijs": rf"{_AMOUNT}|Gratis",
+    "stroom_prijs": rf"{_AMOUNT}/nacht|Inbegrepen|Nee \(geen stroom\)",
+    "aantal_plekken": r"[0-9]+",
+    "beoordeling": r"[0-9]([.,][0-9]+)?|10([.,]0+)?",
+    "telefoonnummer": r"\+31 (6 [0-9]{4} [0-9]{4}|[0-9]{2} [0-9]{3} [0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{3})",
+    "max_lengte": r"[0-9]+([.,][0-9]+)? ?m|Geen beperking",
+    "max_gewicht": r"[0-9]+([.,][0-9]+)? ?t|Geen beperking",
+    "voertuig_types": r"[A-Z][A-Za-z]+(, [A-Z][A-Za-z]+)*",
 }
+#: Bounds in words of a free text.
+SPANS = {"samenvatting_reviews": (20, 40)}
+#: Free texts, which only have to say something.
+FREE = ("naam", "check_in_out", "beschrijving", "faciliteiten_extra", "huisregels", "drukte_indicator", "remote_work_score")
 
 
 def title(html: Column) -> Column:
@@ -94,16 +125,28 @@ def paired(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def prompts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per batch (batch, place_id, columns, website text) one prompt, its rows in place order."""
-    row = F.to_json(F.struct(*columns))
-    source = F.concat_ws(
-        "\n", F.concat(F.lit("Website: "), clipped(F.col("site_text"), SITE_CHARS, NO_SITE)),
-        F.concat(F.lit("Data: "), row)
+    """Per batch one prompt: a block of sources for each of its rows in place order, then the rows' data.
+
+    Rows have batch, place_id, the columns, and may have naam and provincie for
+    the block's head, site_text, the texts of two review sites (camper_text,
+    park_text) and total_len; a missing text is told as such, a missing length
+    is that of the three texts.
+    """
+    text = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    site, camper, park = text("site_text"), text("camper_text"), text("park_text")
+    total = F.col("total_len") if "total_len" in df.columns else text_length(site, camper, park)
+    head = F.concat(F.coalesce(text("naam"), F.lit("?")), F.lit(" ("), F.coalesce(text("provincie"), F.lit("?")), F.lit(")"))
+    sources = F.concat(
+        F.lit("Website ("), total.cast("string"), F.lit(" tekens): "), clipped(site, SITE_CHARS, NO_SITE), F.lit("\nReviews 1: "),
+        clipped(camper, REVIEW_CHARS, NO_REVIEW), F.lit("\nReviews 2: "), clipped(park, REVIEW_CHARS, NO_REVIEW), F.lit("\n")
     )
     gathered = df.groupBy("batch").agg(
-        F.sort_array(F.collect_list(F.struct("place_id", source.alias("s")))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("place_id", head.alias("head"), sources.alias("sources"), F.to_json(F.struct(*columns)).alias("data")))).alias("rows")
     )
-    return gathered.select("batch", F.array_join(F.transform("rows", lambda x: x["s"]), "\n\n").alias("prompt"))
+    block = lambda x, i: F.concat(F.lit("--- Plek "), (i + 1).cast("string"), F.lit(": "), x["head"], F.lit(" ---\n"), x["sources"])
+    told = F.array_join(F.transform("rows", block), "\n")
+    data = F.array_join(F.transform("rows", lambda x: F.concat(F.lit("Data: "), x["data"])), "\n")
+    return gathered.select("batch", F.concat(told, F.lit("\n"), data).alias("prompt"))
 
 
 def deduced(df: DataFrame) -> DataFrame:
@@ -114,7 +157,7 @@ def deduced(df: DataFrame) -> DataFrame:
         "camping|vakantiepark"
     )
     facts = {
-        "stroom": F.when(parking, "Nee"),
+        "stroom": F.when(told.rlike("stroomaansluiting|stroompunt|stroompaal|stroom aanwezig|[0-9]+ ?amp"), "Ja").when(parking, "Nee"),
         "sanitair": F.when(parking, "Nee").when(harbour | camping | reviews.contains("muntjes douche"), "Ja"),
         "water_tanken": F.when(harbour | camping, "Ja"),
         "afvalwater": F.when(harbour, "Ja"),
@@ -136,25 +179,60 @@ def crowding_by_capacity(c: Column) -> Column:
 
 
 def domain_errors(df: DataFrame) -> Column:
-    """The columns whose value the contract doesn't allow."""
-    bad = [F.when(~F.col(c).isin(allowed), c) for c, allowed in DOMAINS.items() if c in df.columns]
+    """The columns whose value the contract of answers doesn't allow, in its order; null is never allowed."""
+
+    def allowed(name: str) -> Column:
+        c = F.col(name)
+        if name in DOMAINS:
+            return c.isin(*DOMAINS[name])
+        if name in SHAPES:
+            return c.rlike(f"^(?:{SHAPES[name]}|Onbekend)\\z")
+        if name in SPANS:
+            low, high = SPANS[name]
+            return (c == UNKNOWN) | F.size(F.regexp_extract_all(c, F.lit(r"\S+"), 0)).between(low, high)
+        return F.trim(c) != ""
+
+    bad = [F.when(~F.coalesce(allowed(c), F.lit(False)), c) for c in ENRICHED if c in df.columns]
     return F.array_join(F.array_compact(F.array(*bad)), ",")
 
 
-def fetched(df: DataFrame, fetch: Callable[[str], str], column: str = "url") -> DataFrame:
-    """An injected client over batches of rows; one row's failure is that row's error column."""
+def _called(pool: ThreadPoolExecutor, fetch: Callable[[str], str], values: list, timeout_s: float) -> list[tuple[str, str | None]]:
+    """(text, error) of as many calls at once as the pool has threads; what isn't back in time is an error."""
+    calls = [pool.submit(fetch, value) for value in values]
+    wait(calls, timeout=timeout_s)
+    out = []
+    for call in calls:
+        if not call.done():
+            call.cancel()
+            out.append(("", f"no answer within {timeout_s:g} s"))
+        elif (failure := call.exception()) is not None:  # a client's failure belongs to its row
+            out.append(("", str(failure)))
+        else:
+            out.append((call.result(), None))
+    return out
+
+
+def fetched(
+    df: DataFrame, fetch: Callable[[str], str], column: str = "url", workers: int = 10, timeout_s: float = 18.0
+) -> DataFrame:
+    """An injected client over batches of rows, ``workers`` calls at once in each task.
+
+    Adds site_text and error. A row whose call fails or takes longer than
+    ``timeout_s`` has an empty text and says so; the other rows go on. A call
+    that hangs keeps its thread, and the next calls get new ones.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, errors = [], []
-            for value in frame[column]:
-                try:
-                    texts.append(fetch(value))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  a client's failure belongs to its row
-                    texts.append("")
-                    errors.append(str(e))
-            yield frame.assign(site_text=texts, error=errors)
+            pool, got, values = ThreadPoolExecutor(workers), [], frame[column].tolist()
+            for at in range(0, len(values), workers):
+                now = _called(pool, fetch, values[at : at + workers], timeout_s)
+                got += now
+                if any(e and e.startswith("no answer within") for _, e in now):
+                    pool.shutdown(wait=False, cancel_futures=True)
+                    pool = ThreadPoolExecutor(workers)
+            pool.shutdown(wait=False)
+            yield frame.assign(site_text=[t for t, _ in got], error=pd.Series([e for _, e in got], index=frame.index, dtype=object))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{schema}, site_text string, error string")
@@ -162,7 +240,7 @@ def fetched(df: DataFrame, fetch: Callable[[str], str], column: str = "url") ->
 
 def _answers(asked: DataFrame, answer: Callable[[str], str], shape: str, *keep: str) -> DataFrame:
     """What an injected model answers to each prompt, parsed; null where it isn't JSON of that shape."""
-    said = fetched(asked, answer, "prompt")
+    said = fetched(asked, answer, "prompt", workers=1, timeout_s=600.0)  # a model is asked one by one, and retries itself
     return said.select(*keep, F.from_json(first_json(F.col("site_text")), shape).alias("r"))
 
 
@@ -223,8 +301,12 @@ def batch_run(
 
 def applied(base: DataFrame, run: DataFrame) -> DataFrame:
     """``base`` with the values of a run; rows with a result, and skipped ones, count as processed."""
-    values = run.filter("succeeded or skipped").drop("skipped", "fallback", "succeeded")
-    return upsert(base, values)
+    return upsert(base, values(run))
+
+
+def values(run: DataFrame) -> DataFrame:
+    """What a run's rows change: place_id and the columns, nulls where a row was skipped."""
+    return run.filter("succeeded or skipped").drop("skipped", "fallback", "succeeded")
 
 
 def enriched(base: DataFrame, scraped: DataFrame, answer: Callable[[str], str], columns: list[str]) -> DataFrame:

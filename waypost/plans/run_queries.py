@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from waypost.operators import batching, enrich, quality
 from waypost.plans import oracle as O
 from waypost.plans.catalog import register
+from waypost.sources import answers, buckets, clients
 from waypost.sources.places import places
 from waypost.sources.scratch import scratch
+from waypost.streaming import run as run_stream
 from waypost.streaming.enrichment import enrich_stream
 
 COLUMNS = ["naam", "provincie", "prijs", "stroom", "wifi", "sanitair"]
@@ -66,8 +68,7 @@ run AS (
 _NEW = ", ".join(f"coalesce(r.{c}, p.{c}) AS {c}" for c in (*COLUMNS, "photos"))
 
 
-@register(
-    "batch_enrichment",
+_ENRICHED = (
     O.places(
         "p.place_id, "
         + _NEW
@@ -76,6 +77,9 @@ _NEW = ", ".join(f"coalesce(r.{c}, p.{c}) AS {c}" for c in (*COLUMNS, "photos"))
         _RUN
     )
 )
+
+
+@register("batch_enrichment", _ENRICHED)
 def batch_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """The whole run, applied to the places."""
     base, scraped = _inputs(spark, d)
@@ -102,6 +106,71 @@ def unprocessed_first(spark: SparkSession, d: str) -> DataFrame:
     return batching.first_unprocessed(places(spark, d), 40).select("place_id", "naam")
 
 
+def _endpoint(name: str, silent: tuple[str, ...], failure: type[Exception]):
+    """An endpoint that fails for the names of some kinds of places."""
+
+    def call(query: str) -> str:
+        if query.strip().startswith(silent):
+            raise failure(name)
+        return f"{name}: {query}"
+
+    return call
+
+
+@register(
+    "failover_fetch",
+    O.places(
+        "place_id, CASE WHEN naam LIKE 'Hotel%' THEN '' WHEN naam LIKE 'Jachthaven%' THEN 'c: ' || naam WHEN naam LIKE 'Parking%' THEN 'b: ' || naam ELSE 'a: ' || naam END AS site_text, CASE WHEN naam LIKE 'Hotel%' THEN 'no endpoint answered in 5 tries' END AS error"
+    )
+)
+def failover_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Each row asks three endpoints in turn, ten rows at a time; a row that none answers has an error."""
+    calls = [
+        _endpoint("a", ("Parking", "Jachthaven", "Hotel"), clients.Busy), _endpoint("b", ("Jachthaven", "Hotel"), TimeoutError),
+        _endpoint("c", ("Hotel",), ValueError)
+    ]
+    asked = enrich.fetched(places(spark, d).select("place_id", "naam"), clients.failover(calls, sleep=lambda _: None), "naam")
+    return asked.select("place_id", "site_text", "error")
+
+
+@register("stream_run", _ENRICHED)
+def stream_run(spark: SparkSession, d: str) -> DataFrame:
+    """The run of ``batch_enrichment`` as a stream of four files; stopped after the second, and resumed."""
+    base, scraped = _inputs(spark, d)
+    source, store, progress, checkpoint = (scratch(spark, f"run-{name}") for name in ("in", "table", "progress", "state"))
+    buckets.create(base, store, buckets=16)
+    todo = batching.numbered(base.filter("ai_gecheckt <> 'Ja'").select("place_id"))
+    lots = todo.join(scraped, "place_id", "left")
+    batches = todo.agg(F.max("batch")).first()[0] or 0
+    lots = lots.withColumn("lot", F.floor(F.col("batch") * 4 / F.lit(batches + 1))).drop("position", "batch")
+    schema = "place_id long, site_text string, changed boolean, total_len long, photos array<string>"
+    for lot in range(4):
+        lots.filter(F.col("lot") == lot).drop("lot").coalesce(1).write.mode("append").parquet(source)
+    steps = []
+
+    def stop() -> bool:
+        steps.append(1)
+        return len(steps) > 2
+
+    job = run_stream.Run(spark, store, progress, answer, answer_again, COLUMNS, stop=stop)
+    assert not run_stream.run(job, source, schema, checkpoint)
+    job.stop = lambda: False
+    assert run_stream.run(job, source, schema, checkpoint)
+    return buckets.read(spark, store)
+
+
+@register("upsert_buckets", O.places("place_id, CASE WHEN place_id % 100 = 7 THEN 'nieuw' ELSE prijs END AS prijs, CASE WHEN place_id % 100 = 7 THEN 'stil' ELSE 'Onbekend' END AS rust, CASE WHEN place_id % 100 = 7 THEN 'Ja' ELSE ai_gecheckt END AS ai_gecheckt"))
+def upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """One row of a hundred changes; only the buckets of these are rewritten, and the upsert is run twice."""
+    path = scratch(spark, "table")
+    base = places(spark, d).select("place_id", "prijs", "ai_gecheckt")
+    buckets.create(base, path, buckets=64)
+    updates = base.filter("place_id % 100 = 7").select("place_id", F.lit("nieuw").alias("prijs"), F.lit("stil").alias("rust"))
+    for _ in range(2):
+        buckets.upsert_stored(spark, path, updates)
+    return buckets.read(spark, path)
+
+
 _STREAMED = (
     "CASE WHEN lower(trim(stroom)) = 'onbekend' AND regexp_matches(lower(naam), 'parking|parkeer') THEN 'Nee' ELSE stroom END"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import time
 from collections.abc import Callable, Sequence
@@ -20,6 +21,14 @@ class Busy(Exception):
     """Raised by a client for a status in ``BUSY``."""
 
 
+# Fixed values by kind of failure: seconds to wait, whether they double, seconds of jitter, whether to wait after the last try too.
+WAITS = (
+    (Busy, 5, True, 4, True),
+    (TimeoutError, 3, True, 2, True),
+    (Exception, 5, False, 2, False),
+)
+
+
 def patient(
     call: Callable[[str], str], attempts: int = 4, base_s: float = 5.0, jitter_s: float = 3.0,
     sleep: Callable[[float], None] = time.sleep
@@ -42,24 +51,19 @@ def patient(
 def failover(
     calls: Sequence[Callable[[str], str]], attempts: int = 5, sleep: Callable[[float], None] = time.sleep
 ) -> Callable[[str], str]:
-    """The endpoints in turn until one answers; waits grow after busy answers and time-outs."""
+    """The endpoints in turn until one answers, with the waits of ``WAITS`` between them."""
 
     def run(query: str) -> str:
-        last: Exception | None = None
-        for attempt in range(attempts):
+        turns = list(itertools.islice(itertools.cycle(calls), attempts))
+        for attempt, call in enumerate(turns):
             try:
-                return calls[attempt % len(calls)](query)
-            except Busy as e:
-                last = e
-                sleep(2**attempt * 5 + random.uniform(0, 4))
-            except TimeoutError as e:
-                last = e
-                sleep(2**attempt * 3 + random.uniform(0, 2))
-            except Exception as e:  # noqa: BLE001  any other failure of an endpoint means the next one
-                last = e
-                if attempt < attempts - 1:
-                    sleep(5 + random.uniform(0, 2))
-        raise RuntimeError(f"no endpoint answered in {attempts} tries") from last
+                return call(query)
+            except Exception as e:  # noqa: BLE001  any failure of an endpoint means the next one
+                failure = e
+            seconds, doubles, jitter, at_last = next(w for kind, *w in WAITS if isinstance(failure, kind))
+            if at_last or attempt < attempts - 1:
+                sleep(seconds * (2**attempt if doubles else 1) + random.uniform(0, jitter))
+        raise RuntimeError(f"no endpoint answered in {attempts} tries") from failure
 
     return run
 

@@ -44,6 +44,29 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path, for the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = hadoop(spark, path)
+    return files.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = hadoop(spark, path)
+    files.delete(where, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder; raises where that fails."""
+    files, where = hadoop(spark, path)
+    if not files.rename(where, hadoop(spark, to)[1]):
+        raise OSError(f"can't rename {path} to {to}")
+
+
 def file_system(path: str):
     """(pyarrow file system, path in it) of a path of Spark's; usable on executors."""
     from pyarrow import fs
