@@ -13,9 +13,8 @@ def test_matches_oracle(name, spark, duck):
     same(QUERIES[name](spark, SF), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_gives_rows(name, spark):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("choice", ["by_default", "by_name", "free_first", "by_rating", "by_distance"])

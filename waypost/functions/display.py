@@ -148,8 +148,6 @@ def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def no_results(query: str) -> str:
+def no_results(query: Column) -> Column:
     """What an empty result says; the query is escaped."""
-    from html import escape
-
-    return f"Geen resultaten voor “{escape(query, quote=True)}”"
+    return F.concat(F.lit("Geen resultaten voor “"), escape_html(query), F.lit("”"))

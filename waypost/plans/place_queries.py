@@ -664,21 +664,31 @@ def prompt_clip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_PROMPT = """'Website: (niet beschikbaar)' || chr(10) || 'Data: {"naam":' || to_json(naam) || ',"provincie":' || to_json(provincie) || ',"prijs":' || to_json(prijs) || '}'"""
+#: Texts of the three sources, missing, short or longer than the prompt takes, in SQL that both engines read alike.
+_SOURCES = {
+    "site_text": "CASE place_id % 3 WHEN 0 THEN '' WHEN 1 THEN repeat('plek ', 20) ELSE repeat('lange tekst ', 300) END",
+    "camper_text": "CASE place_id % 4 WHEN 0 THEN NULL WHEN 1 THEN repeat('goed ', 400) ELSE 'rustig, ' || provincie END",
+    "park_text": "CASE place_id % 5 WHEN 0 THEN repeat('stil ', 301) WHEN 1 THEN '' ELSE naam END",
+}
+_CLIP = lambda c, n, none: f"coalesce(nullif(substr({c}, 1, {n}), ''), '{none}')"
+_BLOCK = f"""'--- Plek ' || (position % 5 + 1) || ': ' || naam || ' (' || provincie || ') ---' || chr(10)
+  || 'Website (' || (coalesce(length(site_text), 0) + coalesce(length(camper_text), 0) + coalesce(length(park_text), 0)) || ' tekens): ' || {_CLIP('site_text', 2500, '(niet beschikbaar)')} || chr(10)
+  || 'Reviews 1: ' || {_CLIP('camper_text', 1500, '(niet gevonden)')} || chr(10) || 'Reviews 2: ' || {_CLIP('park_text', 1500, '(niet gevonden)')} || chr(10)"""
+_DATA = """'Data: {"naam":' || to_json(naam) || ',"provincie":' || to_json(provincie) || ',"prijs":' || to_json(prijs) || '}'"""
 
 
 @register(
     "prompt_payload",
     O.places(
-        f"position // 5 AS batch, string_agg({_PROMPT}, chr(10) || chr(10) ORDER BY place_id) AS prompt",
-        "JOIN numbered USING (place_id) GROUP BY 1", _POS
+        f"position // 5 AS batch, string_agg({_BLOCK}, chr(10) ORDER BY place_id) || chr(10) || string_agg({_DATA}, chr(10) ORDER BY place_id) AS prompt",
+        "JOIN numbered USING (place_id) JOIN sourced USING (place_id) GROUP BY 1",
+        _POS + f", sourced AS (SELECT place_id, {', '.join(f'{sql} AS {c}' for c, sql in _SOURCES.items())} FROM places)"
     )
 )
 def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
-    rows = batching.numbered(
-        places(spark, d).select("place_id", "naam", "provincie", "prijs")
-    ).withColumn("site_text", F.lit(""))
-    return enrich.prompts(rows, ["naam", "provincie", "prijs"])
+    """The head of each place, three clipped sources with their length, and the data."""
+    rows = places(spark, d).selectExpr("place_id", "naam", "provincie", "prijs", *[f"{sql} AS {c}" for c, sql in _SOURCES.items()])
+    return enrich.prompts(batching.numbered(rows), ["naam", "provincie", "prijs"])
 
 
 _DRUK = O.clean("drukte_indicator", "")
@@ -817,6 +827,32 @@ def deduction_texts(spark: SparkSession, d: str) -> DataFrame:
     return enrich.deduced(told).select("place_id", "check_in_out", "honden_toegestaan", "sanitair")
 
 
+_POWER = "CASE place_id % 6 WHEN 0 THEN 'Er zijn 12 stroompunten' WHEN 1 THEN '10 ampère' WHEN 2 THEN 'Stroomaansluiting per plek' ELSE 'geen bijzonderheden' END"
+
+
+@register(
+    "deduction_power",
+    O.places(
+        "place_id, CASE WHEN lower(trim(stroom)) <> 'onbekend' THEN stroom WHEN place_id % 6 < 3 THEN 'Ja' WHEN regexp_matches(lower(naam), 'parking|parkeer') THEN 'Nee' ELSE stroom END AS stroom"
+    )
+)
+def deduction_power(spark: SparkSession, d: str) -> DataFrame:
+    """Connections that a description tells of, even at a car park."""
+    told = places(spark, d).withColumn("beschrijving", F.expr(_POWER))
+    return enrich.deduced(told).select("place_id", "stroom")
+
+
+@register(
+    "no_results",
+    O.places(
+        f"place_id, 'Geen resultaten voor “' || {O.escape('naam')} || '”' AS said"
+    )
+)
+def no_results(spark: SparkSession, d: str) -> DataFrame:
+    """What a search without results says, its query escaped."""
+    return places(spark, d).select("place_id", D.no_results(col("naam")).alias("said"))
+
+
 projected(
     "crowding_by_capacity",
     {
@@ -830,15 +866,42 @@ projected(
 )
 
 
+#: Of each field of the contract: values it allows, and values it doesn't.
+_VALUES = {
+    "naam": (["De Hoeve"], ["", "  "]), "provincie": (["Drenthe", "Zuid-Holland"], ["drenthe", "Onbekend"]),
+    "prijs": (["€12", "€ 7,50", "Gratis", "Onbekend"], ["12 euro", "gratis"]), "honden_toegestaan": (["Ja", "Nee", "Onbekend"], ["ja", "misschien"]),
+    "stroom": (["Ja"], ["Ja "]), "stroom_prijs": (["€2/nacht", "Inbegrepen", "Nee (geen stroom)", "Onbekend"], ["€2", "Nee"]),
+    "afvalwater": (["Nee"], ["?"]), "chemisch_toilet": (["Onbekend"], ["nee"]), "water_tanken": (["Ja"], ["JA"]),
+    "aantal_plekken": (["12", "Onbekend"], ["twaalf", "12+"]), "check_in_out": (["Vrij", "14:00 - 12:00"], [""]), "beschrijving": (["Mooi. Stil."], [" "]),
+    "ondergrond": (["Gras", "Gemengd", "Onbekend"], ["Zand"]), "toegankelijkheid": (["Ja", "Onbekend"], ["Rolstoel"]), "rust": (["Rustig", "Druk"], ["Stil"]),
+    "sanitair": (["Nee"], ["douche"]), "wifi": (["Ja"], ["gratis"]), "waterfront": (["Nee"], ["zee"]), "beoordeling": (["4.3", "9", "10", "Onbekend"], ["4.3/5", "11", "goed"]),
+    "samenvatting_reviews": (["Onbekend", " ".join(["gasten"] * 20), " ".join(["stil"] * 40)], ["kort", " ".join(["stil"] * 41)]),
+    "telefoonnummer": (["+31 6 1234 5678", "+31 20 123 4567", "+31 151 234 567", "Onbekend"], ["0612345678", "+31 6 12345678"]),
+    "roken": (["Ja"], ["buiten"]), "feesten": (["Nee"], [""]), "faciliteiten_extra": (["wasserette, winkel"], [""]), "huisregels": (["stil na 22 uur"], [""]),
+    "loc_type": (["Camping", "Boerderij"], ["Hotel", "Onbekend"]), "drukte_indicator": (["Vaak plek beschikbaar"], ["  "]), "max_lengte": (["8m", "7,5 m", "Geen beperking"], ["8 meter", "lang"]),
+    "max_gewicht": (["3.5t", "Geen beperking", "Onbekend"], ["3.5 ton", "zwaar"]), "remote_work_score": (["Goed"], [""]), "voertuig_types": (["Campervan, Caravan", "Onbekend"], ["campers", "Campervan,Caravan"]),
+    "tarieftype": (["Per nacht", "Gratis"], ["Per uur"]), "ai_gecheckt": (["Ja"], ["Nee", "Onbekend"])
+}
+
+
+def _chosen(i: int, good: list[str], bad: list[str]) -> str:
+    """SQL: one of a field's values, or null, by place."""
+    whens = " ".join(f"WHEN {n} THEN {O.q(v)}" for n, v in enumerate([*good, *bad]))
+    return f"CASE (place_id + {7 * i}) % {len(good) + len(bad) + 1} {whens} END"
+
+
 @register(
     "domain_check",
     O.places(
-        "place_id, CASE WHEN honden_toegestaan IN ('Ja', 'Nee', 'Onbekend') THEN '' ELSE 'honden_toegestaan' END AS errors"
+        "place_id, concat_ws(',', "
+        + ", ".join(f"CASE WHEN (place_id + {7 * i}) % {len(g) + len(b) + 1} >= {len(g)} THEN '{c}' END" for i, (c, (g, b)) in enumerate(_VALUES.items()))
+        + ") AS errors"
     )
 )
 def domain_check(spark: SparkSession, d: str) -> DataFrame:
-    df = places(spark, d)
-    return df.select("place_id", enrich.domain_errors(df).alias("errors"))
+    """Every field of the contract, with values it allows, values it doesn't, and null."""
+    said = places(spark, d).selectExpr("place_id", *[f"{_chosen(i, g, b)} AS {c}" for i, (c, (g, b)) in enumerate(_VALUES.items())])
+    return said.select("place_id", enrich.domain_errors(said).alias("errors"))
 
 
 @register(
