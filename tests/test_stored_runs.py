@@ -188,3 +188,36 @@ def test_cadences(spark, tmp_path):
         R.Run.saved = real
     assert written == [(False, False), (True, False), (False, False), (True, True)]
     assert threading.active_count() < 200
+
+
+def test_favourites_in_any_order(spark, tmp_path):
+    """Add, remove and re-add, late events and ties, in lots of every order, with a restart after each lot."""
+    import itertools
+    import random
+    from datetime import datetime, timedelta
+
+    from waypost.streaming import favourites as FV
+
+    start = datetime(2024, 1, 1)
+    events = [(i, start + timedelta(minutes=m), u, n, a) for i, (m, u, n, a) in enumerate([
+        (0, 1, "x", True), (1, 1, "y", True), (2, 1, "x", False), (3, 1, "x", True), (4, 1, "x", True), (4, 2, "x", True), (4, 2, "x", False),
+        (5, 2, "y", False), (6, 2, "z", True), (0, 3, "q", False), (9, 3, "q", True), (8, 3, "q", False), (7, 1, "z", True)
+    ])]
+    want = {}
+    for key in {(e[2], e[3]) for e in events}:
+        own = sorted((e[1], e[0], e[4]) for e in events if (e[2], e[3]) == key)
+        tail = list(itertools.takewhile(lambda e: e[2], reversed(own)))
+        if tail:
+            want.setdefault(key[0], []).append((tail[-1][:2], key[1]))
+    want = {u: [n for _, n in sorted(v)] for u, v in want.items()}
+    for seed in range(2):
+        lots = events[:]
+        random.Random(seed).shuffle(lots)
+        places = [str(tmp_path / f"{seed}{x}") for x in ("in", "out", "state")]
+        for i in range(0, len(lots), 5):
+            spark.createDataFrame(lots[i : i + 5], FV.EVENTS).coalesce(1).write.mode("append").parquet(places[0])
+            FV.follow(spark, *places).awaitTermination()
+        got = {}
+        for r in FV.favourites(spark, places[1]).orderBy("rank").collect():
+            got.setdefault(r.user_id, []).append(r.naam)
+        assert got == want

@@ -58,30 +58,29 @@ def centroid(df: DataFrame) -> DataFrame:
     )
 
 
-def _cell(lat: Column, lon: Column, size: float, *shift: Column) -> list[Column]:
-    """The cell of a point of the unit sphere in a grid of cubes; a grid in space has no date line and no poles."""
+_AXES, _CELL = ["u_0", "u_1", "u_2"], ["cell_0", "cell_1", "cell_2"]
+_CITY = ["city_id", "cc", "admin1"]
+#: Squared chords closer than this are told apart by kilometres.
+_CLOSE = 1e-8
+
+
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """With the point of the unit sphere; a grid in space has no date line and no poles."""
     a, o = F.radians(lat), F.radians(lon)
-    axes = (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))
-    moved = shift or (F.lit(0), F.lit(0), F.lit(0))
-    return [
-        (F.floor(x / size) + d).cast("long").alias(f"cell_{i}") for i,
-        (x, d) in enumerate(zip(axes, moved, strict=True))
-    ]
+    return df.withColumns(dict(zip(_AXES, (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)), strict=True)))
 
 
-_CELL = ["cell_0", "cell_1", "cell_2"]
-_CITY = ["city_id", "cc", "admin1"]
+def _cells(size: float) -> list[Column]:
+    return [F.floor(F.col(u) / size).cast("long") for u in _AXES]
 
 
 def _around(cities: DataFrame, size: float) -> DataFrame:
     """Each city in its cell and the 26 around it."""
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    spread = cities.select("lat", "lon", *_CITY)
-    for i in range(3):
-        spread = spread.withColumn(f"d_{i}", F.explode(steps))
-    return spread.select(
-        "lat", "lon", *_CITY, *_cell(F.col("lat"), F.col("lon"), size, *[F.col(f"d_{i}") for i in range(3)])
-    )
+    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    spread = cities.select("lat", "lon", *_AXES, *_CITY, *[x.alias(c) for c, x in zip(_CELL, _cells(size), strict=True)])
+    for c in _CELL:
+        spread = spread.withColumn("step_", F.explode(steps)).withColumn(c, F.col(c) + F.col("step_")).drop("step_")
+    return spread
 
 
 def _reach(size: float) -> float:
@@ -89,56 +88,69 @@ def _reach(size: float) -> float:
     return 2 * RADIUS_KM * math.asin(min(1.0, size / 2)) * (1 - 1e-9) - 1e-5
 
 
-def nearest_city(df: DataFrame, cities: DataFrame, small: int = 10_000) -> DataFrame:
+def _grids(cities: DataFrame) -> tuple[int, list[float]]:
+    """The number of cities, and cell sizes: the widest with about as many cells in use as half the cities, then fourfold up to the globe."""
+    steps = [2.0**-i for i in range(1, 14)]
+    used = [F.approx_count_distinct(F.struct(*_cells(size)), 0.02).alias(f"n{i}") for i, size in enumerate(steps)]
+    row = cities.agg(F.count("*").alias("n"), *used).first()
+    sizes = [next((size for i, size in enumerate(steps) if row[f"n{i}"] >= row.n / 2), steps[-1])]
+    while sizes[-1] < 2:
+        sizes.append(sizes[-1] * 4)
+    return row.n, sizes
+
+
+def nearest_city(df: DataFrame, cities: DataFrame, small: int = 4000) -> DataFrame:
     """Each row (place_id, lat_d, lon_d) with the nearest city's city_id, cc, admin1; ties go to the lowest city_id.
 
     An exact search without a cross join. Cities are spread over the cells of a
-    grid; a place looks in its own cell, and its best find is sure if it is
-    nearer than the cell's surroundings reach. What isn't sure looks again in
-    cells four times as wide, until they span the globe. The first cells hold
-    about one city each. Up to ``small`` cities, the grids are broadcast as a
-    list of cities a cell, and places aren't shuffled.
+    grid, as fine as the cities stand; a place looks in its own cell, and its
+    best find is sure if it is nearer than the cell's surroundings reach. What
+    isn't sure looks again in cells four times as wide, until they span the
+    globe. Up to ``small`` cities, the grids are broadcast as a list of cities a
+    cell, and places aren't shuffled.
     """
     here = df.filter(
         "lat_d is not null and lon_d is not null and not isnan(lat_d) and not isnan(lon_d)"
     ).select("place_id", "lat_d", "lon_d")
-    n = cities.count()
-    sizes = [max(0.001, math.sqrt(4 * math.pi / max(n, 1)))]
-    while sizes[-1] < 2:
-        sizes.append(sizes[-1] * 4)
+    cities = _on_sphere(cities.select("lat", "lon", *_CITY), "lat", "lon")
+    n, sizes = _grids(cities)
     found = _nearest_of_few if n <= small else _nearest_of_many
-    return found(here, cities, sizes).select("place_id", *[F.col("b")[c].alias(c) for c in _CITY])
+    return found(_on_sphere(here, "lat_d", "lon_d"), cities, sizes).select("place_id", *[F.col("b")[c].alias(c) for c in _CITY])
 
 
-def _candidate(lat: Column, lon: Column, city: Column) -> Column:
-    return F.struct(
-        F.round(haversine(lat, lon, city["lat"], city["lon"]), 6).alias("km"), *[city[c].alias(c) for c in _CITY]
-    )
+def _candidate(city: Column) -> Column:
+    km = haversine(F.col("lat_d"), F.col("lon_d"), city["lat"], city["lon"])
+    return F.struct(F.round(km, 6).alias("km"), *[city[c].alias(c) for c in _CITY])
+
+
+def _nearest_in(cities: str) -> tuple[Column, Column]:
+    """The best of a list, and its least squared chord, to be there as ``least_``: by squared chords, and by kilometres among those that are equally near."""
+    apart = lambda c: sum(((F.col(u) - c[u]) * (F.col(u) - c[u]) for u in _AXES), F.lit(0.0))
+    least = F.array_min(F.transform(cities, apart))
+    return F.array_min(F.transform(F.filter(cities, lambda c: apart(c) <= F.col("least_") + _CLOSE), _candidate)), least
 
 
 def _nearest_of_few(here: DataFrame, cities: DataFrame, sizes: list[float]) -> DataFrame:
-    """By broadcast lists: places keep their partitions, and wider grids are only looked at where a narrow one isn't sure."""
-    best, rows = None, here
+    """By broadcast lists: places keep their partitions, and look in a wider grid only where the one before isn't sure."""
+    rows = here.withColumn("b", F.lit(None).cast("struct<km: double, city_id: long, cc: string, admin1: string>"))
     for i, size in enumerate(sizes):
-        lists = _around(cities, size).groupBy(*_CELL).agg(
-            F.collect_list(F.struct("lat", "lon", *_CITY)).alias(f"near_{i}")
-        )
-        rows = rows.select(
-            "*", *_cell(F.col("lat_d"), F.col("lon_d"), size)
-        ).join(F.broadcast(lists), _CELL, "left").drop(*_CELL)
-    for i, size in reversed(list(enumerate(sizes))):
-        own = F.array_min(F.transform(f"near_{i}", lambda c: _candidate(F.col("lat_d"), F.col("lon_d"), c)))
-        best = own if best is None else F.when(own["km"] <= _reach(size), own).otherwise(best)
-    return rows.select("place_id", best.alias("b")).filter("b is not null")
+        lists = _around(cities, size).groupBy(*_CELL).agg(F.collect_list(F.struct("lat", "lon", *_AXES, *_CITY)).alias("near_"))
+        unsure = F.col("b").isNull() if i == 0 else F.col("b").isNull() | (F.col("b.km") > _reach(sizes[i - 1]))
+        own = [F.when(unsure, x).alias(c) for c, x in zip(_CELL, _cells(size), strict=True)]
+        rows = rows.select("*", *own).join(F.broadcast(lists), _CELL, "left")
+        best, least = _nearest_in("near_")
+        rows = rows.withColumn("least_", least).withColumn("b", F.coalesce(best, "b")).drop("near_", "least_", *_CELL)
+    return rows.select("place_id", "b").filter("b is not null")
 
 
 def _nearest_of_many(here: DataFrame, cities: DataFrame, sizes: list[float]) -> DataFrame:
     """By joins on the cell, a round a grid; each round is written, so none is worked out again."""
     found, rest = [], here
     for size in sizes:
-        near = rest.select("*", *_cell(F.col("lat_d"), F.col("lon_d"), size)).join(_around(cities, size), _CELL)
+        near = rest.select("place_id", "lat_d", "lon_d", *[x.alias(c) for c, x in zip(_CELL, _cells(size), strict=True)])
+        near = near.join(_around(cities, size), _CELL)
         best = near.groupBy("place_id", "lat_d", "lon_d").agg(
-            F.min(_candidate(F.col("lat_d"), F.col("lon_d"), F.struct("lat", "lon", *_CITY))).alias("b")
+            F.min(_candidate(F.struct("lat", "lon", *_CITY))).alias("b")
         )
         sure = best if size >= 2 else best.filter(F.col("b.km") <= _reach(size))
         sure = filed(sure.select("place_id", "b"), "nearest")

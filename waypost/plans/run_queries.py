@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from waypost.operators import batching, enrich, quality
 from waypost.plans import oracle as O
 from waypost.plans.catalog import register
-from waypost.sources import answers, buckets, clients
+from waypost.sources import buckets, clients
 from waypost.sources.places import places
 from waypost.sources.scratch import scratch
+from waypost.streaming import favourites
 from waypost.streaming import run as run_stream
 from waypost.streaming.enrichment import enrich_stream
 
@@ -86,13 +87,13 @@ def batch_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return enrich.applied(base, enrich.batch_run(base, scraped, answer, answer_again, COLUMNS))
 
 
-@register(
-    "batch_outcomes",
-    O.places(
-        "count(*) AS processed, count(r.place_id) AS succeeded, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE fallback) AS fallback, round(count(r.place_id) / greatest(count(*), 1) * 100, 1) AS pct",
-        "JOIN todo USING (place_id) LEFT JOIN run r USING (place_id)", _RUN
-    )
+_OUTCOMES = O.places(
+    "count(*) AS processed, count(r.place_id) AS succeeded, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE fallback) AS fallback, round(count(r.place_id) / greatest(count(*), 1) * 100, 1) AS pct",
+    "JOIN todo USING (place_id) LEFT JOIN run r USING (place_id)", _RUN
 )
+
+
+@register("batch_outcomes", _OUTCOMES)
 def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """The counters of that run."""
     base, scraped = _inputs(spark, d)
@@ -100,6 +101,15 @@ def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return quality.run_counters(run.withColumn("naam", F.when(F.col("succeeded"), F.col("naam"))))
 
 
+@register("observed_outcomes", _OUTCOMES)
+def observed_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The same counters, observed while the run's results are written."""
+    base, scraped = _inputs(spark, d)
+    run = enrich.batch_run(base, scraped, answer, answer_again, COLUMNS)
+    run = run.withColumn("naam", F.when(F.col("succeeded"), F.col("naam")))
+    return quality.run_observed(run, lambda df: df.write.parquet(scratch(spark, "outcomes")))
+
+
 @register("unprocessed_first", O.places("place_id, naam", "WHERE ai_gecheckt <> 'Ja' ORDER BY place_id LIMIT 40"))
 def unprocessed_first(spark: SparkSession, d: str) -> DataFrame:
     """O3: the limit of a run is the feature."""
@@ -171,6 +181,26 @@ def upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
     return buckets.read(spark, path)
 
 
+_EVENTS = "event_id, ts, user_id % 40 AS user_id, event_type AS naam, event_id % 7 <> 0 AS adds"
+
+
+@register(
+    "favourites_stream",
+    f"""WITH marked AS (SELECT {_EVENTS} FROM events),
+removed AS (SELECT user_id, naam, max((ts, event_id)) FILTER (WHERE NOT adds) AS gone FROM marked GROUP BY 1, 2),
+kept AS (SELECT m.user_id, m.naam, min((ts, event_id)) AS since FROM marked m JOIN removed r USING (user_id, naam) WHERE adds AND (gone IS NULL OR (ts, event_id) > gone) GROUP BY 1, 2)
+SELECT user_id, naam, row_number() OVER (PARTITION BY user_id ORDER BY since) AS rank FROM kept"""
+)
+def favourites_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Additions and removals that arrive out of order in three lots, with a restart after each."""
+    source, target, checkpoint = (scratch(spark, f"favourites-{name}") for name in ("in", "out", "state"))
+    events = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_EVENTS.split(", "))
+    for lot in (2, 0, 1):
+        events.filter(F.col("event_id") % 3 == lot).write.mode("append").parquet(source)
+        favourites.follow(spark, source, target, checkpoint, files=100).awaitTermination()
+    return favourites.favourites(spark, target)
+
+
 _STREAMED = (
     "CASE WHEN lower(trim(stroom)) = 'onbekend' AND regexp_matches(lower(naam), 'parking|parkeer') THEN 'Nee' ELSE stroom END"
 )
