@@ -38,8 +38,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as Parquet at a path in the shared folder, read back: lineage ends here."""
+    """``df`` as Parquet at a path in the shared folder, read back: lineage ends here.
+
+    The table goes when the application ends, if nobody deletes it before.
+    """
     schema = df.schema
+    files, where = hadoop(df.sparkSession, path)
+    files.deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
