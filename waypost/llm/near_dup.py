@@ -46,6 +46,8 @@ from waypost.llm.graph import components
 from waypost.llm.shared import lasting, passing, stored
 
 BANDS, ROWS = 32, 4
+#: Members of a bucket that one task compares with its centre, about.
+DEAL = 128
 #: Elements whose bids are held at once, of ``size`` bytes each.
 BIDDERS = 1 << 18
 U64 = np.uint64
@@ -143,13 +145,23 @@ def _sets(k: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b and more) whose sets have at least ``percent`` % of their union in common."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, dealt: DataFrame | None = None) -> DataFrame:
+    """The rows of ``pairs`` (a, b and more) whose sets have at least ``percent`` % of their union in common.
+
+    ``dealt`` (a, tasks) has for every a how many tasks its pairs are dealt to;
+    each of them gets a copy of a's set.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    key = ["a"]
+    if dealt is not None:
+        left = left.join(dealt, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+        pairs = pairs.withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks")
+        key = ["a", "task"]
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(right, "b").join(left, "a")
-    both = both.select(*pairs.columns, common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
+    both = pairs.join(right, "b").join(left, key)
+    kept = [c for c in pairs.columns if c != "task"]
+    both = both.select(*kept, common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
     return both.filter(F.col("c") * 100 >= F.col("u") * percent).drop("c", "u")
 
 
@@ -306,9 +318,15 @@ def link(
         centres = spread.groupBy("key").agg(
             F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")
         ).filter("size > 1")
+        centres = stored(centres, "centres")
+        # a document is the centre of at most as many buckets as it has bands
+        dealt = stored(
+            centres.groupBy(F.col("c.rep").alias("a")).agg(F.ceil(F.max("size") / DEAL).cast("int").alias("tasks")), "dealt"
+        )
+        centres = centres.withColumn("a", F.col("c.rep")).join(dealt, "a")
         members = stored(
-            spread.join(stored(centres, "centres"), "key").select(
-                "key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")
+            spread.join(centres, "key").select(
+                "key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), "tasks"
             ),
             "members"
         )
@@ -319,9 +337,9 @@ def link(
         )
 
         pairs = members.filter("rep <> centre").filter(_near(percent)).select(
-            F.col("centre").alias("a"), F.col("rep").alias("b")
+            F.col("centre").alias("a"), F.col("rep").alias("b"), "tasks"
         ).distinct()
-        label = components(_confirmed(pairs, sets, percent)).select(F.col("node").alias("rep"), "component")
+        label = components(_confirmed(pairs, sets, percent, dealt)).select(F.col("node").alias("rep"), "component")
         placed = stored(
             members.select("key", "rep", "n").join(label, "rep", "left").withColumn(
                 "component", F.coalesce("component", "rep")

@@ -6,21 +6,22 @@ import contextlib
 import os
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.sources.scratch import scratch, written
+from waypost.sources.scratch import delete, file_system, scratch, written
 
-#: Tables of the ``passing`` blocks that are open, the innermost last.
-_open: list[dict[str, SparkSession]] = []
+#: Tables of the ``passing`` blocks that are open in this thread, the innermost last.
+_open: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("open", default=())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends here."""
     path = scratch(df.sparkSession, name)
-    if _open:
-        _open[-1][path] = df.sparkSession
+    if _open.get():
+        _open.get()[-1][path] = df.sparkSession
     return written(df, path)
 
 
@@ -30,23 +31,23 @@ def passing() -> Iterator[None]:
 
     What outlives the block must read lasting tables only.
     """
-    _open.append({})
+    own: dict[str, SparkSession] = {}
+    token = _open.set((*_open.get(), own))
     try:
         yield
     finally:
-        for path, spark in _open.pop().items():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _open.reset(token)
+        for path, spark in own.items():
+            delete(spark, path)
 
 
 def lasting(df: DataFrame, name: str) -> DataFrame:
     """``stored``, but kept when the ``passing`` block around ends; that block's own caller may let it pass."""
-    inner = _open.pop() if _open else None
+    token = _open.set(_open.get()[:-1])
     try:
         return stored(df, name)
     finally:
-        if inner is not None:
-            _open.append(inner)
+        _open.reset(token)
 
 
 def boxed(docs: DataFrame, *names: str) -> DataFrame:
@@ -81,17 +82,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def file_system(path: str):
-    """(pyarrow file system, path in it) of a shared path; usable on executors."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def put_file(path: str, pieces) -> int:
     """Write ``pieces`` (bytes-likes) to ``path`` whole or not at all; returns the length.
 
