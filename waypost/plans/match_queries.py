@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waypost.operators import fuzzy, geo, linkage
 from waypost.plans import oracle as O
 from waypost.plans.catalog import register
-from waypost.sources import spatial
+from waypost.sources import spatial, trigrams
 from waypost.sources.places import places
 from waypost.sources.scratch import scratch
 
@@ -122,3 +122,27 @@ def nearest_stored(spark: SparkSession, d: str) -> DataFrame:
     """O1: the nearest 25 of the stored places, by growing rings; the number is the feature."""
     near = spatial.nearest_stored(spark, _stored(spark, d), *_HOME, 25)
     return near.select("place_id", "naam", F.round("afstand_km", 3).alias("km"))
+
+
+def _indexed(name: str, query: str) -> None:
+    t = query.strip().lower()
+    stage = f"CASE WHEN {O.says('naam', t)} THEN 1 WHEN {O.says('provincie', t)} THEN 2 END"
+
+    @register(
+        name,
+        O.places(
+            "place_id, best IS NULL AS use_ai", "JOIN staged USING (place_id) CROSS JOIN best WHERE best IS NULL OR stage = best",
+            f", staged AS (SELECT place_id, {stage} AS stage FROM places), best AS (SELECT min(stage) AS best FROM staged)"
+        )
+    )
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Q1 by posting lists."""
+        path, rows = scratch(spark, "trigrams"), places(spark, d).select("place_id", "naam", "provincie")
+        trigrams.save(rows, path, files=32)
+        return trigrams.cascade(rows, path, query)
+
+
+_indexed("indexed_search_name", " Jachthaven b")
+_indexed("indexed_search_province", "Zeeland")
+_indexed("indexed_search_short", "Hi")
+_indexed("indexed_search_none", "zxqj")
