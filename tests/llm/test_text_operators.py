@@ -141,15 +141,29 @@ def benchmark_of(rows):
     return [*items, (77, "One"), (78, None), (79, ""), (3, "two words"), (None, texts[3]), (80, "Two, words!")]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 600])
-def test_benchmark_windows(spark, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 24, 0])
+def test_benchmark_windows(spark, broadcast_bytes):
     rows = documents()
     items = benchmark_of(rows)
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
-    got = decontaminate.contamination(table(spark, rows), bench, block_bytes=block_bytes).collect()
+    got = decontaminate.contamination(table(spark, rows), bench, broadcast_bytes=broadcast_bytes).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == contaminated(rows, items)
 
 
+def test_benchmark_joined_as_broadcast(spark):
+    """Copies of texts and of items, and the intervals of hits, come out of the joins as out of a broadcast."""
+    rows = [(i + 1000 * copy, t) for copy in range(3) for i, t in documents()] + [(None, "one and One"), (5, None)]
+    items = benchmark_of(documents()) * 2 + [(900 + i, "One") for i in range(40)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), table(spark, rows)
+    both = [
+        Counter((r.doc_id, r.n_words, r.n_hit, str(r.hits), tuple(r["items"])) for r in decontaminate.contamination(docs, bench, broadcast_bytes=size).collect())
+        for size in (1 << 24, 0)
+    ]
+    assert both[0] == both[1] and len(both[0]) > 100
+    assert decontaminate.clean(docs, bench, broadcast_bytes=0).count() == decontaminate.clean(docs, bench).count() < docs.count()
+    assert decontaminate.contamination(empty(spark), bench, broadcast_bytes=0).count() == 0
+
+
 def test_benchmark_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = table(spark, documents())
