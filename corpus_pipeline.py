@@ -16,27 +16,30 @@ from waypost.llm.shared import stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go; rows of one doc_id go together, null texts count as empty."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Rows that repeat a doc_id that stays, rows without doc_id and texts without words all stay.
+    """
     return near_dup.near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten words in a row of a benchmark item go."""
+    """Documents that hold ten words in a row of a benchmark item go; rows without doc_id are judged one by one, null texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the mix of their sources takes it."""
+    """Whole documents, each as often as the mix of their sources takes it; null sources are one source, null texts have no words and aren't drawn."""
     return mixing.mixed(docs, whole=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; per row, read back from them: doc_id, start, n_tokens, ids_crc32."""
+    """Token files; per row, read back from them: doc_id, start, n_tokens, ids_crc32. Rows without doc_id come first, those of one doc_id follow each other."""
     read = token_files.tokens_of(spark, docs, tokenizer_path())
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
