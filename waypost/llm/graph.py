@@ -15,14 +15,14 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     around = _both(edges)
-    least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = stored(around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     return around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     tied = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -32,10 +32,11 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` are undirected pairs of longs; repeats and self links do no harm,
     and an empty table gives an empty one. Roots of components aren't listed.
-    Every round is written to the shared folder, so lineage stays short; the
-    only things that reach the driver are a row count and a checksum.
+    Every round is written to the shared folder, so lineage stays short, and so
+    is what edges are joined to, so that Spark may split the join where a node
+    has many edges; the only things that reach the driver are a row count and a
+    checksum.
     """
-    # not made distinct here, so that Spark may split the links' join where a key is hot
     edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), "edges")
     before = None
     while True:
