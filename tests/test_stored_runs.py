@@ -150,7 +150,11 @@ def test_stream_is_stopped_resumed_and_exact(spark, tmp_path):
     assert go() and rows(buckets.read(spark, job.store)) == want
     assert spark.read.parquet(job.sync).count() == 120
     progress = [json.loads(line) for p in Path(job.progress).glob("*.json") for line in p.read_text().splitlines()]
-    assert sorted(p["batch"] for p in progress) == [0, 1, 2, 3] and sum(p["rows"] for p in progress) == 80
+    assert sorted(p["batch"] for p in progress) == [0, 1, 2, 3] and sum(p["processed"] for p in progress) == 80
+    seen = job.totals(80).first()
+    whole = spark.createDataFrame(want, spark.read.parquet(job.sync).select(*sorted(spark.read.parquet(job.sync).columns)).schema)
+    assert (seen.processed, seen.skipped, seen.done) == (80, 0, 100.0) and seen.eta == "~0m 0s"
+    assert seen.succeeded == whole.filter("ai_gecheckt = 'Ja' and place_id % 3 <> 0").count() and seen.fallback > 0
     assert go() and rows(buckets.read(spark, job.store)) == want  # nothing is new
 
 

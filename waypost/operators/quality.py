@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
 
 from waypost.functions.predicates import NO_OPTION, free, unprocessed
 
@@ -60,53 +59,31 @@ def run_times(processed: Column, total: Column, seconds: Column) -> tuple[Column
     return share, spell(seconds), F.when(processed == 0, "–").otherwise(F.concat(F.lit("~"), spell(left)))
 
 
-def _counters() -> list[Column]:
-    """Counts of a run's rows."""
-    ok = F.count_if(F.coalesce(F.col("naam") != "", F.lit(False)))
-    return [
-        F.count("*").alias("processed"), ok.alias("succeeded"), F.count_if("skipped").alias("skipped"),
-        F.count_if("fallback").alias("fallback")
-    ]
+#: Counters of a run, in their order.
+COUNTERS = ("processed", "succeeded", "skipped", "fallback")
 
 
-def _share(counted: DataFrame) -> DataFrame:
+def counters(succeeded: Column) -> list[Column]:
+    """The counters of a run's rows (skipped, fallback), to aggregate or to observe."""
+    counts = (F.count("*"), F.count_if(F.coalesce(succeeded, F.lit(False))), F.count_if("skipped"), F.count_if("fallback"))
+    return [n.alias(c) for c, n in zip(COUNTERS, counts, strict=True)]
+
+
+def with_share(counted: DataFrame) -> DataFrame:
     return counted.withColumn("pct", F.round(F.col("succeeded") / F.greatest("processed", F.lit(1)) * 100, 1))
 
 
 def run_counters(results: DataFrame) -> DataFrame:
     """Processed, succeeded, skipped, fallback, and the share that succeeded."""
-    return _share(results.agg(*_counters()))
+    return with_share(results.agg(*counters(F.col("naam") != "")))
 
 
 def run_observed(results: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
     """A7 in flight: the same counters, taken while ``write`` writes the results; nothing is read a second time."""
-    seen = Observation("run")
-    write(results.observe(seen, *_counters()))
-    names = ("processed", "succeeded", "skipped", "fallback")
-    row = tuple(seen.get[c] for c in names)
-    return _share(results.sparkSession.createDataFrame([row], ", ".join(f"{c} long" for c in names)))
-
-
-class Progress(StreamingQueryListener):
-    """A7 of a stream: the counters that its micro-batches observed under ``name``, summed, and the times they tell."""
-
-    def __init__(self, name: str = "run"):
-        self.name, self.counts, self.seconds = name, {}, 0.0
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        seen = event.progress.observedMetrics.get(self.name)
-        self.seconds += event.progress.batchDuration / 1000
-        for c, n in (seen.asDict() if seen else {}).items():
-            self.counts[c] = self.counts.get(c, 0) + n
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
+    seen = Observation()
+    write(results.observe(seen, *counters(F.col("naam") != "")))
+    row = tuple(seen.get[c] for c in COUNTERS)
+    return with_share(results.sparkSession.createDataFrame([row], ", ".join(f"{c} long" for c in COUNTERS)))
 
 
 def minutes(n: Column) -> Column:

@@ -15,21 +15,22 @@ micro-batch; a stopped run leaves that micro-batch to the next run.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from waypost.operators import enrich
+from waypost.operators import enrich, quality
 from waypost.sources import buckets
 from waypost.sources.scratch import exists, filed
 from waypost.sources.sinks import save
 
 # Rows after which a snapshot and a sync are due.
 SNAPSHOT_ROWS, SYNC_ROWS = 25, 50
-_PROGRESS = "batch long, rows long, since_snapshot long, since_sync long"
+_PROGRESS = "batch long, " + ", ".join(f"{c} long" for c in quality.COUNTERS) + ", seconds double, since_snapshot long, since_sync long"
 
 
 class Stopped(Exception):
@@ -63,15 +64,24 @@ class Run:
         last, since_snapshot, since_sync = self.last()
         if number <= last:
             return
+        began, seen = time.monotonic(), Observation()
         scraped = filed(scraped, "scraped")
         base = buckets.rows_of(self.spark, self.store, scraped.select("place_id"))
-        done = filed(enrich.batch_run(base, scraped, self.answer, self.answer_again, self.columns), "step")
+        run = enrich.batch_run(base, scraped, self.answer, self.answer_again, self.columns)
+        done = filed(run.observe(seen, *quality.counters(F.col("succeeded"))), "step")  # counted as it is written
         buckets.upsert_stored(self.spark, self.store, enrich.values(done))
-        rows = done.count()
-        since_snapshot, since_sync = self.saved(since_snapshot + rows, since_sync + rows, SNAPSHOT_ROWS, SYNC_ROWS)
-        made = self.spark.createDataFrame([(number, rows, since_snapshot, since_sync)], _PROGRESS)
+        counts = [seen.get[c] for c in quality.COUNTERS]
+        since_snapshot, since_sync = self.saved(since_snapshot + counts[0], since_sync + counts[0], SNAPSHOT_ROWS, SYNC_ROWS)
+        made = self.spark.createDataFrame([(number, *counts, time.monotonic() - began, since_snapshot, since_sync)], _PROGRESS)
         made.coalesce(1).write.mode("append").json(self.progress)
 
+    def totals(self, todo: int) -> DataFrame:
+        """The counters of all micro-batches so far, the share of ``todo`` rows that is done, the time taken and the time left."""
+        filed_ = self.spark.read.schema(_PROGRESS).json(self.progress)
+        sums = quality.with_share(filed_.agg(*[F.sum(c).alias(c) for c in quality.COUNTERS], F.sum("seconds").alias("seconds")))
+        share, taken, left = quality.run_times(F.col("processed"), F.lit(todo), F.col("seconds"))
+        return sums.select(*quality.COUNTERS, "pct", share.alias("done"), taken.alias("elapsed"), left.alias("eta"))
+
     def saved(self, since_snapshot: int, since_sync: int, snapshot_rows: int, sync_rows: int) -> tuple[int, int]:
         """Writes what is due; the rows since then."""
         table = buckets.read(self.spark, self.store)
