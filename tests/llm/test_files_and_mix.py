@@ -196,3 +196,19 @@ def test_texts_with_added_tokens_are_encoded_whole():
     own = token_files.Encoder(tokenizer_path())
     texts = ["x\n\n<|endoftext|>y", "a  <|endoftext|> b", "plain words"]
     assert own.encode(texts) == own._raw(texts)
+
+
+def test_files_below_a_named_root_keep_their_tables(spark, tmp_path):
+    """Manifest and index stay with the files; a payload of megabytes comes back whole."""
+    root = f"file://{tmp_path}"
+    docs = table(spark, [(1, "one two"), (2, None)])
+    manifest = token_files.write_tokens(docs, tokenizer_path(), root=f"{root}/tokens")
+    again = spark.read.parquet(f"{root}/tokens/manifest")
+    assert sorted(map(str, again.collect())) == sorted(map(str, manifest.collect())) and token_files.read_tokens(again).count() == 2
+    long = "<p>" + "long payload " * 500_000
+    pages = spark.createDataFrame([(1, "http://a/", long), (2, "http://b/", long), (3, "http://c/", "x")], "page_id long, url string, html string")
+    index = warc.write_archive(pages, root=f"{root}/warc")
+    assert spark.read.parquet(f"{root}/warc/index").count() == 3
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.summaries(index).collect()}
+    assert got == {1: (len(long), "response", None), 2: (len(long), "revisit", 1), 3: (1, "response", None)}
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.reconstructed(index).collect()} == {1: long, 2: long, 3: "x"}

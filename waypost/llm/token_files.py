@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waypost.llm import words as W
-from waypost.llm.shared import file_system, parts, put_file, scratch, stored
+from waypost.llm.shared import beside, file_system, parts, put_file, scratch
 
 #: Letters of the Latin blocks up to U+024F, all of which are letters but two.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -180,18 +180,16 @@ _MANIFEST = pa.schema(
 def write_tokens(
     docs: DataFrame, tokenizer_path: str, end_id: int = 2, root: str | None = None, shards: int | None = None
 ) -> DataFrame:
-    """Write the files of ``docs`` (doc_id, text) below ``root``; returns the stored manifest."""
+    """Write the files of ``docs`` (doc_id, text) below ``root``; returns the manifest, stored there too."""
     spark = docs.sparkSession
-    root = root or scratch(spark, "tokens")
+    given, root = root, root or scratch(spark, "tokens")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", F.xxhash64("text"))
     dealt = texts.repartitionByRange(shards or parts(spark), *order).sortWithinPartitions(*order, "text")
-    return stored(
-        dealt.mapInArrow(
-            _write(root, tokenizer_path, end_id), "shard int, path string, docs long, tokens long, width int"
-        ),
-        "manifest"
+    written = dealt.mapInArrow(
+        _write(root, tokenizer_path, end_id), "shard int, path string, docs long, tokens long, width int"
     )
+    return beside(written, given, "manifest")
 
 
 class Shard:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm import words as W
-from waypost.llm.shared import file_system, parts, put_file, scratch, stored
+from waypost.llm.shared import beside, file_system, parts, put_file, scratch, stored
 
 _DATE = "2000-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
@@ -119,8 +119,8 @@ def _write(root: str):
 
 
 def write_archive(pages: DataFrame, root: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) below ``root``; returns the stored index of exact headers."""
-    root = root or scratch(pages.sparkSession, "warc")
+    """Write ``pages`` (page_id, url, html) below ``root``; returns the index of exact headers, stored there too."""
+    given, root = root, root or scratch(pages.sparkSession, "warc")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
@@ -145,13 +145,11 @@ def write_archive(pages: DataFrame, root: str | None = None, min_bytes: int = 0)
     told = told.join(
         verdicts.select(key.alias("key"), "first_id"), "key", "left"
     ).sortWithinPartitions("page_id", "digest", "url")
-    return stored(
-        told.select("page_id", "url", "html", "first_id").mapInArrow(
-            _write(root),
-            "path string, offset long, length long, record_id string, record_type string, page_id long, payload_digest string, header binary"
-        ),
-        "index"
+    written = told.select("page_id", "url", "html", "first_id").mapInArrow(
+        _write(root),
+        "path string, offset long, length long, record_id string, record_type string, page_id long, payload_digest string, header binary"
     )
+    return beside(written, given, "index")
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
