@@ -89,13 +89,13 @@ def _reach(size: float) -> float:
 
 
 def _grids(cities: DataFrame) -> tuple[int, list[float]]:
-    """The number of cities, and cell sizes: the widest with about as many cells in use as half the cities, then fourfold up to the globe."""
-    steps = [2.0**-i for i in range(1, 14)]
-    used = [F.approx_count_distinct(F.struct(*_cells(size)), 0.02).alias(f"n{i}") for i, size in enumerate(steps)]
-    row = cities.agg(F.count("*").alias("n"), *used).first()
-    sizes = [next((size for i, size in enumerate(steps) if row[f"n{i}"] >= row.n / 2), steps[-1])]
+    """The number of cities, and cell sizes: their mean spacing over the area they span, then eightfold up to the globe."""
+    ends = [f(u).alias(f"{f.__name__}_{u}") for u in _AXES for f in (F.min, F.max)]
+    row = cities.agg(F.count("*").alias("n"), *ends).first()
+    spans = sorted(row[f"max_{u}"] - row[f"min_{u}"] for u in _AXES) if row.n else [0.0, 0.0, 0.0]
+    sizes = [min(0.7, max(1e-4, math.sqrt(spans[1] * spans[2] / max(row.n, 1))))]
     while sizes[-1] < 2:
-        sizes.append(sizes[-1] * 4)
+        sizes.append(sizes[-1] * 8)
     return row.n, sizes
 
 
@@ -105,9 +105,10 @@ def nearest_city(df: DataFrame, cities: DataFrame, small: int = 4000) -> DataFra
     An exact search without a cross join. Cities are spread over the cells of a
     grid, as fine as the cities stand; a place looks in its own cell, and its
     best find is sure if it is nearer than the cell's surroundings reach. What
-    isn't sure looks again in cells four times as wide, until they span the
+    isn't sure looks again in cells eight times as wide, until they span the
     globe. Up to ``small`` cities, the grids are broadcast as a list of cities a
-    cell, and places aren't shuffled.
+    cell, and places aren't shuffled, unless they are in fewer partitions than
+    there are cores.
     """
     here = df.filter(
         "lat_d is not null and lon_d is not null and not isnan(lat_d) and not isnan(lon_d)"
@@ -115,6 +116,9 @@ def nearest_city(df: DataFrame, cities: DataFrame, small: int = 4000) -> DataFra
     cities = _on_sphere(cities.select("lat", "lon", *_CITY), "lat", "lon")
     n, sizes = _grids(cities)
     found = _nearest_of_few if n <= small else _nearest_of_many
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if here.rdd.getNumPartitions() < cores:  # few input files: looking up is more work than dealing three columns out
+        here = here.repartition(cores)
     return found(_on_sphere(here, "lat_d", "lon_d"), cities, sizes).select("place_id", *[F.col("b")[c].alias(c) for c in _CITY])
 
 
@@ -123,11 +127,12 @@ def _candidate(city: Column) -> Column:
     return F.struct(F.round(km, 6).alias("km"), *[city[c].alias(c) for c in _CITY])
 
 
-def _nearest_in(cities: str) -> tuple[Column, Column]:
-    """The best of a list, and its least squared chord, to be there as ``least_``: by squared chords, and by kilometres among those that are equally near."""
+def _nearest_in(cities: str) -> Column:
+    """The best of a list: by squared chords, and by kilometres among those that are equally near."""
     apart = lambda c: sum(((F.col(u) - c[u]) * (F.col(u) - c[u]) for u in _AXES), F.lit(0.0))
     least = F.array_min(F.transform(cities, apart))
-    return F.array_min(F.transform(F.filter(cities, lambda c: apart(c) <= F.col("least_") + _CLOSE), _candidate)), least
+    near = lambda m: F.array_min(F.transform(F.filter(cities, lambda c: apart(c) <= m + _CLOSE), _candidate))
+    return F.transform(F.array(least), near)[0]  # bound by the lambda, or it would be worked out anew for each city
 
 
 def _nearest_of_few(here: DataFrame, cities: DataFrame, sizes: list[float]) -> DataFrame:
@@ -138,8 +143,7 @@ def _nearest_of_few(here: DataFrame, cities: DataFrame, sizes: list[float]) -> D
         unsure = F.col("b").isNull() if i == 0 else F.col("b").isNull() | (F.col("b.km") > _reach(sizes[i - 1]))
         own = [F.when(unsure, x).alias(c) for c, x in zip(_CELL, _cells(size), strict=True)]
         rows = rows.select("*", *own).join(F.broadcast(lists), _CELL, "left")
-        best, least = _nearest_in("near_")
-        rows = rows.withColumn("least_", least).withColumn("b", F.coalesce(best, "b")).drop("near_", "least_", *_CELL)
+        rows = rows.withColumn("b", F.coalesce(_nearest_in("near_"), "b")).drop("near_", *_CELL)
     return rows.select("place_id", "b").filter("b is not null")
 
 
