@@ -17,6 +17,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Words of more bytes are hashed one by one.
 LONG = 256
+#: Words or windows that are worked on at once.
+STRETCH = 1 << 14
 #: A Mersenne prime: window hashes are polynomials modulo it, so no sequence of words and its mirror cancel.
 PRIME = (1 << 61) - 1
 _rng = np.random.Generator(np.random.PCG64(20240131))
@@ -111,21 +113,25 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bo
 
     Each step is a bijection of the eight bytes, so equally long spans of up to eight bytes never collide.
     """
-    seed, size = _SEEDS[second], end - start
-    out = mix(size.astype(U64) * _STEP + U64(seed))
+    size, out = end - start, np.empty(len(start), dtype=U64)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     blocks = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
-    long = np.flatnonzero(size > LONG)
-    key = seed.to_bytes(8, "little")
-    for i in long.tolist():
+    heads = mix(np.arange(LONG + 1, dtype=U64) * _STEP + U64(_SEEDS[second]))
+    for low in range(0, len(start), STRETCH):  # stretches that stay in a processor's cache
+        part = slice(low, low + STRETCH)
+        first, n = start[part], np.minimum(size[part], LONG)
+        value = mix(heads[n] ^ (blocks[first] & _ENDS[np.minimum(n, 8)]))
+        rest = np.flatnonzero(n > 8)
+        for at in range(8, LONG, 8):
+            if not len(rest):
+                break
+            value[rest] = mix(value[rest] ^ (blocks[first[rest] + at] & _ENDS[np.minimum(n[rest] - at, 8)]))
+            rest = rest[n[rest] > at + 8]
+        out[part] = value
+    key = _SEEDS[second].to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
         digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest()
         out[i] = int.from_bytes(digest, "little")
-    rest = np.flatnonzero(size <= LONG) if len(long) else np.arange(len(size))
-    for at in range(0, LONG, 8):
-        rest = rest[size[rest] > at]
-        if not len(rest):
-            break
-        out[rest] = mix(out[rest] ^ (blocks[start[rest] + at] & _ENDS[np.minimum(size[rest] - at, 8)]))
     return out
 
 
@@ -141,7 +147,7 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
 
 def _reduced(x: np.ndarray) -> np.ndarray:
     x = (x & U64(PRIME)) + (x >> U64(61))
-    return x - U64(PRIME) * (x >= U64(PRIME))
+    return np.minimum(x, x - U64(PRIME))  # below the prime the difference wraps and is larger
 
 
 def _times(x: np.ndarray, factor: int) -> np.ndarray:
@@ -163,9 +169,9 @@ def polynomials(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    base, out, stretch = _BASES[second], np.empty(n, dtype=U64), 1 << 15
-    for at in range(0, n, stretch):
-        m = min(stretch, n - at)
+    base, out = _BASES[second], np.empty(n, dtype=U64)
+    for at in range(0, n, STRETCH):
+        m = min(STRETCH, n - at)
         power, length = _reduced(hashes[at : at + m + k - 1]), 1  # all windows of ``length`` words
         total, done = None, 0
         while True:
