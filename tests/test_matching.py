@@ -131,3 +131,13 @@ def test_numbers_without_skew(spark):
     assert max(r["count"] for r in parts) < 6000
     nulls = spark.createDataFrame([(None,), (3,), (None,), (-5,)], "place_id long")
     assert sorted((r.position, r.place_id) for r in batching.numbered(nulls).collect()) == [(0, -5), (1, 3), (2, None), (3, None)]
+
+
+def test_keys_are_not_broadcast(spark):
+    """Few texts make many keys, which must not pass through the driver, and are spread by several tasks."""
+    texts = spark.range(2000).select(F.concat(F.lit("jachthaven de "), F.col("id").cast("string")).alias("t"))
+    found = fuzzy.near(texts, texts, 1)
+    assert found.filter("distance = 0").count() == 2000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
