@@ -141,3 +141,4 @@ def test_keys_are_not_broadcast(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert plan.count("REPARTITION_BY_NUM") >= 2
