@@ -50,3 +50,22 @@ def test_haversine_properties(spark):
     ), haversine(F.col("c"), F.col("d"), F.col("a"), F.col("b"))
     for r in points.select(there.alias("x"), back.alias("y")).collect():
         assert r.x == pytest.approx(r.y) and 0 <= r.x <= 6371.0 * 3.14159266
+
+
+def test_distances_equal_sql_to_the_last_bit(spark, duck):
+    """Places that are equally far but for rounding are ranked by these bits."""
+    from waypost.operators import geo, search
+    from waypost.plans import oracle as O
+
+    spots = [(f"{50.75 + i * 7919 % 2811 / 1000:.3f}", f"{3.36 + i * 104729 % 3871 / 1000:.3f}") for i in range(6000)]
+    spots += [("52.3", f"{5.3 + i / 1000:.3f}") for i in range(-900, 900)] + [("Onbekend", "5.0")]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(spots)], "place_id long, latitude string, longitude string")
+    duck.register("spots_", rows.toPandas())
+    km = O.distance(52.3, 5.3)
+    want = duck.execute(f"SELECT place_id, {km} AS km, row_number() OVER (ORDER BY {km}, place_id) AS rank FROM spots_").fetchall()
+    duck.unregister("spots_")
+    ranked = search.ordered(geo.add_distances(rows, 52.3, 5.3), "distance")
+    assert sorted((r.place_id, r.afstand_km, r.rank) for r in ranked.collect()) == sorted(want)
+    odd = spark.createDataFrame([(1, None, "5"), (2, "nan", "5"), (3, "91", "inf")], "place_id long, latitude string, longitude string")
+    got = {r.place_id: r.afstand_km for r in geo.add_distances(odd, 52.3, 5.3).collect()}
+    assert got[1] == got[3] == 9999.0 and got[2] != got[2]

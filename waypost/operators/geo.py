@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.functions.clean import number
-from waypost.functions.geo import NOWHERE, RADIUS_KM, distance_label, haversine
+from waypost.functions.geo import NOWHERE, RADIUS_KM, distance_label, haversine, measured
 from waypost.sources.scratch import filed
 
 
@@ -21,13 +21,14 @@ def with_coordinates(df: DataFrame) -> DataFrame:
 def add_distances(df: DataFrame, lat: float, lon: float) -> DataFrame:
     """afstand_km and its label; a place without coordinates is nowhere."""
     located = with_coordinates(df)
-    km = haversine(F.lit(float(lat)), F.lit(float(lon)), F.col("lat_d"), F.col("lon_d"))
+    located = located.withColumn("km_", measured(float(lat), float(lon), F.col("lat_d"), F.col("lon_d")))
+    km = F.col("km_")
     usable = F.col("lat_d").isNotNull() & F.col("lon_d").isNotNull()
     unknown_input = F.isnan("lat_d") | F.isnan("lon_d")
-    measured = F.when(~usable, NOWHERE).when(F.isnan(km) & ~unknown_input, NOWHERE).otherwise(km)
-    return located.withColumn("afstand_km", measured).withColumn(
+    known = F.when(~usable, NOWHERE).when(F.isnan(km) & ~unknown_input, NOWHERE).otherwise(km)
+    return located.withColumn("afstand_km", known).withColumn(
         "afstand_label", distance_label(F.col("afstand_km"))
-    ).drop("lat_d", "lon_d")
+    ).drop("lat_d", "lon_d", "km_")
 
 
 def nearest(df: DataFrame, lat: float, lon: float, k: int) -> DataFrame:
