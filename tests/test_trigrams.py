@@ -49,3 +49,19 @@ def test_empty_table(spark, tmp_path, indexed):
     none = indexed[0].limit(0)
     trigrams.save(none, str(tmp_path / "none"), 4)
     assert trigrams.cascade(none, str(tmp_path / "none"), "a").count() == 0
+
+
+def test_texts_are_filed_once_and_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """Copies of a name add members and no postings; more rows make more files, not larger ones."""
+    one = spark.range(50).select(F.col("id").alias("place_id"), F.concat(F.lit("Camping "), F.col("id")).alias("naam"), F.lit("Zeeland").alias("provincie"))
+    many = one.crossJoin(spark.range(40).toDF("i")).select((F.col("place_id") + 50 * F.col("i")).alias("place_id"), "naam", "provincie")
+    assert trigrams.postings(many).count() == trigrams.postings(one).count()
+    monkeypatch.setattr(trigrams, "ROWS", 200)
+    trigrams.save(many, str(tmp_path / "many"), 4)
+    for manifest in ("manifest", "members-manifest"):
+        assert spark.read.parquet(str(tmp_path / "many" / manifest)).agg(F.max("rows")).first()[0] < 600
+    assert {r.place_id for r in trigrams.cascade(many, str(tmp_path / "many"), "g 17").collect()} == {17 + 50 * i for i in range(40)}
+    hits = trigrams.holding(spark, str(tmp_path / "many"), "g 17")
+    opened = trigrams.members(spark, str(tmp_path / "many"), hits).inputFiles()
+    assert 0 < len([f for f in opened if "/members/" in f]) <= 2
+    assert trigrams.cascade(many, str(tmp_path / "many"), "zeeland").count() == 2000
