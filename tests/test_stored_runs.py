@@ -225,3 +225,17 @@ def test_favourites_in_any_order(spark, tmp_path):
         for r in FV.favourites(spark, places[1]).orderBy("rank").collect():
             got.setdefault(r.user_id, []).append(r.naam)
         assert got == want
+
+
+def test_large_lots_are_several_files(spark, duck, monkeypatch):
+    """A lot of many batches isn't written and read by one task; batches stay whole."""
+    from tests.compare import same
+    from tests.conftest import SF
+    from waypost.plans import catalog, run_queries
+
+    taken, whole = [], run_queries.run_stream.run
+    monkeypatch.setattr(run_queries, "FILE_BATCHES", 3)
+    monkeypatch.setattr(run_queries.run_stream, "run", lambda job, source, schema, checkpoint, files=1: taken.append((files, len(spark.read.parquet(source).inputFiles()))) or whole(job, source, schema, checkpoint, files))
+    same(catalog.queries()["stream_run"](spark, SF), duck, catalog.oracle_sql()["stream_run"])
+    files, written = taken[0]
+    assert files > 1 and 4 < written <= 4 * files

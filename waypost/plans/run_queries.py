@@ -12,12 +12,14 @@ from waypost.plans import oracle as O
 from waypost.plans.catalog import register
 from waypost.sources import answers, buckets, clients
 from waypost.sources.places import places
-from waypost.sources.scratch import scratch
+from waypost.sources.scratch import filed, scratch
 from waypost.streaming import favourites
 from waypost.streaming import run as run_stream
 from waypost.streaming.enrichment import enrich_stream
 
 COLUMNS = ["naam", "provincie", "prijs", "stroom", "wifi", "sanitair"]
+#: Batches of five that a file of ``stream_run`` may hold.
+FILE_BATCHES = 10_000
 
 
 def answer(prompt: str) -> str:
@@ -145,17 +147,21 @@ def failover_fetch(spark: SparkSession, d: str) -> DataFrame:
 
 @register("stream_run", _ENRICHED)
 def stream_run(spark: SparkSession, d: str) -> DataFrame:
-    """The run of ``batch_enrichment`` as a stream of four files; stopped after the second, and resumed."""
+    """The run of ``batch_enrichment`` as a stream of four lots; stopped after the second, and resumed."""
     base, scraped = _inputs(spark, d)
     source, store, progress, checkpoint = (scratch(spark, f"run-{name}") for name in ("in", "table", "progress", "state"))
     buckets.create(base, store, buckets=16)
     todo = batching.numbered(base.filter("ai_gecheckt <> 'Ja'").select("place_id"))
     lots = todo.join(scraped, "place_id", "left")
     batches = todo.agg(F.max("batch")).first()[0] or 0
-    lots = lots.withColumn("lot", F.floor(F.col("batch") * 4 / F.lit(batches + 1))).drop("position", "batch")
+    lots = filed(lots.withColumn("lot", F.floor(F.col("batch") * 4 / F.lit(batches + 1))).drop("position"), "lots")
+    # a lot is one file, or several of whole batches, which are then taken together
+    files = max(1, -(-(batches + 1) // (4 * FILE_BATCHES)))
     schema = "place_id long, site_text string, changed boolean, total_len long, photos array<string>"
     for lot in range(4):
-        lots.filter(F.col("lot") == lot).drop("lot").coalesce(1).write.mode("append").parquet(source)
+        rows = lots.filter(F.col("lot") == lot)
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files, "batch")
+        rows.drop("lot", "batch").write.mode("append").parquet(source)
     steps = []
 
     def stop() -> bool:
@@ -163,9 +169,9 @@ def stream_run(spark: SparkSession, d: str) -> DataFrame:
         return len(steps) > 2
 
     job = run_stream.Run(spark, store, progress, answer, answer_again, COLUMNS, stop=stop)
-    assert not run_stream.run(job, source, schema, checkpoint)
+    assert not run_stream.run(job, source, schema, checkpoint, files)
     job.stop = lambda: False
-    assert run_stream.run(job, source, schema, checkpoint)
+    assert run_stream.run(job, source, schema, checkpoint, files)
     return buckets.read(spark, store)
 
 
